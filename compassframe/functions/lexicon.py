@@ -80,18 +80,29 @@ NEGATION_WINDOW = 48
 
 # Sensitive-content flags in reporting order.
 PRIVACY_PATTERNS: list[tuple[str, str]] = [
-    ("api_key_like", rf"(?iu){EDGE}(?:sk|key|token)[-_][A-Za-z0-9_-]{{12,}}{EDGE}"),
+    ("api_key_like", rf"(?iu){EDGE_L}(?:sk|key|token)[-_][A-Za-z0-9_-]{{12,}}{EDGE}"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("email", rf"(?iu){EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{EDGE}"),
-    ("aws_access_key", rf"{EDGE}(?:AKIA|ASIA)[A-Z0-9]{{16}}{EDGE}"),
-    ("github_token", rf"{EDGE}gh[pousr]_[A-Za-z0-9]{{20,}}{EDGE}"),
-    ("bearer_token", rf"(?iu){EDGE}Bearer[{SPACE}]+[A-Za-z0-9._~+/-]{{20,}}=*{EDGE}"),
-    ("us_ssn_like", rf"{EDGE}\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{EDGE}"),
+    ("email", rf"(?iu){EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{EDGE_R}"),
+    ("aws_access_key", rf"{EDGE_L}(?:AKIA|ASIA)[A-Z0-9]{{16}}{EDGE_R}"),
+    ("github_token", rf"{EDGE_L}gh[pousr]_[A-Za-z0-9]{{20,}}{EDGE_R}"),
+    ("bearer_token", rf"(?iu){EDGE_L}Bearer[{SPACE}]+[A-Za-z0-9._~+/-]{{20,}}=*{EDGE}"),
+    ("us_ssn_like", rf"{EDGE_L}\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{EDGE_R}"),
 ]
+# Cheap necessary conditions: any one of the literals, looked for in the lower-cased text.
+PRIVACY_LITERALS: dict[str, list[str]] = {
+    "api_key_like": ["sk-", "sk_", "key-", "key_", "token-", "token_"],
+    "private_key": ["private key-----"],
+    "email": ["@"],
+    "aws_access_key": ["akia", "asia"],
+    "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "bearer_token": ["bearer"],
+    "us_ssn_like": ["-"],
+}
 
 # Token estimate.
 CODE_LIKE = rf"```|{EDGE_L}(?:def|class|function|SELECT|FROM|import){EDGE_R}"
-PUNCTUATION = r"[{}\[\]();:=<>/\\]"
+CODE_LITERALS = ["def", "class", "function", "SELECT", "FROM", "import"]
+PUNCTUATION = "{}[]();:=<>/\\"
 
 
 def all_terms() -> list[str]:

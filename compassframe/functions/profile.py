@@ -76,13 +76,30 @@ def lexicon_hits(text: Column) -> Column:
     return _hit_structs(terms, clauses)
 
 
-def token_range(text: Column) -> Column:
-    """struct<low, expected, high> token estimate, without a tokenizer."""
+def _any_literal(text: Column, literals: list[str]) -> Column:
+    found = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
+        found = found | F.contains(text, F.lit(literal))
+    return found
+
+
+def _occurrences(text: Column, literal: str) -> Column:
+    """Non-overlapping occurrences of a literal, without a regular expression."""
+    removed = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
+    return (removed / len(literal)).cast("int")
+
+
+def token_estimate(text: Column) -> Column:
+    """Expected token count without a tokenizer; 0 for the empty text."""
     words = F.regexp_count(text, F.lit(rf"[^{L.SPACE}]+"))
     chars = F.length(text)
-    punct = F.regexp_count(text, F.lit(L.PUNCTUATION))
-    non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7f]+", ""))
-    code = text.rlike(L.CODE_LIKE)
+    punct = chars - F.length(F.translate(text, L.PUNCTUATION, ""))
+    non_ascii = F.when(F.octet_length(text) == chars, 0).otherwise(
+        F.length(F.regexp_replace(text, r"[\x00-\x7f]+", ""))
+    )
+    code = F.contains(text, F.lit("```")) | (
+        _any_literal(text, L.CODE_LITERALS) & text.rlike(L.CODE_LIKE)
+    )
     base = F.when(code, F.lit(3.2)).otherwise(F.lit(3.8))
     dense = non_ascii / F.greatest(F.lit(1), chars) > 0.15
     divisor = F.when(dense, F.least(base, F.lit(2.6))).otherwise(base)
@@ -90,7 +107,7 @@ def token_range(text: Column) -> Column:
     expected = F.greatest(
         F.lit(1), F.ceil(words * per_word).cast("int"), F.ceil(chars / divisor).cast("int")
     ) + F.ceil(punct / F.lit(12.0)).cast("int")
-    return F.when(F.length(text) > 0, expected).otherwise(F.lit(0))
+    return F.when(chars > 0, expected).otherwise(F.lit(0))
 
 
 def _range_of(expected: Column) -> Column:
@@ -106,24 +123,31 @@ def _range_of(expected: Column) -> Column:
 
 
 def with_token_range(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
-    return df.withColumn("_expected", token_range(F.col(text))).withColumn(
+    return df.withColumn("_expected", token_estimate(F.col(text))).withColumn(
         out, _range_of(F.col("_expected"))
     ).drop("_expected")
 
 
 def privacy_flags(text: Column) -> Column:
     """Names of the sensitive-content patterns found, in fixed order."""
-    found = [F.when(text.rlike(p), F.lit(name)) for name, p in L.PRIVACY_PATTERNS]
+    lowered = F.lower(text)
+    found = [
+        F.when(_any_literal(lowered, L.PRIVACY_LITERALS[name]) & text.rlike(pattern), F.lit(name))
+        for name, pattern in L.PRIVACY_PATTERNS
+    ]
     return F.array_compact(F.array(*found))
 
 
-def _score(entries: Column, family: str) -> Column:
-    """Sum of weights of the positive hits of one family, added in lexicon order."""
-    own = F.filter(
-        entries, lambda e: (e.kind == "task") & (e.label == family) & ~e.negated
-    )
-    ordered = F.array_sort(F.transform(own, lambda e: F.struct(e["rank"].alias("r"), e.weight.alias("w"))))
-    return F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e.w)
+def _scores_sql(entries: str) -> str:
+    """Per family: the weights of its positive hits, added in lexicon order."""
+    items = [
+        f"""named_struct('label', '{family}', 'priority', {L.TASK_PRIORITY.index(family)}, 'score',
+            aggregate(array_sort(transform(
+                filter({entries}, e -> e.kind = 'task' AND e.label = '{family}' AND NOT e.negated),
+                e -> struct(e.rank, e.weight))), 0D, (acc, e) -> acc + e.weight))"""
+        for family in L.TASK_TERMS
+    ]
+    return f"array({', '.join(items)})"
 
 
 def with_lexicon(df: DataFrame, norm: str) -> DataFrame:
@@ -175,21 +199,11 @@ def with_lexicon(df: DataFrame, norm: str) -> DataFrame:
             ),
         )
     )
-    scores = F.array(
-        *[
-            F.struct(
-                F.lit(family).alias("label"),
-                F.lit(L.TASK_PRIORITY.index(family)).alias("priority"),
-                _score(F.col("_entries"), family).alias("score"),
-            )
-            for family in L.TASK_TERMS
-        ]
-    )
     on = F.transform(
         F.filter("_entries", lambda e: (e.kind == "capability") & ~e.negated), lambda e: e.label
     )
     return (
-        hits.withColumn("task_scores", scores)
+        hits.withColumn("task_scores", F.expr(_scores_sql("_entries")))
         .withColumn("capabilities", F.array_sort(F.array_distinct(F.concat(F.array(F.lit("text")), on))))
         .withColumn(
             "operation_count",
@@ -209,15 +223,19 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
 
     Works on batch and streaming frames alike.
     """
-    norm = df.withColumn("_norm", X.nfkc(F.col(text)))
+    # Both Unicode forms first: a Python UDF further up would make the optimizer merge the steps
+    # between them and repeat their expressions.
+    norm = df.withColumns(
+        {"_norm": X.nfkc(F.col(text)), "_folded": X.nfkc_casefold(F.col(text))}
+    )
     scored = with_token_range(with_lexicon(norm, "_norm"), "_norm", "token_range")
     n = F.col("_norm")
-    folded = X.casefold(n)
+    folded = F.col("_folded")
     hard = sum((F.when(F.contains(folded, F.lit(m)), 1).otherwise(0) for m in L.HARD_MARKERS), F.lit(0))
     structure = (
         F.regexp_count(n, F.lit(rf"(?md)^[{L.SPACE}]*(?:[-*]|\p{{Nd}}+[.)])[{L.SPACE}]+"))
-        + F.regexp_count(n, F.lit("```"))
-        + F.least(F.lit(3), F.regexp_count(n, F.lit(r"\n\n")))
+        + _occurrences(n, "```")
+        + F.least(F.lit(3), _occurrences(n, "\n\n"))
     )
     base = (
         scored.withColumn(
@@ -311,7 +329,7 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
         .withColumn("uncertainty", F.least(F.lit(1.0), uncertainty))
         .withColumn("reason_codes", F.array_distinct(codes))
         .withColumn("estimated_input_tokens", high)
-        .drop("_norm", "_ranked", "capabilities", "stripped_length")
+        .drop("_norm", "_folded", "_ranked", "capabilities", "stripped_length")
     )
 
 

@@ -31,11 +31,6 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.str.casefold()
-
-
 @F.pandas_udf(T.StringType())
 def _nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
@@ -53,8 +48,8 @@ def nfc(text: Column) -> Column:
     return _only_non_ascii(_nfc, text, text)
 
 
-def casefold(text: Column) -> Column:
-    return _only_non_ascii(_casefold, text, F.lower(text))
+def nfkc_casefold(text: Column) -> Column:
+    return _only_non_ascii(_nfkc_casefold, text, F.lower(text))
 
 
 def strip(text: Column) -> Column:
@@ -73,8 +68,7 @@ def fingerprint(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Form used for duplicate detection: NFKC, case-folded, controls and runs of space to one space."""
-    folded = _only_non_ascii(_nfkc_casefold, text, F.lower(text))
-    return F.trim(F.regexp_replace(folded, rf"[{SPACE}\p{{C}}]+", " "))
+    return F.trim(F.regexp_replace(nfkc_casefold(text), rf"[{SPACE}\p{{C}}]+", " "))
 
 
 def battle_prompt(raw: Column) -> Column:
