@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from compassframe.functions import lexicon as L
 from compassframe.functions import text as X
+from compassframe.functions.barrier import settle
 
 ENTRY_TYPE = "array<struct<kind:string,label:string,rank:int,weight:double>>"
 CHAINED_TERM = "step by step"  # the one term that can overlap itself
@@ -318,7 +319,7 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
             )
         ),
     )
-    return (
+    done = (
         counted.withColumn("complexity", complexity)
         .withColumn(
             "difficulty",
@@ -331,6 +332,7 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
         .withColumn("estimated_input_tokens", high)
         .drop("_norm", "_folded", "_ranked", "capabilities", "stripped_length")
     )
+    return settle(done, [c for c in done.columns if c not in df.columns])
 
 
 PROFILE_COLUMNS = [
