@@ -147,7 +147,7 @@ def policy_book(policy: DataFrame) -> Column:
     book = per_lambda.agg(
         F.when(
             F.coalesce(F.max("_rows"), F.lit(0)) <= MAX_SEGMENTS,
-            F.array_sort(F.collect_list(F.struct("lambda", *STRATEGIES[:6]))),
+            F.collect_list(F.struct("lambda", *STRATEGIES[:6])),
         ).otherwise(F.raise_error(F.lit(f"more than {MAX_SEGMENTS} policy segments"))).alias("book")
     )
     return book.scalar()
@@ -227,6 +227,6 @@ def content_blind(wide: DataFrame, candidate: DataFrame, salt: str) -> DataFrame
     return (
         ranked.withColumn("_cuts", cuts)
         .withColumn("_cuts", upper)
-        .withColumn("model", F.expr("filter(_cuts, c -> _rank <= c.upto)[0].model"))
+        .withColumn("model", F.expr("get(filter(_cuts, c -> _rank <= c.upto), 0).model"))
         .drop("_h", "_rank", "_cuts")
     )

@@ -75,8 +75,8 @@ def _assessed() -> str:
     return """transform(_catalog, c -> named_struct(
         'configuration_id', c.configuration_id, 'provider', c.provider, 'deployment', c.deployment,
         'evidence', c.evidence, 'prior_uncertainty', coalesce(c.prior_uncertainty, 0.2D),
-        'quality', coalesce(filter(c.quality, q -> q.key = task_family)[0].value,
-                            filter(c.quality, q -> q.key = 'general')[0].value),
+        'quality', coalesce(get(filter(c.quality, q -> q.key = task_family), 0).value,
+                            get(filter(c.quality, q -> q.key = 'general'), 0).value),
         'cost', (estimated_input_tokens * c.input_usd_per_million
                  + expected_output_tokens * c.output_usd_per_million) / 1000000D,
         'latency', c.latency_ms,
@@ -180,7 +180,7 @@ def shortlist(ranked: DataFrame) -> DataFrame:
         f"CASE WHEN {pick}.pareto_efficient THEN array('{first}', 'pareto_front') ELSE array('{first}') END"
     )
     picks = (
-        ranked.withColumn("_first", F.expr("filter(ranked, c -> c.pareto_efficient)[0]"))
+        ranked.withColumn("_first", F.expr("get(filter(ranked, c -> c.pareto_efficient), 0)"))
         .withColumn("_rest", F.expr("filter(ranked, c -> c.configuration_id <> _first.configuration_id)"))
         .withColumn(
             "_second",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from compassframe.plans import profiling
+from compassframe.plans import evaluating, profiling, ranking
 
-_MODULES = [profiling]
+_MODULES = [profiling, ranking, evaluating]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
