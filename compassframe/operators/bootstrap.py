@@ -28,9 +28,9 @@ POISSON_CUTS = [
 ]
 
 
-def poisson_weight(key: Column, rep: Column, salt: str) -> Column:
-    h = hash60(F.concat_ws("|", F.lit(salt), rep.cast("string"), key))
-    return sum((F.when(h >= F.lit(cut), 1).otherwise(0) for cut in POISSON_CUTS), F.lit(0))
+def poisson_weight(draw: Column) -> Column:
+    """Poisson(1) count of a 60-bit uniform draw: how many cumulative thresholds it reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, POISSON_CUTS)), lambda cut: cut <= draw))
 
 
 def resample_means(
@@ -39,11 +39,15 @@ def resample_means(
 ) -> DataFrame:
     """Mean of every value column per group and resample: (groups..., rep, values...)."""
     groups = groups or []
-    slim = rows.select(*groups, key, *values)
+    # every row becomes `reps` rows next; fix the partition number so that a small input is not
+    # merged into one task before it grows
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = rows.select(*groups, key, *values).repartition(parts, key)
     if method == "poisson":
+        draw = hash60(F.concat_ws("|", F.lit(salt), F.col("rep").cast("string"), F.col(key)))
         weighted = slim.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-            "_w", poisson_weight(F.col(key), F.col("rep"), salt)
-        ).where("_w > 0")
+            "_w", poisson_weight(draw)
+        )
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")

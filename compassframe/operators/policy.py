@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Cost weights, shrinkage, strategies.
 LAMBDAS = (0.0, 0.05, 0.10, 0.20, 0.40)
@@ -80,59 +81,68 @@ def _argmax(score: Column) -> Column:
 
 
 def fit(train: DataFrame, lambdas: tuple[float, ...] = LAMBDAS, shrinkage: int = SHRINKAGE) -> DataFrame:
-    """policy(strategy, lambda, segment, choice, global_choice, support) for the fitted strategies."""
-    sums = segment_sums(train)
-    overall = sums.groupBy("model", "params").agg(
-        (F.sum("q") / F.sum("n")).alias("gq"), (F.sum("c") / F.sum("n")).alias("gc")
-    )
-    weights = F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lambda")
-    global_rows = overall.select("*", weights)
-    utility = F.col("gq") - F.col("lambda") * F.col("gc")
-    fixed = global_rows.groupBy("lambda").agg(
-        F.min_by("model", F.struct(F.col("gc"), -F.col("gq"), F.col("model"))).alias("always_cheapest"),
-        _argmax(F.col("gq")).alias("always_best_quality"),
-        _argmax(utility).alias("global_utility"),
-    )
-    grouped = sums.select(
-        "model", "params", "q", "c", "n",
-        F.inline(
-            F.array(
-                F.struct(F.lit("length_segment").alias("strategy"), F.col("length_band").alias("segment")),
-                F.struct(F.lit("task_segment").alias("strategy"), F.col("task_family").alias("segment")),
-                F.struct(
-                    F.lit("hybrid_segment").alias("strategy"),
-                    F.concat_ws("|", "task_family", "length_band").alias("segment"),
-                ),
-            )
-        ),
-    ).groupBy("strategy", "segment", "model", "params").agg(
-        F.sum("q").alias("q"), F.sum("c").alias("c"), F.sum("n").alias("n")
+    """policy(strategy, lambda, segment, choice, global_choice, support) for the fitted strategies.
+
+    Everything after the one aggregate over the training rows happens on its result, one row per
+    (task, band, model): the global means are window sums over it and the coarser segmentations are
+    added up from it, so the training rows are read once.
+    """
+    per_model = Window.partitionBy("model")
+    total = lambda c: F.sum(c).over(per_model)
+    sums = segment_sums(train).withColumns({"gq": total("q") / total("n"), "gc": total("c") / total("n")})
+    kinds = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(strategy).alias("kind"), segment.alias("segment"))
+                for strategy, segment in (
+                    ("global", F.lit("")),
+                    ("length_segment", F.col("length_band")),
+                    ("task_segment", F.col("task_family")),
+                    ("hybrid_segment", F.concat_ws("|", "task_family", "length_band")),
+                )
+            ]
+        )
+    )
+    grouped = sums.select("model", "params", "q", "c", "n", "gq", "gc", kinds).groupBy(
+        "kind", "segment", "model", "params"
+    ).agg(
+        F.sum("q").alias("q"), F.sum("c").alias("c"), F.sum("n").alias("n"),
+        F.first("gq").alias("gq"), F.first("gc").alias("gc"),
     )
-    w = F.col("n") / (F.col("n") + F.lit(shrinkage))
-    shrunk = grouped.join(F.broadcast(overall.select("model", "gq", "gc")), "model").select(
-        "strategy", "segment", "model", "params", "n",
+    w = F.when(F.col("kind") == "global", 0.0).otherwise(F.col("n") / (F.col("n") + F.lit(shrinkage)))
+    shrunk = grouped.select(
+        "kind", "segment", "model", "params", "n", "gq", "gc",
         (w * (F.col("q") / F.col("n")) + (1 - w) * F.col("gq")).alias("sq"),
         (w * (F.col("c") / F.col("n")) + (1 - w) * F.col("gc")).alias("sc"),
-        weights,
+        F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lambda"),
     )
-    segments = shrunk.groupBy("strategy", "lambda", "segment").agg(
-        _argmax(F.col("sq") - F.col("lambda") * F.col("sc")).alias("choice"),
+    chosen = shrunk.groupBy("kind", "lambda", "segment").agg(
+        _argmax(F.col("sq") - F.col("lambda") * F.col("sc")).alias("utility_choice"),
+        _argmax(F.col("gq")).alias("quality_choice"),
+        F.min_by("model", F.struct(F.col("gc"), -F.col("gq"), F.col("model"))).alias("cheapest_choice"),
         F.max("n").alias("support"),
     )
-    by_segment = segments.join(
-        F.broadcast(fixed.select("lambda", F.col("global_utility").alias("global_choice"))), "lambda"
-    )
-    by_global = fixed.select(
-        "lambda",
-        F.stack(
-            F.lit(3),
-            *[x for s in ("always_cheapest", "always_best_quality", "global_utility") for x in (F.lit(s), F.col(s))],
-        ).alias("strategy", "choice"),
-    ).select(
-        "strategy", "lambda", F.lit(None).cast("string").alias("segment"), "choice",
-        F.col("choice").alias("global_choice"), F.lit(None).cast("bigint").alias("support"),
+    is_global = F.col("kind") == "global"
+    row = lambda strategy, choice: F.struct(strategy.alias("strategy"), F.col(choice).alias("choice"))
+    rows = F.when(
+        is_global,
+        F.array(
+            row(F.lit("always_cheapest"), "cheapest_choice"),
+            row(F.lit("always_best_quality"), "quality_choice"),
+            row(F.lit("global_utility"), "utility_choice"),
+        ),
+    ).otherwise(F.array(row(F.col("kind"), "utility_choice")))
+    fallback = F.max(F.when(is_global, F.col("utility_choice"))).over(Window.partitionBy("lambda"))
+    return (
+        chosen.withColumn("_global", fallback)
+        .select("lambda", "segment", "support", "_global", is_global.alias("_is_global"), F.inline(rows))
+        .select(
+            "strategy", "lambda",
+            F.when(~F.col("_is_global"), F.col("segment")).alias("segment"), "choice",
+            F.when(F.col("_is_global"), F.col("choice")).otherwise(F.col("_global")).alias("global_choice"),
+            F.when(~F.col("_is_global"), F.col("support")).alias("support"),
+        )
     )
-    return by_segment.select(*by_global.columns).unionByName(by_global)
 
 
 def policy_book(policy: DataFrame) -> Column:
