@@ -113,8 +113,8 @@ def _similar(inter: Column, na: Column, nb: Column, ta: Column, tb: Column) -> d
 
 def _pairs(selected: DataFrame, postings: DataFrame) -> DataFrame:
     """Candidate pairs of selected lists, each once, after every check that needs no trigram sets."""
-    left = selected.withColumn("salt", F.pmod(F.xxhash64("cid"), _salts()))
-    right = postings.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1)).cast("bigint")).drop("stat")
+    left = selected.withColumn("salt", F.pmod(F.xxhash64("cid"), _salts()).cast("int"))
+    right = postings.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1))).drop("stat")
     possible = (
         (F.least("na", "nb") >= F.greatest("na", "nb") * JACCARD)
         | (F.least("ta", "tb") >= F.greatest("ta", "tb") * LENGTH_RATIO)
