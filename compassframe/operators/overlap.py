@@ -217,8 +217,10 @@ def screen(candidates: DataFrame, references: DataFrame, long_list: int = 10_000
     candidates(key, prompts_id string, original_prompt); references(ref_index bigint, text, source).
     Precedence: duplicate of an earlier candidate, exact overlap, fuzzy overlap.
     """
-    cand = features(candidates, "original_prompt").drop("original_prompt")
-    refs = features(references, "text").drop("text")
+    ensure_checkpoint_dir(candidates.sparkSession)
+    # texts are tokenised once; every later step reads these slim rows
+    cand = features(candidates, "original_prompt").drop("original_prompt").checkpoint()
+    refs = features(references, "text").drop("text").checkpoint()
     first = first_references(refs)
     marked = drop_duplicates_keep_lowest(
         cand.withColumn("_num", F.col("prompts_id").cast("bigint")), "_num", "prompts_id"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from compassframe.plans import acquiring, evaluating, profiling, ranking
+from compassframe.plans import acquiring, evaluating, governing, profiling, ranking
 
-_MODULES = [profiling, ranking, evaluating, acquiring]
+_MODULES = [profiling, ranking, evaluating, acquiring, governing]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
