@@ -10,10 +10,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from compassframe.functions.barrier import settle
 from compassframe.functions.lexicon import SPACE
 
 NON_ASCII = r"[^\x00-\x7f]"
@@ -71,21 +72,24 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc_casefold(text), rf"[{SPACE}\p{{C}}]+", " "))
 
 
-def battle_prompt(raw: Column) -> Column:
-    """Prompt of a preference row: a JSON list of strings or of {content}, else the text itself."""
-    parsed = F.try_parse_json(raw)
-    is_list = F.schema_of_variant(parsed).startswith("ARRAY")
-    items = F.try_variant_get(parsed, "$", "array<variant>")
+def with_battle_prompt(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Prompt of a preference row: a JSON list of strings or of {content}, else the text itself.
+
+    Stages are settled so that a text is parsed and normalised once.
+    """
+    parsed = settle(df.withColumn("_json", F.try_parse_json(F.col(raw))), ["_json"])
+    items = F.try_variant_get("_json", "$", "array<variant>")
     part = F.transform(
         items,
         lambda v: F.coalesce(F.try_variant_get(v, "$.content", "string"), v.cast("string")),
     )
-    scalar = F.try_variant_get(parsed, "$", "string")
-    text = F.when(F.coalesce(is_list, F.lit(False)), F.array_join(part, "\n")).otherwise(
-        F.coalesce(F.when(parsed.isNotNull(), scalar), raw)
+    is_list = F.coalesce(F.schema_of_variant("_json").startswith("ARRAY"), F.lit(False))
+    text = F.when(is_list, F.array_join(part, "\n")).otherwise(
+        F.coalesce(F.try_variant_get("_json", "$", "string"), F.col(raw))
     )
-    lines = F.regexp_replace(nfc(text), r"\r\n| | ", "\n")
-    return strip(lines)
+    joined = settle(parsed.withColumn("_text", text), ["_text"])
+    lines = F.regexp_replace(nfc(F.col("_text")), r"\r\n|[\x{2028}\x{2029}]", "\n")
+    return joined.withColumn(out, strip(lines)).drop("_json", "_text")
 
 
 def word_tokens(canonical_text: Column, limit: int = SCREEN_TOKENS) -> Column:

@@ -130,6 +130,7 @@ def _pairs(selected: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, candidates: DataFrame, references: DataFrame) -> DataFrame:
     """First similar reference per prompt among the given pairs."""
+    pairs = pairs.checkpoint()
     used = pairs.groupBy("rid").agg(F.count("*").alias("_uses"))
     sets = references.select(
         F.col("ref_index").alias("rid"),
@@ -166,7 +167,8 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, long_list: int =
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
     cand, refs = candidates.where("n_shingles > 0"), references.where("n_shingles > 0")
-    stats = _list_statistics(cand, refs)
+    # lists, selections and pairs are each used more than once: written once, then read
+    stats = _list_statistics(cand, refs).checkpoint()
     known = _shared(
         cand.withColumnsRenamed({"prompts_id": "cid", "n_shingles": "na", "n_tokens": "ta"}),
         "cid", ["na", "ta"], stats, "n_candidates",
@@ -182,14 +184,13 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, long_list: int =
     postings = _shared(
         refs.withColumnsRenamed({"ref_index": "rid", "n_shingles": "nb", "n_tokens": "tb"}),
         "rid", ["nb", "tb"], stats, "n_references",
-    ).select("rid", "shingle", "stat", "nb", "tb", (F.col("shared") >= F.col("nb") * JACCARD).alias("b_ok"))
+    ).select("rid", "shingle", "stat", "nb", "tb", (F.col("shared") >= F.col("nb") * JACCARD).alias("b_ok")).checkpoint()
 
     is_long = F.col("stat.n_references") > long_list
     longest = selected.where(is_long).agg(F.max("stat.n_references")).first()[0]
     if longest is None:
         return _verify(_pairs(selected, postings), cand, refs)
 
-    postings = postings.checkpoint()
     best = _verify(
         _pairs(selected.where(~is_long), postings.where(~is_long)), cand, refs
     ).checkpoint()

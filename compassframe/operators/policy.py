@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from compassframe.functions.barrier import settle
+
 # Cost weights, shrinkage, strategies.
 LAMBDAS = (0.0, 0.05, 0.10, 0.20, 0.40)
 PRIMARY_LAMBDA = 0.20
@@ -39,7 +41,7 @@ def to_long(wide: DataFrame) -> DataFrame:
 def with_compute(wide: DataFrame, normalizer: Column | float) -> DataFrame:
     """Adds compute = params * tokens / normalizer to every observation."""
     divisor = F.lit(normalizer) if isinstance(normalizer, (int, float)) else normalizer
-    return wide.withColumn("_norm", divisor).withColumn(
+    scaled = wide.withColumn("_norm", divisor).withColumn(
         "observations",
         F.transform(
             "observations",
@@ -49,6 +51,7 @@ def with_compute(wide: DataFrame, normalizer: Column | float) -> DataFrame:
             ),
         ),
     ).drop("_norm")
+    return settle(scaled, ["observations"])
 
 
 def maximum_compute(wide: DataFrame) -> Column:
@@ -203,9 +206,9 @@ def choices_for(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | Non
 
 
 def _attach(rows: DataFrame) -> DataFrame:
-    observed = rows.withColumn(
+    observed = settle(rows.withColumn(
         "_o", F.get(F.filter("observations", lambda o: o.model == F.col("_c.model")), F.lit(0))
-    )
+    ), ["_o"])
     return observed.select(
         "key", "split", "task_family", "length_band", "lambda", F.col("_c.strategy").alias("strategy"),
         F.col("_c.model").alias("model"), F.col("_o.correctness").alias("correctness"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from compassframe.functions import text as X
+from compassframe.functions.barrier import settle
 from compassframe.functions.text import hash60, round8, stable_split
 from compassframe.operators import alignment as A
 from compassframe.operators import overlap as O
@@ -147,24 +148,26 @@ def shingle_features(spark, sf):
 
 def _battles(spark, sf):
     """Preference rows from orders; prompts come as JSON lists, objects or plain text."""
-    o = F.col("o_orderkey")
-    n = hash60(F.concat(F.lit("b|"), o.cast("string")))
+    o, n = F.col("o_orderkey"), F.col("n")
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    rows = settle(orders.withColumn("n", hash60(F.concat(F.lit("b|"), o.cast("string")))), ["n"])
     body = F.concat(F.lit("order "), o.cast("string"), F.lit(" "), F.col("o_orderpriority"))
-    prompt = (
+    raw = (
         F.when(n % 4 == 0, F.to_json(F.array(body, F.lit("again"))))
         .when(n % 4 == 1, F.to_json(F.array(F.struct(body.alias("content")))))
         .when(n % 97 == 2, F.lit("  "))
         .otherwise(body)
     )
     win = n % 3
-    return table(spark, sf, "orders").select(
+    landed = rows.select(
         F.when(n % 89 == 5, o - 1).otherwise(o).alias("id"),
         F.when(n % 2 == 0, "model-s").otherwise("model-e").alias("model_a"),
         F.when(n % 83 == 7, "model-x").when(n % 2 == 0, "model-e").otherwise("model-s").alias("model_b"),
-        X.battle_prompt(prompt).alias("prompt"),
+        raw.alias("raw"),
         (win == 0).cast("int").alias("winner_model_a"), (win == 1).cast("int").alias("winner_model_b"),
         F.when(n % 101 == 9, 1).otherwise((win == 2).cast("int")).alias("winner_tie"),
     )
+    return X.with_battle_prompt(landed, "raw", "prompt").drop("raw")
 
 
 def battle_labels(spark, sf):

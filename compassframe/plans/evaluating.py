@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from compassframe.functions.barrier import settle
 from compassframe.functions.text import hash60, round8, stable_split
 from compassframe.operators import bootstrap as B
 from compassframe.operators import evaluation as E
@@ -48,10 +49,12 @@ def evidence(spark, sf):
         for r, (m, p) in enumerate(PO.POOL.items())
     ]
     names = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), F.col(i) + 1)
-    return base.select(
+    base = settle(base, ["_f", "_l"])
+    wide = base.select(
         "key", names(FAMILIES, "_f").alias("task_family"), names(BANDS, "_l").alias("length_band"), "split",
         F.array(*observed).alias("observations"),
     )
+    return settle(wide, ["observations"])
 
 
 def _normalized(spark, sf):
