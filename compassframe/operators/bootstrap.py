@@ -30,7 +30,7 @@ POISSON_CUTS = [
 
 def poisson_weight(draw: Column) -> Column:
     """Poisson(1) count of a 60-bit uniform draw: how many cumulative thresholds it reaches."""
-    return F.size(F.filter(F.array(*map(F.lit, POISSON_CUTS)), lambda cut: cut <= draw))
+    return sum((F.when(draw >= F.lit(cut), 1).otherwise(0) for cut in POISSON_CUTS), F.lit(0))
 
 
 def resample_means(
@@ -46,8 +46,8 @@ def resample_means(
     if method == "poisson":
         draw = hash60(F.concat_ws("|", F.lit(salt), F.col("rep").cast("string"), F.col(key)))
         weighted = slim.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-            "_w", poisson_weight(draw)
-        )
+            "_draw", draw
+        ).withColumn("_w", poisson_weight(F.col("_draw")))
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from compassframe.functions.barrier import settle
+from compassframe.functions.text import hash60, seeded_index
+from compassframe.operators.ordered import hash_rank
 
 # Cost weights, shrinkage, strategies.
 LAMBDAS = (0.0, 0.05, 0.10, 0.20, 0.40)
@@ -166,13 +168,11 @@ def policy_book(policy: DataFrame) -> Column:
     return book.scalar()
 
 
-def choices_for(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | None = None) -> DataFrame:
-    """One row per key, cost weight and strategy, with the chosen model's observation.
+def choice_rows(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | None = None) -> DataFrame:
+    """One row per key and cost weight with ``choices``: per strategy the chosen model's observation.
 
-    A segment never seen in training falls back to the global choice.
+    A segment never seen in training falls back to the global choice. All of it happens in the row.
     """
-    from compassframe.functions.text import seeded_index
-
     names = sorted(pool or POOL)
     rows = wide.withColumn("_p", F.explode(policy_book(policy)))
     random_choice = F.element_at(
@@ -199,21 +199,43 @@ def choices_for(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | Non
         "seeded_random": random_choice,
         "oracle": best,
     }
-    picks = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("strategy"), c.alias("model")) for s, c in chosen.items()])
+    picked = rows.withColumn("lambda", F.col("_p.lambda")).withColumn(
+        "_models", F.array(*[chosen[s] for s in STRATEGIES])
+    )
+    observed = settle(picked, ["_models"]).withColumn(
+        "_o",
+        F.transform(
+            "_models", lambda m: F.get(F.filter("observations", lambda o: o.model == m), F.lit(0))
+        ),
+    )
+    outcome = F.zip_with(
+        F.array(*map(F.lit, STRATEGIES)),
+        "_o",
+        lambda s, o: F.struct(
+            s.alias("strategy"), o.model.alias("model"), o.correctness.alias("correctness"), o.compute.alias("compute"),
+            (o.correctness - F.col("lambda") * o.compute).alias("utility"),
+        ),
     )
-    return _attach(rows.withColumn("lambda", F.col("_p.lambda")).withColumn("_c", picks))
+    return settle(
+        observed.withColumn("choices", outcome).select(
+            "key", "split", "task_family", "length_band", "lambda", "choices"
+        ),
+        ["choices"],
+    )
+
+
+def choices_for(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | None = None) -> DataFrame:
+    """outcomes: one row per key, cost weight and strategy."""
+    rows = choice_rows(wide, policy, pool)
+    return rows.select("key", "split", "task_family", "length_band", "lambda", F.inline("choices"))
 
 
-def _attach(rows: DataFrame) -> DataFrame:
-    observed = settle(rows.withColumn(
-        "_o", F.get(F.filter("observations", lambda o: o.model == F.col("_c.model")), F.lit(0))
-    ), ["_o"])
-    return observed.select(
-        "key", "split", "task_family", "length_band", "lambda", F.col("_c.strategy").alias("strategy"),
-        F.col("_c.model").alias("model"), F.col("_o.correctness").alias("correctness"),
-        F.col("_o.compute").alias("compute"),
-        (F.col("_o.correctness") - F.col("lambda") * F.col("_o.compute")).alias("utility"),
+def side_by_side(choices: DataFrame, values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Chosen outcomes of several strategies next to each other: {column: (strategy, field)}; no shuffle."""
+    at = {s: i for i, s in enumerate(STRATEGIES)}
+    return choices.select(
+        "key", "task_family", "length_band", "lambda",
+        *[F.col("choices")[at[s]][field].alias(name) for name, (s, field) in values.items()],
     )
 
 
@@ -223,9 +245,6 @@ def content_blind(wide: DataFrame, candidate: DataFrame, salt: str) -> DataFrame
     Rows are ranked by a salted hash of the key; the first share goes to the first model in name order
     and so on. The rank is taken in two steps, so no task sees all rows.
     """
-    from compassframe.functions.text import hash60
-    from compassframe.operators.ordered import hash_rank
-
     counts = candidate.groupBy("model").agg(F.count("*").alias("n"))
     cuts = counts.agg(
         F.array_sort(F.collect_list(F.struct("model", "n"))).alias("shares")

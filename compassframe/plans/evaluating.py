@@ -203,47 +203,45 @@ def paired_difference(spark, sf):
     )
 
 
-def _paired(spark, sf):
-    """One row per validation key with each strategy's values side by side, built in the row."""
-    rows = _outcomes(spark, sf)
-    pick = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
-    return rows.groupBy("key", "task_family", "length_band").agg(
-        *[pick(s, c).alias(f"{s}__{c}") for s in PO.STRATEGIES for c in ("correctness", "compute", "utility")]
-    )
+def _choices(spark, sf):
+    """Validation rows with every strategy's choice, and the fitted evidence they come from."""
+    ev = _normalized(spark, sf)
+    policy = PO.fit(ev.where(F.col("split") == "train"), (LAM,))
+    validation = ev.where(F.col("split") == "validation")
+    return validation, PO.choice_rows(validation, policy)
 
 
 def bootstrap_ci(spark, sf):
     """Intervals of every strategy's means and of its paired utility difference; shared resamples."""
-    rows = _paired(spark, sf)
-    cols = {}
-    for s in PO.STRATEGIES:
-        cols[f"{s}:correctness"] = F.col(f"{s}__correctness")
-        cols[f"{s}:compute"] = F.col(f"{s}__compute")
-        cols[f"{s}:utility"] = F.col(f"{s}__utility")
-        cols[f"{s}:difference"] = F.col(f"{s}__utility") - F.col("global_utility__utility")
-    flat = rows.select("key", *[c.alias(n) for n, c in cols.items()])
-    reps = B.resample_means(flat, list(cols), REPS, "boot", method="multinomial")
-    return _rounded(B.intervals(reps, list(cols)), ["low", "high"])
+    metrics = ("correctness", "compute", "utility")
+    wide = PO.side_by_side(_choices(spark, sf)[1], {f"{s}:{m}": (s, m) for s in PO.STRATEGIES for m in metrics})
+    difference = {f"{s}:difference": F.col(f"`{s}:utility`") - F.col("`global_utility:utility`") for s in PO.STRATEGIES}
+    flat = wide.withColumns(difference).drop("task_family", "length_band", "lambda")
+    cols = [f"{s}:{m}" for s in PO.STRATEGIES for m in (*metrics, "difference")]
+    reps = B.resample_means(flat, cols, REPS, "boot", method="multinomial")
+    return _rounded(B.intervals(reps, cols), ["low", "high"])
 
 
 def _comparison(spark, sf):
     """Candidate, fixed, content-blind and oracle values per key: (correctness, compute, utility)."""
-    ev = _normalized(spark, sf)
-    policy = PO.fit(ev.where(F.col("split") == "train"), (LAM,))
-    validation = ev.where(F.col("split") == "validation")
-    chosen = PO.choices_for(validation, policy)
-    candidate = chosen.where(F.col("strategy") == "hybrid_segment").select("key", "model")
+    side = PO.side_by_side(
+        _choices(spark, sf)[1],
+        {"cq": ("hybrid_segment", "correctness"), "cc": ("hybrid_segment", "compute"), "cu": ("hybrid_segment", "utility"),
+         "fq": ("always_best_quality", "correctness"), "fc": ("always_best_quality", "compute"),
+         "fu": ("always_best_quality", "utility"), "ou": ("oracle", "utility")},
+    )
+    return side.join(_blind(spark, sf).select("key", F.col("u").alias("bu")), "key")
+
+
+def _blind(spark, sf):
+    """The control's model and utility per validation key."""
+    validation, choices = _choices(spark, sf)
+    candidate = PO.side_by_side(choices, {"model": ("hybrid_segment", "model")}).select("key", "model")
     blind = PO.content_blind(validation, candidate, "blind|")
     own = F.get(F.filter("observations", lambda o: o.model == F.col("model")), F.lit(0))
-    blind_rows = blind.select("key", (own.correctness - F.lit(LAM) * own.compute).alias("bu"))
-    pick = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
-    side = chosen.groupBy("key", "task_family", "length_band").agg(
-        pick("hybrid_segment", "correctness").alias("cq"), pick("hybrid_segment", "compute").alias("cc"),
-        pick("hybrid_segment", "utility").alias("cu"), pick("always_best_quality", "correctness").alias("fq"),
-        pick("always_best_quality", "compute").alias("fc"), pick("always_best_quality", "utility").alias("fu"),
-        pick("oracle", "utility").alias("ou"),
+    return settle(blind.withColumn("_own", own), ["_own"]).select(
+        "key", "model", (F.col("_own.correctness") - F.lit(LAM) * F.col("_own.compute")).alias("u")
     )
-    return side.join(blind_rows, "key")
 
 
 _VALUES = ["cq", "cc", "cu", "fq", "fc", "fu", "bu", "ou"]
@@ -287,16 +285,8 @@ def slice_ci(spark, sf):
 
 
 def content_blind_control(spark, sf):
-    """Shares and mean utility of the control that ignores prompts, next to the candidate it mirrors."""
-    ev = _normalized(spark, sf)
-    policy = PO.fit(ev.where(F.col("split") == "train"), (LAM,))
-    validation = ev.where(F.col("split") == "validation")
-    candidate = PO.choices_for(validation, policy).where(F.col("strategy") == "hybrid_segment").select("key", "model")
-    blind = PO.content_blind(validation, candidate, "blind|")
-    own = F.get(F.filter("observations", lambda o: o.model == F.col("model")), F.lit(0))
-    return blind.select("model", (own.correctness - F.lit(LAM) * own.compute).alias("u")).groupBy("model").agg(
-        F.count("*").alias("n"), round8(F.avg("u")).alias("mean_utility")
-    )
+    """Shares and mean utility of the control that ignores prompts."""
+    return _blind(spark, sf).groupBy("model").agg(F.count("*").alias("n"), round8(F.avg("u")).alias("mean_utility"))
 
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
