@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compassframe.functions.text import fingerprint
+from compassframe.operators.ordered import lookup
 
 
 def tag_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -126,7 +127,8 @@ def battle_labels(rows: DataFrame, pair: tuple[str, str], prompt: str = "prompt"
     for w in wins:
         binary = binary & w.isin(0, 1)
     repeated = rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
-    marked = rows.join(repeated, "id", "left")
+    spread = rows.withColumn("_row", F.xxhash64(*rows.columns))
+    marked = lookup(spread, repeated, "id", "_n", "_n", weight="_n", row_id="_row").drop("_row")
     problem = (
         F.when(F.array_sort(F.array("model_a", "model_b")) != F.array(*map(F.lit, sorted(pair))), "model_pair")
         .when(F.col("_n").isNotNull(), "duplicate_id")

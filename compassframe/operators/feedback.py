@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compassframe.operators.ordered import newest_n
+from compassframe.operators.ordered import lookup_skewed, newest_n
 
 # Fixed values of the learning rule.
 PRIOR_ALPHA, PRIOR_BETA = 8.0, 2.0
@@ -26,8 +26,8 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
     at all is refused.
     """
     p = lambda f: F.col(f"payload.{f}")
-    joined = feedback.join(
-        receipts.select("recommendation_id", "selected_configuration_ids"), "recommendation_id", "left"
+    joined = lookup_skewed(
+        feedback, receipts, "recommendation_id", ["selected_configuration_ids"], row_id="feedback_id"
     )
     selected = F.col("selected_configuration_ids")
     used, other = p("used_configuration_id"), p("preferred_over_configuration_id")
@@ -52,7 +52,7 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
         .select("recommendation_id", F.col("_first.feedback_id").alias("_standing"))
     )
     return (
-        checked.join(standing, "recommendation_id", "left")
+        lookup_skewed(checked, standing, "recommendation_id", ["_standing"], row_id="feedback_id")
         .withColumn(
             "rejected",
             F.coalesce("_problem", F.when(F.col("_standing") != F.col("feedback_id"), "duplicate_feedback")),
@@ -116,14 +116,20 @@ def attach_signals(requests: DataFrame, signal_rows: DataFrame) -> DataFrame:
     """Adds ``feedback`` (map configuration_id -> signal) to requests by (profile, task).
 
     A catalog has at most 500 configurations, so the maps are small. Requests without a profile get
-    none.
+    none. One profile may send a large share of all requests.
     """
     maps = signal_rows.groupBy("feedback_profile_id", "task_family").agg(
         F.map_from_entries(
             F.collect_list(F.struct("configuration_id", F.struct("support", "score_adjustment", "applied")))
         ).alias("feedback")
     )
-    return requests.join(maps, ["feedback_profile_id", "task_family"], "left")
+    pair = F.when(
+        F.col("feedback_profile_id").isNotNull(), F.to_json(F.array("feedback_profile_id", "task_family"))
+    )
+    keyed = lookup_skewed(
+        requests.withColumn("_pair", pair), maps.withColumn("_pair", pair), "_pair", ["feedback"], row_id="request_id"
+    )
+    return keyed.drop("_pair")
 
 
 def replay(events: DataFrame, minimum_support: int = MINIMUM_SUPPORT) -> DataFrame:

@@ -35,7 +35,7 @@ def running_max(
     )
 
 
-def hash_rank(rows: DataFrame, hash60: str, out: str, groups: list[str] | None = None, bits: int = 12) -> DataFrame:
+def hash_rank(rows: DataFrame, hash60: str, out: str, groups: list[str] | None = None, bits: int = 16) -> DataFrame:
     """1-based rank of each row by a uniform 60-bit hash, per optional group.
 
     The top ``bits`` of the hash make the buckets: at most 2**bits per group, each holding an even
@@ -94,6 +94,25 @@ def first_of_group(rows: DataFrame, key: str, order: str, carry: str, out: str,
     return lookup(rows, firsts, key, "_first", out, weight="_n", row_id=row_id)
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The HOT_KEYS most frequent values of ``key``; any other holds less than a 1/HOT_KEYS share."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.orderBy(F.col("_n").desc(), F.col(key)).limit(HOT_KEYS).select(key)
+
+
+def lookup_skewed(rows: DataFrame, dim: DataFrame, key: str, values: list[str], row_id: str) -> DataFrame:
+    """Left join of a unique-key ``dim`` to rows whose keys may be badly skewed.
+
+    The frequent keys are counted first (map-side combined); their few ``dim`` rows are broadcast, and
+    the rows that use them are spread over all tasks of the shuffled join for the others.
+    """
+    packed = dim.select(key, F.struct(*values).alias("_v"))
+    frequent = F.broadcast(hot_keys(rows, key).withColumn("_hot_key", F.lit(1)))
+    weighted = packed.join(frequent, key, "left").withColumn("_w", F.coalesce("_hot_key", F.lit(0)))
+    joined = lookup(rows, weighted, key, "_v", "_found", weight="_w", row_id=row_id)
+    return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
 def lookup(
     rows: DataFrame, dim: DataFrame, key: str, value: str, out: str, weight: str, row_id: str
 ) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from compassframe.functions import text as X
 from compassframe.functions.barrier import settle
-from compassframe.operators.ordered import first_of_group, lookup
+from compassframe.operators.ordered import first_of_group, lookup, lookup_skewed
 from compassframe.session import ensure_checkpoint_dir
 
 # Fixed values of the screening rule.
@@ -69,6 +69,12 @@ def first_references(references: DataFrame) -> DataFrame:
     return references.join(firsts.drop("canonical_hash"), "ref_index")
 
 
+def exact_matches(candidates: DataFrame, first: DataFrame) -> DataFrame:
+    """Adds ``exact_source``, the source of the first reference with the same canonical text, or NULL."""
+    named = first.select("canonical_hash", F.col("source").alias("exact_source"))
+    return lookup_skewed(candidates, named, "canonical_hash", ["exact_source"], row_id="prompts_id")
+
+
 def _list_statistics(candidates: DataFrame, references: DataFrame) -> DataFrame:
     """Per trigram known to both sides: list length, lowest and highest reference, prompts having it."""
     both = references.select(
@@ -228,9 +234,7 @@ def screen(candidates: DataFrame, references: DataFrame, long_list: int = 10_000
     )
     duplicate = F.col("kept") != F.col("prompts_id")
     unique = marked.where(~duplicate)
-    exact = unique.join(
-        first.select("canonical_hash", F.col("source").alias("exact_source")), "canonical_hash", "left"
-    )
+    exact = exact_matches(unique, first)
     fuzzy = fuzzy_matches(exact.where(F.col("exact_source").isNull()), first, long_list)
     judged = exact.select("key", "prompts_id", "exact_source").join(
         fuzzy.withColumnRenamed("cid", "prompts_id"), "prompts_id", "left"

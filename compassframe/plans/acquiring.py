@@ -123,8 +123,8 @@ def exact_overlap(spark, sf):
     candidates, references = _sides(spark, sf)
     first = O.first_references(O.features(references, "text").drop("text"))
     cand = O.features(candidates, "original_prompt").select("prompts_id", "canonical_hash")
-    return cand.join(first.select("canonical_hash", "source"), "canonical_hash").select(
-        "prompts_id", F.col("source").alias("reference_source")
+    return O.exact_matches(cand, first).where(F.col("exact_source").isNotNull()).select(
+        "prompts_id", F.col("exact_source").alias("reference_source")
     )
 
 

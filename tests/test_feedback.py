@@ -108,3 +108,25 @@ def test_bad_vectors_are_not_classified(spark):
     book = VE.prototype_book(VE.prototypes(df.where("label is not null"), "v", "label", 2), "label")
     got = {r.id: r.predicted for r in VE.nearest_prototype(df, "v", book, 2).collect()}
     assert got == {0: 0, 1: 1, 2: None, 3: None, 4: None, 5: 0}
+
+
+def test_signals_reach_the_score_of_a_hot_profile(spark):
+    from compassframe.functions.profile import profile
+    from compassframe.operators import catalog as C
+    from compassframe.operators import rank as R
+
+    ev = events(spark, [("hot", "writing", "cedar-writer", True)] * 20 + [("hot", "writing", "alder-core", False)] * 20)
+    req = profile(
+        spark.range(30).select(
+            F.concat(F.lit("r"), "id").alias("request_id"), F.lit("Draft a warm welcome note for the new members.").alias("prompt"),
+            F.when(F.col("id") < 20, "hot").when(F.col("id") < 25, "cold").alias("feedback_profile_id"),
+        )
+    )
+    out = R.recommend(FB.attach_signals(req, FB.signals(ev)), C.neutral_catalog(spark)).collect()
+    assert len(out) == 30
+    for r in out:
+        parts = {c.configuration_id: c.feedback_part for c in r.ranked}
+        if r.feedback_profile_id == "hot":
+            assert parts["cedar-writer"] > 0 > parts["alder-core"] and parts["birch-pro"] is None
+        else:
+            assert set(parts.values()) == {None}
