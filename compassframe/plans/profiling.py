@@ -269,4 +269,16 @@ rates AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE true_positive / predicte
   CASE WHEN support = 0 THEN 0 ELSE true_positive / support::DOUBLE END AS recall FROM counts)
 SELECT label, support, predicted, true_positive, round(precision, 8) AS precision, round(recall, 8) AS recall,
   round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 8) AS f1 FROM rates""",
+    "variant_stability": f"""WITH {PROMPTS_SQL.replace('prompts AS (', 'base AS (', 1)},
+prompts AS (
+  SELECT request_id || '#base' AS request_id, prompt FROM base
+  UNION ALL SELECT request_id || '#case', upper(prompt) FROM base
+  UNION ALL SELECT request_id || '#outer_whitespace', '  ' || chr(10) || prompt || ' ' || chr(9) || ' ' FROM base
+  UNION ALL SELECT request_id || '#line_endings', replace(prompt, chr(10), chr(13) || chr(10)) FROM base
+  UNION ALL SELECT request_id || '#collapsed_whitespace', regexp_replace(prompt, '[{_S}]+', ' ', 'g') FROM base
+  UNION ALL SELECT request_id || '#nfkc_equivalent', prompt FROM base),
+{PROFILE_SQL},
+parts AS (SELECT split_part(request_id, '#', 1) AS id, split_part(request_id, '#', 2) AS variant, task_family, required_capabilities FROM profiles)
+SELECT v.variant, count(*) AS prompts, round(avg((v.task_family = b.task_family AND v.required_capabilities = b.required_capabilities)::INT), 8) AS stability
+FROM parts v JOIN parts b ON b.id = v.id AND b.variant = 'base' WHERE v.variant <> 'base' GROUP BY v.variant""",
 }
