@@ -54,7 +54,7 @@ def resample_means(
         indexed = hash_rank(slim.withColumn("_h", hash60(F.concat(F.lit(salt), F.col(key)))), "_h", "_i")
         size = slim.agg(F.count("*")).scalar()
         draws = (
-            indexed.select((F.col("_i") - 1).alias("_d"))
+            indexed.select((F.col("_i") - 1).alias("_d")).repartition(parts, "_d")
             .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
             .withColumn("_n", size)
             .select(
@@ -62,9 +62,8 @@ def resample_means(
                 (hash60(F.concat_ws("|", F.lit(salt), F.col("rep").cast("string"), F.col("_d").cast("string")))
                  % F.col("_n") + 1).alias("_i"),
             )
-            .groupBy("rep", "_i").agg(F.count("*").alias("_w"))
         )
-        weighted = draws.join(indexed, "_i")
+        weighted = draws.join(indexed, "_i").withColumn("_w", F.lit(1))
     else:
         raise ValueError(f"unknown bootstrap method {method}")
     sums = weighted.groupBy(*groups, "rep").agg(

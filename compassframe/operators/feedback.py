@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compassframe.operators.ordered import lookup_skewed, newest_n
+from compassframe.operators.ordered import hot_keys, lookup_skewed, newest_n
 
 # Fixed values of the learning rule.
 PRIOR_ALPHA, PRIOR_BETA = 8.0, 2.0
@@ -26,8 +26,9 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
     at all is refused.
     """
     p = lambda f: F.col(f"payload.{f}")
+    frequent = hot_keys(feedback, "recommendation_id")
     joined = lookup_skewed(
-        feedback, receipts, "recommendation_id", ["selected_configuration_ids"], row_id="feedback_id"
+        feedback, receipts, "recommendation_id", ["selected_configuration_ids"], "feedback_id", frequent
     )
     selected = F.col("selected_configuration_ids")
     used, other = p("used_configuration_id"), p("preferred_over_configuration_id")
@@ -52,7 +53,7 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
         .select("recommendation_id", F.col("_first.feedback_id").alias("_standing"))
     )
     return (
-        lookup_skewed(checked, standing, "recommendation_id", ["_standing"], row_id="feedback_id")
+        lookup_skewed(checked, standing, "recommendation_id", ["_standing"], "feedback_id", frequent)
         .withColumn(
             "rejected",
             F.coalesce("_problem", F.when(F.col("_standing") != F.col("feedback_id"), "duplicate_feedback")),

@@ -100,15 +100,18 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return counts.orderBy(F.col("_n").desc(), F.col(key)).limit(HOT_KEYS).select(key)
 
 
-def lookup_skewed(rows: DataFrame, dim: DataFrame, key: str, values: list[str], row_id: str) -> DataFrame:
+def lookup_skewed(
+    rows: DataFrame, dim: DataFrame, key: str, values: list[str], row_id: str, frequent: DataFrame | None = None
+) -> DataFrame:
     """Left join of a unique-key ``dim`` to rows whose keys may be badly skewed.
 
     The frequent keys are counted first (map-side combined); their few ``dim`` rows are broadcast, and
-    the rows that use them are spread over all tasks of the shuffled join for the others.
+    the rows that use them are spread over all tasks of the shuffled join for the others. Pass
+    ``frequent`` (from ``hot_keys``) when ``rows`` is costly and its keys come from a plainer table.
     """
     packed = dim.select(key, F.struct(*values).alias("_v"))
-    frequent = F.broadcast(hot_keys(rows, key).withColumn("_hot_key", F.lit(1)))
-    weighted = packed.join(frequent, key, "left").withColumn("_w", F.coalesce("_hot_key", F.lit(0)))
+    hot = (hot_keys(rows, key) if frequent is None else frequent).withColumn("_hot_key", F.lit(1))
+    weighted = packed.join(F.broadcast(hot), key, "left").withColumn("_w", F.coalesce("_hot_key", F.lit(0)))
     joined = lookup(rows, weighted, key, "_v", "_found", weight="_w", row_id=row_id)
     return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 

@@ -215,11 +215,11 @@ def bootstrap_ci(spark, sf):
     """Intervals of every strategy's means and of its paired utility difference; shared resamples."""
     metrics = ("correctness", "compute", "utility")
     wide = PO.side_by_side(_choices(spark, sf)[1], {f"{s}:{m}": (s, m) for s in PO.STRATEGIES for m in metrics})
+    means = [f"{s}:{m}" for s in PO.STRATEGIES for m in metrics]
+    reps = B.resample_means(wide.drop("task_family", "length_band", "lambda"), means, REPS, "boot", method="multinomial")
+    # strategies share each resample, so the mean paired difference is the difference of the means
     difference = {f"{s}:difference": F.col(f"`{s}:utility`") - F.col("`global_utility:utility`") for s in PO.STRATEGIES}
-    flat = wide.withColumns(difference).drop("task_family", "length_band", "lambda")
-    cols = [f"{s}:{m}" for s in PO.STRATEGIES for m in (*metrics, "difference")]
-    reps = B.resample_means(flat, cols, REPS, "boot", method="multinomial")
-    return _rounded(B.intervals(reps, cols), ["low", "high"])
+    return _rounded(B.intervals(reps.withColumns(difference), [*means, *difference]), ["low", "high"])
 
 
 def _comparison(spark, sf):
