@@ -43,8 +43,8 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z and nothing else; lower() does just that to ASCII texts, and faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left") -> DataFrame:
