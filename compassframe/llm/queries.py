@@ -1,13 +1,15 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from compassframe.llm import decontamination, linear_quality, mixing, sharding
+from compassframe.llm import decontamination, jaccard_join, linear_quality, mixing, sharding
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op6_sharding": sharding.op6_sharding,
+    "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": linear_quality.op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op8_ngram_jaccard_join": jaccard_join.OP8_SQL,
 }
