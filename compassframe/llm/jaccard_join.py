@@ -66,8 +66,9 @@ def content_id(words: list[bytes]) -> int:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, cid, n) and one for each bucket and task (bucket, count of shingles)."""
+    """A row for each document (doc_id, text_hash, cid, n) and one for each bucket and task (bucket, count of shingles)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "cid", "n", "bucket", "count"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_arrow = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
@@ -81,15 +82,16 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                 ns.append(len(x))
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), pa.nulls(k, pa.int32()),
-                 pa.nulls(k, pa.int64())], ["doc_id", "cid", "n", "bucket", "count"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(cids, pa.int64()), pa.array(ns, pa.int32()),
+                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
         some = np.flatnonzero(counts)
         if len(some):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), id_arrow), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32()),
-                 pa.array(some, pa.int32()), pa.array(counts[some])], ["doc_id", "cid", "n", "bucket", "count"])
+                [pa.nulls(len(some), id_arrow), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()),
+                 pa.nulls(len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(counts[some])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {id_type}, cid bigint, n int, bucket int, count bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        scan, f"doc_id {id_type}, text_hash bigint, cid bigint, n int, bucket int, count bigint")
 
 
 def prefix_tokens(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -259,7 +261,8 @@ def open_pairs(open_tiles: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id (of its word sequence; null without words).
+    """One row per row of docs: doc_id, n_shingles, component_id, class_id (of its word sequence; null without words),
+    text_hash and root (one value for each component; null without words).
 
     Reads doc_id and text. A-Z are lower-cased; white space and case make no difference. Texts that are null, empty or
     blank have no shingles and are components of their own. Rows without an id take part; a component without any
@@ -267,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     scanned = scratch.put(scan_sets(docs), "scan")
-    meta = scanned.where("bucket IS NULL").select("doc_id", "cid", "n")
+    meta = scanned.where("bucket IS NULL").select("doc_id", "text_hash", "cid", "n")
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for bucket, count in scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count")).toLocalIterator():
         counts[bucket] = count  # 2 ** BUCKET_BITS rows at most
@@ -296,22 +299,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return attach(placed, smallest, ["root"]).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("cid").alias("class_id"))
+        F.col("cid").alias("class_id"), "text_hash", "root")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component (its smallest doc_id), and every row without words, in the columns of docs.
+    """One row of docs for each component, of its smallest doc_id, and every row without words, in docs' columns.
 
-    Of rows that share the component's id and text one stays; rows without id and words all stay.
+    Rows with an id come before rows without; of repeated rows one stays.
     """
-    scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.put(near_duplicates(docs), "classes")
-    losers = scratch.put(found.where("class_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id").distinct(), "losers")
-    kept = attach(docs, losers, ["doc_id"], "left_anti")
-    twice = found.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = scratch.put(twice, "twice")
-    repeated = attach(kept, twice, ["doc_id"], "left_semi")
-    return attach(kept, twice, ["doc_id"], "left_anti").unionByName(repeated.dropDuplicates(["doc_id"]))
+    scratch, key = Scratch(docs.sparkSession, "kept"), ["doc_id", "text_hash"]
+    found = near_duplicates(docs).where("root IS NOT NULL").groupBy(*key, "root").agg(F.count("*").alias("times"))
+    found = scratch.put(found, "classes")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first"))
+    chosen = attach(found, scratch.put(first, "first"), ["root"]).select(
+        *key, "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
+    chosen = scratch.put(chosen, "chosen")
+    kept = attach(docs.withColumn("text_hash", F.xxhash64("text")), chosen.where("NOT stays").select(*key), key, "left_anti")
+    repeated = chosen.where("stays AND times > 1").select(*key)
+    once = attach(kept, repeated, key, "left_anti").unionByName(attach(kept, repeated, key, "left_semi").dropDuplicates(key))
+    return once.select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
