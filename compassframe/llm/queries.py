@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from compassframe.llm import decontamination, jaccard_join, linear_quality, mixing, sharding, tree_quality
+from compassframe.llm import class_lm, decontamination, jaccard_join, linear_quality, mixing, sharding, tree_quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op4_quality_rules": tree_quality.op4_quality_rules,
+    "op5_class_lm": class_lm.op5_class_lm,
     "op6_sharding": sharding.op6_sharding,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
