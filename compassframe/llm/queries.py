@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from compassframe.llm import class_lm, decontamination, jaccard_join, linear_quality, mixing, sharding, surrogates, tree_quality
+from compassframe.llm import class_lm, decontamination, jaccard_join, linear_quality, mixing, sharding, suffix_dedup, surrogates, tree_quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_surrogates": surrogates.op2_surrogates,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_quality_rules": tree_quality.op4_quality_rules,
     "op5_class_lm": class_lm.op5_class_lm,
     "op6_sharding": sharding.op6_sharding,
