@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from compassframe.llm import class_lm, decontamination, jaccard_join, linear_quality, mixing, sharding, suffix_dedup, surrogates, tree_quality
+from compassframe.llm import class_lm, decontamination, jaccard_join, licence_scan, linear_quality, mixing, sharding, suffix_dedup, surrogates, tree_quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality_rules": tree_quality.op4_quality_rules,
     "op5_class_lm": class_lm.op5_class_lm,
     "op6_sharding": sharding.op6_sharding,
+    "op7_licence_scan": licence_scan.op7_licence_scan,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": linear_quality.op10_quality_classifier,
