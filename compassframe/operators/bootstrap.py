@@ -3,13 +3,14 @@
 All metrics of one resample share its weights, so differences and ratios stay paired.
 
 ``method="poisson"`` gives every row an independent Poisson(1) weight per resample, computed from the
-row's key. Rows never move: each task adds its rows up per resample and only those sums are shuffled,
+row's key: eight resamples come from one SHA-256. A row moves once, when the rows are dealt out evenly;
+its weights are made and added up where it then is, and a task sends one row of sums per resample,
 resamples x tasks rows however large the table. This is the form for large inputs.
 
 ``method="multinomial"`` draws exactly n rows per resample. It needs a dense row number and shuffles
 n x resamples draws.
 
-Draws come from md5, so another engine can repeat them.
+Draws come from SHA-256 and md5, so another engine can repeat them.
 """
 
 from __future__ import annotations
@@ -22,36 +23,57 @@ from pyspark.sql import functions as F
 from compassframe.functions.text import hash60
 from compassframe.operators.ordered import hash_rank
 
-# Poisson(1) cumulative probabilities, from the definition, as thresholds on a 60-bit hash.
+#: Resamples drawn from one digest, each from eight hexadecimal digits.
+LANES = 8
+# Poisson(1) cumulative probabilities, from the definition, as hexadecimal thresholds; digits of a digest
+# compare with them as text.
 POISSON_CUTS = [
-    math.floor(2**60 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)
+    f"{math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):08x}" for k in range(11)
 ]
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count of a 60-bit uniform draw: how many cumulative thresholds it reaches."""
-    return sum((F.when(draw >= F.lit(cut), 1).otherwise(0) for cut in POISSON_CUTS), F.lit(0))
+def poisson_weight(digits: Column) -> Column:
+    """Poisson(1) count of eight hexadecimal digits: how many cumulative thresholds they reach."""
+    weight = F.lit(len(POISSON_CUTS))
+    for k in reversed(range(len(POISSON_CUTS))):
+        weight = F.when(digits < F.lit(POISSON_CUTS[k]), k).otherwise(weight)
+    return weight
+
+
+def poisson_weights(rows: DataFrame, reps: int, salt: str, key: str = "key") -> DataFrame:
+    """Every row once per resample in which it has a weight: rows, rep and _w."""
+    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.col("_block").cast("string"), F.col(key)), 256)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // LANES))))
+    lanes = F.array(*[poisson_weight(F.substring("_digest", 8 * i + 1, 8)) for i in range(LANES)])
+    drawn = blocks.withColumn("_digest", digest).select(*rows.columns, "_block", F.posexplode(lanes).alias("_lane", "_w"))
+    rep = (F.col("_block") * LANES + F.col("_lane")).alias("rep")
+    return drawn.where(F.col("_w") > 0).select(*rows.columns, rep, "_w").where(F.col("rep") < reps)
 
 
 def resample_means(
     rows: DataFrame, values: list[str], reps: int, salt: str, groups: list[str] | None = None,
-    method: str = "poisson", key: str = "key",
+    method: str = "poisson", key: str = "key", drawn_by: str | None = None,
 ) -> DataFrame:
-    """Mean of every value column per group and resample: (groups..., rep, values...)."""
+    """Mean of every value column per group and resample: (groups..., rep, values...).
+
+    Poisson weights are drawn per key, so a row in several groups weighs the same in all; ``drawn_by`` may
+    name an array column of groups, which is opened after the draw. The mean of a resample without rows is
+    NULL, as can happen in very small groups.
+    """
     groups = groups or []
+    carried = [g for g in groups if g != drawn_by] + ([drawn_by] if drawn_by else [])
     # every row becomes `reps` rows next; fix the partition number so that a small input is not
     # merged into one task before it grows
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = rows.select(*groups, key, *values).repartition(parts, key)
+    slim = rows.select(*carried, key, *values).repartition(parts, key)
     if method == "poisson":
-        draw = hash60(F.concat_ws("|", F.lit(salt), F.col("rep").cast("string"), F.col(key)))
-        weighted = slim.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-            "_draw", draw
-        ).withColumn("_w", poisson_weight(F.col("_draw")))
+        weighted = poisson_weights(slim, reps, salt, key)
+        if drawn_by:
+            weighted = weighted.withColumn(drawn_by, F.explode(drawn_by))
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")
-        indexed = hash_rank(slim.withColumn("_h", hash60(F.concat(F.lit(salt), F.col(key)))), "_h", "_i")
+        indexed = hash_rank(slim.withColumn("_h", hash60(F.concat(F.lit(salt), F.col(key)))), "_h", "_i", tie=key)
         size = slim.agg(F.count("*")).scalar()
         draws = (
             indexed.select((F.col("_i") - 1).alias("_d")).repartition(parts, "_d")
@@ -69,7 +91,7 @@ def resample_means(
     sums = weighted.groupBy(*groups, "rep").agg(
         F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
     )
-    return sums.select(*groups, "rep", *[(F.col(v) / F.col("_n")).alias(v) for v in values])
+    return sums.select(*groups, "rep", *[F.try_divide(F.col(v), F.col("_n")).alias(v) for v in values])
 
 
 def percentile(values: Column, q: float, rule: str) -> Column:

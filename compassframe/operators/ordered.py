@@ -35,8 +35,10 @@ def running_max(
     )
 
 
-def hash_rank(rows: DataFrame, hash60: str, out: str, groups: list[str] | None = None, bits: int = 16) -> DataFrame:
-    """1-based rank of each row by a uniform 60-bit hash, per optional group.
+def hash_rank(
+    rows: DataFrame, hash60: str, out: str, groups: list[str] | None = None, bits: int = 16, tie: str | None = None
+) -> DataFrame:
+    """1-based rank of each row by a uniform 60-bit hash, per optional group; ``tie`` orders equal hashes.
 
     The top ``bits`` of the hash make the buckets: at most 2**bits per group, each holding an even
     share of the rows. Only bucket counts meet in one place.
@@ -44,7 +46,7 @@ def hash_rank(rows: DataFrame, hash60: str, out: str, groups: list[str] | None =
     groups = groups or []
     marked = rows.withColumn("_bucket", F.shiftright(F.col(hash60), 60 - bits))
     across = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(hash60)
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*[c for c in (hash60, tie) if c])
     sizes = marked.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     offsets = sizes.select(
         *groups, "_bucket", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset")
@@ -128,9 +130,10 @@ def lookup(
     )
     cold = dim.select(F.col(key).alias("_cold_key"), F.col(value).alias("_cold"))
     first = rows.join(F.broadcast(hot), key, "left")
-    spread = F.when(F.col("_is_hot"), F.concat(F.lit("\x00hot"), F.col(row_id).cast("string"))).otherwise(
-        F.col(key).cast("string")
-    )
+    # rows without a key match nothing; they are spread like hot ones, or all would meet in one task
+    spread = F.when(
+        F.coalesce("_is_hot", F.lit(False)) | F.col(key).isNull(), F.concat(F.lit("\x00hot"), F.col(row_id).cast("string"))
+    ).otherwise(F.col(key).cast("string"))
     return (
         first.withColumn("_join_key", spread)
         .join(cold.withColumn("_cold_key", F.col("_cold_key").cast("string")),

@@ -168,9 +168,13 @@ def policy_book(policy: DataFrame) -> Column:
     return book.scalar()
 
 
-def choice_rows(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | None = None) -> DataFrame:
+def choice_rows(
+    wide: DataFrame, policy: DataFrame, pool: dict[str, float] | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per key and cost weight with ``choices``: per strategy the chosen model's observation.
 
+    ``keep`` names more columns of ``wide`` to carry along.
+
     A segment never seen in training falls back to the global choice. All of it happens in the row.
     """
     names = sorted(pool or POOL)
@@ -218,7 +222,7 @@ def choice_rows(wide: DataFrame, policy: DataFrame, pool: dict[str, float] | Non
     )
     return settle(
         observed.withColumn("choices", outcome).select(
-            "key", "split", "task_family", "length_band", "lambda", "choices"
+            "key", "split", "task_family", "length_band", "lambda", "choices", *keep
         ),
         ["choices"],
     )
@@ -250,7 +254,7 @@ def content_blind(wide: DataFrame, candidate: DataFrame, salt: str) -> DataFrame
         F.array_sort(F.collect_list(F.struct("model", "n"))).alias("shares")
     ).scalar()
     ranked = hash_rank(
-        wide.withColumn("_h", hash60(F.concat(F.lit(salt), F.col("key")))), "_h", "_rank", bits=12
+        wide.withColumn("_h", hash60(F.concat(F.lit(salt), F.col("key")))), "_h", "_rank", bits=12, tie="key"
     )
     upper = F.expr(
         """transform(_cuts, (c, i) -> struct(c.model AS model,

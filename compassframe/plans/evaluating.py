@@ -14,12 +14,15 @@ from compassframe.operators import bootstrap as B
 from compassframe.operators import evaluation as E
 from compassframe.operators import policy as PO
 from compassframe.plans.inputs import spread, table
+from compassframe.session import written
 
 FAMILIES = ["agent", "code", "extraction", "general", "reasoning", "research", "summarization", "writing"]
 BANDS = ["lt_128", "128_511", "512_2047", "gte_2048"]
 MODELS = list(PO.POOL)
 SPLITS = ("train", "validation", "hidden_test")
-REPS = 200
+#: Resamples of the comparison of strategies, and of the intervals that the gate decides on.
+REPS, GATE_REPS = 2_000, 10_000
+FOLDS = 3
 LAM = PO.PRIMARY_LAMBDA
 
 
@@ -216,32 +219,32 @@ def bootstrap_ci(spark, sf):
     metrics = ("correctness", "compute", "utility")
     wide = PO.side_by_side(_choices(spark, sf)[1], {f"{s}:{m}": (s, m) for s in PO.STRATEGIES for m in metrics})
     means = [f"{s}:{m}" for s in PO.STRATEGIES for m in metrics]
-    reps = B.resample_means(wide.drop("task_family", "length_band", "lambda"), means, REPS, "boot", method="multinomial")
+    reps = B.resample_means(wide.drop("task_family", "length_band", "lambda"), means, REPS, "boot")
     # strategies share each resample, so the mean paired difference is the difference of the means
     difference = {f"{s}:difference": F.col(f"`{s}:utility`") - F.col("`global_utility:utility`") for s in PO.STRATEGIES}
     return _rounded(B.intervals(reps.withColumns(difference), [*means, *difference]), ["low", "high"])
 
 
 def _comparison(spark, sf):
-    """Candidate, fixed, content-blind and oracle values per key: (correctness, compute, utility)."""
-    side = PO.side_by_side(
-        _choices(spark, sf)[1],
-        {"cq": ("hybrid_segment", "correctness"), "cc": ("hybrid_segment", "compute"), "cu": ("hybrid_segment", "utility"),
-         "fq": ("always_best_quality", "correctness"), "fc": ("always_best_quality", "compute"),
-         "fu": ("always_best_quality", "utility"), "ou": ("oracle", "utility")},
-    )
-    return side.join(_blind(spark, sf).select("key", F.col("u").alias("bu")), "key")
-
+    """Candidate, fixed, content-blind and oracle values per key: (correctness, compute, utility).
 
-def _blind(spark, sf):
-    """The control's model and utility per validation key."""
-    validation, choices = _choices(spark, sf)
-    candidate = PO.side_by_side(choices, {"model": ("hybrid_segment", "model")}).select("key", "model")
-    blind = PO.content_blind(validation, candidate, "blind|")
-    own = F.get(F.filter("observations", lambda o: o.model == F.col("model")), F.lit(0))
-    return settle(blind.withColumn("_own", own), ["_own"]).select(
-        "key", "model", (F.col("_own.correctness") - F.lit(LAM) * F.col("_own.compute")).alias("u")
-    )
+    Evidence is read, fitted and compared once; means, resamples, slices and gates all read this table.
+    """
+    ev = _normalized(spark, sf)
+    policy = PO.fit(ev.where(F.col("split") == "train"), (LAM,))
+    choices = PO.choice_rows(ev.where(F.col("split") == "validation"), policy, keep=("observations",))
+    at = {s: F.col("choices")[i] for i, s in enumerate(PO.STRATEGIES)}
+    side = written(choices.select(
+        "key", "task_family", "length_band", "observations", at["hybrid_segment"].model.alias("model"),
+        *[at[s][field].alias(name) for name, (s, field) in {
+            "cq": ("hybrid_segment", "correctness"), "cc": ("hybrid_segment", "compute"), "cu": ("hybrid_segment", "utility"),
+            "fq": ("always_best_quality", "correctness"), "fc": ("always_best_quality", "compute"),
+            "fu": ("always_best_quality", "utility"), "ou": ("oracle", "utility")}.items()],
+    ), "side")
+    blind = PO.content_blind(side.drop("model"), side.select("key", "model"), "blind|")
+    own = settle(blind.withColumn("_own", F.get(F.filter("observations", lambda o: o.model == F.col("model")), F.lit(0))), ["_own"])
+    utility = F.col("_own.correctness") - F.lit(LAM) * F.col("_own.compute")
+    return written(own.withColumn("bu", utility).drop("_own", "observations"), "comparison")
 
 
 _VALUES = ["cq", "cc", "cu", "fq", "fc", "fu", "bu", "ou"]
@@ -258,35 +261,33 @@ def comparison_points(spark, sf):
 
 
 def ratio_bootstrap_ci(spark, sf):
-    reps = B.resample_means(_comparison(spark, sf), _VALUES, REPS, "ratio")
+    reps = B.resample_means(_comparison(spark, sf), _VALUES, GATE_REPS, "ratio")
     points = _points(reps)
     rows = reps.select("rep", *[c.alias(k) for k, c in points.items()])
     return _rounded(B.intervals(rows, list(points), rules=("round", "round")), ["low", "high"])
 
 
-def _slice_intervals(spark, sf):
-    rows = _comparison(spark, sf).select(
-        "key", "cq", "fq",
-        F.explode(F.array(F.concat(F.lit("band:"), "length_band"), F.concat(F.lit("task:"), "task_family"))).alias("slice"),
-    )
-    sizes = rows.groupBy("slice").agg(F.count("*").alias("rows"))
-    reps = B.resample_means(
-        rows.withColumn("draw_key", F.concat_ws("|", "slice", "key")), ["cq", "fq"], REPS, "slice", ["slice"], key="draw_key"
-    ).withColumn("quality_retention", E.ratio(F.col("cq"), F.col("fq")))
-    return B.intervals(reps, ["quality_retention"], ["slice"], ("round", "round")).join(sizes, "slice").where(
-        F.col("rows") >= E.MAJOR_SLICE_ROWS
-    )
+def _slice_intervals(comparison):
+    """Intervals of the slices of at least MAJOR_SLICE_ROWS rows; smaller ones are not resampled."""
+    names = F.array(F.concat(F.lit("band:"), "length_band"), F.concat(F.lit("task:"), "task_family"))
+    sizes = comparison.select(F.explode(names).alias("slice")).groupBy("slice").agg(F.count("*").alias("rows"))
+    major = sizes.where(F.col("rows") >= E.MAJOR_SLICE_ROWS)
+    kept = major.agg(F.collect_list("slice")).scalar()  # one entry per task family and length band at most
+    rows = comparison.select("key", "cq", "fq", F.array_intersect(names, kept).alias("slice"))
+    reps = B.resample_means(rows, ["cq", "fq"], GATE_REPS, "slice", ["slice"], drawn_by="slice").withColumn(
+        "quality_retention", E.ratio(F.col("cq"), F.col("fq")))
+    return B.intervals(reps, ["quality_retention"], ["slice"], ("round", "round")).join(major, "slice")
 
 
 def slice_ci(spark, sf):
-    return _slice_intervals(spark, sf).select(
+    return _slice_intervals(_comparison(spark, sf)).select(
         "slice", "rows", round8(F.col("low")).alias("low"), round8(F.col("high")).alias("high")
     )
 
 
 def content_blind_control(spark, sf):
     """Shares and mean utility of the control that ignores prompts."""
-    return _blind(spark, sf).groupBy("model").agg(F.count("*").alias("n"), round8(F.avg("u")).alias("mean_utility"))
+    return _comparison(spark, sf).groupBy("model").agg(F.count("*").alias("n"), round8(F.avg("bu")).alias("mean_utility"))
 
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -312,12 +313,12 @@ def promotion_gate(spark, sf):
 
 def confirmatory_gate(spark, sf):
     side = _comparison(spark, sf)
-    reps = B.resample_means(side, _VALUES, REPS, "ratio")
+    reps = B.resample_means(side, _VALUES, GATE_REPS, "ratio")
     metrics = _points(reps)
     lows = B.intervals(reps.select("rep", *[c.alias(k) for k, c in metrics.items()]), list(metrics), rules=("round", "round"))
     means = side.agg(*[F.avg(v).alias(v) for v in _VALUES])
     points = means.select(*[c.alias(k) for k, c in _points(means).items()])
-    return E.confirmatory_gate(lows, points, _slice_intervals(spark, sf))
+    return E.confirmatory_gate(lows, points, _slice_intervals(side))
 
 
 def _scored_labels(spark, sf):
@@ -337,15 +338,38 @@ def calibration_summary(spark, sf):
 
 
 def grouped_folds(spark, sf):
-    """Three folds by key: a hybrid policy is fitted on two and scored on the third."""
-    ev = _normalized(spark, sf).withColumn("fold", (_h("fold") % 3).cast("int"))
-    out = None
-    for k in range(3):
-        policy = PO.fit(ev.where(F.col("fold") != k), (LAM,))
-        scored = PO.choices_for(ev.where(F.col("fold") == k), policy).where(F.col("strategy") == "hybrid_segment")
-        row = scored.agg(F.count("*").alias("n"), round8(F.avg("utility")).alias("mean_utility")).select(F.lit(k).alias("fold"), "n", "mean_utility")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Three folds by key: a hybrid policy is fitted on two and scored on the third.
+
+    One pass counts sums per fold, segment and model. What a fold is fitted on is the total less its own part, and
+    its score adds up the chosen models' own parts, so no row is read again.
+    """
+    ev = _normalized(spark, sf).withColumn("fold", (_h("fold") % FOLDS).cast("int"))
+    parts = written(ev.select("fold", "task_family", "length_band", F.inline("observations")).groupBy(
+        "fold", "task_family", "length_band", "model", "params"
+    ).agg(F.count("*").alias("n"), F.sum("correctness").alias("q"), F.sum("compute").alias("c")), "folds")
+    sums = [F.sum(x).alias(x) for x in ("n", "q", "c")]
+
+    def outside(keys):
+        """Sums of all other folds by keys and model."""
+        total = parts.groupBy(*keys, "model", "params").agg(*[F.sum(x).alias(f"all_{x}") for x in ("n", "q", "c")])
+        own = parts.groupBy("fold", *keys, "model").agg(*sums)
+        rows = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).join(own, ["fold", *keys, "model"], "left")
+        rest = {x: F.col(f"all_{x}") - F.coalesce(F.col(x), F.lit(0)) for x in ("n", "q", "c")}
+        return rows.withColumns(rest).where(F.col("n") > 0).select("fold", *keys, "model", "params", "n", "q", "c")
+
+    everywhere = outside([]).select("fold", "model", (F.col("q") / F.col("n")).alias("gq"), (F.col("c") / F.col("n")).alias("gc"))
+    weight = F.col("n") / (F.col("n") + F.lit(float(PO.SHRINKAGE)))
+    mix = lambda own, all_: weight * F.col(own) / F.col("n") + (1 - weight) * F.col(all_)
+    order = lambda u: F.struct(F.round(u, 12), -F.col("params"), F.col("model"))
+    utility = mix("q", "gq") - F.lit(LAM) * mix("c", "gc")
+    segments = outside(["task_family", "length_band"]).join(everywhere, ["fold", "model"]).groupBy(
+        "fold", "task_family", "length_band").agg(F.max_by("model", order(utility)).alias("choice"))
+    fallback = outside([]).groupBy("fold").agg(
+        F.max_by("model", order(F.col("q") / F.col("n") - F.lit(LAM) * F.col("c") / F.col("n"))).alias("other"))
+    chosen = parts.join(segments, ["fold", "task_family", "length_band"], "left").join(F.broadcast(fallback), "fold")
+    mine = chosen.where(F.col("model") == F.coalesce("choice", "other"))
+    return mine.groupBy("fold").agg(
+        F.sum("n").alias("n"), round8((F.sum("q") - F.lit(LAM) * F.sum("c")) / F.sum("n")).alias("mean_utility"))
 
 
 def best_single_model(spark, sf):
@@ -377,7 +401,17 @@ def _regressions_sql(candidate: str) -> str:
     AND c.mean_utility - b.mean_utility < -0.02::DOUBLE)"""
 
 
-_POISSON_SQL = " + ".join(f"(h >= {cut})::INT" for cut in B.POISSON_CUTS)
+_POISSON_SQL = "CASE " + " ".join(f"WHEN s < '{cut}' THEN {k}" for k, cut in enumerate(B.POISSON_CUTS)) + f" ELSE {len(B.POISSON_CUTS)} END"
+
+
+def _weights_sql(rows: str, reps: int, salt: str) -> str:
+    """rows once per resample, with the weight w that the resample gives to the key."""
+    return f"""(SELECT *, {_POISSON_SQL} AS w FROM (
+  SELECT * EXCLUDE (b, h, l), b * {B.LANES} + l AS rep, substr(h, 8 * l + 1, 8) AS s FROM
+    (SELECT x.*, b, sha256('{salt}|' || b || '|' || key) AS h FROM {rows} x, (SELECT unnest(range({reps // B.LANES})) AS b)),
+    (SELECT unnest(range({B.LANES})) AS l)))"""
+
+
 _COMPARISON_SQL = f"""{OUTCOMES_SQL},
 shares AS (SELECT model, sum(count(*)) OVER (ORDER BY model) AS upto FROM outcomes WHERE strategy = 'hybrid_segment' GROUP BY model),
 blind_rank AS (SELECT key, row_number() OVER (ORDER BY {_SQL_H.format("'blind|' || key")}) AS rk FROM (SELECT DISTINCT key FROM ev WHERE split = 'validation')),
@@ -403,29 +437,24 @@ def _place_sql(q: str, rule: str) -> str:
 
 
 _RATIO_SQL = f"""{_COMPARISON_SQL},
-draws AS (SELECT side.*, rep, {_SQL_H.format("'ratio|' || rep || '|' || key")} AS h FROM side, (SELECT unnest(range({REPS})) AS rep)),
-weights AS (SELECT *, {_POISSON_SQL} AS w FROM draws),
-reps AS (SELECT rep, {', '.join(f'sum(w * {v}) / sum(w) AS {v}' for v in _VALUES)} FROM weights GROUP BY rep),
+reps AS (SELECT rep, {', '.join(f'sum(w * {v}) / sum(w) AS {v}' for v in _VALUES)} FROM {_weights_sql('side', GATE_REPS, 'ratio')} GROUP BY rep),
 lists AS (SELECT metric, list(v ORDER BY v) AS vs FROM {_metrics_sql('reps')} GROUP BY metric),
 ratio_ci AS (SELECT metric, {_place_sql('0.025::DOUBLE', 'round')} AS low, {_place_sql('0.975::DOUBLE', 'round')} AS high FROM lists)"""
 _SLICE_CI_SQL = f"""sliced AS (SELECT key, cq, fq, 'band:' || length_band AS slice FROM side UNION ALL SELECT key, cq, fq, 'task:' || task_family FROM side),
-sdraws AS (SELECT sliced.*, rep, {_SQL_H.format("'slice|' || rep || '|' || slice || '|' || key")} AS h FROM sliced, (SELECT unnest(range({REPS})) AS rep)),
-sreps AS (SELECT slice, rep, sum(w * cq) / sum(w) AS cq, sum(w * fq) / sum(w) AS fq FROM (SELECT *, {_POISSON_SQL} AS w FROM sdraws) GROUP BY ALL),
+sw AS MATERIALIZED (SELECT key, rep, w FROM {_weights_sql('(SELECT key FROM side)', GATE_REPS, 'slice')} WHERE w > 0),
+sreps AS (SELECT slice, rep, sum(w * cq) / sum(w) AS cq, sum(w * fq) / sum(w) AS fq FROM sw JOIN sliced USING (key) GROUP BY ALL),
 slists AS (SELECT slice, list(v ORDER BY v) AS vs FROM (SELECT slice, CASE WHEN fq = 0 THEN 0 ELSE cq / fq END AS v FROM sreps) GROUP BY slice),
 sizes AS (SELECT slice, count(*) AS rows FROM sliced GROUP BY slice),
 slice_ci AS (SELECT slice, rows, {_place_sql('0.025::DOUBLE', 'round')} AS low, {_place_sql('0.975::DOUBLE', 'round')} AS high
   FROM slists JOIN sizes USING (slice) WHERE rows >= {E.MAJOR_SLICE_ROWS})"""
 
-_BOOT_VALUES = [(s, m) for s in PO.STRATEGIES for m in ("correctness", "compute", "utility", "difference")]
 _BOOT_SQL = f"""{OUTCOMES_SQL},
 wide AS (
-  SELECT o.*, o.utility - g.utility AS difference, dense.i FROM outcomes o JOIN (SELECT key, utility FROM outcomes WHERE strategy = 'global_utility') g USING (key)
-  JOIN (SELECT key, row_number() OVER (ORDER BY {_SQL_H.format("'boot' || key")}) AS i FROM (SELECT DISTINCT key FROM ev WHERE split = 'validation')) dense USING (key)),
-n AS (SELECT max(i) AS n FROM wide),
-draws AS (SELECT rep, {_SQL_H.format("'boot|' || rep || '|' || d")} % n + 1 AS i, count(*) AS w
-  FROM n, (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range((SELECT n FROM n))) AS d) GROUP BY ALL),
+  SELECT o.key, strategy, correctness, compute, o.utility, o.utility - g.utility AS difference
+  FROM outcomes o JOIN (SELECT key, utility FROM outcomes WHERE strategy = 'global_utility') g USING (key)),
+weights AS MATERIALIZED (SELECT key, rep, w FROM {_weights_sql('(SELECT DISTINCT key FROM wide)', REPS, 'boot')} WHERE w > 0),
 reps AS (SELECT strategy, rep, sum(w * correctness) / sum(w) AS correctness, sum(w * compute) / sum(w) AS compute, sum(w * utility) / sum(w) AS utility,
-  sum(w * difference) / sum(w) AS difference FROM draws JOIN wide USING (i) GROUP BY ALL),
+  sum(w * difference) / sum(w) AS difference FROM weights JOIN wide USING (key) GROUP BY ALL),
 long AS (SELECT strategy || ':' || m AS metric, v FROM reps UNPIVOT (v FOR m IN (correctness, compute, utility, difference))),
 lists AS (SELECT metric, list(v ORDER BY v) AS vs FROM long GROUP BY metric)
 SELECT metric, round({_place_sql('0.025::DOUBLE', 'floor')}, 8) AS low, round({_place_sql('0.975::DOUBLE', 'ceil')}, 8) AS high FROM lists"""
