@@ -170,8 +170,8 @@ def _with_end(batches):
     yield None
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, n, signature and sorted shingles of the documents in wanted (cid, doc_id), one document for each cid."""
+def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
+    """cid, n, signature (bits) and, if full, sorted shingles for the rows of wanted: cid and one doc_id that has it."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, ns, bits, sets = [], [], [], []
@@ -182,41 +182,60 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     cids.append(cid)
                     ns.append(len(x))
                     bits.append(signature(x).tobytes())
-                    sets.append(x.tobytes())
+                    sets.append(x.tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())],
                 ["cid", "n", "bits", "shingles"])
 
     found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner").select("cid", "text")
-    return found.mapInArrow(build, "cid bigint, n int, bits binary, shingles binary").dropDuplicates(["cid"])
+    return found.mapInArrow(build, "cid bigint, n int, bits binary, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the distinct pairs a, b that link. A hub's set travels once for PAIRS_PER_HUB of its pairs."""
+def passing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose signatures leave room for a link."""
+    end = lambda c: signatures.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = attach(attach(pairs, end("a"), ["a"], "inner"), end("b"), ["b"], "inner")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+                    for c in ("bits_a", "bits_b")]
+            n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            stays = pa.array(enough((n[0] + n[1] - differ) // 2, *n))
+            yield batch.select(["a", "b"]).filter(stays)
+
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a bigint, b bigint")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs a, b that link, by exact intersection.
+
+    Only sets in pairs are built, and a hub's set travels once for PAIRS_PER_HUB of its pairs.
+    """
     pairs = scratch.put(pairs, f"{name}-pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_HUB)).cast("int").alias("parts"))
-    other = sets.select(F.col("cid").alias("b"), "n", "bits", "shingles")
-    rows = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    rows = rows.join(other, "b").select("a", "part", "b", "n", "bits", "shingles")
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(
-        sets.select(F.col("cid").alias("a"), "n", "bits", "shingles"), "a"
-    ).select("a", "part", F.lit(None).cast("bigint").alias("b"), "n", "bits", "shingles")
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = scratch.put(sets_of(docs, scratch.put(ends.join(first, "cid"), f"{name}-wanted"), True), f"{name}-sets")
+    parts = scratch.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_HUB)).cast("int").alias("parts")), f"{name}-hubs")
+    split = attach(pairs, parts, ["a"], "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    split = scratch.put(split.select("a", "part", "b"), f"{name}-parts")
+    rows = attach(sets.withColumnRenamed("cid", "b"), split, ["b"], "inner").select("a", "part", "b", "n", "shingles")
+    hubs = attach(sets.withColumnRenamed("cid", "a"), parts, ["a"], "inner").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "n", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None
+        hub, hub_n = None, 0
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("a", "b", "n", "bits", "shingles")]
-            for a, b, n, bits, shingles in zip(*columns, strict=True):
-                bits, x = np.frombuffer(bits, np.uint64), np.frombuffer(shingles, np.uint64)
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "n", "shingles")]
+            for a, b, n, shingles in zip(*columns, strict=True):
+                x = np.frombuffer(shingles, np.uint64)
                 if b is None:
-                    hub = (a, n, bits, x)
+                    hub, hub_n = x, n
                     continue
-                differ = int(np.bitwise_count(hub[2] ^ bits).sum())
-                if enough((hub[1] + n - differ) // 2, hub[1], n):
-                    both = np.sort(np.concatenate([hub[3], x]), kind="stable")
-                    if enough(int((both[1:] == both[:-1]).sum()), hub[1], n):
-                        found.append((a, b))
+                both = np.sort(np.concatenate([hub, x]), kind="stable")
+                if enough(int((both[1:] == both[:-1]).sum()), hub_n, n):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
@@ -278,19 +297,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = scratch.put(tiles(tokens.repartition("token").sortWithinPartitions("token", "n", "cid")), "tiles")
 
     first = meta.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.put(met.select("cid").distinct().join(first, "cid"), "wanted")
-    sets = scratch.put(sets_of(docs, wanted), "sets")
+    first = scratch.put(met.select("cid").distinct().join(first, "cid"), "wanted")
+    signatures = scratch.put(sets_of(docs, first, False).drop("shingles").dropDuplicates(["cid"]), "signatures")
 
     near = F.least("n", "hub_n") * DENOMINATOR >= F.greatest("n", "hub_n") * NUMERATOR
     star = met.where((F.col("hub") != F.col("cid")) & near).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = verified(star, sets, scratch, "stars")
+    star = scratch.put(star, "star")
+    links = verified(docs, passing(star, signatures), first, scratch, "stars")
     roots = scratch.put(components(links, scratch, "one"), "roots1")
 
     labelled = attach(met.select("tile", "side", "n", "cid"), roots.withColumnRenamed("node", "cid"), ["cid"])
     labelled = scratch.put(labelled.withColumn("root", F.coalesce("root", "cid")), "labelled")
     several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = labelled.join(several.select("tile"), "tile", "left_semi").join(sets.select("cid", "bits"), "cid")
-    more = verified(open_pairs(still).join(star, ["a", "b"], "left_anti"), sets, scratch, "rest")
+    still = labelled.join(several.select("tile"), "tile", "left_semi")
+    still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner")
+    more = verified(docs, open_pairs(still).join(star, ["a", "b"], "left_anti"), first, scratch, "rest")
     roots = scratch.put(components(links.unionByName(more), scratch, "two"), "roots2")
 
     placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"]).withColumn(

@@ -29,7 +29,9 @@ SPAN = LENGTH - GRAM + 1  # grams of a window
 BATCHES = 4
 PART_BYTES = 16 << 20
 #: Entries a task holds before it sends them on, and bytes that are hashed at once.
-HOLD, CHUNK = 1 << 20, 1 << 20
+HOLD, CHUNK = 1 << 18, 1 << 18
+#: Documents whose bytes are cut out at a time.
+CUT_ROWS = 500
 #: Rows (anchors to compare, or spans) that may be broadcast to the documents.
 BROADCAST_SPOTS = 1_000_000
 LEVEL, SPANS, OPEN = 0, 1, 2
@@ -105,6 +107,15 @@ def spans_of(y: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[np.ndarray
     return [doc[new], start[new], np.maximum.reduceat(end, np.flatnonzero(new))]
 
 
+def ordered(k: np.ndarray, y: np.ndarray, doc: np.ndarray, pos: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Entries in the order of all four, each once: repeated rows are one document."""
+    order = np.lexsort((pos, doc, y, k))
+    k, y, doc, pos, *more = (x[order] for x in (k, y, doc, pos, *more))
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (y[1:] != y[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    return [x[new] for x in (k, y, doc, pos, *more)]
+
+
 def pack(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, which compresses."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -125,9 +136,7 @@ SCHEMA = "part int, kind int, batch int, a binary, b binary, c binary, d binary"
 def batch_entries(docs: DataFrame, n_parts: int) -> DataFrame:
     """Blobs of a batch's entries by part; of runs that a task has seen earlier, only spans to remove."""
     def send(held: list[list[np.ndarray]]) -> Iterator[dict]:
-        k, y, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((pos, doc, y, k))
-        k, y, doc, pos = k[order], y[order], doc[order], pos[order]
+        k, y, doc, pos = ordered(*(np.concatenate(c) for c in zip(*held, strict=True)))
         again = np.r_[False, (k[1:] == k[:-1]) & (y[1:] == y[:-1])]
         if again.any():
             yield row(int(k[0] % np.uint64(n_parts)), SPANS, spans_of(y[again], doc[again], pos[again]))
@@ -174,8 +183,7 @@ def merge_scan(merge: frozenset[int], newest: int, keep: bool):
         keys = read("a", np.uint64)
         level = np.repeat(entries["batch"].to_numpy(), [len(x) for x in keys])
         k, y, doc, pos = np.concatenate(keys), *(np.concatenate(read(c, t)) for c, t in (("b", np.uint64), ("c", np.int64), ("d", np.int64)))
-        order = np.lexsort((pos, doc, y, k))
-        k, y, doc, pos, level = k[order], y[order], doc[order], pos[order], level[order]
+        k, y, doc, pos, level = ordered(k, y, doc, pos, level)
         same = (k[1:] == k[:-1]) & (y[1:] == y[:-1])
         again = np.r_[False, same]
         if again.any():
@@ -248,7 +256,7 @@ def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame
     joined = beside(docs, by_doc, spots)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, CUT_ROWS) for b in batches for i in range(0, b.num_rows, CUT_ROWS)):
             out: list[list] = [[], [], [], [], []]
             for doc, text, wanted in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "spots")], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -261,11 +269,14 @@ def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame
                 [*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.binary())], ["k", "reach", "id", "pos", "bytes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
-        for batch in batches:
+        now, seen, last = None, set(), None
+        for batch in (b.slice(i, 8 * CUT_ROWS) for b in batches for i in range(0, b.num_rows, 8 * CUT_ROWS)):
             ids, starts, ends = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("k", "reach", "id", "pos", "bytes")]
             for k, reach, doc, pos, raw in zip(*columns, strict=True):
+                if (k, doc, pos) == last:  # a repeated row
+                    continue
+                last = k, doc, pos
                 if k != now:
                     now, seen = k, set()
                 left = reach >> 8
@@ -308,8 +319,9 @@ def identified(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "doc_id", "text", "id", F.coalesce("dup", F.lit(0)).alias("dup"))
 
 
-def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that remain).
+def remove_repeats(docs: DataFrame, n_batches: int = BATCHES, with_bytes: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that remain,
+    null unless asked for).
 
     A byte goes if a LENGTH-byte string over it also starts earlier: in a smaller doc_id, or earlier in the document.
     Reads doc_id (an integer) and text. Null texts count as empty; a null id comes first. Repeated rows are one
@@ -349,7 +361,7 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
                 removed.append(len(raw) - len(rest))
                 counts.append(n)
                 hashes.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest if with_bytes else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed, counts)], pa.array(hashes, pa.string()),
                  pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -360,4 +372,4 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
