@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compassframe.operators.ordered import hot_keys, lookup_skewed, newest_n
+from compassframe.operators.ordered import lookup_skewed, newest_n
+from compassframe.session import written
 
 # Fixed values of the learning rule.
 PRIOR_ALPHA, PRIOR_BETA = 8.0, 2.0
@@ -18,22 +19,27 @@ TOLERANCE, IMPROVEMENT = 0.005, 1e-12
 
 
 def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) -> DataFrame:
-    """Adds ``rejected`` (NULL when accepted) to every feedback row, checked against its receipt.
+    """Adds ``rejected`` (NULL when accepted) and the receipt's context to every feedback row.
 
-    Of several acceptable rows for one recommendation the earliest stands and the others are
-    duplicates. Receipts are unique per recommendation, and so is the row that stands. The two
-    configuration ids must differ even when both are missing, so feedback that names no configuration
-    at all is refused.
+    Required fields may not be NULL. Of several acceptable rows for one recommendation the earliest stands
+    and the others are duplicates. Receipts are unique per recommendation, and so is the row that stands.
+    The two configuration ids must differ even when both are missing, so feedback that names no
+    configuration at all is refused.
+
+    Feedback meets its receipt once, in a shuffled join whose hot keys adaptive execution splits; what
+    follows reads the joined table, and whoever uses the result needs no receipts again.
     """
     p = lambda f: F.col(f"payload.{f}")
-    frequent = hot_keys(feedback, "recommendation_id")
-    joined = lookup_skewed(
-        feedback, receipts, "recommendation_id", ["selected_configuration_ids"], "feedback_id", frequent
+    context = receipts.select(
+        "recommendation_id", F.lit(True).alias("_known"), "selected_configuration_ids", "feedback_profile_id", "task_family"
     )
     selected = F.col("selected_configuration_ids")
     used, other = p("used_configuration_id"), p("preferred_over_configuration_id")
     problem = (
         F.when(F.lit(not enabled), "feedback_disabled")
+        .when(F.col("feedback_id").isNull() | F.col("recorded_at").isNull(), "missing_identity")
+        .when(p("used_recommendation").isNull(), "missing_used_recommendation")
+        .when(p("outcome").isNull(), "missing_outcome")
         .when(p("used_recommendation") & used.isNull(), "used_without_configuration")
         .when(~p("used_recommendation") & used.isNotNull(), "configuration_without_use")
         .when(other.isNotNull() & used.isNull(), "pairwise_without_used")
@@ -41,11 +47,12 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
         .when(~p("outcome").isin("worked", "did_not_work", "unknown"), "outcome_value")
         .when(~p("quality_rating").between(1, 5), "quality_rating_range")
         .when((p("observed_cost_usd") < 0) | (p("observed_latency_ms") < 0), "negative_observation")
-        .when(selected.isNull(), "unknown_recommendation")
-        .when(used.isNotNull() & ~F.array_contains(selected, used), "used_not_in_shortlist")
-        .when(other.isNotNull() & ~F.array_contains(selected, other), "preferred_not_in_shortlist")
+        .when(F.col("_known").isNull(), "unknown_recommendation")
+        .when(used.isNotNull() & ~F.coalesce(F.array_contains(selected, used), F.lit(False)), "used_not_in_shortlist")
+        .when(other.isNotNull() & ~F.coalesce(F.array_contains(selected, other), F.lit(False)), "preferred_not_in_shortlist")
     )
-    checked = joined.withColumn("_problem", problem).drop("selected_configuration_ids")
+    joined = feedback.join(context, "recommendation_id", "left").withColumn("_problem", problem)
+    checked = written(joined.drop("_known", "selected_configuration_ids"), "feedback")
     standing = (
         checked.where(F.col("_problem").isNull())
         .groupBy("recommendation_id")
@@ -53,23 +60,20 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
         .select("recommendation_id", F.col("_first.feedback_id").alias("_standing"))
     )
     return (
-        lookup_skewed(checked, standing, "recommendation_id", ["_standing"], "feedback_id", frequent)
+        checked.join(standing, "recommendation_id", "left")
         .withColumn(
             "rejected",
             F.coalesce("_problem", F.when(F.col("_standing") != F.col("feedback_id"), "duplicate_feedback")),
         )
-        .drop("_problem", "_standing")
+        .select(*feedback.columns, "feedback_profile_id", "task_family", "rejected")
     )
 
 
-def usable_events(feedback: DataFrame, receipts: DataFrame) -> DataFrame:
-    """feedback x receipts, outcomes that can be learned from: (profile, task, configuration, success, time)."""
+def usable_events(accepted: DataFrame) -> DataFrame:
+    """Accepted feedback with outcomes that can be learned from: (profile, task, configuration, success, time)."""
     p = lambda f: F.col(f"payload.{f}")
-    usable = feedback.where(
+    return accepted.where(
         p("used_recommendation") & p("used_configuration_id").isNotNull() & p("outcome").isin("worked", "did_not_work")
-    )
-    return usable.join(
-        receipts.select("recommendation_id", "feedback_profile_id", "task_family"), "recommendation_id"
     ).select(
         "feedback_id", "recommendation_id", "recorded_at", "feedback_profile_id", "task_family",
         p("used_configuration_id").alias("configuration_id"), (p("outcome") == "worked").alias("success"),
@@ -141,21 +145,22 @@ def replay(events: DataFrame, minimum_support: int = MINIMUM_SUPPORT) -> DataFra
     profile = ["feedback_profile_id"]
     total = F.col("_total")
     take = F.when(total < MINIMUM_EVENTS, 0).otherwise(F.greatest(F.lit(2), F.floor(total / 5)))
-    split = newest_n(events, profile, "recorded_at", "feedback_id", take, "holdout")
-    ok = F.sum(F.col("success").cast("int"))
-    cells = split.groupBy(*profile, "task_family", "configuration_id", "holdout").agg(
-        F.count("*").alias("n"), ok.alias("s")
-    )
-    train = cells.where(~F.col("holdout"))
-    base = train.groupBy(*profile).agg(
-        F.sum("n").alias("training_count"), _rate(F.sum("s"), F.sum("n")).alias("baseline")
+    split = newest_n(written(events, "events"), profile, "recorded_at", "feedback_id", take, "holdout")
+    ok, older = F.col("success").cast("int"), ~F.col("holdout")
+    part = lambda which, value: F.coalesce(F.sum(F.when(which, value)), F.lit(0))
+    # one row per (profile, task, configuration): all that follows is sums over these
+    cells = written(split.groupBy(*profile, "task_family", "configuration_id").agg(
+        part(older, F.lit(1)).alias("tn"), part(older, ok).alias("ts"),
+        part(F.col("holdout"), F.lit(1)).alias("n"), part(F.col("holdout"), ok).alias("s"),
+    ), "cells")
+    base = cells.groupBy(*profile).agg(
+        F.sum("tn").alias("training_count"), F.when(F.sum("tn") > 0, _rate(F.sum("ts"), F.sum("tn"))).alias("baseline"),
+        (F.sum("tn") + F.sum("n")).alias("event_count"),
     )
-    pairs = train.select(*profile, "task_family", "configuration_id", F.col("n").alias("tn"), F.col("s").alias("ts"))
     # all holdout rows of a cell have the same two predictions, so cell counts give the exact sums
     held = (
-        cells.where("holdout")
-        .join(base, profile)
-        .join(pairs, [*profile, "task_family", "configuration_id"], "left")
+        cells.where("n > 0")
+        .join(base.where("training_count > 0"), profile)
         .withColumn(
             "candidate",
             F.when(F.col("tn") >= minimum_support, _posterior(F.col("baseline"), F.col("ts"), F.col("tn")))
@@ -180,7 +185,6 @@ def replay(events: DataFrame, minimum_support: int = MINIMUM_SUPPORT) -> DataFra
         F.bool_and("guard").alias("bias_guard_passed"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("slice_metrics"),
     )
-    counts = cells.groupBy(*profile).agg(F.sum("n").alias("event_count"))
     enough = F.col("event_count") >= MINIMUM_EVENTS
     passes = (F.col("candidate_brier") <= F.col("baseline_brier") + TOLERANCE) & F.col("bias_guard_passed")
     improved = F.col("candidate_brier") < F.col("baseline_brier") - IMPROVEMENT
@@ -190,7 +194,7 @@ def replay(events: DataFrame, minimum_support: int = MINIMUM_SUPPORT) -> DataFra
         .when(passes, "unchanged")
         .otherwise("rejected")
     )
-    return counts.join(base, profile, "left").join(scored, profile, "left").select(
+    return base.join(scored, profile, "left").select(
         *profile, "event_count",
         F.when(enough, F.col("training_count")).otherwise(0).alias("training_count"),
         F.coalesce("holdout_count", F.lit(0)).alias("holdout_count"),
@@ -207,7 +211,7 @@ def export_feedback(feedback: DataFrame, receipts: DataFrame) -> DataFrame:
         "recommendation_id", F.col("created_at").alias("recommendation_created_at"), "catalog_version",
         "task_family", "difficulty", "feedback_profile_id", "selected_configuration_ids",
     )
-    return feedback.join(context, "recommendation_id").orderBy("recorded_at", "feedback_id")
+    return feedback.drop("task_family", "feedback_profile_id").join(context, "recommendation_id").orderBy("recorded_at", "feedback_id")
 
 
 def newest(rows: DataFrame, at: str, tie: str, n: int = 100) -> DataFrame:

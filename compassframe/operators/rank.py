@@ -39,16 +39,27 @@ REQUEST_DEFAULTS = {
 RULES = ["local_only", "privacy", "capabilities", "context", "quality", "cost", "latency"]
 
 
+# Catalog columns that a table of bare configurations may lack.
+CATALOG_OPTIONS = {
+    "model_id": "string", "display_name": "string", "settings": "map<string,string>", "prior_uncertainty": "double",
+    "observed_at": "timestamp", "expires_at": "timestamp", "disclaimer": "string",
+}
+
+
 def catalog_array(catalog: DataFrame) -> Column:
-    """The catalog as one array value; refuses to build one above the size a catalog may have."""
+    """The catalog as one array value; refuses to build one above the size a catalog may have.
+
+    At most one row above that size is gathered before it is refused.
+    """
     fields = [
         "configuration_id", "provider", "deployment", "context_window", "capabilities", "privacy",
-        "input_usd_per_million", "output_usd_per_million", "latency_ms", "quality", "evidence",
-        "prior_uncertainty",
+        "input_usd_per_million", "output_usd_per_million", "latency_ms", "quality", "evidence", *CATALOG_OPTIONS,
     ]
-    counted = catalog.select(F.struct(*fields).alias("c")).agg(
+    absent = {c: F.lit(None).cast(t) for c, t in CATALOG_OPTIONS.items() if c not in catalog.columns}
+    full = catalog.withColumns(absent) if absent else catalog
+    counted = full.limit(MAX_CONFIGURATIONS + 1).select(F.struct(*fields).alias("c")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("c.configuration_id").alias("id"), F.struct(
-            *[F.col(f"c.{f}") if f != "quality" else F.map_entries("c.quality").alias("quality") for f in fields]
+            *[F.map_entries(f"c.{f}").alias(f) if f in ("quality", "settings") else F.col(f"c.{f}") for f in fields]
         ).alias("c")))).alias("cs")
     )
     checked = F.when(
@@ -58,11 +69,15 @@ def catalog_array(catalog: DataFrame) -> Column:
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
-    missing = {
-        name: F.lit(value).cast(kind) for name, (kind, value) in REQUEST_DEFAULTS.items()
-        if name not in requests.columns
-    }
-    return requests.withColumns(missing) if missing else requests
+    """Request fields that are absent or NULL take their defaults."""
+    filled = {}
+    for name, (kind, value) in REQUEST_DEFAULTS.items():
+        default = F.lit(value).cast(kind)
+        if name not in requests.columns:
+            filled[name] = default
+        elif value is not None:
+            filled[name] = F.coalesce(F.col(name), default)
+    return requests.withColumns(filled)
 
 
 def effective_privacy(privacy: Column, flags: Column) -> Column:
@@ -75,6 +90,8 @@ def _assessed() -> str:
     return """transform(_catalog, c -> named_struct(
         'configuration_id', c.configuration_id, 'provider', c.provider, 'deployment', c.deployment,
         'evidence', c.evidence, 'prior_uncertainty', coalesce(c.prior_uncertainty, 0.2D),
+        'about', named_struct('model_id', c.model_id, 'display_name', c.display_name, 'settings', c.settings,
+            'observed_at', c.observed_at, 'expires_at', c.expires_at, 'disclaimer', c.disclaimer),
         'quality', coalesce(get(filter(c.quality, q -> q.key = task_family), 0).value,
                             get(filter(c.quality, q -> q.key = 'general'), 0).value),
         'cost', (estimated_input_tokens * c.input_usd_per_million
@@ -87,7 +104,10 @@ def _assessed() -> str:
 
 
 def assess(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds ``assessed``: every configuration with quality, cost, latency and the seven rule outcomes."""
+    """Adds ``assessed``: every configuration with quality, cost, latency and the seven rule outcomes.
+
+    A rule that cannot be decided, because a value it needs is NULL, refuses.
+    """
     req = with_defaults(requests).withColumns(
         {
             "effective_privacy": effective_privacy(F.col("privacy"), F.col("privacy_flags")),
@@ -103,16 +123,16 @@ def assess(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         F.expr(
             """transform(_assessed, c -> named_struct(
                 'configuration_id', c.configuration_id, 'provider', c.provider, 'deployment', c.deployment,
-                'evidence', c.evidence, 'prior_uncertainty', c.prior_uncertainty,
+                'evidence', c.evidence, 'prior_uncertainty', c.prior_uncertainty, 'about', c.about,
                 'quality', c.quality, 'cost', c.cost, 'latency', c.latency,
                 'rejected_by', array_compact(array(
-                    CASE WHEN NOT c.ok_local_only THEN 'local_only' END,
-                    CASE WHEN NOT c.ok_privacy THEN 'privacy' END,
-                    CASE WHEN NOT c.ok_capabilities THEN 'capabilities' END,
-                    CASE WHEN NOT c.ok_context THEN 'context' END,
-                    CASE WHEN c.quality < min_quality THEN 'quality' END,
-                    CASE WHEN c.cost > max_cost_usd THEN 'cost' END,
-                    CASE WHEN c.latency > latency_slo_ms THEN 'latency' END))))"""
+                    CASE WHEN NOT coalesce(c.ok_local_only, false) THEN 'local_only' END,
+                    CASE WHEN NOT coalesce(c.ok_privacy, false) THEN 'privacy' END,
+                    CASE WHEN NOT coalesce(c.ok_capabilities, false) THEN 'capabilities' END,
+                    CASE WHEN NOT coalesce(c.ok_context, false) THEN 'context' END,
+                    CASE WHEN c.quality IS NULL OR NOT coalesce(c.quality >= min_quality, true) THEN 'quality' END,
+                    CASE WHEN c.cost IS NULL OR NOT coalesce(c.cost <= max_cost_usd, true) THEN 'cost' END,
+                    CASE WHEN c.latency IS NULL OR NOT coalesce(c.latency <= latency_slo_ms, true) THEN 'latency' END))))"""
         ),
     ).drop("_assessed", "_catalog")
     return settle(done, ["effective_privacy", "needed_capabilities", "assessed"])
@@ -129,7 +149,7 @@ def score(assessed: DataFrame) -> DataFrame:
     )
     normal = eligible.withColumns(
         {
-            "_weights": F.element_at(weights, F.col("objective")),
+            "_weights": F.coalesce(F.try_element_at(weights, F.col("objective")), F.element_at(weights, F.lit("balanced"))),
             "_max_cost": F.when(top("cost") == 0, F.lit(1.0)).otherwise(top("cost")),
             "_max_latency": F.when(top("latency") == 0, F.lit(1.0)).otherwise(top("latency")),
             "_front": mark_pareto("_eligible"),
@@ -158,7 +178,7 @@ def score(assessed: DataFrame) -> DataFrame:
                    'cost', p.c.cost, 'id', p.c.configuration_id, 'p', p))),
                s -> named_struct(
                    'configuration_id', s.id, 'provider', s.p.c.provider, 'deployment', s.p.c.deployment,
-                   'evidence', s.p.c.evidence, 'prior_uncertainty', s.p.c.prior_uncertainty,
+                   'evidence', s.p.c.evidence, 'prior_uncertainty', s.p.c.prior_uncertainty, 'about', s.p.c.about,
                    'quality', s.p.c.quality, 'cost', s.cost, 'latency', s.p.c.latency,
                    'score', -s.neg_score, 'pareto_efficient', s.p.pareto_efficient,
                    'quality_part', s.p.quality_part, 'cost_part', s.p.cost_part,
@@ -170,9 +190,11 @@ def score(assessed: DataFrame) -> DataFrame:
     return settle(done, ["ranked"])
 
 
-def shortlist(ranked: DataFrame) -> DataFrame:
+def shortlist(ranked: DataFrame, now: Column | None = None) -> DataFrame:
     """Adds ``shortlist`` (at most three picks with flags) and ``status``.
 
+    ``now`` is the time at which the catalog's age is judged; without it no age is given.
+
     First the best-ranked Pareto row; then the cheapest of the rest; then, if any are left, the
     quality leader of all unless already picked, else the fastest of the rest, local ones first.
     """
@@ -222,9 +244,10 @@ def shortlist(ranked: DataFrame) -> DataFrame:
         ),
     )
     done = (
-        listed.withColumn("shortlist", F.expr(_rendered()))
+        listed.withColumn("_now", (F.lit(None) if now is None else now).cast("timestamp"))
+        .withColumn("shortlist", F.expr(_rendered()))
         .withColumn("status", F.when(F.size("shortlist") > 0, "matched").otherwise("no_match"))
-        .drop("_first", "_second", "_rest", "_leader", "_local", "_alternative", "_guard", "_picks")
+        .drop("_first", "_second", "_rest", "_leader", "_local", "_alternative", "_guard", "_picks", "_now")
     )
     return settle(done, ["shortlist", "status"])
 
@@ -252,7 +275,8 @@ def _rendered() -> str:
     spread = "CASE WHEN p.c.evidence.source_type = 'provider_documentation' THEN 0.04D ELSE 0.08D END"
     return f"""transform(_picks, p -> named_struct(
         'rank', p.rank, 'label', p.label, 'configuration_id', p.c.configuration_id,
-        'provider', p.c.provider, 'deployment', p.c.deployment, 'score', p.c.score,
+        'provider', p.c.provider, 'deployment', p.c.deployment, 'model_id', p.c.about.model_id,
+        'display_name', p.c.about.display_name, 'settings', map_from_entries(p.c.about.settings), 'score', p.c.score,
         'pareto_efficient', p.c.pareto_efficient, 'selection_flags', p.selection_flags,
         'confidence', greatest(0.30D, least(0.92D, 0.84D - 0.25D * p.c.prior_uncertainty - 0.20D * uncertainty)),
         'quality', named_struct('low', greatest(0D, p.c.quality - {spread}), 'expected', p.c.quality,
@@ -265,14 +289,22 @@ def _rendered() -> str:
                 array<struct<key:string,value:double,direction:string>>) ELSE array({feedback}) END),
         'reason_codes', array(concat('task_prior_', task_family), concat('objective_', objective),
             CASE WHEN p.c.deployment = 'local' THEN 'runs_locally' ELSE concat('meets_', effective_privacy) END),
-        'warning_codes', array_compact(array('catalog_disclaimer',
+        'warning_codes', array_compact(array(
+            CASE WHEN p.c.about.disclaimer IS NOT NULL THEN 'catalog_disclaimer' END,
+            CASE WHEN _now >= p.c.about.expires_at THEN 'catalog_stale'
+                 WHEN p.c.about.expires_at > p.c.about.observed_at AND
+                      (unix_micros(_now) - unix_micros(p.c.about.observed_at)) * 10
+                        >= 7 * (unix_micros(p.c.about.expires_at) - unix_micros(p.c.about.observed_at)) THEN 'catalog_aging' END,
             CASE WHEN p.c.evidence.source_type = 'curated_rule' THEN 'curated_estimate' END)),
-        'evidence', concat(array(named_struct('id', p.c.evidence.id, 'source_type', p.c.evidence.source_type)),
-            CASE WHEN p.c.feedback_part IS NULL THEN cast(array() AS array<struct<id:string,source_type:string>>)
+        'evidence', concat(array(named_struct('id', p.c.evidence.id, 'title', p.c.evidence.title, 'url', p.c.evidence.url,
+                'observed_at', p.c.about.observed_at, 'source_type', p.c.evidence.source_type)),
+            CASE WHEN p.c.feedback_part IS NULL
+                 THEN cast(array() AS array<struct<id:string,title:string,url:string,observed_at:timestamp,source_type:string>>)
             ELSE array(named_struct('id', concat('local-feedback-', task_family, '-', p.c.configuration_id),
-                                    'source_type', 'user_feedback')) END)))"""
+                'title', concat('Local feedback, ', p.c.feedback_support, ' outcomes'), 'url', cast(NULL AS string),
+                'observed_at', _now, 'source_type', 'user_feedback')) END)))"""
 
 
-def recommend(profiled: DataFrame, catalog: DataFrame) -> DataFrame:
+def recommend(profiled: DataFrame, catalog: DataFrame, now: Column | None = None) -> DataFrame:
     """Profiled requests to shortlists; requests nothing fits get status 'no_match'."""
-    return shortlist(score(assess(profiled, catalog)))
+    return shortlist(score(assess(profiled, catalog)), now)

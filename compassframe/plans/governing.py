@@ -46,7 +46,10 @@ def _receipts(spark, sf):
 
 
 def _feedback(spark, sf):
-    """Feedback rows; ids divisible by 10 with k % 5 = 1 point at the receipt before, making duplicates."""
+    """Feedback rows; ids divisible by 10 with k % 5 = 1 point at the receipt before, making duplicates.
+
+    Some lack a required field.
+    """
     e = _events(spark, sf)
     k, m = F.col("k"), F.col("m")
     target = F.when((F.col("event_id") % 10 == 0) & (k % 5 == 1) & (F.col("event_id") > 0), F.col("event_id") - 1).otherwise(
@@ -57,10 +60,10 @@ def _feedback(spark, sf):
         F.concat(F.lit("fb-"), "event_id").alias("feedback_id"),
         F.concat(F.lit("rec-"), target).alias("recommendation_id"), F.col("ts").alias("recorded_at"),
         F.struct(
-            used.alias("used_recommendation"),
+            F.when(k != 41, used).alias("used_recommendation"),
             F.when(used & (k % 19 != 2), _pick(CONFIGS, m)).alias("used_configuration_id"),
-            F.when(F.col("event_type") == "error", "did_not_work").when(F.col("event_type") == "view", "unknown")
-            .otherwise("worked").alias("outcome"),
+            F.when(k == 53, F.lit(None)).when(F.col("event_type") == "error", "did_not_work")
+            .when(F.col("event_type") == "view", "unknown").otherwise("worked").alias("outcome"),
             F.when(k % 29 == 3, 6).otherwise((k % 5 + 1).cast("int")).alias("quality_rating"),
             F.col("value").alias("observed_cost_usd"), k.cast("int").alias("observed_latency_ms"),
             F.when(k % 11 == 3, _pick(CONFIGS, (m + k) % 3)).alias("preferred_over_configuration_id"),
@@ -73,7 +76,7 @@ def _accepted(spark, sf):
 
 
 def _usable(spark, sf):
-    return FB.usable_events(_accepted(spark, sf), _receipts(spark, sf))
+    return FB.usable_events(_accepted(spark, sf))
 
 
 def feedback_rejects(spark, sf):
@@ -278,10 +281,10 @@ _FEEDBACK_SQL = f"""WITH {_EV},
 receipts AS (SELECT 'rec-' || event_id AS rid, ts, {_list(TASKS)}[k % 7 + 1] AS task_family, CASE WHEN k % 3 = 0 THEN 'low' ELSE 'medium' END AS difficulty,
   user_id::VARCHAR AS profile, CASE WHEN k % 13 = 4 THEN {_list(CONFIGS[:2])} ELSE {_list(CONFIGS)} END AS selected FROM e),
 fb AS (SELECT 'fb-' || event_id AS feedback_id, 'rec-' || CASE WHEN event_id % 10 = 0 AND k % 5 = 1 AND event_id > 0 THEN event_id - 1 WHEN k = 77 THEN -1 ELSE event_id END AS rid,
-  ts AS recorded_at, k % 17 <> 6 AS used, CASE WHEN k % 17 <> 6 AND k % 19 <> 2 THEN {_list(CONFIGS)}[m + 1] END AS cfg,
-  CASE event_type WHEN 'error' THEN 'did_not_work' WHEN 'view' THEN 'unknown' ELSE 'worked' END AS outcome,
+  ts AS recorded_at, CASE WHEN k <> 41 THEN k % 17 <> 6 END AS used, CASE WHEN k % 17 <> 6 AND k % 19 <> 2 THEN {_list(CONFIGS)}[m + 1] END AS cfg,
+  CASE WHEN k = 53 THEN NULL ELSE CASE event_type WHEN 'error' THEN 'did_not_work' WHEN 'view' THEN 'unknown' ELSE 'worked' END END AS outcome,
   CASE WHEN k % 29 = 3 THEN 6 ELSE k % 5 + 1 END AS rating, CASE WHEN k % 11 = 3 THEN {_list(CONFIGS)}[(m + k) % 3 + 1] END AS other, value FROM e),
-judged AS (SELECT fb.*, r.selected, CASE WHEN used AND cfg IS NULL THEN 'used_without_configuration' WHEN NOT used AND cfg IS NOT NULL THEN 'configuration_without_use'
+judged AS (SELECT fb.*, r.selected, CASE WHEN used IS NULL THEN 'missing_used_recommendation' WHEN outcome IS NULL THEN 'missing_outcome' WHEN used AND cfg IS NULL THEN 'used_without_configuration' WHEN NOT used AND cfg IS NOT NULL THEN 'configuration_without_use'
   WHEN other IS NOT NULL AND cfg IS NULL THEN 'pairwise_without_used' WHEN other IS NOT DISTINCT FROM cfg THEN 'pairwise_same_configuration'
   WHEN rating > 5 THEN 'quality_rating_range' WHEN value < 0 THEN 'negative_observation' WHEN r.rid IS NULL THEN 'unknown_recommendation'
   WHEN cfg IS NOT NULL AND NOT list_contains(selected, cfg) THEN 'used_not_in_shortlist'

@@ -69,17 +69,17 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with constraints derived from their ids: objectives, privacy, caps and floors."""
+    """Prompts with constraints derived from their ids: objectives, privacy, caps and floors; some are NULL."""
     n = F.col("conv_id") * 3 + F.col("turn")
     every = lambda k, r, value: F.when(F.pmod(n, F.lit(k)) == r, F.lit(value))
     return prompts(spark, sf_dir).select(
         "*",
-        _pick(OBJECTIVES, n).alias("objective"),
-        _pick(PRIVACY, n).alias("privacy"),
+        F.when(F.pmod(n, F.lit(31)) != 7, _pick(OBJECTIVES, n)).alias("objective"),
+        F.when(F.pmod(n, F.lit(29)) != 5, _pick(PRIVACY, n)).alias("privacy"),
         every(7, 2, 0.002).alias("max_cost_usd"),
         F.coalesce(every(9, 4, 1200), every(11, 5, 100)).cast("int").alias("latency_slo_ms"),
         F.coalesce(every(6, 1, 0.72), every(23, 3, 1.0)).alias("min_quality"),
-        (F.pmod(n, F.lit(5)) * 300 + 100).cast("int").alias("expected_output_tokens"),
+        F.when(F.pmod(n, F.lit(37)) != 9, (F.pmod(n, F.lit(5)) * 300 + 100).cast("int")).alias("expected_output_tokens"),
         F.when(F.pmod(n, F.lit(8)) == 6, F.array(F.lit("tools"))).alias("requested_capabilities"),
     )
 
@@ -100,10 +100,11 @@ PROMPTS_SQL = f"""prompts AS (
 
 _N = "(conv_id * 3 + turn)"
 REQUESTS_SQL = f"""requests AS (
-  SELECT p.*, {_pick_sql(OBJECTIVES, _N)} AS objective, {_pick_sql(PRIVACY, _N)} AS privacy,
+  SELECT p.*, CASE WHEN {_N} % 31 = 7 THEN 'balanced' ELSE {_pick_sql(OBJECTIVES, _N)} END AS objective,
+         CASE WHEN {_N} % 29 = 5 THEN 'no_training' ELSE {_pick_sql(PRIVACY, _N)} END AS privacy,
          CASE WHEN {_N} % 7 = 2 THEN 0.002::DOUBLE END AS max_cost_usd,
          CASE WHEN {_N} % 9 = 4 THEN 1200 WHEN {_N} % 11 = 5 THEN 100 END AS latency_slo_ms,
          CASE WHEN {_N} % 6 = 1 THEN 0.72::DOUBLE WHEN {_N} % 23 = 3 THEN 1.0::DOUBLE END AS min_quality,
-         {_N} % 5 * 300 + 100 AS expected_output_tokens,
+         CASE WHEN {_N} % 37 = 9 THEN 512 ELSE {_N} % 5 * 300 + 100 END AS expected_output_tokens,
          CASE WHEN {_N} % 8 = 6 THEN ['tools'] ELSE []::VARCHAR[] END AS requested_capabilities
   FROM prompts p)"""
