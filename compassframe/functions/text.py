@@ -19,7 +19,6 @@ from compassframe.functions.lexicon import SPACE
 
 NON_ASCII = r"[^\x00-\x7f]"
 WORD_TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)?"  # fixed value
-SCREEN_TOKENS = 2048  # fixed value
 
 
 @F.pandas_udf(T.StringType())
@@ -92,8 +91,10 @@ def with_battle_prompt(df: DataFrame, raw: str, out: str) -> DataFrame:
     return joined.withColumn(out, strip(lines)).drop("_json", "_text")
 
 
-def word_tokens(canonical_text: Column, limit: int = SCREEN_TOKENS) -> Column:
-    return F.slice(F.regexp_extract_all(canonical_text, F.lit(WORD_TOKEN), F.lit(0)), 1, limit)
+def word_tokens(canonical_text: Column, limit: int | None = None) -> Column:
+    """The tokens of the whole text, or its first ``limit`` if a caller wants no more."""
+    tokens = F.regexp_extract_all(canonical_text, F.lit(WORD_TOKEN), F.lit(0))
+    return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
 def trigram_hashes(tokens: Column) -> Column:

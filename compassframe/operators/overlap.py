@@ -1,7 +1,9 @@
 """Overlap screening of evaluation prompts against reference prompts: duplicates, exact, fuzzy.
 
-The fuzzy rule looks a prompt up through its ten rarest shared token trigrams and takes the first
-reference, in reference order, that is similar enough. How it stays linear-ish and exact on skewed data:
+The fuzzy rule takes the first reference, in reference order, that is similar enough. References are looked
+up through trigram lists: as many of a row's rarest ones as a match cannot do without, given that a similar
+pair shares at least 82 % of its smaller side (an exact prefix filter, on the smaller side). The narrower
+rule "the prompt's N rarest lists" and a token limit are options. How it stays linear-ish on skewed data:
 
 * Copies of a reference collapse to the first one (only the first can be the answer) and keep their
   count, which decides how rare a trigram is.
@@ -32,15 +34,14 @@ MIN_FUZZY_TOKENS = 12
 JACCARD = 0.82
 CONTAINMENT = 0.92
 LENGTH_RATIO = 0.50
-RAREST = 10
 
 ROWS_PER_SALT = 20_000
 
 
-def features(df: DataFrame, text: str) -> DataFrame:
-    """Adds canonical_hash, n_tokens, shingles (empty below 12 tokens) and n_shingles."""
+def features(df: DataFrame, text: str, token_limit: int | None = None) -> DataFrame:
+    """Adds canonical_hash, n_tokens, shingles (empty below 12 tokens) and n_shingles, of whole texts."""
     base = df.withColumn("_canonical", X.canonical(F.col(text))).withColumn(
-        "_tokens", X.word_tokens(F.col("_canonical"))
+        "_tokens", X.word_tokens(F.col("_canonical"), token_limit)
     )
     shingled = base.withColumns(
         {
@@ -164,9 +165,23 @@ def _first_match(hits: DataFrame) -> DataFrame:
     return hits.groupBy("cid").agg(F.min(F.struct(*fields)).alias("m")).select("cid", "m.*")
 
 
-def fuzzy_matches(candidates: DataFrame, references: DataFrame, long_list: int = 10_000) -> DataFrame:
+def _in_prefix(n: str, order: Window) -> Column:
+    """Whether a list is among the rarest that the smaller side of a match cannot all miss.
+
+    A smaller side of n trigrams shares ceil(0.82 n) with its match, so of any n - ceil(0.82 n) + 1 it shares
+    one; those that the other table lacks count among these and are not here.
+    """
+    least = F.ceil(F.col(n) * JACCARD - 1e-9)
+    return F.row_number().over(order) <= F.col("shared") - least + 1
+
+
+def fuzzy_matches(
+    candidates: DataFrame, references: DataFrame, long_list: int = 10_000, rarest_lists: int | None = None
+) -> DataFrame:
     """First similar reference per prompt: (cid, rid, reference_source, three measures).
 
+    With ``rarest_lists`` only references in a prompt's so many rarest lists are looked at.
+
     ``candidates`` are unique prompts with features and prompts_id; ``references`` distinct first
     references with features, ref_index, copies and source.
     """
@@ -179,18 +194,21 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, long_list: int =
         cand.withColumnsRenamed({"prompts_id": "cid", "n_shingles": "na", "n_tokens": "ta"}),
         "cid", ["na", "ta"], stats, "n_candidates",
     )
-    rarest = Window.partitionBy("cid").orderBy("stat.df", "stat.first_ref", "shingle")
+    rarest = lambda row: Window.partitionBy(row).orderBy("stat.df", "stat.first_ref", "shingle")
+    if rarest_lists is None:
+        chosen, b_ok = known.withColumn("a_ok", _in_prefix("na", rarest("cid"))), _in_prefix("nb", rarest("rid"))
+    else:
+        chosen = known.withColumn("a_ok", F.col("shared") >= F.col("na") * JACCARD).withColumn(
+            "_r", F.row_number().over(rarest("cid"))).where(F.col("_r") <= rarest_lists)
+        b_ok = F.col("shared") >= F.col("nb") * JACCARD
     selected = (
-        known.withColumn("a_ok", F.col("shared") >= F.col("na") * JACCARD)
-        .withColumn("_r", F.row_number().over(rarest))
-        .where(F.col("_r") <= RAREST)
-        .select("cid", "shingle", "stat", "na", "ta", "a_ok", F.lit(None).cast("bigint").alias("best"))
+        chosen.select("cid", "shingle", "stat", "na", "ta", "a_ok", F.lit(None).cast("bigint").alias("best"))
         .checkpoint()
     )
     postings = _shared(
         refs.withColumnsRenamed({"ref_index": "rid", "n_shingles": "nb", "n_tokens": "tb"}),
         "rid", ["nb", "tb"], stats, "n_references",
-    ).select("rid", "shingle", "stat", "nb", "tb", (F.col("shared") >= F.col("nb") * JACCARD).alias("b_ok")).checkpoint()
+    ).select("rid", "shingle", "stat", "nb", "tb", b_ok.alias("b_ok")).checkpoint()
 
     is_long = F.col("stat.n_references") > long_list
     longest = selected.where(is_long).agg(F.max("stat.n_references")).first()[0]
@@ -218,7 +236,10 @@ def fuzzy_matches(candidates: DataFrame, references: DataFrame, long_list: int =
     return best
 
 
-def screen(candidates: DataFrame, references: DataFrame, long_list: int = 10_000) -> DataFrame:
+def screen(
+    candidates: DataFrame, references: DataFrame, long_list: int = 10_000, rarest_lists: int | None = None,
+    token_limit: int | None = None,
+) -> DataFrame:
     """Every candidate with its exclusion reason, or 'eligible'. Carries no prompt text.
 
     candidates(key, prompts_id string, original_prompt); references(ref_index bigint, text, source).
@@ -226,8 +247,8 @@ def screen(candidates: DataFrame, references: DataFrame, long_list: int = 10_000
     """
     ensure_checkpoint_dir(candidates.sparkSession)
     # texts are tokenised once; every later step reads these slim rows
-    cand = features(candidates, "original_prompt").drop("original_prompt").checkpoint()
-    refs = features(references, "text").drop("text").checkpoint()
+    cand = features(candidates, "original_prompt", token_limit).drop("original_prompt").checkpoint()
+    refs = features(references, "text", token_limit).drop("text").checkpoint()
     first = first_references(refs)
     marked = drop_duplicates_keep_lowest(
         cand.withColumn("_num", F.col("prompts_id").cast("bigint")), "_num", "prompts_id"
@@ -235,7 +256,7 @@ def screen(candidates: DataFrame, references: DataFrame, long_list: int = 10_000
     duplicate = F.col("kept") != F.col("prompts_id")
     unique = marked.where(~duplicate)
     exact = exact_matches(unique, first)
-    fuzzy = fuzzy_matches(exact.where(F.col("exact_source").isNull()), first, long_list)
+    fuzzy = fuzzy_matches(exact.where(F.col("exact_source").isNull()), first, long_list, rarest_lists)
     judged = exact.select("key", "prompts_id", "exact_source").join(
         fuzzy.withColumnRenamed("cid", "prompts_id"), "prompts_id", "left"
     )

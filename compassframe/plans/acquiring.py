@@ -141,6 +141,20 @@ def exclusion_counts(spark, sf):
     return O.screen(*_sides(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def benchmark_overlap(spark, sf):
+    """Documents screened against all benchmark items and conversation turns, a union of labelled sources."""
+    candidates = _documents(spark, sf).select(
+        F.concat(F.lit("k"), "doc_id").alias("key"), F.col("doc_id").cast("string").alias("prompts_id"),
+        F.col("text").alias("original_prompt"),
+    )
+    references = table(spark, sf, "benchmark").select(
+        (F.col("item_id") * 2).alias("ref_index"), "text", F.lit("benchmark").alias("source")
+    ).unionByName(table(spark, sf, "conversations").select(
+        ((F.col("conv_id") * 1000 + F.col("turn")) * 2 + 1).alias("ref_index"), "text", F.lit("conversations").alias("source")
+    ))
+    return O.screen(candidates, references).groupBy("reason", "reference_source").agg(F.count("*").alias("n"))
+
+
 def shingle_features(spark, sf):
     f = O.features(_documents(spark, sf), "text")
     return f.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("n_shingles").cast("bigint").alias("n_shingles"))
@@ -223,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_alignment, alignment_counts, prefix_anchor, outcome_completeness, identity_join, canonical_dedup,
-        exact_overlap, fuzzy_overlap, exclusion_counts, shingle_features, battle_labels, evidence_validation,
+        exact_overlap, fuzzy_overlap, exclusion_counts, benchmark_overlap, shingle_features, battle_labels, evidence_validation,
         minimised_partition, table_digests, row_keys,
     )
 }
@@ -247,21 +261,22 @@ _ALIGN_SQL = f"""WITH judged AS ({' UNION ALL '.join(_judge_sql(i) for i in rang
 diff AS (SELECT ordinal, list(source ORDER BY source) FILTER (WHERE fp <> base) AS sources FROM
   (SELECT *, max(CASE WHEN source = '{SOURCES[0]}' THEN fp END) OVER (PARTITION BY ordinal) AS base FROM judged) GROUP BY ordinal)"""
 
-_FEATURES_SQL = f"""canon AS (SELECT doc_id, source, {_CANON} AS c FROM documents),
-tok AS (SELECT doc_id, source, sha256(c) AS h, list_slice(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]+(?:[''’-][\\p{{L}}\\p{{N}}]+)?'), 1, 2048) AS tokens FROM canon),
-feat AS (SELECT doc_id, source, h, len(tokens) AS nt, CASE WHEN len(tokens) >= 12 THEN list_distinct(list_transform(range(1, len(tokens) - 1), lambda i:
-    tokens[i] || chr(1) || tokens[i + 1] || chr(1) || tokens[i + 2])) ELSE [] END AS sh FROM tok)"""
+def _features_sql(rows: str, name: str = "feat") -> str:
+    """Features of the rows doc_id, source, text of a table."""
+    return f"""{name}_canon AS (SELECT doc_id, source, {_CANON} AS c FROM {rows}),
+{name}_tok AS (SELECT doc_id, source, sha256(c) AS h, regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]+(?:[''’-][\\p{{L}}\\p{{N}}]+)?') AS tokens FROM {name}_canon),
+{name} AS (SELECT doc_id, source, h, len(tokens) AS nt, CASE WHEN len(tokens) >= 12 THEN list_distinct(list_transform(range(1, len(tokens) - 1), lambda i:
+    tokens[i] || chr(1) || tokens[i + 1] || chr(1) || tokens[i + 2])) ELSE [] END AS sh FROM {name}_tok)"""
+_FEATURES_SQL = _features_sql("documents")
 _SIDES_SQL = f"""WITH {_FEATURES_SQL},
 frac AS (SELECT *, ('0x' || substr(sha256('{SPLIT_SALT}' || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE AS x FROM feat),
 refs AS (SELECT * FROM frac WHERE x < 0.6::DOUBLE), cand AS (SELECT * FROM frac WHERE x >= 0.6::DOUBLE)"""
-_SCREEN_SQL = f"""{_SIDES_SQL},
+_SCREEN_TAIL = """,
 kept AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS kept_id FROM cand),
 exact AS (SELECT k.*, (SELECT arg_min(source, doc_id) FROM refs r WHERE r.h = k.h) AS exact_source FROM kept k WHERE kept_id = doc_id),
 post AS (SELECT doc_id AS rid, unnest(sh) AS s FROM refs),
-lists AS (SELECT s, count(*) AS df, min(rid) AS first_rid FROM post GROUP BY s),
 mine AS (SELECT doc_id, unnest(sh) AS s FROM exact WHERE exact_source IS NULL),
-sel AS (SELECT doc_id, s FROM mine JOIN lists USING (s) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, first_rid, s) <= 10),
-pairs AS (SELECT DISTINCT doc_id, rid FROM sel JOIN post USING (s)),
+pairs AS (SELECT DISTINCT doc_id, rid FROM mine JOIN post USING (s)),
 meas AS (SELECT p.doc_id, p.rid, r.source, len(list_intersect(c.sh, r.sh)) AS i, len(c.sh) AS na, len(r.sh) AS nb, c.nt AS ta, r.nt AS tb
   FROM pairs p JOIN cand c ON c.doc_id = p.doc_id JOIN refs r ON r.doc_id = p.rid),
 hit AS (SELECT doc_id, rid, source, i / (na + nb - i)::DOUBLE AS j, i / least(na, nb)::DOUBLE AS k, least(ta, tb) / greatest(ta, tb)::DOUBLE AS l FROM meas),
@@ -271,6 +286,10 @@ screened AS (
          NULL AS reference_source, NULL::DOUBLE AS trigram_jaccard, NULL::DOUBLE AS trigram_containment, NULL::DOUBLE AS token_length_ratio FROM kept WHERE kept_id <> doc_id
   UNION ALL SELECT 'k' || e.doc_id, e.doc_id::VARCHAR, CASE WHEN exact_source IS NOT NULL THEN 'development_exact_overlap' WHEN b.rid IS NOT NULL THEN 'development_fuzzy_overlap' ELSE 'eligible' END,
          NULL, coalesce(exact_source, b.source), round(j, 8), round(k, 8), round(l, 8) FROM exact e LEFT JOIN best b ON b.doc_id = e.doc_id)"""
+_SCREEN_SQL = _SIDES_SQL + _SCREEN_TAIL
+_BENCH_SQL = f"""WITH references_ AS (SELECT item_id * 2 AS doc_id, 'benchmark' AS source, text FROM benchmark
+  UNION ALL SELECT (conv_id * 1000 + turn) * 2 + 1, 'conversations', text FROM conversations),
+{_features_sql('documents', 'cand')}, {_features_sql('references_', 'refs')}{_SCREEN_TAIL}"""
 
 _bh = "('0x' || substr(md5('b|' || o_orderkey), 1, 15))::BIGINT"
 _BATTLE_SQL = f"""WITH h AS (SELECT *, {_bh} AS n, 'order ' || o_orderkey || ' ' || o_orderpriority AS body FROM orders),
@@ -310,6 +329,7 @@ SELECT doc_id, kept AS kept_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTIT
     "exact_overlap": f"""{_SIDES_SQL}
 SELECT c.doc_id::VARCHAR AS prompts_id, arg_min(r.source, r.doc_id) AS reference_source FROM cand c JOIN refs r USING (h) GROUP BY c.doc_id""",
     "fuzzy_overlap": f"{_SCREEN_SQL} SELECT * FROM screened",
+    "benchmark_overlap": f"{_BENCH_SQL} SELECT reason, reference_source, count(*) AS n FROM screened GROUP BY ALL",
     "exclusion_counts": f"{_SCREEN_SQL} SELECT reason, count(*) AS n FROM screened GROUP BY reason",
     "shingle_features": f"WITH {_FEATURES_SQL} SELECT doc_id, nt AS n_tokens, len(sh) AS n_shingles FROM feat",
     "battle_labels": _BATTLE_SQL,
