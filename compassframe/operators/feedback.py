@@ -30,9 +30,8 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
     follows reads the joined table, and whoever uses the result needs no receipts again.
     """
     p = lambda f: F.col(f"payload.{f}")
-    context = receipts.select(
-        "recommendation_id", F.lit(True).alias("_known"), "selected_configuration_ids", "feedback_profile_id", "task_family"
-    )
+    carried = [c for c in ("feedback_profile_id", "task_family") if c in receipts.columns]
+    context = receipts.select("recommendation_id", F.lit(True).alias("_known"), "selected_configuration_ids", *carried)
     selected = F.col("selected_configuration_ids")
     used, other = p("used_configuration_id"), p("preferred_over_configuration_id")
     problem = (
@@ -65,7 +64,7 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
             "rejected",
             F.coalesce("_problem", F.when(F.col("_standing") != F.col("feedback_id"), "duplicate_feedback")),
         )
-        .select(*feedback.columns, "feedback_profile_id", "task_family", "rejected")
+        .select(*feedback.columns, *carried, "rejected")
     )
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from compassframe.functions.barrier import settle
 from compassframe.functions.text import hash60, seeded_index
 from compassframe.operators.ordered import hash_rank
+from compassframe.session import written
 
 # Cost weights, shrinkage, strategies.
 LAMBDAS = (0.0, 0.05, 0.10, 0.20, 0.40)
@@ -32,9 +33,18 @@ RANDOM_SEED = 42
 
 # Default pool: parameter counts (billions) of the four model tiers compared.
 POOL = {"tier-a": 0.6, "tier-b": 1.5, "tier-c": 7.0, "tier-d": 70.0}
+#: Policy rows that may travel with the rows; more are joined.
 MAX_SEGMENTS = 10_000
 
 
+def segment_keys() -> dict[str, Column]:
+    """What each segmented strategy looks its choice up by."""
+    return {
+        "length_segment": F.col("length_band"), "task_segment": F.col("task_family"),
+        "hybrid_segment": F.concat_ws("|", "task_family", "length_band"),
+    }
+
+
 def to_long(wide: DataFrame) -> DataFrame:
     keep = [c for c in wide.columns if c != "observations"]
     return wide.select(*keep, F.inline("observations"))
@@ -151,7 +161,7 @@ def fit(train: DataFrame, lambdas: tuple[float, ...] = LAMBDAS, shrinkage: int =
 
 
 def policy_book(policy: DataFrame) -> Column:
-    """All fitted policies as one array value, one element per cost weight; size is checked."""
+    """All fitted policies as one array value, one element per cost weight, for at most MAX_SEGMENTS rows."""
     name = lambda s: F.col("strategy") == s
     entry = F.struct(F.col("segment").alias("k"), F.col("choice").alias("v"))
     segment_map = lambda s: F.map_from_entries(F.collect_list(F.when(name(s), entry))).alias(s)
@@ -159,13 +169,27 @@ def policy_book(policy: DataFrame) -> Column:
     per_lambda = policy.groupBy("lambda").agg(
         F.count("*").alias("_rows"), *map(one, STRATEGIES[:3]), *map(segment_map, STRATEGIES[3:6])
     )
-    book = per_lambda.agg(
-        F.when(
-            F.coalesce(F.max("_rows"), F.lit(0)) <= MAX_SEGMENTS,
-            F.collect_list(F.struct("lambda", *STRATEGIES[:6])),
-        ).otherwise(F.raise_error(F.lit(f"more than {MAX_SEGMENTS} policy segments"))).alias("book")
-    )
-    return book.scalar()
+    return per_lambda.agg(F.collect_list(F.struct("lambda", *STRATEGIES[:6]))).scalar()
+
+
+def with_policies(wide: DataFrame, policy: DataFrame) -> DataFrame:
+    """wide once per cost weight, with the policies' choices for it: _lambda and one column _<strategy> each.
+
+    Small policies travel with the rows as one value; beyond MAX_SEGMENTS rows the segments' choices are joined.
+    """
+    policy = written(policy, "policy")
+    if policy.limit(MAX_SEGMENTS + 1).count() <= MAX_SEGMENTS:
+        rows = wide.withColumn("_p", F.explode(policy_book(policy)))
+        found = {s: F.try_element_at(F.col(f"_p.{s}"), key) for s, key in segment_keys().items()}
+        rows = rows.withColumns({f"_{s}": c for s, c in found.items()})
+    else:
+        rows = wide.withColumn("_p", F.explode(policy_book(policy.where(F.col("strategy").isin(*STRATEGIES[:3])))))
+        for s, key in segment_keys().items():
+            one = policy.where(F.col("strategy") == s).select("lambda", F.col("segment"), F.col("choice").alias(f"_{s}"))
+            on = (rows["_p.lambda"] == one["lambda"]) & (key == one["segment"])
+            rows = rows.join(one, on, "left").drop("lambda", "segment")
+    plain = {f"_{s}": F.col(f"_p.{s}") for s in STRATEGIES[:3]}
+    return rows.withColumns(plain).withColumn("_lambda", F.col("_p.lambda")).drop("_p")
 
 
 def choice_rows(
@@ -178,7 +202,7 @@ def choice_rows(
     A segment never seen in training falls back to the global choice. All of it happens in the row.
     """
     names = sorted(pool or POOL)
-    rows = wide.withColumn("_p", F.explode(policy_book(policy)))
+    rows = with_policies(wide, policy)
     random_choice = F.element_at(
         F.array(*map(F.lit, names)), seeded_index(F.col("key"), RANDOM_SEED, len(names)) + 1
     )
@@ -186,24 +210,17 @@ def choice_rows(
         F.transform(
             "observations",
             lambda o: F.struct(
-                (o.correctness - F.col("_p.lambda") * o.compute).alias("u"), (-o.params).alias("p"), o.model.alias("m")
+                (o.correctness - F.col("_lambda") * o.compute).alias("u"), (-o.params).alias("p"), o.model.alias("m")
             ),
         )
     ).m
-    lookup = lambda s, k: F.coalesce(
-        F.try_element_at(F.col(f"_p.{s}"), k), F.col("_p.global_utility")
-    )
     chosen = {
-        "always_cheapest": F.col("_p.always_cheapest"),
-        "always_best_quality": F.col("_p.always_best_quality"),
-        "global_utility": F.col("_p.global_utility"),
-        "length_segment": lookup("length_segment", F.col("length_band")),
-        "task_segment": lookup("task_segment", F.col("task_family")),
-        "hybrid_segment": lookup("hybrid_segment", F.concat_ws("|", "task_family", "length_band")),
+        **{s: F.col(f"_{s}") for s in STRATEGIES[:3]},
+        **{s: F.coalesce(F.col(f"_{s}"), F.col("_global_utility")) for s in segment_keys()},
         "seeded_random": random_choice,
         "oracle": best,
     }
-    picked = rows.withColumn("lambda", F.col("_p.lambda")).withColumn(
+    picked = rows.withColumn("lambda", F.col("_lambda")).withColumn(
         "_models", F.array(*[chosen[s] for s in STRATEGIES])
     )
     observed = settle(picked, ["_models"]).withColumn(

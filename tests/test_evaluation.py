@@ -5,6 +5,7 @@ from compassframe.operators import bootstrap as B
 from compassframe.operators import evaluation as E
 from compassframe.operators import policy as PO
 from compassframe.operators.digest import table_digest
+from compassframe.plans import evaluating as V
 
 POOL = {"m-small": 1.0, "m-mid": 5.0, "m-big": 50.0}
 WIDE = ("key string, split string, task_family string, length_band string, observations "
@@ -92,3 +93,17 @@ def test_digest_sees_changes_but_not_order(spark):
     assert d(df) == d(df.orderBy(F.desc("a")).repartition(7))
     assert d(df) != d(df.where("a <> '7'")) != d(df.unionByName(df.limit(1)))
     assert d(df) != d(df.withColumn("b", F.when(F.col("a") == "7", "y").otherwise("x")))
+
+
+def test_policies_beyond_the_bound_are_joined(spark, sf, monkeypatch):
+    rows = lambda: sorted(map(tuple, V.strategy_choices(spark, sf).collect()))
+    travelling = rows()
+    monkeypatch.setattr(PO, "MAX_SEGMENTS", 3)
+    assert rows() == travelling and len(travelling) > 0
+
+
+def test_a_group_of_one_row_can_be_resampled(spark):
+    df = spark.createDataFrame([("a", "one", 1.0)] + [(str(i), "many", float(i)) for i in range(200)], "key string, g string, v double")
+    reps = B.resample_means(df, ["v"], 200, "t", ["g"]).groupBy("g").count().collect()
+    counts = {r.g: r["count"] for r in reps}
+    assert counts["many"] == 200 and 90 < counts["one"] < 160  # no row of a resample: no mean
