@@ -84,7 +84,7 @@ def _rule(bad: Column, name: str) -> Column:
 def configuration_violations(configurations: DataFrame) -> DataFrame:
     """Row rules and per-version rules; one output row per broken rule.
 
-    A NULL where a value is required counts as broken.
+    A NULL where a value is required counts as broken; prior_uncertainty has a default.
     """
     c = F.col
     ratio = lambda x: (x < 0) | (x > 1)
@@ -118,7 +118,7 @@ def configuration_violations(configurations: DataFrame) -> DataFrame:
                 ),
                 "evidence_source_type",
             ),
-            _rule(ratio(c("prior_uncertainty")), "prior_uncertainty_range"),
+            _rule(ratio(F.coalesce("prior_uncertainty", F.lit(0.2))), "prior_uncertainty_range"),
         )
     )
     per_row = configurations.select(
@@ -140,7 +140,7 @@ def document_violations(documents: DataFrame) -> DataFrame:
     c = F.col
     rules = F.array_compact(
         F.array(
-            _rule(c("spec_version") != "1.0", "spec_version"),
+            _rule(F.coalesce("spec_version", F.lit("1.0")) != "1.0", "spec_version"),
             _rule(~F.length("catalog_version").between(1, 100), "catalog_version_length"),
             _rule(c("sequence") < 1, "sequence_positive"),
             _rule(c("expires_at") <= c("observed_at"), "expires_after_observed"),

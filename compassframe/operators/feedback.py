@@ -18,16 +18,11 @@ MINIMUM_EVENTS = 10
 TOLERANCE, IMPROVEMENT = 0.005, 1e-12
 
 
-def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) -> DataFrame:
-    """Adds ``rejected`` (NULL when accepted) and the receipt's context to every feedback row.
+def checked_alone(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) -> DataFrame:
+    """Adds ``_problem`` (NULL if acceptable on its own) and the receipt's context; also for streams.
 
-    Required fields may not be NULL. Of several acceptable rows for one recommendation the earliest stands
-    and the others are duplicates. Receipts are unique per recommendation, and so is the row that stands.
-    The two configuration ids must differ even when both are missing, so feedback that names no
-    configuration at all is refused.
-
-    Feedback meets its receipt once, in a shuffled join whose hot keys adaptive execution splits; what
-    follows reads the joined table, and whoever uses the result needs no receipts again.
+    Required fields may not be NULL. The two configuration ids must differ even when both are missing, so
+    feedback that names no configuration at all is refused.
     """
     p = lambda f: F.col(f"payload.{f}")
     carried = [c for c in ("feedback_profile_id", "task_family") if c in receipts.columns]
@@ -51,7 +46,19 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
         .when(other.isNotNull() & ~F.coalesce(F.array_contains(selected, other), F.lit(False)), "preferred_not_in_shortlist")
     )
     joined = feedback.join(context, "recommendation_id", "left").withColumn("_problem", problem)
-    checked = written(joined.drop("_known", "selected_configuration_ids"), "feedback")
+    return joined.select(*feedback.columns, *carried, "_problem")
+
+
+def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) -> DataFrame:
+    """Adds ``rejected`` (NULL when accepted) and the receipt's context to every feedback row.
+
+    Of several acceptable rows for one recommendation the earliest stands and the others are duplicates.
+    Receipts are unique per recommendation, and so is the row that stands.
+
+    Feedback meets its receipt once, in a shuffled join whose hot keys adaptive execution splits; what
+    follows reads the joined table, and whoever uses the result needs no receipts again.
+    """
+    checked = written(checked_alone(feedback, receipts, enabled), "feedback")
     standing = (
         checked.where(F.col("_problem").isNull())
         .groupBy("recommendation_id")
@@ -64,7 +71,7 @@ def validate(feedback: DataFrame, receipts: DataFrame, enabled: bool = True) ->
             "rejected",
             F.coalesce("_problem", F.when(F.col("_standing") != F.col("feedback_id"), "duplicate_feedback")),
         )
-        .select(*feedback.columns, *carried, "rejected")
+        .drop("_problem", "_standing")
     )
 
 

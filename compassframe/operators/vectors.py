@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compassframe.functions.barrier import settle
+from compassframe.session import written
 
 MAX_PROTOTYPES = 512
 
@@ -39,37 +42,45 @@ def prototypes(rows: DataFrame, vector: str, label: str, dimensions: int) -> Dat
 
 
 def prototype_book(protos: DataFrame, label: str) -> Column:
-    """All prototypes as one array value, refused above MAX_PROTOTYPES."""
+    """All prototypes as one array value; one row above MAX_PROTOTYPES is gathered at most before it is refused."""
     entries = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "prototype")))
-    return protos.agg(entries.alias("b")).select(
+    return protos.limit(MAX_PROTOTYPES + 1).agg(entries.alias("b")).select(
         F.when(F.size("b") <= MAX_PROTOTYPES, F.col("b"))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_PROTOTYPES} prototypes"))).alias("b")
+        .otherwise(F.raise_error(F.lit(f"more than {MAX_PROTOTYPES} prototypes; use prototype_books"))).alias("b")
     ).scalar()
 
 
-def nearest_prototype(rows: DataFrame, vector: str, book: Column, dimensions: int) -> DataFrame:
-    """Adds predicted label, margin over the runner-up and confidence. Ties go to the greater label."""
-    scored = (
-        rows.withColumn("_book", book)
-        .withColumn("_v", normalized(F.col(vector), dimensions))
-        .withColumn(
-            "_scores",
-            F.expr(
-                """array_sort(transform(_book, p -> struct(
-                       aggregate(zip_with(_v, p.prototype, (a, b) -> a * b), 0D, (acc, x) -> acc + x) AS score,
-                       p.label AS label)))"""
-            ),
-        )
-        .withColumn("_best", F.element_at("_scores", -1))
-        .withColumn("_next", F.try_element_at("_scores", F.lit(-2)))
-    )
+def prototype_books(protos: DataFrame, label: str) -> list[Column]:
+    """Prototypes of any number as several array values, each about half full."""
+    table = written(protos, "prototypes")
+    n = math.ceil(2 * table.count() / MAX_PROTOTYPES)
+    if n <= 1:
+        return [prototype_book(table, label)]
+    return [prototype_book(table.where(F.pmod(F.xxhash64(label), F.lit(n)) == k), label) for k in range(n)]
+
+
+def nearest_prototype(rows: DataFrame, vector: str, book: Column | list[Column], dimensions: int) -> DataFrame:
+    """Adds predicted label, margin over the runner-up and confidence. Ties go to the greater label.
+
+    Of several books each gives its two nearest, so a row never holds the scores of more than one.
+    """
+    books = book if isinstance(book, list) else [book]
+    scored = rows.withColumn("_v", normalized(F.col(vector), dimensions))
+    scores = """transform(_book, p -> struct(
+                    aggregate(zip_with(_v, p.prototype, (a, b) -> a * b), 0D, (acc, x) -> acc + x) AS score, p.label AS label))"""
+    for k, b in enumerate(books):
+        all_ = f"concat(_tops, {scores})" if k else scores
+        many = "size(_tops) + size(_book)" if k else "size(_book)"
+        nearest = F.expr(f"slice(array_sort({all_}), greatest({many} - 1, 1), 2)")
+        scored = settle(scored.withColumn("_book", b).withColumn("_tops", nearest).drop("_book"), ["_tops"])
+    scored = scored.withColumn("_best", F.try_element_at("_tops", F.lit(-1))).withColumn("_next", F.try_element_at("_tops", F.lit(-2)))
     usable = F.col("_v").isNotNull()
     margin = F.greatest(F.lit(0.0), F.col("_best.score") - F.col("_next.score"))
     done = (
         scored.withColumn("predicted", F.when(usable, F.col("_best.label")))
         .withColumn("margin", F.when(usable, margin))
         .withColumn("confidence", F.least(F.lit(CONFIDENCE_CAP), F.lit(CONFIDENCE_BASE) + F.lit(MARGIN_SCALE) * F.col("margin")))
-        .drop("_book", "_v", "_scores", "_best", "_next")
+        .drop("_v", "_tops", "_best", "_next")
     )
     return settle(done, ["predicted", "margin", "confidence"])
 

@@ -64,14 +64,15 @@ def read_judge_csv(spark: SparkSession, path: str, first: int | None = None, las
                    by: str = "ordinal") -> DataFrame:
     """Judge tables with only the allowed columns; answers and rationales are never read.
 
-    ``first``/``last`` select a range of the carried ordinal or of prompts_id. A missing column fails.
+    ``first``/``last`` select a range of the carried ordinal or of prompts_id. A missing column fails, and
+    so does a file whose header has other columns, or another order, than the first file's.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = sorted(set(JUDGE_COLUMNS) - set(header))
     if missing:
         raise ValueError(f"source is missing required columns: {missing}")
     rows = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
         .schema(", ".join(f"`{c}` string" for c in header)).csv(path).select(*JUDGE_COLUMNS)
     )
     typed = rows.select(

@@ -57,11 +57,16 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def receipts_from(recommended: DataFrame, created_at: str, catalog_version: str) -> DataFrame:
-    """Receipts of shortlists: what was chosen and why, never the prompt."""
+    """Receipts of shortlists: what was chosen and why, never the prompt.
+
+    ``assessor`` (mode, status, invoked) is kept if the rows have it; without an assessor it says so.
+    """
+    off = F.struct(F.lit("off").alias("mode"), F.lit("disabled").alias("status"), F.lit(False).alias("invoked"))
+    assessor = F.coalesce(F.col("assessor"), off) if "assessor" in recommended.columns else off
     rows = recommended.where(F.col("status") == "matched").select(
         F.col("request_id").alias("recommendation_id"), F.col(created_at).alias("created_at"),
         F.lit(catalog_version).alias("catalog_version"), "objective", "privacy", "task_family", "difficulty",
-        F.struct(F.lit("off").alias("mode"), F.lit("disabled").alias("status"), F.lit(False).alias("invoked")).alias("assessor"),
+        assessor.alias("assessor"),
         F.transform("shortlist", lambda s: s.configuration_id).alias("selected_configuration_ids"),
         (F.col("feedback_profile_id") if "feedback_profile_id" in recommended.columns else F.lit(None)).alias("feedback_profile_id"),
         F.lit(ADVISOR_VERSION).alias("advisor_version"),

@@ -31,13 +31,16 @@ def recommend_stream(requests: DataFrame, catalog: DataFrame, write: Callable[[D
     return requests.writeStream.foreachBatch(each)
 
 
-def distinct_feedback(feedback: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """First feedback per recommendation within the watermark; later copies are dropped."""
-    return (
-        feedback.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
-        .withWatermark("recorded_at", lateness)
-        .dropDuplicatesWithinWatermark(["recommendation_id"])
-    )
+def distinct_feedback(feedback: DataFrame, receipts: DataFrame | None = None, lateness: str = "1 hour") -> DataFrame:
+    """First feedback per recommendation within the watermark; later copies are dropped.
+
+    With receipts, feedback that the batch rules refuse is left out before copies are looked for, as in
+    batch: a refused first row does not stand in the way of a good second one.
+    """
+    at = feedback.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    if receipts is not None:
+        at = fb.checked_alone(at, receipts).where(F.col("_problem").isNull()).select(*feedback.columns)
+    return at.withWatermark("recorded_at", lateness).dropDuplicatesWithinWatermark(["recommendation_id"])
 
 
 def running_cells(events: DataFrame) -> DataFrame:

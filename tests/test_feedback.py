@@ -40,6 +40,24 @@ def test_replay_decisions(spark):
     assert m.candidate_brier > m.baseline_brier
 
 
+def test_undecidable_constraints_refuse(spark):
+    from compassframe.operators import catalog as C
+    from compassframe.operators import rank as R
+
+    cat = C.neutral_catalog(spark).withColumn("privacy", F.when(F.col("configuration_id") != "birch-lite", F.col("privacy")))
+    req = spark.createDataFrame([("q", "code", 0.2, 100, ["text"], [], None, None)],
+                                "request_id string, task_family string, uncertainty double, estimated_input_tokens int, "
+                                "required_capabilities array<string>, privacy_flags array<string>, privacy string, objective string")
+    now = F.lit("2024-02-20").cast("timestamp")
+    dated = cat.withColumn("observed_at", F.lit("2024-01-01").cast("timestamp")).withColumn("expires_at", F.lit("2024-03-01").cast("timestamp"))
+    row = R.recommend(req, dated.withColumn("disclaimer", F.lit("estimates")), now).first()
+    refused = {c.configuration_id: c.rejected_by for c in row.assessed}
+    assert "privacy" in refused["birch-lite"] and "privacy" in refused["cedar-coder"]  # NULL privacy means no_training
+    assert row.shortlist[0].warning_codes[:2] == ["catalog_disclaimer", "catalog_aging"]
+    assert row.shortlist[0].evidence[0].url.startswith("https://") and row.shortlist[0].model_id
+    assert "catalog_disclaimer" not in R.recommend(req, cat).first().shortlist[0].warning_codes
+
+
 def test_validation_reasons(spark):
     receipts = spark.createDataFrame([("r1", ["a", "b"]), ("r2", ["a", "b"])], "recommendation_id string, selected_configuration_ids array<string>")
     rows = [
@@ -53,6 +71,8 @@ def test_validation_reasons(spark):
         ("f8", "r2", 6, (False, None, "unknown", None, None, None, None)),
         ("f9", "r2", 7, (True, "a", "worked", 5, 0.1, 3, "a")),
         ("g1", "r2", 8, (True, "a", "did_not_work", 5, 0.1, 3, "b")),
+        ("g2", "r2", 0, (None, "a", "worked", 5, 0.1, 3, None)),
+        ("g3", "r2", 0, (True, "a", None, 5, 0.1, 3, None)),
     ]
     fb = spark.createDataFrame(rows, "feedback_id string, recommendation_id string, n int, " + T.FEEDBACK.split("recorded_at timestamp, ")[1])
     fb = fb.withColumn("recorded_at", F.timestamp_seconds("n")).drop("n")
@@ -61,6 +81,7 @@ def test_validation_reasons(spark):
         "f1": "duplicate_feedback", "f2": None, "f3": "used_not_in_shortlist", "f4": "used_without_configuration",
         "f5": "configuration_without_use", "f6": "unknown_recommendation", "f7": "quality_rating_range",
         "f8": "pairwise_same_configuration", "f9": "pairwise_same_configuration", "g1": None,
+        "g2": "missing_used_recommendation", "g3": "missing_outcome",
     }
     assert {r.rejected for r in FB.validate(fb, receipts, enabled=False).collect()} == {"feedback_disabled"}
 
@@ -107,6 +128,8 @@ def test_bad_vectors_are_not_classified(spark):
     df = spark.createDataFrame(rows, "id int, v array<double>, label int")
     book = VE.prototype_book(VE.prototypes(df.where("label is not null"), "v", "label", 2), "label")
     got = {r.id: r.predicted for r in VE.nearest_prototype(df, "v", book, 2).collect()}
+    several = [book, book]
+    assert got == {r.id: r.predicted for r in VE.nearest_prototype(df, "v", several[:1], 2).collect()}
     assert got == {0: 0, 1: 1, 2: None, 3: None, 4: None, 5: 0}
 
 
@@ -130,3 +153,19 @@ def test_signals_reach_the_score_of_a_hot_profile(spark):
             assert parts["cedar-writer"] > 0 > parts["alder-core"] and parts["birch-pro"] is None
         else:
             assert set(parts.values()) == {None}
+
+
+def test_many_prototypes_are_scored_in_blocks(spark, monkeypatch):
+    import random
+
+    from compassframe.operators import vectors as VE
+
+    rng = random.Random(1)
+    point = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    rows = spark.createDataFrame([(i, f"l{i % 40}", point()) for i in range(200)], "id int, label string, v array<double>")
+    protos = VE.prototypes(rows, "v", "label", 3)
+    one = {r.id: (r.predicted, r.margin) for r in VE.nearest_prototype(rows, "v", VE.prototype_book(protos, "label"), 3).collect()}
+    monkeypatch.setattr(VE, "MAX_PROTOTYPES", 20)
+    books = VE.prototype_books(protos, "label")
+    assert len(books) == 4
+    assert one == {r.id: (r.predicted, r.margin) for r in VE.nearest_prototype(rows, "v", books, 3).collect()}

@@ -36,11 +36,25 @@ def test_feedback_stream_drops_repeats(spark, sf, tmp_path):
     twice = fb.unionByName(fb).withColumnRenamed("feedback_id", "feedback_id")
     S_in = landed(spark, twice.select("recorded_at", "feedback_id", "recommendation_id", "payload"), str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    drain(S.distinct_feedback(S_in, "40 days").writeStream.format("parquet").option("path", out), tmp_path)
+    drain(S.distinct_feedback(S_in, lateness="40 days").writeStream.format("parquet").option("path", out), tmp_path)
     got = spark.read.parquet(out)
     assert got.count() == got.select("recommendation_id").distinct().count() == fb.select("recommendation_id").distinct().count()
 
 
+def test_a_refused_first_row_does_not_hide_a_good_one(spark, sf, tmp_path):
+    fb = G._feedback(spark, sf).select("recorded_at", "feedback_id", "recommendation_id", "payload")
+    bad = fb.withColumn("recorded_at", F.col("recorded_at") - F.expr("INTERVAL 1 SECOND")).withColumn(
+        "feedback_id", F.concat(F.lit("bad-"), "feedback_id")).withColumn("payload", F.col("payload").withField("outcome", F.lit(None).cast("string")))
+    both = bad.unionByName(fb).orderBy("recorded_at")
+    receipts = G._receipts(spark, sf)
+    stream, out = landed(spark, both, str(tmp_path / "in"), files=1), str(tmp_path / "out")
+    drain(S.distinct_feedback(stream, receipts, "40 days").writeStream.format("parquet").option("path", out), tmp_path)
+    batch = FB.validate(both, receipts).where("rejected IS NULL")
+    ids = lambda df: sorted(r.recommendation_id for r in df.collect())
+    assert ids(spark.read.parquet(out)) == ids(batch) and batch.count() > 0
+    assert not any(r.feedback_id.startswith("bad-") for r in spark.read.parquet(out).collect())
+
+
 def test_running_signals_equal_batch(spark, sf, tmp_path):
     ev = G._usable(spark, sf).select("feedback_profile_id", "task_family", "configuration_id", "success")
     stream = landed(spark, ev, str(tmp_path / "in"))
