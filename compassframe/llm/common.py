@@ -47,14 +47,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left") -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left", few: bool | None = None) -> DataFrame:
     """Joins a written table on columns that may be null; broadcast only if its counted rows are few.
 
-    Beyond BROADCAST_ROWS it is a shuffled join, whose hot keys adaptive execution splits.
+    Beyond BROADCAST_ROWS it is a shuffled join, whose hot keys adaptive execution splits. A caller whose rows are
+    wide says itself whether they are few.
     """
     on = list(on)
     side = small.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in small.columns if c not in on])
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few if few is not None else small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     condition = None
     for c in on:

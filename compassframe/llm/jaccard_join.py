@@ -26,8 +26,10 @@ from compassframe.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 3, 4  # words of a shingle; a similarity of 3/4
 BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 512
-#: Pairs with one hub that one task compares.
-PAIRS_PER_HUB = 2_000
+#: Bytes of sets in a block of a verification tile; a tile has two blocks.
+BLOCK_BYTES = 8 << 20
+#: Bytes of signatures that may be broadcast to pairs.
+WIDE_BYTES = 64 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -50,10 +52,22 @@ def needed(n: np.ndarray | int):
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def signature(x: np.ndarray) -> np.ndarray:
-    """Parity bits: sets differ in at least as many elements as their signatures in bits."""
-    bits = np.bincount((x >> np.uint64(7)) & np.uint64(SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def signature(x: np.ndarray, bits: int = SIGNATURE_BITS) -> np.ndarray:
+    """Parity bits: sets differ in at least as many elements as their signatures of one length in bits."""
+    odd = np.bincount((x >> np.uint64(7)) & np.uint64(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def wide_signature(x: np.ndarray) -> np.ndarray:
+    """A signature of at least two bits an element, as many as tell sets of that size apart."""
+    return signature(x, max(SIGNATURE_BITS, 1 << (2 * len(x) - 1).bit_length()))
+
+
+def folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """The signature with fewer bits of the same set."""
+    while len(bits) > length:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def enough(overlap, size_a, size_b):
@@ -171,76 +185,92 @@ def _with_end(batches):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
-    """cid, n, signature (bits) and, if full, sorted shingles for the rows of wanted: cid and one doc_id that has it."""
+    """cid, n and, if full, sorted shingles, else signatures (bits, wide) for the rows of wanted: cid and a doc_id of it."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, ns, bits, sets = [], [], [], []
+            cids, ns, bits, wide, sets = [], [], [], [], []
             for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = lowered_words(text)
                 if words and content_id(words) == cid:  # ids that several texts share meet several cids
                     x = shingle_set(words)
                     cids.append(cid)
                     ns.append(len(x))
-                    bits.append(signature(x).tobytes())
+                    bits.append(None if full else signature(x).tobytes())
+                    wide.append(None if full else wide_signature(x).tobytes())
                     sets.append(x.tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())],
-                ["cid", "n", "bits", "shingles"])
+                [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(c, pa.binary()) for c in (bits, wide, sets)]],
+                ["cid", "n", "bits", "wide", "shingles"])
 
     found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner").select("cid", "text")
-    return found.mapInArrow(build, "cid bigint, n int, bits binary, shingles binary")
+    return found.mapInArrow(build, "cid bigint, n int, bits binary, wide binary, shingles binary")
 
 
 def passing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose signatures leave room for a link."""
-    end = lambda c: signatures.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = attach(attach(pairs, end("a"), ["a"], "inner"), end("b"), ["b"], "inner")
+    """Those of the pairs a, b whose wide signatures leave room for a link."""
+    size = signatures.agg(F.coalesce(F.sum(F.octet_length("wide")), F.lit(0))).first()[0]
+    end = lambda c: signatures.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs
+    for c in ("a", "b"):
+        both = attach(both, end(c), [c], "inner", few=size <= WIDE_BYTES)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
-                    for c in ("bits_a", "bits_b")]
-            n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            stays = pa.array(enough((n[0] + n[1] - differ) // 2, *n))
-            yield batch.select(["a", "b"]).filter(stays)
+            stays = []
+            for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b")], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                length = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, length) ^ folded(y, length)).sum())
+                stays.append(enough((n + m - differ) // 2, n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a bigint, b bigint")
+    return both.select("a", "b", "n_a", "wide_a", "n_b", "wide_b").mapInArrow(bound, "a bigint, b bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs a, b that link, by exact intersection.
 
-    Only sets in pairs are built, and a hub's set travels once for PAIRS_PER_HUB of its pairs.
+    Pairs are gathered by the component of the pairs' own graph, cut into blocks of BLOCK_BYTES of sets: a set
+    travels once for each pair of blocks it has pairs in, not once for each pair. Only sets in pairs are built.
     """
     pairs = scratch.put(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = scratch.put(sets_of(docs, scratch.put(ends.join(first, "cid"), f"{name}-wanted"), True), f"{name}-sets")
-    parts = scratch.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_HUB)).cast("int").alias("parts")), f"{name}-hubs")
-    split = attach(pairs, parts, ["a"], "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    split = scratch.put(split.select("a", "part", "b"), f"{name}-parts")
-    rows = attach(sets.withColumnRenamed("cid", "b"), split, ["b"], "inner").select("a", "part", "b", "n", "shingles")
-    hubs = attach(sets.withColumnRenamed("cid", "a"), parts, ["a"], "inner").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "n", "shingles")
+    family = scratch.put(components(pairs, scratch, f"{name}-family"), f"{name}-families").withColumnsRenamed({"node": "cid"})
+    nodes = scratch.put(family.join(first, "cid"), f"{name}-nodes")
+    parts = nodes.groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias("parts"))
+    placed = attach(nodes, scratch.put(parts, f"{name}-parts"), ["root"], "inner").select(
+        "cid", "root", F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1))).cast("int").alias("block"))
+    placed = scratch.put(placed, f"{name}-placed")
+    of = lambda c: placed.select(F.col("cid").alias(c), "root", F.col("block").alias(f"block_{c}"))
+    both = attach(attach(pairs, of("a"), ["a"], "inner"), of("b").drop("root"), ["b"], "inner")
+    dealt = scratch.put(both.select("root", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"),
+                                    "a", "b"), f"{name}-dealt")
+    tile = ["root", "x", "y"]
+    needs = dealt.select(*tile, F.col("a").alias("cid")).union(dealt.select(*tile, "b")).distinct()
+    sets = sets_of(docs, nodes.select("cid", "doc_id"), True).select("cid", "shingles")
+    rows = attach(sets, scratch.put(needs, f"{name}-needs"), ["cid"], "inner").select(
+        *tile, F.col("cid").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_n = None, 0
+        now, have = None, {}
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("a", "b", "n", "shingles")]
-            for a, b, n, shingles in zip(*columns, strict=True):
-                x = np.frombuffer(shingles, np.uint64)
+            columns = [batch.column(c).to_pylist() for c in (*tile, "a", "b", "shingles")]
+            for root, x, y, a, b, shingles in zip(*columns, strict=True):
+                if (root, x, y) != now:
+                    now, have = (root, x, y), {}
                 if b is None:
-                    hub, hub_n = x, n
+                    have[a] = np.frombuffer(shingles, np.uint64)
                     continue
-                both = np.sort(np.concatenate([hub, x]), kind="stable")
-                if enough(int((both[1:] == both[:-1]).sum()), hub_n, n):
+                one, other = have[a], have[b]
+                both = np.sort(np.concatenate([one, other]), kind="stable")
+                if enough(int((both[1:] == both[:-1]).sum()), len(one), len(other)):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    dealt = rows.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return scratch.put(dealt.mapInArrow(compare, "a bigint, b bigint"), f"{name}-links")
+    together = rows.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    sorted_ = together.repartition(*tile).sortWithinPartitions(*tile, F.asc_nulls_first("b"))
+    return scratch.put(sorted_.mapInArrow(compare, "a bigint, b bigint"), f"{name}-links")
 
 
 def open_pairs(open_tiles: DataFrame) -> DataFrame:
@@ -296,9 +326,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tokens = prefix_tokens(docs, counts)
     met = scratch.put(tiles(tokens.repartition("token").sortWithinPartitions("token", "n", "cid")), "tiles")
 
-    first = meta.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    first = meta.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     first = scratch.put(met.select("cid").distinct().join(first, "cid"), "wanted")
-    signatures = scratch.put(sets_of(docs, first, False).drop("shingles").dropDuplicates(["cid"]), "signatures")
+    signatures = scratch.put(sets_of(docs, first.drop("n"), False).drop("shingles").dropDuplicates(["cid"]), "signatures")
 
     near = F.least("n", "hub_n") * DENOMINATOR >= F.greatest("n", "hub_n") * NUMERATOR
     star = met.where((F.col("hub") != F.col("cid")) & near).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
@@ -311,7 +341,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     still = labelled.join(several.select("tile"), "tile", "left_semi")
     still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner")
-    more = verified(docs, open_pairs(still).join(star, ["a", "b"], "left_anti"), first, scratch, "rest")
+    more = scratch.put(open_pairs(still).join(star, ["a", "b"], "left_anti"), "open")
+    more = verified(docs, passing(more, signatures), first, scratch, "rest")
+    for name in ("tiles", "labelled", "signatures"):
+        scratch.drop(name)
     roots = scratch.put(components(links.unionByName(more), scratch, "two"), "roots2")
 
     placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"]).withColumn(

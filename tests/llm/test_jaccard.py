@@ -69,12 +69,17 @@ def test_small_tiles_and_hubs_give_the_same(spark, small, family, monkeypatch):
     assert got_of(small(family).repartition(5)) == brute(family)
 
 
-def test_signature_bound_never_cuts_a_link(family):
+def test_signature_bounds_never_cut_a_link(family):
     s = [jaccard_join.shingle_set(words(t)) for _, t in family]
-    for i in range(0, len(s), 3):
-        for j in range(i):
-            differ = sum(int(x).bit_count() for x in (jaccard_join.signature(s[i]).view("u8") ^ jaccard_join.signature(s[j]).view("u8")))
-            assert (len(s[i]) + len(s[j]) - differ) // 2 >= len(set(s[i].tolist()) & set(s[j].tolist()))
+    s.append(jaccard_join.shingle_set(words(prose(7, 4000, 10_000))))
+    for make in (jaccard_join.signature, jaccard_join.wide_signature):
+        bits = [make(x) for x in s]
+        for i in range(0, len(s), 3):
+            for j in range(i):
+                length = min(len(bits[i]), len(bits[j]))
+                x, y = (jaccard_join.folded(bits[k], length) for k in (i, j))
+                differ = sum(int(v).bit_count() for v in x ^ y)
+                assert (len(s[i]) + len(s[j]) - differ) // 2 >= len(set(s[i].tolist()) & set(s[j].tolist()))
 
 
 def test_one_of_each_group_stays(spark, small, family, odd):
