@@ -16,5 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op8_ngram_jaccard_join": jaccard_join.OP8_SQL,
 }

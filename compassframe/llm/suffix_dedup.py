@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ SPAN = LENGTH - GRAM + 1  # grams of a window
 BATCHES = 4
 PART_BYTES = 16 << 20
 #: Entries a task holds before it sends them on, and bytes that are hashed at once.
-HOLD, CHUNK = 1 << 18, 1 << 18
+HOLD, CHUNK = 1 << 16, 1 << 18
 #: Documents whose bytes are cut out at a time.
 CUT_ROWS = 500
 #: Rows (anchors to compare, or spans) that may be broadcast to the documents.
@@ -131,6 +130,7 @@ def row(part: int, kind: int, columns: list[np.ndarray]) -> dict:
 
 
 SCHEMA = "part int, kind int, batch int, a binary, b binary, c binary, d binary"
+ARROW = pa.schema([*[(c, pa.int32()) for c in ("part", "kind", "batch")], *[(c, pa.binary()) for c in BLOBS]])
 
 
 def batch_entries(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -146,10 +146,10 @@ def batch_entries(docs: DataFrame, n_parts: int) -> DataFrame:
         for a, b in zip(heads, np.r_[heads[1:], len(part)], strict=True):
             yield row(int(part[a]), LEVEL, [x[a:b] for x in (k, y, doc, pos)])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, chunk, size = [], 0, [], 0
-        for frame in batches:
-            for doc, dup, text in zip(frame["id"], frame["dup"], frame["text"], strict=True):
+        for batch in (b.slice(i, CUT_ROWS) for b in batches for i in range(0, b.num_rows, CUT_ROWS)):
+            for doc, dup, text in zip(*[batch.column(c).to_pylist() for c in ("id", "dup", "text")], strict=True):
                 for at, raw in pieces(text.encode("utf-8", "surrogatepass") if text else b""):
                     if size + len(raw) > CHUNK:
                         held.append(runs(chunk))
@@ -158,14 +158,14 @@ def batch_entries(docs: DataFrame, n_parts: int) -> DataFrame:
                     chunk.append((doc, (dup << _DUP) + at, raw))
                     size += len(raw)
             if n > HOLD:
-                yield pd.DataFrame(send(held))
+                yield pa.RecordBatch.from_pylist(list(send(held)), ARROW)
                 held, n = [], 0
         if chunk:
             held.append(runs(chunk))
         if held:
-            yield pd.DataFrame(send(held))
+            yield pa.RecordBatch.from_pylist(list(send(held)), ARROW)
 
-    return docs.select("id", "dup", "text").mapInPandas(scan, SCHEMA)
+    return docs.select("id", "dup", "text").mapInArrow(scan, SCHEMA)
 
 
 def merge_scan(merge: frozenset[int], newest: int, keep: bool):
@@ -174,14 +174,15 @@ def merge_scan(merge: frozenset[int], newest: int, keep: bool):
     Returns the entries of the new level (the batch's first of each content and those of the levels in merge), spans
     of runs that occur earlier, and the entries of anchors where contents differ and something is new.
     """
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        part, out = int(frame["part"].iloc[0]), [r for r in frame[frame["kind"] == SPANS].to_dict("records")]
-        entries = frame[frame["kind"] == LEVEL]
-        if not len(entries):
-            return pd.DataFrame(out, columns=["part", "kind", "batch", *BLOBS])
-        read = lambda c, kind: [unpack(x, kind) for x in entries[c]]
+    def scan(table: pa.Table) -> pa.Table:
+        part, kinds = table.column("part")[0].as_py(), np.array(table.column("kind").to_pylist())
+        out = table.take(np.flatnonzero(kinds == SPANS)).to_pylist()
+        entries = table.take(np.flatnonzero(kinds == LEVEL))
+        if not entries.num_rows:
+            return pa.Table.from_pylist(out, ARROW)
+        read = lambda c, kind: [unpack(x, kind) for x in entries.column(c).to_pylist()]
         keys = read("a", np.uint64)
-        level = np.repeat(entries["batch"].to_numpy(), [len(x) for x in keys])
+        level = np.repeat(np.array(entries.column("batch").to_pylist()), [len(x) for x in keys])
         k, y, doc, pos = np.concatenate(keys), *(np.concatenate(read(c, t)) for c, t in (("b", np.uint64), ("c", np.int64), ("d", np.int64)))
         k, y, doc, pos, level = ordered(k, y, doc, pos, level)
         same = (k[1:] == k[:-1]) & (y[1:] == y[:-1])
@@ -199,7 +200,7 @@ def merge_scan(merge: frozenset[int], newest: int, keep: bool):
         stays = np.isin(level, [*merge, newest])
         if keep and stays.any():
             out.append(row(part, LEVEL, [x[stays] for x in (k, y, doc, pos)]))
-        return pd.DataFrame(out, columns=["part", "kind", "batch", *BLOBS])
+        return pa.Table.from_pylist(out, ARROW)
 
     return scan
 
@@ -225,7 +226,7 @@ class IndexFamily:
         rows = batch_entries(docs, self.n_parts).withColumn("batch", F.lit(self.added))
         for b in scanned:
             rows = rows.unionByName(self._made(b, LEVEL).withColumn("batch", F.lit(b)))
-        found = rows.groupBy("part").applyInPandas(merge_scan(frozenset(merge), self.added, not last), SCHEMA)
+        found = rows.groupBy("part").applyInArrow(merge_scan(frozenset(merge), self.added, not last), SCHEMA)
         found.write.partitionBy("kind").parquet(f"{self.scratch.folder}/batch{self.added}")
         self.levels.append((size, self.added))
         for b in merge:
@@ -373,3 +374,20 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES, with_bytes: bool =
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, i) > 1),
+edge AS (SELECT doc_id, i, coalesce(i > 100 + max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM again),
+runs AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN g.b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (g.b - a)) END, '' ORDER BY a) AS k
+  FROM gaps g JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS c, sum(b - a) AS r FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
