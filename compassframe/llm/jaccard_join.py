@@ -14,6 +14,7 @@ group of copies costs a comparison a member, not one a pair; no link that joins
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from compassframe.llm.common import Scratch, attach, documents, lowered_words
 from compassframe.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 3, 4  # words of a shingle; a similarity of 3/4
-BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 512
+BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 256
 #: Bytes of sets in a block of a verification tile; a tile has two blocks.
 BLOCK_BYTES = 8 << 20
 #: Bytes of signatures that may be broadcast to pairs.
@@ -273,6 +274,12 @@ def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, scratch: Scrat
     return scratch.put(sorted_.mapInArrow(compare, "a bigint, b bigint"), f"{name}-links")
 
 
+@lru_cache(maxsize=32)
+def all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of n, at most 2 * TILE of them in a tile."""
+    return np.triu_indices(n, 1)
+
+
 def open_pairs(open_tiles: DataFrame) -> DataFrame:
     """Pairs of a tile in different components that the signatures let pass; rows of tile, side, n, cid, root, bits."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +298,17 @@ def open_pairs(open_tiles: DataFrame) -> DataFrame:
             pairs = []
             for head, end in zip(heads, ends, strict=True):
                 side, n, cid, root, bits = (rest[c][head:end] for c in ("side", "n", "cid", "root", "bits"))
-                across = side.any()
-                for i in np.flatnonzero(side == 0):
-                    j = np.flatnonzero(side == 1) if across else np.arange(i + 1, end - head)
-                    j = j[(root[j] != root[i]) & (DENOMINATOR * np.minimum(n[j], n[i]) >= NUMERATOR * np.maximum(n[j], n[i]))]
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    j = j[enough((n[j].astype(np.int64) + n[i] - differ) // 2, n[j].astype(np.int64), n[i])]
-                    if len(j):
-                        pairs.append(np.stack([np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])]))
+                i, j = all_pairs(end - head)
+                open_ = root[i] != root[j]
+                if side.any():
+                    open_ &= side[i] != side[j]
+                open_ &= DENOMINATOR * np.minimum(n[i], n[j]) >= NUMERATOR * np.maximum(n[i], n[j])
+                i, j = i[open_], j[open_]
+                if len(i):
+                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    stays = enough((n[i].astype(np.int64) + n[j] - differ) // 2, n[i].astype(np.int64), n[j])
+                    i, j = cid[i[stays]], cid[j[stays]]
+                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
             if batch is not None and len(ends):
                 rest = {c: x[ends[-1] :] for c, x in rest.items()}
             if pairs:
