@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from compassframe.llm.common import Scratch, attach, documents
+from compassframe.llm.common import Scratch, attach, documents, small_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -226,8 +226,10 @@ class IndexFamily:
         rows = batch_entries(docs, self.n_parts).withColumn("batch", F.lit(self.added))
         for b in scanned:
             rows = rows.unionByName(self._made(b, LEVEL).withColumn("batch", F.lit(b)))
-        found = rows.groupBy("part").applyInArrow(merge_scan(frozenset(merge), self.added, not last), SCHEMA)
-        found.write.partitionBy("kind").parquet(f"{self.scratch.folder}/batch{self.added}")
+        # one part a task: blobs are large, and parts put together would be held together
+        found = rows.repartition(self.n_parts, "part").groupBy("part").applyInArrow(merge_scan(frozenset(merge), self.added, not last), SCHEMA)
+        with small_batches(self.scratch.spark):
+            found.write.partitionBy("kind").parquet(f"{self.scratch.folder}/batch{self.added}")
         self.levels.append((size, self.added))
         for b in merge:
             self.scratch.drop(f"batch{b}/kind={LEVEL}")
@@ -341,7 +343,9 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES, with_bytes: bool =
         family.add(batch if high is None else batch.where(F.col("id") <= high), last=i == len(edges))
     spots = family.found(OPEN, "k bigint, y bigint, id bigint, pos bigint", ["k", "y", "id", "pos"])
     whole = family.found(SPANS, "id bigint, start bigint, end bigint", ["id", "start", "end"])
-    spans = scratch.put(whole.unionByName(open_spans(rows, spots, scratch)), "spans")
+    spans = whole.unionByName(open_spans(rows, spots, scratch))
+    with small_batches(docs.sparkSession):
+        spans = scratch.put(spans, "spans")
     by_doc = spans.groupBy("id", F.shiftright("start", _DUP).cast("int").alias("dup")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
 
