@@ -277,9 +277,9 @@ def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame
             ids, starts, ends = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("k", "reach", "id", "pos", "bytes")]
             for k, reach, doc, pos, raw in zip(*columns, strict=True):
-                if (k, doc, pos) == last:  # a repeated row
+                if (k, doc, pos, reach) == last:  # a repeated row; a run over a cut of pieces() has two reaches
                     continue
-                last = k, doc, pos
+                last = k, doc, pos, reach
                 if k != now:
                     now, seen = k, set()
                 left = reach >> 8
@@ -297,7 +297,7 @@ def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame
 
     cuts = joined.where("spots IS NOT NULL").select("id", "text", "spots").mapInArrow(
         cut, "k bigint, reach bigint, id bigint, pos bigint, bytes binary")
-    dealt = cuts.repartition("k").sortWithinPartitions("k", "id", "pos")
+    dealt = cuts.repartition("k").sortWithinPartitions("k", "id", "pos", "reach")
     return dealt.mapInArrow(compare, "id bigint, start bigint, end bigint")
 
 

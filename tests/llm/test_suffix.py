@@ -71,6 +71,19 @@ def test_long_texts_are_cut_and_joined(spark, small, monkeypatch):
     check(small(docs), docs)
 
 
+def test_repeats_at_the_cuts_of_long_texts(spark, small):
+    """Single passages, so that no neighbouring repeat covers a run that is cut in two."""
+    cut, docs = suffix_dedup.CHUNK // 2 - 99, []
+    for i in range(10):
+        text = prose(20 + i, 24_000, 100_000)
+        assert len(text) > cut + 300
+        n = 101 + 8 * i
+        a = cut - (n - 99) // 2
+        docs += [(100 + i, text), (i if i % 2 else 200 + i, f"<{text[a : a + n]}>")]
+    docs.sort()
+    check(small(docs).repartition(4), docs)
+
+
 def test_levels_merge_geometrically(spark, small):
     from compassframe.llm.common import Scratch
     docs = suffix_dedup.identified(small([(i, prose(i, 50)) for i in range(24)]), Scratch(spark, "t"))
