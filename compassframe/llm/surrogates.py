@@ -2,7 +2,8 @@
 
 E-mail addresses, phone and card numbers, IPv4 addresses, secrets and names after a title are found in whole texts.
 A replacement is drawn by a keyed hash of type and entity: digits for digits, letters of the same script for letters,
-given names of the title's gender. Draws are checked over all entities of the corpus: two entities never share a
+given names of the gender that any of the person's titles tells. Names without a title are found where a title
+names them elsewhere in the text. Draws are checked over all entities of the corpus: two entities never share a
 replacement and none is an entity that occurs; those that clash draw again. Mentions that differ in case or
 punctuation are one entity and keep their own form.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,49 +39,105 @@ ALPHABETS = {
     "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
 }
 DIGITS = "0123456789"
+#: Letters whose given names come from GIVEN; other scripts and initials get letters like their own.
+NAMED = frozenset(chr(x) for x in (*range(0x61, 0x250), *range(0x400, 0x530)))
 _CLASS = {c: a for a in ALPHABETS.values() for c in a} | {c: DIGITS for c in DIGITS}
 
-EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++")
+#: Phones: an area code set apart; + and pairs or any groups; a trunk 0 and pairs or digits alone; ten digits as in NANP.
 NUMBER = re.compile(r"(?<![\w.+])(?:(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
-                    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4})(?![\w-]))")
-SECRET = re.compile(r"(?i)(?<!\w)(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[\w+/.-]{8,200})")
-NAME = re.compile(rf"(?<!\w)(?:(?P<m>{MASCULINE})|(?P<f>{FEMININE})|(?P<n>{NEUTRAL}))\.?[ ]"
-                  r"(?P<names>[^\W\d_a-z]\w{1,30}(?:[ -][^\W\d_a-z]\w{1,30}){0,2})")
+                    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"
+                    r"|\+\d{7,15}|(?:\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\d|0\d)(?:[ .-]\d{2}){4}|\+\d(?:[ .()-]{0,2}\d){6,14}"
+                    r"|(?<![/-])(?:1?[2-9]\d{2}[2-9]\d{6}|0[1-9]\d{8,9}))(?![\w-]))")
+#: A secret in quotes goes up to the quote, others as far as their characters do.
+SECRET = re.compile(r"(?i)(?<!\w)(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s{0,3}[=:]\s{0,3}"
+                    r"(?:[\"'](?P<quoted>[^\s\"']{8,}+)(?=[\"'])|[\"']?(?P<secret>[\w+/.~-]{8,}+={0,2}))")
+_MARKS = "".join(chr(x) for x in range(0x300, 0x20000) if unicodedata.category(chr(x))[0] == "M")
+#: A word of a name: letters with their marks, O'Neil but not Neil's.
+PART = re.compile(rf"[^\W\d_][\w{_MARKS}]*+(?:['’](?!s\b)[^\W\d_][\w{_MARKS}]*+)*+")
+#: What stands between the words of a name, with the small words that belong to it.
+BETWEEN = re.compile(r"(?:[ -]|\.[ ]?)(?:(?:van|von|vom|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|zu|zur|af|av|y)[ -])*+")
 HINT = re.compile(r"[\d@]|token|secret|password|passwd|key", re.IGNORECASE)
-TITLE = re.compile(rf"(?<!\w)(?:{MASCULINE}|{FEMININE}|{NEUTRAL})\.? ")
+TITLE = re.compile(rf"(?<!\w)(?:(?P<m>{MASCULINE})|(?P<f>{FEMININE})|(?P<n>{NEUTRAL}))\.? ")
 
 Mention = tuple[int, int, str, str]  # start, end, kind, entity
 
 
-def detect(text: str | None) -> list[Mention]:
-    """Mentions in order, without overlaps; at the same place the kind named first in the list below wins."""
+def lowercase(c: str) -> bool:
+    return c.islower() and c.upper() != c
+
+
+def titled(text: str) -> Iterator[tuple[str, list[re.Match]]]:
+    """Gender of each title and the words of the name after it, to the name's end.
+
+    A name ends before a small letter; where letters have no case, at the end of the words.
+    """
+    at = 0
+    while m := TITLE.search(text, at):
+        parts, at = [], m.end()
+        start = at
+        while (p := PART.match(text, start)) and not lowercase(p.group()[0]):
+            if text[p.end() : p.end() + 1] == "." and TITLE.match(text, start):  # of a next title
+                break
+            initial = len(p.group()) == 1 and p.group().isupper()
+            if initial and text[p.end() : p.end() + 1] != ".":
+                break
+            parts.append(p)
+            at = p.end()
+            between = BETWEEN.match(text, at)
+            if not between or (between.group()[0] == "." and not initial):
+                break
+            start = between.end()
+        if parts:
+            yield next(g for g in "mfn" if m.group(g)), parts
+
+
+def names(text: str) -> list[tuple[int, int, str, str, str]]:
+    """Names after a title: start, end, kind, entity, person (the whole name)."""
+    found = {}
+    for gender, parts in titled(text):
+        person = " ".join(p.group().lower() for p in parts)
+        for i, p in enumerate(parts):
+            kind = f"given_{gender}" if i == 0 and len(parts) > 1 else "family"
+            word = p.group().lower()
+            found[p.start()] = (p.start(), p.end(), kind, word, person)
+    return list(found.values())
+
+
+def persons(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """Mentions with the person they belong to (empty but for names), in order and without overlaps.
+
+    Of those that start together the longest wins, then the kind named first in the list below.
+    """
     if not text:
         return []
-    found: list[Mention] = []
+    found: list[tuple[int, int, str, str, str]] = []
     if HINT.search(text):
-        found += [(*m.span(), "email", m.group().lower()) for m in EMAIL.finditer(text)] if "@" in text else []
-        found += [(*m.span("secret"), "secret", m.group("secret")) for m in SECRET.finditer(text)]
+        found += [(*m.span(), "email", m.group().lower(), "") for m in EMAIL.finditer(text)] if "@" in text else []
+        for m in SECRET.finditer(text):
+            which = "quoted" if m.group("quoted") else "secret"
+            if any(c.isalnum() for c in m.group(which)):
+                found.append((*m.span(which), "secret", m.group(which), ""))
         for m in NUMBER.finditer(text):
             kind = m.lastgroup
             if kind == "ip" and all(int(x) < 256 for x in m.group().split(".")):
-                found.append((*m.span(), "ip", m.group()))
+                found.append((*m.span(), "ip", m.group(), ""))
             elif kind in ("card", "phone") and (kind == "card" or 7 <= sum(c.isdigit() for c in m.group()) <= 15):
-                found.append((*m.span(), kind, "".join(c for c in m.group() if c.isdigit())))
+                found.append((*m.span(), kind, "".join(c for c in m.group() if c.isdigit()), ""))
     if TITLE.search(text):
-        for m in NAME.finditer(text):
-            gender, at = next(g for g in "mfn" if m.group(g)), m.start("names")
-            parts = list(re.finditer(r"\w+", m.group("names")))
-            for i, p in enumerate(parts):
-                given = i == 0 and len(parts) > 1
-                found.append((at + p.start(), at + p.end(), f"given_{gender}" if given else "family", p.group().lower()))
-    found.sort(key=lambda x: x[:2])
-    out: list[Mention] = []
+        found += names(text)
+    found.sort(key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int, str, str, str]] = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
     return out
 
 
+def detect(text: str | None) -> list[Mention]:
+    return [m[:4] for m in persons(text)]
+
+
 class Stream:
     """Numbers from a keyed hash."""
 
@@ -117,14 +175,14 @@ def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
         new = str(1 + s.below(9)) + alike(entity[1:]) + alike("0" * longer)
         return new[:-1] + next(d for d in DIGITS if luhn(new[:-1] + d) == 0) if luhn(entity) == 0 else new
     if kind == "phone":
-        keep = max(0, len(entity) - 10)  # the country code
+        keep = max(0, len(entity) - 10, entity[0] == "0")  # the country code, or a trunk 0
         return entity[:keep] + str(2 + s.below(8)) + alike(entity[keep + 1 :]) + alike("0" * longer)
     if kind == "email":
         name, _, domain = entity.partition("@")
         host, _, top = domain.rpartition(".")
         return f"{alike(name)}{alike('a' * longer)}@{alike(host)}.{top}"
     script = "cyrillic" if any(c in ALPHABETS["cyrillic"] for c in entity) else "latin"
-    pool = GIVEN.get((kind[-1], script)) if kind.startswith("given") and entity[0] not in ALPHABETS["greek"] else None
+    pool = GIVEN.get((kind[-1], script)) if kind.startswith("given") and entity[0] in NAMED and len(entity) > 1 else None
     if pool:
         vowels = "аеио" if script == "cyrillic" else "aeio"
         rest = "".join(ALPHABETS[script][s.below(20)] + vowels[s.below(4)] for _ in range(attempt))
@@ -162,7 +220,8 @@ def drawn(entities: DataFrame, attempt: int, key: str) -> DataFrame:
 
 
 def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """kind, entity, surrogate for distinct entities; surrogates are distinct in a kind and none is an entity.
+    """kind, entity, surrogate for distinct entities; surrogates are distinct in a kind and none is or holds its entity
+    or is another.
 
     In each round the surrogates drawn are compared with all entities and all accepted ones; of those that meet at
     one, the entity first in order has it. What is left draws again, with ever more forms to draw from.
@@ -182,6 +241,12 @@ def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
             return accepted
 
 
+def keyed(mention: tuple[int, int, str, str, str]) -> tuple[str, str, str]:
+    """kind, entity, and of given names the person, whose gender other mentions may tell."""
+    *_, kind, entity, person = mention
+    return kind, entity, person if kind.startswith("given") else ""
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """One row per row of docs: doc_id, n_mentions, kinds (kind:number, comma-joined) and text with surrogates.
 
@@ -194,19 +259,22 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, kinds, names = [], [], []
+            at, kinds, names, people = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for kind, entity in sorted({m[2:] for m in detect(text)}):
+                for kind, entity, person in sorted({keyed(m) for m in persons(text)}):
                     at.append(i)
                     kinds.append(kind)
                     names.append(entity)
+                    people.append(person)
             picked = batch.select(row).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(kinds, pa.string()), pa.array(names, pa.string())], [*row, "kind", "entity"])
+            yield pa.RecordBatch.from_arrays(
+                [*picked.columns, *[pa.array(x, pa.string()) for x in (kinds, names, people)]], [*row, "found", "entity", "person"])
 
-    mentions = scratch.put(rows.mapInArrow(find, f"doc_id {id_type}, text_hash bigint, kind string, entity string"), "mentions")
+    mentions = scratch.put(rows.mapInArrow(find, f"doc_id {id_type}, text_hash bigint, found string, entity string, person string"), "found")
+    mentions = mentions.withColumn("kind", F.col("found"))
     mapping = assign(scratch.put(mentions.select("kind", "entity").distinct(), "entities"), scratch, key)
     wanted = mentions.join(scratch.put(mapping, "mapping"), ["kind", "entity"]).groupBy(*row).agg(
-        F.collect_set(F.struct("kind", "entity", "surrogate")).alias("news"))
+        F.collect_set(F.struct("found", "entity", "person", "kind", "surrogate")).alias("news"))
     wanted = scratch.put(wanted, "wanted")
     few = mentions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
@@ -219,10 +287,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         for batch in batches:
             counts, kinds, texts = [], [], []
             for text, news in zip(batch.column("text").to_pylist(), batch.column("news").to_pylist(), strict=True):
-                new = {(x["kind"], x["entity"]): x["surrogate"] for x in news or []}
+                new = {(x["found"], x["entity"], x["person"]): (x["kind"], x["surrogate"]) for x in news or []}
                 seen, out, end = {}, [], 0
-                for a, b, kind, entity in detect(text) if new else []:
-                    out += [text[end:a], render(text[a:b], kind, new[kind, entity])]
+                for m in persons(text) if new else []:
+                    a, b, (kind, other) = m[0], m[1], new[keyed(m)]
+                    out += [text[end:a], render(text[a:b], kind, other)]
                     end = b
                     seen[kind] = seen.get(kind, 0) + 1
                 texts.append("".join([*out, text[end:]]) if out else text)

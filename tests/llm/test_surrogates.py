@@ -1,3 +1,5 @@
+import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -73,6 +75,34 @@ def test_corpus_is_coherent_and_clean_texts_stay(spark, small, odd):
     assert rows_of(surrogates.pseudonymise(small(docs).limit(0))) == []
 
 
+@pytest.mark.parametrize("n", [8, 90, 400, 3000])
+def test_nothing_of_a_planted_entity_is_left(spark, small, n):
+    rng = random.Random(n)
+    some = lambda k: "".join(rng.choice("bcdfghjkmnpqrtvwxz23456789") for _ in range(k))
+    secrets, host = [some(n), f"{some(n)}.{some(n)}-{some(n)}"], some(n)
+    plants = [f"token={secrets[0]}", f"api_key: '{secrets[1]}'", f'password="{secrets[0]}!{secrets[1]}"', f"mail {secrets[0]}@{host}.{some(5)}.org now",
+              "Mr. " + " ".join("X" + some(n).translate(dict.fromkeys(range(48, 58), "q")) for _ in range(6)) + " said"]
+    got = {r.doc_id: r.text for r in rows_of(surrogates.pseudonymise(small(list(enumerate(plants)))))}
+    for i, plant in enumerate(plants):
+        assert not [w for w in re.findall(r"\w{5,}", plant) if w in got[i] and w not in ("token", "api_key", "password")], plant
+
+
+def test_phone_forms():
+    for phone in ("+14155552671", "4155552671", "06 12 34 56 78", "+33 6 12 34 56 78", "0612345678", "+49 30 1234567", "+1 (415) 555-2671"):
+        found = surrogates.detect(f"call {phone}, please")
+        assert [(k, f"call {phone}, please"[a:b]) for a, b, k, _ in found] == [("phone", phone)]
+    for plain in ("1700000000 seconds", "1999-12-31", "12 34 56 78 90", "build-4155552671"):
+        assert surrogates.detect(plain) == []
+
+
+def test_names_go_to_their_end():
+    text = "Dr. Ludwig J. van Beethoven-Maier O'Neil Smith came. Smith's friend met Ludwig and Mr. Neil; smith stays."
+    assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == [
+        "Ludwig", "J", "Beethoven", "Maier", "O'Neil", "Smith", "Neil"]
+    text = "Dr. 王小明，王小明说。 Herr Dr. Şükrü Łoś, г-н Пётр пошёл. Mr. Jose\u0301 Don."
+    assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == ["王小明", "Şükrü", "Łoś", "Пётр", "Jose\u0301", "Don"]
+
+
 @pytest.mark.parametrize("n", [50_000])
 def test_detection_is_linear_in_hard_texts(n):
     import time
