@@ -14,6 +14,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,15 +94,30 @@ def titled(text: str) -> Iterator[tuple[str, list[re.Match]]]:
 
 
 def names(text: str) -> list[tuple[int, int, str, str, str]]:
-    """Names after a title: start, end, kind, entity, person (the whole name)."""
-    found = {}
+    """Names after a title and all repeats of their words: start, end, kind, entity, person (the whole name)."""
+    found, first = {}, {}
     for gender, parts in titled(text):
         person = " ".join(p.group().lower() for p in parts)
         for i, p in enumerate(parts):
             kind = f"given_{gender}" if i == 0 and len(parts) > 1 else "family"
             word = p.group().lower()
             found[p.start()] = (p.start(), p.end(), kind, word, person)
-    return list(found.values())
+            first.setdefault(word, found[p.start()])
+    out, last = list(found.values()), {}
+    if not out:
+        return out
+    caseless = [w for w in first if len(w) > 1 and w.upper() == w]  # may stand inside of longer words
+    inside = re.compile("|".join(map(re.escape, sorted(caseless, key=len, reverse=True)))) if caseless else None
+    for p in PART.finditer(text):  # the last name before with that word, or else the first
+        word = p.group().lower()
+        if p.start() in found:
+            last[word] = found[p.start()]
+        elif like := last.get(word) or first.get(word):
+            if len(word) > 1 and not lowercase(p.group()[0]):
+                out.append((p.start(), p.end(), *like[2:]))
+        elif inside:
+            out += [(*m.span(), *(last.get(m.group()) or first[m.group()])[2:]) for m in inside.finditer(text, *p.span())]
+    return out
 
 
 def persons(text: str | None) -> list[tuple[int, int, str, str, str]]:
@@ -152,6 +168,24 @@ class Stream:
         return got % n
 
 
+@lru_cache(maxsize=1 << 16)
+def letters_like(c: str) -> str:
+    """What may stand for a letter or digit outside ALPHABETS: letters of its script and kind nearby in Unicode."""
+    if c.isdecimal():
+        return "".join(chr(ord(c) - int(c) + i) for i in range(10))
+    if not c.isalpha():
+        return DIGITS if c.isalnum() else ""
+    script = unicodedata.name(c, "").split(" ")[0]
+    return _letters(script, unicodedata.category(c), {"CJK": -1, "HANGUL": -2}.get(script, ord(c) >> 7))
+
+
+@lru_cache(maxsize=1 << 10)
+def _letters(script: str, category: str, block: int) -> str:
+    reach = {-1: range(0x4E00, 0x9FA6), -2: range(0xAC00, 0xD7A4)}.get(block, range(block << 7, (block + 1) << 7))
+    pool = [c for c in map(chr, reach) if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script]
+    return "".join(pool) if len(pool) > 1 else ALPHABETS["latin"]
+
+
 def luhn(digits: str) -> int:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -165,7 +199,7 @@ def surrogate(kind: str, entity: str, attempt: int, key: str = KEY) -> str:
     s = Stream(key, kind, entity, str(attempt))
 
     def alike(text: str, letters: dict[str, str] = _CLASS) -> str:
-        return "".join(a[s.below(len(a))] if (a := letters.get(c.lower())) else c for c in text)
+        return "".join(a[s.below(len(a))] if (a := letters.get(c.lower()) or letters_like(c)) else c for c in text)
 
     longer = max(0, attempt - 6)
     if kind == "ip":
@@ -232,7 +266,7 @@ def assign(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
         taken = entities.select("kind", F.col("entity").alias("surrogate"))
         if accepted is not None:
             taken = taken.union(accepted.select("kind", "surrogate"))
-        first = tried.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        first = tried.where(~(F.col("surrogate").contains(F.col("entity")) & (F.length("entity") > 1))).groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         won = scratch.put(first.join(taken.distinct(), ["kind", "surrogate"], "left_anti").select("kind", "entity", "surrogate"), f"won{attempt}")
         accepted = won if accepted is None else accepted.unionByName(won)
         left = scratch.put(tried.join(won, ["kind", "entity"], "left_anti").select("kind", "entity"), f"left{attempt}")
@@ -247,6 +281,19 @@ def keyed(mention: tuple[int, int, str, str, str]) -> tuple[str, str, str]:
     return kind, entity, person if kind.startswith("given") else ""
 
 
+def gendered(mentions: DataFrame, scratch: Scratch) -> DataFrame:
+    """mentions with kind: that found, but a title without gender takes it from the person's other titles in the corpus.
+
+    A person is a whole name; one with titles of both genders stays without.
+    """
+    has = lambda g: F.max(F.col("found") == f"given_{g}")
+    people = mentions.where("person <> ''").groupBy("person").agg(has("m").alias("m"), has("f").alias("f"), has("n").alias("n"))
+    told = people.where("n AND m <> f").select("person", F.when(F.col("m"), "given_m").otherwise("given_f").alias("told"))
+    joined = attach(mentions, scratch.put(told, "told"), ["person"])
+    return joined.select(*mentions.columns, F.when(F.col("found") == "given_n", F.col("told")).alias("told")).select(
+        *mentions.columns, F.coalesce("told", "found").alias("kind"))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """One row per row of docs: doc_id, n_mentions, kinds (kind:number, comma-joined) and text with surrogates.
 
@@ -271,7 +318,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
                 [*picked.columns, *[pa.array(x, pa.string()) for x in (kinds, names, people)]], [*row, "found", "entity", "person"])
 
     mentions = scratch.put(rows.mapInArrow(find, f"doc_id {id_type}, text_hash bigint, found string, entity string, person string"), "found")
-    mentions = mentions.withColumn("kind", F.col("found"))
+    mentions = scratch.put(gendered(mentions, scratch), "mentions")
     mapping = assign(scratch.put(mentions.select("kind", "entity").distinct(), "entities"), scratch, key)
     wanted = mentions.join(scratch.put(mapping, "mapping"), ["kind", "entity"]).groupBy(*row).agg(
         F.collect_set(F.struct("found", "entity", "person", "kind", "surrogate")).alias("news"))

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -95,12 +96,30 @@ def test_phone_forms():
         assert surrogates.detect(plain) == []
 
 
-def test_names_go_to_their_end():
+def test_names_go_to_their_end_and_repeats_without_a_title_too():
     text = "Dr. Ludwig J. van Beethoven-Maier O'Neil Smith came. Smith's friend met Ludwig and Mr. Neil; smith stays."
     assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == [
-        "Ludwig", "J", "Beethoven", "Maier", "O'Neil", "Smith", "Neil"]
+        "Ludwig", "J", "Beethoven", "Maier", "O'Neil", "Smith", "Smith", "Ludwig", "Neil"]
     text = "Dr. 王小明，王小明说。 Herr Dr. Şükrü Łoś, г-н Пётр пошёл. Mr. Jose\u0301 Don."
-    assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == ["王小明", "Şükrü", "Łoś", "Пётр", "Jose\u0301", "Don"]
+    assert [text[a:b] for a, b, *_ in surrogates.detect(text)] == ["王小明", "王小明", "Şükrü", "Łoś", "Пётр", "Jose\u0301", "Don"]
+
+
+def test_surrogates_of_any_script_hold_nothing_of_the_entity():
+    for name in ("王小明", "محمد", "שלום", "김철수", "शर्मा", "łoś", "şükrü", "пётр", "იოსებ"):
+        for attempt in (0, 3, 8):
+            new = surrogates.surrogate("family", name, attempt)
+            script = lambda c: unicodedata.name(c).split()[0]
+            assert name not in new and script(new[0]) == script(name[0])
+            assert sum(a == b for a, b in zip(name, new, strict=False) if a.isalpha()) <= len(name) / 2
+
+
+def test_a_person_has_one_given_name(spark, small):
+    docs = [(1, "Dr. Maria Lopez came."), (2, "Mrs. Maria Lopez left. Maria waved."), (3, "Dr. Chris Poe, Mr. Chris Poe, Ms. Chris Poe"), (4, "王 Dr. 王小明 said")]
+    text = {r.doc_id: r.text for r in rows_of(surrogates.pseudonymise(small(docs)))}
+    given = text[1].split()[1]
+    assert given.lower() in {x.lower() for x in surrogates.GIVEN["f", "latin"]}
+    assert text[2].split()[1] == given and text[2].split(". ")[2] == f"{given} waved."
+    assert "Chris" not in text[3] and "王小明" not in text[4]
 
 
 @pytest.mark.parametrize("n", [50_000])
