@@ -36,5 +36,15 @@ def test_every_template_names_its_family(spark, small):
     assert len(wrong) <= 1, wrong
 
 
+def test_unknown_sets_are_counted_over_the_corpus(spark, small):
+    docs = [(i, "talk of the town") for i in range(500)] + [(600 + i, f"x {t} y") for i, t in enumerate(
+        ["subject to the terms", "any person obtaining it", "a copy of this", "in all copies", "released under the bridge"])]
+    templates = licence_scan.Templates(spark)
+    rows = licence_scan.candidates(small(docs), templates.vocabulary)
+    assert sorted(r.n for r in rows_of(licence_scan.unknown_sets(rows, templates))) == [1, 1, 1, 1, 1, 500]
+    near = small([(1, "talk of the town\n\nthis copyright\n\nany person obtaining it"), (2, licence_scan.TEMPLATES["MIT"][4])])
+    assert rows_of(licence_scan.unknown_sets(licence_scan.candidates(near, templates.vocabulary), templates)) == []
+
+
 def test_empty_table(spark, small, odd):
     assert rows_of(licence_scan.scan(small(odd).limit(0))) == []
