@@ -36,6 +36,21 @@ def test_every_template_names_its_family(spark, small):
     assert len(wrong) <= 1, wrong
 
 
+def test_every_template_is_named_whatever_the_corpus(spark, small):
+    """Hot sets of pairs, licence lines without a licence word and wrapped notices do not blunt the model."""
+    docs = [(100 * f + i, f"{prose(i, 12)} {t} {prose(i + 1, 12)}") for f, name in enumerate(licence_scan.FAMILIES)
+            for i, t in enumerate(licence_scan.TEMPLATES[name])]
+    hot = [(10_000 + i, f"{prose(i, 9)} of the {prose(i + 1, 9)}") for i in range(3000)]
+    unmarked = [(20_000 + i, t) for i, t in enumerate([
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute",
+        "(at your option) any later version.", "This Source Code Form is subject to the terms of the Mozilla Public"] * 30)]
+    wrong = {}
+    for r in rows_of(licence_scan.scan(small(docs + hot + unmarked))):
+        if r.doc_id < 10_000 and r.licences != licence_scan.FAMILIES[r.doc_id // 100] or 10_000 <= r.doc_id < 20_000 and r.licences:
+            wrong[r.doc_id] = r.licences
+    assert wrong == {}
+
+
 def test_unknown_sets_are_counted_over_the_corpus(spark, small):
     docs = [(i, "talk of the town") for i in range(500)] + [(600 + i, f"x {t} y") for i, t in enumerate(
         ["subject to the terms", "any person obtaining it", "a copy of this", "in all copies", "released under the bridge"])]
