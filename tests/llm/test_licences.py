@@ -61,5 +61,16 @@ def test_unknown_sets_are_counted_over_the_corpus(spark, small):
     assert rows_of(licence_scan.unknown_sets(licence_scan.candidates(near, templates.vocabulary), templates)) == []
 
 
+def test_wrapped_notices_and_several_licences(spark, small):
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as\n"
+           "# published by the Free Software Foundation, either version 3 of the\n# License, or (at your option) any later version.\n")
+    lgpl = gpl.replace("GNU General Public License as\n# published", "GNU Lesser General Public\n# License as published").replace("program", "library")
+    docs = [(1, gpl), (2, lgpl), (3, "Dual licensed under the MIT License or licensed under the Apache License, Version 2.0"),
+            (4, f"{prose(1, 300)} Released under the MIT License. {prose(2, 300)} Licensed under CC BY-NC 4.0 {prose(3, 300)} all rights reserved"),
+            (5, "Released under\r\n  the MIT\r\n  License."), (6, "Released under the bridge\n\nthe MIT campus")]
+    found = {r.doc_id: r.licences for r in rows_of(licence_scan.scan(small(docs)))}
+    assert found == {1: "GPL", 2: "LGPL", 3: "Apache-2.0,MIT", 4: "CC-BY-NC,MIT,Proprietary", 5: "MIT", 6: ""}
+
+
 def test_empty_table(spark, small, odd):
     assert rows_of(licence_scan.scan(small(odd).limit(0))) == []
