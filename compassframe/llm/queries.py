@@ -1,6 +1,18 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from compassframe.llm import class_lm, decontamination, jaccard_join, licence_scan, linear_quality, mixing, sharding, suffix_dedup, surrogates, tree_quality
+from compassframe.llm import (
+    class_lm,
+    decontamination,
+    jaccard_join,
+    lexical_search,
+    licence_scan,
+    linear_quality,
+    mixing,
+    sharding,
+    suffix_dedup,
+    surrogates,
+    tree_quality,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,9 +25,11 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": linear_quality.op10_quality_classifier,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op8_ngram_jaccard_join": jaccard_join.OP8_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
