@@ -2,6 +2,7 @@
 
 from compassframe.llm import (
     class_lm,
+    conversation_repair,
     decontamination,
     jaccard_join,
     lexical_search,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": linear_quality.op10_quality_classifier,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op8_ngram_jaccard_join": jaccard_join.OP8_SQL,
     "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
