@@ -9,6 +9,7 @@ from compassframe.llm import (
     licence_scan,
     linear_quality,
     mixing,
+    neighbour_graph,
     sharding,
     suffix_dedup,
     surrogates,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": linear_quality.op10_quality_classifier,
+    "op11_nearest_neighbours": neighbour_graph.op11_nearest_neighbours,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
