@@ -292,14 +292,16 @@ _BENCH_SQL = f"""WITH references_ AS (SELECT item_id * 2 AS doc_id, 'benchmark'
 {_features_sql('documents', 'cand')}, {_features_sql('references_', 'refs')}{_SCREEN_TAIL}"""
 
 _bh = "('0x' || substr(md5('b|' || o_orderkey), 1, 15))::BIGINT"
-_BATTLE_SQL = f"""WITH h AS (SELECT *, {_bh} AS n, 'order ' || o_orderkey || ' ' || o_orderpriority AS body FROM orders),
+_BATTLE_ROWS_SQL = f"""SELECT id, prompt, problem, CASE WHEN problem IS NULL THEN CASE win WHEN 0 THEN 'strong' WHEN 1 THEN 'economical' ELSE 'tie' END END AS label FROM (
+WITH h AS (SELECT *, {_bh} AS n, 'order ' || o_orderkey || ' ' || o_orderpriority AS body FROM orders),
 b AS (SELECT CASE WHEN n % 89 = 5 THEN o_orderkey - 1 ELSE o_orderkey END AS id,
   CASE WHEN n % 83 = 7 THEN false ELSE true END AS pair_ok,
   CASE WHEN n % 4 = 0 THEN body || chr(10) || 'again' WHEN n % 4 = 1 THEN body WHEN n % 97 = 2 THEN '' ELSE body END AS prompt, n % 3 AS win,
   (n % 3 <> 2 AND n % 101 = 9) AS two FROM h),
 p AS (SELECT *, CASE WHEN NOT pair_ok THEN 'model_pair' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' WHEN two THEN 'winner_indicators'
   WHEN prompt = '' THEN 'empty_prompt' END AS problem FROM b)
-SELECT id, problem, CASE WHEN problem IS NULL THEN CASE win WHEN 0 THEN 'strong' WHEN 1 THEN 'economical' ELSE 'tie' END END AS label, sha256(prompt) AS prompt_sha256 FROM p"""
+SELECT * FROM p)"""
+_BATTLE_SQL = f"SELECT id, problem, label, sha256(prompt) AS prompt_sha256 FROM ({_BATTLE_ROWS_SQL})"
 
 
 def _digest_sql(source: str, columns: str, group: str) -> str:
