@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from compassframe.operators.digest import table_digest
@@ -148,3 +148,49 @@ def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
         .join(actual, "file", "full_outer")
         .where(~F.col("expected").eqNullSafe(F.col("actual")))
     )
+
+
+#: Pages of one bucket of offsets in the coverage check.
+COVER_PAGES = 100_000
+
+
+def page_coverage(pages: DataFrame, window_end: int, page_size: int = PAGE_SIZE) -> DataFrame:
+    """What is wrong with landed pages of [0, window_end): problem, first and last (exclusive) row of each fault.
+
+    missing: rows no page has; overlap: rows that an earlier page reaches into; repeated: a page landed again; beyond: rows
+    after the window. Pages: offset and rows (an array) or n (its size). Pages without an offset are `unplaced`.
+
+    Offsets are cut into buckets of COVER_PAGES pages; a bucket's reach is one row, and the reach of all before it is
+    carried in, so no window holds all pages.
+    """
+    n = F.col("n") if "n" in pages.columns else F.coalesce(F.size("rows"), F.lit(0))
+    landed = pages.select(F.col("offset").cast("bigint").alias("first"), (F.col("offset") + F.greatest(n, F.lit(0))).cast("bigint").alias("last"))
+    placed = landed.where("first IS NOT NULL").groupBy("first", "last").agg(F.count("*").alias("times")).withColumn(
+        "bucket", F.expr(f"first div {COVER_PAGES * page_size}"))
+    earlier = Window.partitionBy("_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reach = placed.groupBy("bucket").agg(F.max("last").alias("reach")).withColumn("_", F.lit(0)).select(
+        "bucket", F.coalesce(F.max("reach").over(earlier), F.lit(0)).alias("_before"))  # a row a bucket
+    inside = Window.partitionBy("bucket").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.join(F.broadcast(reach), "bucket").withColumn(
+        "covered", F.greatest(F.col("_before"), F.coalesce(F.max("last").over(inside), F.lit(0))))
+    end = F.lit(window_end).cast("bigint")
+    fault = lambda kind, when, a, b: F.when(when, F.struct(F.lit(kind).alias("problem"), a.cast("bigint").alias("first"), b.cast("bigint").alias("last")))
+    first, last, covered = F.col("first"), F.col("last"), F.col("covered")
+    faults = F.array_compact(F.array(
+        fault("missing", (first > covered) & (covered < end), covered, F.least(first, end)),
+        fault("overlap", (first < covered) & (last > first), first, F.least(covered, last)),
+        fault("repeated", F.col("times") > 1, first, last),
+        fault("beyond", last > end, F.greatest(first, end), last),
+    ))
+    inner = held.select(F.inline(faults))
+    tail = placed.agg(F.coalesce(F.max("last"), F.lit(0)).alias("first")).where(F.col("first") < end).select(
+        F.lit("missing").alias("problem"), F.col("first").cast("bigint").alias("first"), end.alias("last"))
+    lost = landed.where("first IS NULL").select(F.lit("unplaced").alias("problem"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"))
+    return inner.unionByName(tail).unionByName(lost)
+
+
+def pages_to_fetch(coverage: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """offset of every page that has to be fetched (again) so that the window is whole; a run that is resumed takes these."""
+    start = F.expr(f"first - first % {page_size}")
+    return coverage.where("problem = 'missing' AND last > first").select(
+        F.explode(F.sequence(start, F.col("last") - 1, F.lit(page_size).cast("bigint"))).alias("offset")).distinct()

@@ -91,3 +91,26 @@ def test_normalisers(spark):
                   (X.fingerprint(F.col("t")) == X.fingerprint(F.lit("Straßeﬁx"))).alias("same")).first()
     assert (r.c, r.same) == ("strasse fix", True)
     assert r.n.startswith("Straße\nﬁx")
+
+
+def coverage(spark, pages, end):
+    df = spark.createDataFrame(pages, "offset bigint, n int")
+    return sorted((tuple(r) for r in S.page_coverage(df, end).collect()), key=str)
+
+
+def test_page_coverage_names_every_fault(spark, monkeypatch):
+    whole = [(k * 100, 100) for k in range(40)]
+    for pages in (1, 100_000):
+        monkeypatch.setattr(S, "COVER_PAGES", pages)
+        assert coverage(spark, whole, 4000) == []
+        assert coverage(spark, [p for p in whole if p[0] not in (0, 700, 800, 3900)], 4000) == sorted(
+            [("missing", 0, 100), ("missing", 700, 900), ("missing", 3900, 4000)], key=str)
+        assert coverage(spark, [*whole, (300, 100), (500, 250), (None, 3)], 3950) == sorted(
+            [("repeated", 300, 400), ("overlap", 500, 600), ("overlap", 600, 700), ("overlap", 700, 750), ("beyond", 3950, 4000),
+             ("unplaced", None, None)], key=str)
+        assert coverage(spark, [], 250) == [("missing", 0, 250)]
+    short = [(k * 100, 100 if k != 3 else 60) for k in range(5)]
+    found = S.page_coverage(spark.createDataFrame(short, "offset bigint, n int"), 700)
+    assert sorted(r.offset for r in S.pages_to_fetch(found).collect()) == [300, 500, 600]
+    rows = spark.createDataFrame([(0, [1, 2])], "offset bigint, rows array<int>")
+    assert [tuple(r) for r in S.page_coverage(rows, 2).collect()] == []
