@@ -60,15 +60,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left", few: bool | None = None) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left", few: bool | None = None,
+           most: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a written table on columns that may be null; broadcast only if its counted rows are few.
 
-    Beyond BROADCAST_ROWS it is a shuffled join, whose hot keys adaptive execution splits. A caller whose rows are
+    Beyond `most` rows it is a shuffled join, whose hot keys adaptive execution splits. A caller whose rows are
     wide says itself whether they are few.
     """
     on = list(on)
     side = small.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in small.columns if c not in on])
-    if few if few is not None else small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few if few is not None else small.limit(most + 1).count() <= most:
         side = F.broadcast(side)
     condition = None
     for c in on:
@@ -77,6 +78,11 @@ def attach(big: DataFrame, small: DataFrame, on: Iterable[str], how: str = "left
     return big.join(side, condition, how).drop(*[f"__{c}" for c in on])
 
 
+def held(docs: DataFrame, **keys: Column) -> DataFrame:
+    """A table of whole rows, as __row, and the keys: no column of docs can clash with a key, whatever its name."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), *[k.alias(name) for name, k in keys.items()])
+
+
 def unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))

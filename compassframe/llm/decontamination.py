@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from compassframe.llm.common import Scratch, ascii_lower, attach, documents
+from compassframe.llm.common import Scratch, ascii_lower, attach, documents, held
 
 WINDOW, SHINGLE = 10, 3
 #: Rows of a broadcast block: shingles are 8 bytes, anchors carry their window's words.
@@ -135,9 +135,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no window occurs, in the columns of docs."""
+    """The rows of docs in which no window occurs, in the columns of docs, other columns and their values untouched."""
     hits = hits_by_document(docs, benchmark).select(*KEY)
-    return attach(docs.withColumn("text_hash", F.xxhash64("text")), hits, KEY, "left_anti").select(*docs.columns)
+    rows = held(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    return attach(rows, hits, KEY, "left_anti").select("__row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from compassframe.llm.common import WORD, Scratch, attach, documents
+from compassframe.llm.common import WORD, Scratch, attach, documents, held
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -144,22 +144,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as mix() says, in the columns of docs.
+    """The rows of docs, each as often as mix() says, in the columns of docs, other columns and their values untouched.
 
-    Rows that agree in id and text share their copies out in the order of their decisions.
+    Rows that agree in id and text share their copies out in the order of a hash of the whole row; columns may be of any
+    type and name.
     """
-    scratch = Scratch(docs.sparkSession, "taken")
-    decided = mix(docs, **options).groupBy("doc_id", "tie").agg(
-        F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
-    decided = scratch.put(decided.where("__total > 0"), "copies")
-    found = attach(docs.withColumn("tie", F.xxhash64("doc_id", "text")), decided, ["doc_id", "tie"], "inner")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(*docs.drop("text").columns))
-    share = F.expr("__total div __rows + int(__nth <= __total % __rows)")
-    single = found.where("__rows = 1").withColumn("__times", F.col("__total"))
-    several = found.where("__rows > 1").withColumn("__nth", nth).withColumn("__times", share).drop("__nth")
-    return single.unionByName(several).where("__times > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
-    ).select(*docs.columns)
+    scratch, key = Scratch(docs.sparkSession, "taken"), ["doc_id", "tie"]
+    decided = mix(docs, **options).groupBy(*key).agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    decided = scratch.put(decided.where("total > 0"), "copies")
+    found = attach(held(docs, doc_id=F.col("doc_id"), tie=F.xxhash64("doc_id", "text")), decided, key, "inner")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json(F.struct("__row")))))
+    share = F.expr("total div rows + int(nth <= total % rows)")
+    single = found.where("rows = 1").select("__row", F.col("total").alias("times"))
+    several = found.where("rows > 1").withColumn("nth", nth).select("__row", share.alias("times"))
+    return single.unionByName(several).where("times > 0").select(
+        "__row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
