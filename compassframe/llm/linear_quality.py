@@ -46,14 +46,19 @@ def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0))))
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """Weights and intercept by FTRL-proximal, one example at a time; without rows all is zero."""
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features and how often each occurs."""
+    i, c = np.unique(x, return_counts=True)
+    return i.astype(np.uint32), c.astype(np.uint32)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """Weights and intercept by FTRL-proximal, one example (features, counts, label) at a time; without rows all is zero."""
     size = 1 << BITS
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    sparse = [(*np.unique(x, return_counts=True), len(x), y) for x, y in rows]
-    sparse = [(np.append(i, size), np.append(SCALE * c / max(1, k), 1.0), y) for i, c, k, y in sparse]
-    for _ in range(min(MAX_EPOCHS, -(-UPDATES // max(1, len(sparse))))):
-        for i, v, y in sparse:
+    for _ in range(min(MAX_EPOCHS, -(-UPDATES // max(1, len(rows))))):
+        for i, c, y in rows:
+            i, v = np.append(i, np.uint32(size)), np.append(SCALE * c / max(1, int(c.sum())), 1.0)
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             g = (sigmoid(float(wi @ v)) - y) * v
@@ -64,8 +69,8 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
     return (SCALE * w[:size]).astype(np.float32), float(w[size])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[np.ndarray, int]]:
-    """Features and labels of at most `limit` labelled rows outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Features, counts and labels of at most `limit` labelled rows outside the held-out fold."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = usable.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).orderBy(
@@ -74,14 +79,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+            rows = [b"".join(a.tobytes() for a in counted(features(t))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary"
-    rows = found.mapInArrow(hashed, schema).collect()
+    rows = found.mapInArrow(hashed, schema).distinct().collect()  # repeated rows teach once
     rows.sort(key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id, r.quality, bytes(r.x)))
-    return [(np.frombuffer(bytes(r.x), dtype=np.uint32), r.quality) for r in rows]
+    return [(x[: len(x) // 2], x[len(x) // 2 :], r.quality) for r in rows for x in [np.frombuffer(r.x, dtype=np.uint32)]]
 
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
