@@ -6,9 +6,10 @@ hash buckets over the whole corpus. The sets that meet at a shingle, in order of
 the pair matrix whose sizes are near enough to link. In a tile, the bits in which two parity bitmaps differ bound the
 overlap from above; what passes is intersected exactly.
 
-Equal word sequences are one set throughout. Tiles whose sets are linked already are skipped: a first round compares
-each set with one hub of its tile, and only pairs between different components are looked at in the second, so a
-group of copies costs a comparison a member, not one a pair; no link that joins components is lost.
+Equal word sequences are one set throughout. Pairs are looked at in three rounds, and only links between components
+matter: each set with one hub of its shingle; then, in each tile, the pairs of a spanning forest over its components that
+takes the likeliest links first, so that near copies which miss the hub are joined by as many pairs as there are sets,
+not by all pairs; then whatever pairs between components are still possible. No link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from compassframe.llm.common import Scratch, attach, documents, lowered_words
+from compassframe.llm.common import Scratch, attach, documents, held, lowered_words
 from compassframe.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 3, 4  # words of a shingle; a similarity of 3/4
 BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 256
 #: Bytes of sets in a block of a verification tile; a tile has two blocks.
 BLOCK_BYTES = 8 << 20
+#: Rows of a side that may be broadcast here, where a plan has many sides.
+FEW = 100_000
 #: Bytes of signatures that may be broadcast to pairs.
 WIDE_BYTES = 64 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -203,7 +206,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
                 [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(c, pa.binary()) for c in (bits, wide, sets)]],
                 ["cid", "n", "bits", "wide", "shingles"])
 
-    found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner").select("cid", "text")
+    found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner", most=FEW).select("cid", "text")
     return found.mapInArrow(build, "cid bigint, n int, bits binary, wide binary, shingles binary")
 
 
@@ -238,17 +241,17 @@ def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, scratch: Scrat
     family = scratch.put(components(pairs, scratch, f"{name}-family"), f"{name}-families").withColumnsRenamed({"node": "cid"})
     nodes = scratch.put(family.join(first, "cid"), f"{name}-nodes")
     parts = nodes.groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias("parts"))
-    placed = attach(nodes, scratch.put(parts, f"{name}-parts"), ["root"], "inner").select(
+    placed = attach(nodes, scratch.put(parts, f"{name}-parts"), ["root"], "inner", most=FEW).select(
         "cid", "root", F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1))).cast("int").alias("block"))
     placed = scratch.put(placed, f"{name}-placed")
     of = lambda c: placed.select(F.col("cid").alias(c), "root", F.col("block").alias(f"block_{c}"))
-    both = attach(attach(pairs, of("a"), ["a"], "inner"), of("b").drop("root"), ["b"], "inner")
+    both = attach(attach(pairs, of("a"), ["a"], "inner", most=FEW), of("b").drop("root"), ["b"], "inner", most=FEW)
     dealt = scratch.put(both.select("root", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"),
                                     "a", "b"), f"{name}-dealt")
     tile = ["root", "x", "y"]
     needs = dealt.select(*tile, F.col("a").alias("cid")).union(dealt.select(*tile, "b")).distinct()
     sets = sets_of(docs, nodes.select("cid", "doc_id"), True).select("cid", "shingles")
-    rows = attach(sets, scratch.put(needs, f"{name}-needs"), ["cid"], "inner").select(
+    rows = attach(sets, scratch.put(needs, f"{name}-needs"), ["cid"], "inner", most=FEW).select(
         *tile, F.col("cid").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,13 +283,56 @@ def all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def open_pairs(open_tiles: DataFrame) -> DataFrame:
-    """Pairs of a tile in different components that the signatures let pass; rows of tile, side, n, cid, root, bits."""
+def possible(i: np.ndarray | int, j: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of places i, j may link, and the most that their overlap can be as a share of their union."""
+    a, b = n[i], n[j]
+    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    overlap = (a + b - differ) // 2
+    ok = enough(overlap, a, b) & (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b))
+    if side.any():
+        ok &= side[i] != side[j]
+    return ok, overlap / np.maximum(1, a + b - overlap)
+
+
+def every_pair(side: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All possible pairs of a tile between different components."""
+    i, j = all_pairs(len(n))
+    open_ = root[i] != root[j]
+    i, j = i[open_], j[open_]
+    if not len(i):
+        return i, j
+    ok, _ = possible(i, j, side, n, bits)
+    return i[ok], j[ok]
+
+
+def spanning_pairs(side: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a tile's components over its possible pairs, likeliest pairs first (Prim's way)."""
+    best, of, done = np.full(len(n), -1.0), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    pairs = []
+    while not done.all():
+        k = int(np.argmax(np.where(done, -2.0, best)))
+        if best[k] >= 0:
+            pairs.append((of[k], k))
+        members = np.flatnonzero((root == root[k]) & ~done)
+        done[members] = True
+        open_ = np.flatnonzero(~done)
+        if len(open_):
+            for v in members:
+                ok, share = possible(v, open_, side, n, bits)
+                better = ok & (share > best[open_])
+                best[open_[better]], of[open_[better]] = share[better], v
+    i, j = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    return i, j
+
+
+def open_pairs(open_tiles: DataFrame, choose) -> DataFrame:
+    """Pairs a, b that choose takes from each tile; rows of tile, side, n, cid, root, bits."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in _with_end(batches):
             if batch is not None:
                 now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "side", "n", "cid", "root")}
+                now["n"] = now["n"].astype(np.int64)
                 now["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
                 rest = now if rest is None else {c: np.concatenate([rest[c], now[c]]) for c in now}
             if rest is None or not len(rest["tile"]):
@@ -298,21 +344,13 @@ def open_pairs(open_tiles: DataFrame) -> DataFrame:
             pairs = []
             for head, end in zip(heads, ends, strict=True):
                 side, n, cid, root, bits = (rest[c][head:end] for c in ("side", "n", "cid", "root", "bits"))
-                i, j = all_pairs(end - head)
-                open_ = root[i] != root[j]
-                if side.any():
-                    open_ &= side[i] != side[j]
-                open_ &= DENOMINATOR * np.minimum(n[i], n[j]) >= NUMERATOR * np.maximum(n[i], n[j])
-                i, j = i[open_], j[open_]
+                i, j = choose(side, n, root, bits)
                 if len(i):
-                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                    stays = enough((n[i].astype(np.int64) + n[j] - differ) // 2, n[i].astype(np.int64), n[j])
-                    i, j = cid[i[stays]], cid[j[stays]]
-                    pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+                    pairs.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
             if batch is not None and len(ends):
                 rest = {c: x[ends[-1] :] for c, x in rest.items()}
             if pairs:
-                a, b = np.concatenate(pairs, axis=1)
+                a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     dealt = open_tiles.repartition("tile").sortWithinPartitions("tile", "side", "n", "cid")
@@ -344,23 +382,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = met.where((F.col("hub") != F.col("cid")) & near).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     star = scratch.put(star, "star")
     links = verified(docs, passing(star, signatures), first, scratch, "stars")
-    roots = scratch.put(components(links, scratch, "one"), "roots1")
-
-    labelled = attach(met.select("tile", "side", "n", "cid"), roots.withColumnRenamed("node", "cid"), ["cid"])
-    labelled = scratch.put(labelled.withColumn("root", F.coalesce("root", "cid")), "labelled")
-    several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = labelled.join(several.select("tile"), "tile", "left_semi")
-    still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner")
-    more = scratch.put(open_pairs(still).join(star, ["a", "b"], "left_anti"), "open")
-    more = verified(docs, passing(more, signatures), first, scratch, "rest")
-    for name in ("tiles", "labelled", "signatures"):
+    roots, tested = scratch.put(components(links, scratch, "one"), "roots1"), star
+    for k, choose in enumerate((spanning_pairs, every_pair)):
+        labelled = attach(met.select("tile", "side", "n", "cid"), roots.withColumnRenamed("node", "cid"), ["cid"], most=FEW)
+        labelled = scratch.put(labelled.withColumn("root", F.coalesce("root", "cid")), f"labelled{k}")
+        several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        still = labelled.join(several.select("tile"), "tile", "left_semi")
+        still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner", most=FEW)
+        more = scratch.put(open_pairs(still, choose).join(tested, ["a", "b"], "left_anti"), f"open{k}")
+        scratch.drop(f"labelled{k}")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(verified(docs, passing(more, signatures), first, scratch, f"more{k}"))
+        tested = tested.unionByName(more)
+        roots = scratch.put(components(links, scratch, f"two{k}"), f"roots2{k}")
+    for name in ("tiles", "signatures"):
         scratch.drop(name)
-    roots = scratch.put(components(links.unionByName(more), scratch, "two"), "roots2")
 
-    placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"]).withColumn(
+    placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"], most=FEW).withColumn(
         "root", F.coalesce("root", "cid")), "placed")
     smallest = scratch.put(placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    return attach(placed, smallest, ["root"]).select(
+    return attach(placed, smallest, ["root"], most=FEW).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("cid").alias("class_id"), "text_hash", "root")
@@ -369,19 +411,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, of its smallest doc_id, and every row without words, in docs' columns.
 
-    Rows with an id come before rows without; of repeated rows one stays.
+    Rows with an id come before rows without; of repeated rows one stays. Other columns may have any type and name and
+    keep their values.
     """
     scratch, key = Scratch(docs.sparkSession, "kept"), ["doc_id", "text_hash"]
     found = near_duplicates(docs).where("root IS NOT NULL").groupBy(*key, "root").agg(F.count("*").alias("times"))
     found = scratch.put(found, "classes")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first"))
-    chosen = attach(found, scratch.put(first, "first"), ["root"]).select(
+    chosen = attach(found, scratch.put(first, "first"), ["root"], most=FEW).select(
         *key, "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
     chosen = scratch.put(chosen, "chosen")
-    kept = attach(docs.withColumn("text_hash", F.xxhash64("text")), chosen.where("NOT stays").select(*key), key, "left_anti")
+    rows = held(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    kept = attach(rows, chosen.where("NOT stays").select(*key), key, "left_anti", most=FEW)
     repeated = chosen.where("stays AND times > 1").select(*key)
-    once = attach(kept, repeated, key, "left_anti").unionByName(attach(kept, repeated, key, "left_semi").dropDuplicates(key))
-    return once.select(*docs.columns)
+    once = attach(kept, repeated, key, "left_anti", most=FEW).unionByName(attach(kept, repeated, key, "left_semi", most=FEW).dropDuplicates(key))
+    return once.select("__row.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,62 @@ def test_components_of_random_graphs(spark):
         got = components(spark.createDataFrame([*edges, (None, 1)], "a bigint, b bigint"), Scratch(spark, "t"), "g")
         assert {r.node: r.root for r in rows_of(got)} == {x: root[x] for e in edges for x in e if e[0] != e[1]} | {
             x: root[x] for a, b in edges if a != b for x in (a, b)}
+
+
+def test_large_family_of_near_copies(spark, small, monkeypatch):
+    """2,000 near copies, most of which miss the hub, take pairs in proportion to sets and end as brute force says."""
+    import numpy as np
+
+    rng, base = random.Random(8), prose(1, 120, 4000).split()
+    docs = []
+    for k in range(2000):
+        w = base[:]
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(99_999)}"
+        docs.append((k, " ".join(w)))
+    counts, plain = [], jaccard_join.open_pairs
+
+    def counting(tiles, choose):
+        found = plain(tiles, choose)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "open_pairs", counting)
+    got = got_of(small(docs))
+    s = sets(docs)
+    index = {g: i for i, g in enumerate(sorted({g for x in s for g in x}))}
+    m = np.zeros((len(s), len(index)), np.float32)
+    for i, x in enumerate(s):
+        m[i, [index[g] for g in x]] = 1
+    n = m.sum(1)
+    both = m @ m.T
+    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    least = np.arange(len(s))
+    while True:
+        new = np.array([least[row].min() for row in link])
+        if (new == least).all():
+            break
+        least = new
+    assert got == sorted(((i, len(s[i]), int(least[i])) for i in range(len(s))), key=str)
+    assert len(set(least.tolist())) < 1000 and sum(counts) < 60 * len(docs)
+
+
+def test_spanning_pairs_join_all_that_every_pair_joins():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for sided in (False, True):
+        x = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64) << np.uint64(7)) for _ in range(40)]
+        n = np.array([len(a) for a in x])
+        bits = np.stack([jaccard_join.signature(a) for a in x])
+        side, root = np.arange(40) % 2 * int(sided), rng.integers(0, 30, 40)
+
+        def groups(pairs, root=root):
+            now = root.copy()
+            for i, j in zip(*pairs, strict=True):
+                now[now == now[i]] = now[j]
+            return [set(np.flatnonzero(now == c).tolist()) for c in np.unique(now)]
+
+        some, every = (f(side, n, root, bits) for f in (jaccard_join.spanning_pairs, jaccard_join.every_pair))
+        assert sorted(map(sorted, groups(some))) == sorted(map(sorted, groups(every)))
+        assert len(some[0]) < len(set(root.tolist()))
