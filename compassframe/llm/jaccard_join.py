@@ -6,10 +6,11 @@ hash buckets over the whole corpus. The sets that meet at a shingle, in order of
 the pair matrix whose sizes are near enough to link. In a tile, the bits in which two parity bitmaps differ bound the
 overlap from above; what passes is intersected exactly.
 
-Equal word sequences are one set throughout. Pairs are looked at in three rounds, and only links between components
-matter: each set with one hub of its shingle; then, in each tile, the pairs of a spanning forest over its components that
-takes the likeliest links first, so that near copies which miss the hub are joined by as many pairs as there are sets,
-not by all pairs; then whatever pairs between components are still possible. No link that joins components is lost.
+Equal word sequences are one set throughout. Pairs are looked at in rounds, and only links between components
+matter: each set with one hub of its shingle; then the pairs of a spanning forest over a tile's components that takes the
+likeliest links first, in tiles of one block and then of two, so that near copies which miss the hub are joined by as
+many pairs as there are sets, not by all pairs; then, in tiles where some pair could link, whatever pairs between
+components are still possible. No link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ N, NUMERATOR, DENOMINATOR = 5, 3, 4  # words of a shingle; a similarity of 3/4
 BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 256
 #: Bytes of sets in a block of a verification tile; a tile has two blocks.
 BLOCK_BYTES = 8 << 20
-#: Rows of a side that may be broadcast here, where a plan has many sides.
-FEW = 100_000
 #: Bytes of signatures that may be broadcast to pairs.
 WIDE_BYTES = 64 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -206,7 +205,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
                 [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(c, pa.binary()) for c in (bits, wide, sets)]],
                 ["cid", "n", "bits", "wide", "shingles"])
 
-    found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner", most=FEW).select("cid", "text")
+    found = attach(docs.select("doc_id", "text"), wanted, ["doc_id"], "inner").select("cid", "text")
     return found.mapInArrow(build, "cid bigint, n int, bits binary, wide binary, shingles binary")
 
 
@@ -234,24 +233,32 @@ def passing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs a, b that link, by exact intersection.
 
-    Pairs are gathered by the component of the pairs' own graph, cut into blocks of BLOCK_BYTES of sets: a set
-    travels once for each pair of blocks it has pairs in, not once for each pair. Only sets in pairs are built.
+    Pairs are gathered by the least set two links away, near enough to a component of the pairs' graph for a set to
+    travel to few places, and these are cut into blocks of BLOCK_BYTES of sets: a set travels once for each pair of
+    blocks it has pairs in, not once for each pair. Only sets in pairs are built.
     """
     pairs = scratch.put(pairs, f"{name}-pairs")
-    family = scratch.put(components(pairs, scratch, f"{name}-family"), f"{name}-families").withColumnsRenamed({"node": "cid"})
-    nodes = scratch.put(family.join(first, "cid"), f"{name}-nodes")
-    parts = nodes.groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias("parts"))
-    placed = attach(nodes, scratch.put(parts, f"{name}-parts"), ["root"], "inner", most=FEW).select(
-        "cid", "root", F.pmod(F.xxhash64("cid"), F.greatest("parts", F.lit(1))).cast("int").alias("block"))
-    placed = scratch.put(placed, f"{name}-placed")
-    of = lambda c: placed.select(F.col("cid").alias(c), "root", F.col("block").alias(f"block_{c}"))
-    both = attach(attach(pairs, of("a"), ["a"], "inner", most=FEW), of("b").drop("root"), ["b"], "inner", most=FEW)
-    dealt = scratch.put(both.select("root", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"),
-                                    "a", "b"), f"{name}-dealt")
+    both = pairs.union(pairs.select("b", "a"))
+    one = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    two = both.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    two = scratch.put(two, f"{name}-near")
+    end = lambda c: two.select(F.col("a").alias(c), F.col("m").alias(f"m_{c}"))
+    rooted = attach(attach(pairs, end("a"), ["a"], "inner"), end("b"), ["b"], "inner").select(
+        F.least("m_a", "m_b").alias("root"), "a", "b")
+    rooted = scratch.put(rooted, f"{name}-rooted")
+    nodes = scratch.put(first.join(two.select(F.col("a").alias("cid")), "cid", "left_semi"), f"{name}-nodes")
+    each = rooted.select("root", F.col("a").alias("cid")).union(rooted.select("root", "b")).distinct()
+    parts = attach(each, nodes.select("cid", "n"), ["cid"], "inner").groupBy("root").agg(
+        F.ceil(F.sum(F.col("n") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias("parts")).where("parts > 1")
+    cut = attach(rooted, scratch.put(parts, f"{name}-parts"), ["root"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    cut = cut.select("root", block("a").alias("block_a"), block("b").alias("block_b"), "a", "b")
+    dealt = scratch.put(cut.select("root", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"),
+                                   "a", "b"), f"{name}-dealt")
     tile = ["root", "x", "y"]
     needs = dealt.select(*tile, F.col("a").alias("cid")).union(dealt.select(*tile, "b")).distinct()
     sets = sets_of(docs, nodes.select("cid", "doc_id"), True).select("cid", "shingles")
-    rows = attach(sets, scratch.put(needs, f"{name}-needs"), ["cid"], "inner", most=FEW).select(
+    rows = attach(sets, scratch.put(needs, f"{name}-needs"), ["cid"], "inner").select(
         *tile, F.col("cid").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +333,7 @@ def spanning_pairs(side: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.n
 
 
 def open_pairs(open_tiles: DataFrame, choose) -> DataFrame:
-    """Pairs a, b that choose takes from each tile; rows of tile, side, n, cid, root, bits."""
+    """tile, a, b: the pairs that choose takes from each tile; rows of tile, side, n, cid, root, bits."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in _with_end(batches):
@@ -346,15 +353,15 @@ def open_pairs(open_tiles: DataFrame, choose) -> DataFrame:
                 side, n, cid, root, bits = (rest[c][head:end] for c in ("side", "n", "cid", "root", "bits"))
                 i, j = choose(side, n, root, bits)
                 if len(i):
-                    pairs.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
+                    tile = np.full(len(i), rest["tile"][head])
+                    pairs.append(np.stack([tile, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
             if batch is not None and len(ends):
                 rest = {c: x[ends[-1] :] for c, x in rest.items()}
             if pairs:
-                a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(pairs, axis=1)], ["tile", "a", "b"])
 
     dealt = open_tiles.repartition("tile").sortWithinPartitions("tile", "side", "n", "cid")
-    return dealt.select("tile", "side", "n", "cid", "root", "bits").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.select("tile", "side", "n", "cid", "root", "bits").mapInArrow(compare, "tile bigint, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -383,14 +390,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = scratch.put(star, "star")
     links = verified(docs, passing(star, signatures), first, scratch, "stars")
     roots, tested = scratch.put(components(links, scratch, "one"), "roots1"), star
-    for k, choose in enumerate((spanning_pairs, every_pair)):
-        labelled = attach(met.select("tile", "side", "n", "cid"), roots.withColumnRenamed("node", "cid"), ["cid"], most=FEW)
+    kinds = met.groupBy("tile").agg(F.max("side").alias("two"))
+    blocks = scratch.put(kinds, "kinds")
+    met_in = lambda tiles: met.join(tiles.select("tile"), "tile", "left_semi")
+    looked = None  # tiles in which some pair may link
+    rounds = [lambda: (met_in(blocks.where("two = 0")), spanning_pairs), lambda: (met_in(blocks.where("two = 1")), spanning_pairs),
+              lambda: (met_in(looked), every_pair)]
+    for k, round_ in enumerate(rounds):
+        places, choose = round_()
+        labelled = attach(places.select("tile", "side", "n", "cid"), roots.withColumnRenamed("node", "cid"), ["cid"])
         labelled = scratch.put(labelled.withColumn("root", F.coalesce("root", "cid")), f"labelled{k}")
         several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         still = labelled.join(several.select("tile"), "tile", "left_semi")
-        still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner", most=FEW)
-        more = scratch.put(open_pairs(still, choose).join(tested, ["a", "b"], "left_anti"), f"open{k}")
+        still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner")
+        found = scratch.put(open_pairs(still, choose), f"found{k}")
         scratch.drop(f"labelled{k}")
+        tiles_now = found.select("tile").distinct()
+        looked = tiles_now if looked is None else looked.union(tiles_now)
+        more = scratch.put(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"open{k}")
         if more.isEmpty():
             continue
         links = links.unionByName(verified(docs, passing(more, signatures), first, scratch, f"more{k}"))
@@ -399,10 +416,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for name in ("tiles", "signatures"):
         scratch.drop(name)
 
-    placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"], most=FEW).withColumn(
+    placed = scratch.put(attach(meta, roots.withColumnRenamed("node", "cid"), ["cid"]).withColumn(
         "root", F.coalesce("root", "cid")), "placed")
     smallest = scratch.put(placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    return attach(placed, smallest, ["root"], most=FEW).select(
+    return attach(placed, smallest, ["root"]).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("cid").alias("class_id"), "text_hash", "root")
@@ -418,13 +435,13 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).where("root IS NOT NULL").groupBy(*key, "root").agg(F.count("*").alias("times"))
     found = scratch.put(found, "classes")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first"))
-    chosen = attach(found, scratch.put(first, "first"), ["root"], most=FEW).select(
+    chosen = attach(found, scratch.put(first, "first"), ["root"]).select(
         *key, "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
     chosen = scratch.put(chosen, "chosen")
     rows = held(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
-    kept = attach(rows, chosen.where("NOT stays").select(*key), key, "left_anti", most=FEW)
+    kept = attach(rows, chosen.where("NOT stays").select(*key), key, "left_anti")
     repeated = chosen.where("stays AND times > 1").select(*key)
-    once = attach(kept, repeated, key, "left_anti", most=FEW).unionByName(attach(kept, repeated, key, "left_semi", most=FEW).dropDuplicates(key))
+    once = attach(kept, repeated, key, "left_anti").unionByName(attach(kept, repeated, key, "left_semi").dropDuplicates(key))
     return once.select("__row.*")
 
 
