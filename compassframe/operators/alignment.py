@@ -23,7 +23,9 @@ def align(tagged: DataFrame, n_sources: int) -> DataFrame:
 
     A row is 'aligned' only if all sources have it and all visible texts equal the anchor's. Different
     keys or ids at one ordinal, or a missing source, are errors of the whole acquisition, reported as
-    'key_mismatch', 'id_mismatch' or 'missing_source'. The grouping holds one row per source.
+    'key_mismatch', 'id_mismatch', 'missing_source' or, if a source has the ordinal twice, 'repeated_source'. What is
+    NULL agrees with nothing: a NULL key or id is a mismatch, and a source without a text differs. The grouping holds
+    one row per source.
     """
     rows = tagged.withColumn("fp", fingerprint(F.col("original_prompt"))).drop("original_prompt")
     anchor = F.max(F.when(F.col("source_no") == 0, F.col("fp")))
@@ -31,20 +33,21 @@ def align(tagged: DataFrame, n_sources: int) -> DataFrame:
         F.max(F.when(F.col("source_no") == 0, F.col("key"))).alias("key"),
         F.max(F.when(F.col("source_no") == 0, F.col("prompts_id"))).alias("prompts_id"),
         anchor.alias("fingerprint"),
-        (F.min("key") == F.max("key")).alias("_same_key"),
-        (F.min("prompts_id") == F.max("prompts_id")).alias("_same_id"),
+        F.coalesce((F.min("key") == F.max("key")) & (F.count("key") == F.count("*")), F.lit(False)).alias("_same_key"),
+        F.coalesce((F.min("prompts_id") == F.max("prompts_id")) & (F.count("prompts_id") == F.count("*")), F.lit(False)).alias("_same_id"),
         F.count("*").alias("_n"),
         F.array_sort(F.collect_list(F.struct("source", "fp", "actual_token_count", "correctness_score"))).alias("_obs"),
     )
     differing = F.transform(
-        F.filter("_obs", lambda o: o.fp != F.col("fingerprint")), lambda o: o.source
+        F.filter("_obs", lambda o: ~F.coalesce(o.fp == F.col("fingerprint"), F.lit(False))), lambda o: o.source
     )
     observations = F.transform(
         "_obs", lambda o: F.struct(o.source.alias("model"), o.actual_token_count.alias("actual_token_count"),
                                    o.correctness_score.alias("correctness_score"))
     )
     verdict = (
-        F.when(F.col("_n") != n_sources, "missing_source")
+        F.when(F.size(F.array_distinct(F.transform("_obs", lambda o: o.source))) != F.col("_n"), "repeated_source")
+        .when(F.col("_n") != n_sources, "missing_source")
         .when(~F.col("_same_key"), "key_mismatch")
         .when(~F.col("_same_id"), "id_mismatch")
         .when(F.size("differing_sources") > 0, "text_mismatch")

@@ -258,7 +258,7 @@ def _judge_sql(i: int) -> str:
 
 
 _ALIGN_SQL = f"""WITH judged AS ({' UNION ALL '.join(_judge_sql(i) for i in range(4))}),
-diff AS (SELECT ordinal, list(source ORDER BY source) FILTER (WHERE fp <> base) AS sources FROM
+diff AS (SELECT ordinal, list(source ORDER BY source) FILTER (WHERE fp IS NULL OR base IS NULL OR fp <> base) AS sources FROM
   (SELECT *, max(CASE WHEN source = '{SOURCES[0]}' THEN fp END) OVER (PARTITION BY ordinal) AS base FROM judged) GROUP BY ordinal)"""
 
 def _features_sql(rows: str, name: str = "feat") -> str:
