@@ -1,53 +1,178 @@
 """Paired bootstrap intervals.
 
-All metrics of one resample share its weights, so differences and ratios stay paired.
+All metrics of one resample share its weights, so differences and ratios stay paired. Rows are dealt out once; a task
+draws the weights of some rows for all resamples at once, multiplies them with the rows' values and sends one row of
+sums per group and resample: resamples x tasks rows however large the table.
 
-``method="poisson"`` gives every row an independent Poisson(1) weight per resample, computed from the
-row's key: eight resamples come from one SHA-256. A row moves once, when the rows are dealt out evenly;
-its weights are made and added up where it then is, and a task sends one row of sums per resample,
-resamples x tasks rows however large the table. This is the form for large inputs.
+``method="poisson"`` gives every row an independent Poisson(1) weight per resample, computed from the row's key: eight
+resamples come from one SHA-256, so another engine can repeat them.
 
-``method="multinomial"`` draws exactly n rows per resample. It needs a dense row number and shuffles
-n x resamples draws.
-
-Draws come from SHA-256 and md5, so another engine can repeat them.
+``method="multinomial"`` draws exactly n rows per resample. Rows lie in buckets by key; the n draws are split between
+the two halves of the buckets by a binomial count, then in each half again, down to the bucket, and inside it from row
+to row. A draw's seed names its node of that tree, so every task, and every repeated task, finds the same counts
+without asking another one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from compassframe.functions.text import hash60
-from compassframe.operators.ordered import hash_rank
 
-#: Resamples drawn from one digest, each from eight hexadecimal digits.
+#: Resamples drawn from one digest, each from four bytes.
 LANES = 8
-# Poisson(1) cumulative probabilities, from the definition, as hexadecimal thresholds; digits of a digest
-# compare with them as text.
+#: Poisson(1) cumulative probabilities, from the definition, as eight hexadecimal digits.
 POISSON_CUTS = [
     f"{math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):08x}" for k in range(11)
 ]
-
-
-def poisson_weight(digits: Column) -> Column:
-    """Poisson(1) count of eight hexadecimal digits: how many cumulative thresholds they reach."""
-    weight = F.lit(len(POISSON_CUTS))
-    for k in reversed(range(len(POISSON_CUTS))):
-        weight = F.when(digits < F.lit(POISSON_CUTS[k]), k).otherwise(weight)
-    return weight
-
-
-def poisson_weights(rows: DataFrame, reps: int, salt: str, key: str = "key") -> DataFrame:
-    """Every row once per resample in which it has a weight: rows, rep and _w."""
-    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.col("_block").cast("string"), F.col(key)), 256)
-    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // LANES))))
-    lanes = F.array(*[poisson_weight(F.substring("_digest", 8 * i + 1, 8)) for i in range(LANES)])
-    drawn = blocks.withColumn("_digest", digest).select(*rows.columns, "_block", F.posexplode(lanes).alias("_lane", "_w"))
-    rep = (F.col("_block") * LANES + F.col("_lane")).alias("rep")
-    return drawn.where(F.col("_w") > 0).select(*rows.columns, rep, "_w").where(F.col("rep") < reps)
+#: Weights (rows x resamples) and sums (groups x resamples x values) a task holds at once.
+HELD_WEIGHTS, HELD_SUMS = 1_000_000, 4_000_000
+
+#: Called once a task; then with each batch, to give slices of it with their weights, rows x resamples.
+Weigher = Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]
+
+
+def poisson_weights(reps: int, salt: str, key: str) -> Weigher:
+    """How many thresholds each four bytes of the digests of salt, block and key reach."""
+    cuts = np.array([int(c, 16) for c in POISSON_CUTS], dtype=np.uint32)
+    heads = [f"{salt}|{block}|".encode() for block in range((reps - 1) // LANES + 1)]
+    step = max(1, HELD_WEIGHTS // reps)
+
+    def start():
+        def weigh(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
+            keys = batch.column(key).to_pylist()
+            for lo in range(0, len(keys), step):
+                some = [None if k is None else k.encode() for k in keys[lo:lo + step]]
+                digests = b"".join(sha256(h[:-1] if k is None else h + k).digest() for k in some for h in heads)
+                drawn = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(some), -1)[:, :reps]
+                yield slice(lo, lo + len(some)), np.searchsorted(cuts, drawn, side="right").astype(np.float64)
+
+        return weigh
+
+    return start
+
+
+def _generator(salt: str, *place: object) -> np.random.Generator:
+    name = "|".join([salt, *map(str, place)])
+    return np.random.Generator(np.random.PCG64(int.from_bytes(sha256(name.encode()).digest(), "big")))
+
+
+def bucket_draws(sizes: np.ndarray, bucket: int, reps: int, salt: str) -> np.ndarray:
+    """How many of the n draws of each resample fall in the bucket; over all buckets they add up to n."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    draws = np.full(reps, before[-1], dtype=np.int64)
+    lo, hi = 0, len(sizes)
+    while hi - lo > 1:
+        half = (lo + hi) // 2
+        rows, left = before[hi] - before[lo], before[half] - before[lo]
+        to_left = _generator(salt, lo, hi).binomial(draws, left / rows if rows else 0.0)
+        lo, hi, draws = (lo, half, to_left) if bucket < half else (half, hi, draws - to_left)
+    return draws
+
+
+def multinomial_weights(sizes: np.ndarray, reps: int, salt: str) -> Weigher:
+    """Exact draws of rows sorted by bucket; sizes are the rows of each bucket."""
+    step = max(1, HELD_WEIGHTS // reps)
+
+    def start():
+        at, row, left, generator = -1, 0, None, None
+
+        def weigh(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
+            nonlocal at, row, left, generator
+            buckets = batch.column("_bucket").to_pylist()
+            for lo in range(0, len(buckets), step):
+                some = buckets[lo:lo + step]
+                w = np.empty((len(some), reps))
+                for k, bucket in enumerate(some):
+                    if bucket != at:
+                        at, row = bucket, 0
+                        left, generator = bucket_draws(sizes, bucket, reps, salt), _generator(salt, "rows", bucket)
+                    w[k] = drawn = generator.binomial(left, 1.0 / (sizes[bucket] - row))
+                    left = left - drawn.astype(np.int64)
+                    row += 1
+                yield slice(lo, lo + len(some)), w
+
+        return weigh
+
+    return start
+
+
+class _Held:
+    """One group's sums: rows drawn, values, and whether a value was there at all."""
+
+    def __init__(self, reps: int, width: int) -> None:
+        self.n, self.sums, self.found = np.zeros(reps), np.zeros((reps, width)), np.zeros((reps, width), dtype=bool)
+
+    def add(self, w: np.ndarray, v: np.ndarray, valid: np.ndarray) -> None:
+        finite = np.isfinite(v)
+        self.n += w.sum(axis=0)
+        self.sums += w.T @ np.where(finite, v, 0.0)
+        self.found |= (w.T @ valid.astype(np.float64)) > 0 if not valid.all() else w.any(axis=0)[:, None]
+        for i, j in zip(*np.nonzero(valid & ~finite), strict=True):  # a weight of 0 must not make them NaN
+            self.sums[w[i] > 0, j] += v[i, j]
+
+
+def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[str], opened: str | None, weights: Weigher) -> DataFrame:
+    """groups, rep, _n and the values' weighted sums. ``opened`` names the group that is an array of a row's groups."""
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(g, types[g].elementType if g == opened else types[g]) for g in groups])
+    schema.add("rep", T.IntegerType()).add("_n", T.LongType())
+    for v in values:
+        schema.add(v, T.DoubleType())
+
+    def names(columns: list[list], k: int) -> Iterator[tuple]:
+        """The groups of a row."""
+        cells = [c[k] for c in columns]
+        if opened is None:
+            yield tuple(cells)
+            return
+        place = groups.index(opened)
+        for one in cells[place] or []:
+            yield (*cells[:place], one, *cells[place + 1:])
+
+    def out(held: dict[tuple, _Held], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for name, h in held.items():
+            drawn = np.flatnonzero(h.n > 0)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([x] * len(drawn), t) for x, t in zip(name, kinds, strict=True)],
+                 pa.array(drawn, pa.int32()), pa.array(h.n[drawn].astype(np.int64)),
+                 *[pa.array(h.sums[drawn, j], mask=~h.found[drawn, j]) for j in range(len(values))]], schema.names)
+        held.clear()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Held] = {}
+        kinds: list[pa.DataType] = []
+        weigh = weights()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(g).type.value_type if g == opened else batch.schema.field(g).type for g in groups]
+            v = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)
+            valid = np.stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in values], axis=1)
+            columns = [batch.column(g).to_pylist() for g in groups]
+            for part, w in weigh(batch):
+                members: dict[tuple, list[int]] = {}
+                for k in range(part.start, part.stop):
+                    for name in names(columns, k) if groups else [()]:
+                        members.setdefault(name, []).append(k)
+                for name, at in members.items():
+                    if name not in held:
+                        if (len(held) + 1) * reps * (1 + len(values)) > HELD_SUMS:
+                            yield from out(held, kinds)
+                        held[name] = _Held(reps, len(values))
+                    held[name].add(w[np.array(at) - part.start] if groups else w, v[at], valid[at])
+        yield from out(held, kinds)
+
+    partial = rows.mapInArrow(add, schema)
+    return partial.groupBy(*groups, "rep").agg(F.sum("_n").alias("_n"), *[F.sum(v).alias(v) for v in values])
 
 
 def resample_means(
@@ -57,40 +182,28 @@ def resample_means(
     """Mean of every value column per group and resample: (groups..., rep, values...).
 
     Poisson weights are drawn per key, so a row in several groups weighs the same in all; ``drawn_by`` may
-    name an array column of groups, which is opened after the draw. The mean of a resample without rows is
-    NULL, as can happen in very small groups.
+    name an array column among the groups, which is opened after the draw. A resample that draws no row of a group is
+    missing, as can happen in very small groups. NULL values add nothing, and a mean of NULL only is NULL. Group
+    columns are plain values, not arrays or maps. Multinomial draws count the rows of the buckets when called.
     """
     groups = groups or []
-    carried = [g for g in groups if g != drawn_by] + ([drawn_by] if drawn_by else [])
-    # every row becomes `reps` rows next; fix the partition number so that a small input is not
-    # merged into one task before it grows
+    # fix the partition number so that a small input is not merged into one task: every row is work for `reps` draws
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = rows.select(*carried, key, *values).repartition(parts, key)
+    slim = rows.select(*dict.fromkeys(groups), F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
     if method == "poisson":
-        weighted = poisson_weights(slim, reps, salt, key)
-        if drawn_by:
-            weighted = weighted.withColumn(drawn_by, F.explode(drawn_by))
+        sums = weighted_sums(slim.repartition(parts, "_key"), values, reps, groups, drawn_by, poisson_weights(reps, salt, "_key"))
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")
-        indexed = hash_rank(slim.withColumn("_h", hash60(F.concat(F.lit(salt), F.col(key)))), "_h", "_i", tie=key)
-        size = slim.agg(F.count("*")).scalar()
-        draws = (
-            indexed.select((F.col("_i") - 1).alias("_d")).repartition(parts, "_d")
-            .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-            .withColumn("_n", size)
-            .select(
-                "rep",
-                (hash60(F.concat_ws("|", F.lit(salt), F.col("rep").cast("string"), F.col("_d").cast("string")))
-                 % F.col("_n") + 1).alias("_i"),
-            )
-        )
-        weighted = draws.join(indexed, "_i").withColumn("_w", F.lit(1))
+        bucket = hash60(F.concat(F.lit(salt), F.coalesce("_key", F.lit("")))) % parts
+        dealt = slim.withColumn("_bucket", bucket.cast("int"))
+        sizes = np.zeros(parts, dtype=np.int64)
+        for b, n in dealt.groupBy("_bucket").count().collect():  # one row a bucket
+            sizes[b] = n
+        ordered = dealt.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_key", *values)
+        sums = weighted_sums(ordered, values, reps, groups, None, multinomial_weights(sizes, reps, salt))
     else:
         raise ValueError(f"unknown bootstrap method {method}")
-    sums = weighted.groupBy(*groups, "rep").agg(
-        F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
-    )
     return sums.select(*groups, "rep", *[F.try_divide(F.col(v), F.col("_n")).alias(v) for v in values])
 
 
