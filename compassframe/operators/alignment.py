@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from compassframe.functions.text import fingerprint
@@ -68,17 +68,35 @@ def mismatch_counts(aligned: DataFrame) -> DataFrame:
     )
 
 
-def prefix_mismatches(source: DataFrame, snapshot: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows where a source's first rows differ from the trusted snapshot, missing ones included."""
-    a, b = source.select("ordinal", *fields).alias("a"), snapshot.select("ordinal", *fields).alias("b")
-    joined = a.join(b, "ordinal", "full_outer")
-    same: Column = F.lit(True)
-    for f in fields:
-        same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-    differing = F.array_compact(
-        F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields])
+def prefix_mismatches(source: DataFrame, snapshot: DataFrame, fields: list[str], first_rows: Column | None = None) -> DataFrame:
+    """Ordinals at which a source's first rows differ from the trusted snapshot, and in what: (ordinal, differing).
+
+    Rows of ordinals from ``first_rows`` on are not compared; without it all are. ``differing`` lists fields (NULL
+    equals NULL only), or 'missing_in_source', 'missing_in_snapshot', or 'repeated' for an ordinal that a side has
+    twice. A row without an ordinal has no partner and counts as missing on the other side. The counts share the
+    join's partitioning.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        kept = df.select("ordinal", *fields).where(F.col("ordinal").isNotNull() if first_rows is None else F.col("ordinal") < first_rows)
+        counted = kept.withColumn("_n", F.count("*").over(Window.partitionBy("ordinal")))
+        return counted.withColumn("_repeated", F.col("_n") > 1).drop("_n")
+
+    def alone(df: DataFrame, fault: str) -> DataFrame:
+        """Rows without an ordinal, which would all meet in one task."""
+        return df.where(F.col("ordinal").isNull()).select("ordinal", F.array(F.lit(fault)).alias("differing"))
+
+    joined = side(source).alias("a").join(side(snapshot).alias("b"), "ordinal", "full_outer")
+    fault = lambda test, name: F.when(test, F.lit(name))
+    differing = (
+        F.when(F.col("a._repeated").isNull(), F.array(F.lit("missing_in_source")))
+        .when(F.col("b._repeated").isNull(), F.array(F.lit("missing_in_snapshot")))
+        .when(F.col("a._repeated") | F.col("b._repeated"), F.array(F.lit("repeated")))
+        .otherwise(F.array_compact(F.array(*[fault(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), f) for f in fields])))
     )
-    return joined.where(~same).select("ordinal", differing.alias("differing"))
+    found = joined.select("ordinal", differing.alias("differing")).where(F.size("differing") > 0)
+    repeated = F.array_contains("differing", "repeated")
+    once = found.where(~repeated).unionByName(found.where(repeated).distinct())
+    return once.unionByName(alone(source, "missing_in_snapshot")).unionByName(alone(snapshot, "missing_in_source"))
 
 
 def complete_outcomes(recommendations: DataFrame, outcomes: DataFrame, pool: list[str]) -> DataFrame:

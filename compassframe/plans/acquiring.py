@@ -52,16 +52,34 @@ def alignment_counts(spark, sf):
     return A.mismatch_counts(_aligned(spark, sf))
 
 
+def _landed_again(spark, sf):
+    """The first judge's copy as a later acquisition lands it, with faults of every kind at some ordinals."""
+    n = F.col("ordinal")
+    at = lambda m, r: F.pmod(n, F.lit(m)) == r
+    later = _judge(spark, sf, 0).select(
+        "ordinal",
+        F.when(at(101, 9), F.lit("other")).otherwise(F.col("key")).alias("key"),
+        F.when(~at(103, 1), F.col("prompts_id")).alias("prompts_id"),
+        F.when(at(97, 11), F.concat("original_prompt", F.lit("!")))
+        .when(at(7, 3), F.concat(F.lit(" "), "original_prompt")).otherwise(F.col("original_prompt")).alias("original_prompt"),
+        (F.col("actual_token_count") + F.when(at(89, 5), 1).otherwise(0)).alias("actual_token_count"),
+        F.when(~at(83, 7), F.col("correctness_score")).alias("correctness_score"),
+    ).where(~at(107, 2))
+    return later.withColumn("_copy", F.explode(F.when(at(109, 3), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
+
+
 def prefix_anchor(spark, sf):
-    """Rows of the second judge that differ from the first judge's snapshot."""
-    snap, src = (
-        _judge(spark, sf, i).withColumn("fingerprint", X.fingerprint(F.col("original_prompt"))).drop("original_prompt")
-        for i in (0, 1)
-    )
-    src = src.drop("actual_token_count", "correctness_score").join(
-        snap.select("ordinal", "actual_token_count", "correctness_score"), "ordinal"
+    """Where the first rows of a later acquisition differ from the snapshot of an earlier one.
+
+    The snapshot is the first half of the first judge's ordinals; the later acquisition has all of them.
+    """
+    half = F.floor(table(spark, sf, "documents").agg(F.max("doc_id")).scalar() / 2)
+    snap, later = (
+        df.withColumn("fingerprint", X.fingerprint(F.col("original_prompt"))).drop("original_prompt")
+        for df in (_judge(spark, sf, 0).where(F.col("ordinal") < half), _landed_again(spark, sf))
     )
-    out = A.prefix_mismatches(src, snap, ["key", "prompts_id", "fingerprint", "actual_token_count", "correctness_score"])
+    fields = ["key", "prompts_id", "fingerprint", "actual_token_count", "correctness_score"]
+    out = A.prefix_mismatches(later, snap, fields, half)
     return out.select("ordinal", F.array_join("differing", ",").alias("differing"))
 
 
@@ -316,8 +334,13 @@ ORACLES = {
 SELECT ordinal, 'k' || ordinal AS key, CASE WHEN sources IS NULL THEN 'aligned' ELSE 'text_mismatch' END AS verdict,
   coalesce(array_to_string(sources, ','), '') AS differing_sources FROM diff""",
     "alignment_counts": f"{_ALIGN_SQL} SELECT source, count(*) AS text_mismatches FROM (SELECT unnest(sources) AS source FROM diff) GROUP BY source",
-    "prefix_anchor": f"""{_ALIGN_SQL}
-SELECT ordinal, 'fingerprint' AS differing FROM diff WHERE list_contains(sources, '{SOURCES[1]}')""",
+    "prefix_anchor": f"""WITH first AS (SELECT doc_id AS d, text FROM documents WHERE doc_id < (SELECT max(doc_id) // 2 FROM documents)),
+later AS (SELECT d, CASE WHEN d % 97 = 11 THEN text || '!' WHEN d % 7 = 3 THEN ' ' || text ELSE text END AS again, text FROM first),
+found AS (SELECT d AS ordinal, CASE WHEN d % 107 = 2 THEN 'missing_in_source' WHEN d % 109 = 3 THEN 'repeated' ELSE concat_ws(',',
+  CASE WHEN d % 101 = 9 THEN 'key' END, CASE WHEN d % 103 = 1 THEN 'prompts_id' END,
+  CASE WHEN {_visible_sql('again')} IS DISTINCT FROM {_visible_sql('text')} THEN 'fingerprint' END,
+  CASE WHEN d % 89 = 5 THEN 'actual_token_count' END, CASE WHEN d % 83 = 7 THEN 'correctness_score' END) END AS differing FROM later)
+SELECT * FROM found WHERE differing <> ''""",
     "outcome_completeness": """WITH o AS (SELECT l_orderkey AS id, 'k' || CASE WHEN l_linenumber = 7 THEN o_custkey + 1 ELSE o_custkey END AS key, l_returnflag AS m, o_custkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT id, bool_or(key <> 'k' || o_custkey) AS bad_key, count(*) AS n, count(DISTINCT m) AS models FROM o GROUP BY id)
