@@ -1,13 +1,22 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Words of at least CLUSTER_SHARE of all training tokens are clustered: each moves to the class that most raises the
-likelihood of the class bigrams. The other words have a class by their form (letters, digits, symbols, length, last
-letters), and the end of a text has one of its own. A text's probability is the product, over its tokens and its end,
-of the smoothed transition from the class before and the word's share in its class; each class of forms keeps one
-place for words never seen, so the probabilities of all words after any word add up to one.
-
-At most 1 / share words can have a given share, which bounds everything that is broadcast at any size of corpus. The
-counts of the remaining words are joined, not broadcast. All counts are taken over all training documents.
+Every word that occurs twice or more in the training texts is clustered, in two steps:
+
+1. The core, words of at least CORE_SHARE of all tokens (20,000 at most, at any size of corpus): each moves, in parallel
+   rounds, to the class that most raises the likelihood of the class bigrams.
+2. All other words, however many: their neighbours' classes are counted and shuffled by word, and each word joins the
+   class with the highest first-order gain of the same likelihood, a product of its context counts and a matrix.
+
+Words that occur once, and words never met beside a core word or an end, have a class by their form (letters, digits,
+symbols, length, last letters), as have words never seen; the end of a text has a class of its own. The number of
+classes grows with the types, 2 * types ** 0.3, up to MOST_CLASSES, which bounds the matrices.
+
+A text's probability is the product, over its tokens and its end, of the smoothed transition from the class before and
+the word's share in its class; each class of forms keeps one place for words never seen, so the probabilities of all
+words after any word add up to one. Transitions are counted over all training texts with the final classes.
+
+Words of at least LOOKUP_SHARE of all tokens (a million at most) are looked up in a broadcast table; counts and classes
+of all others are joined, token by token, and no such word is frequent enough to be a hot key.
 """
 
 from __future__ import annotations
@@ -26,11 +35,15 @@ from pyspark.sql import functions as F
 from compassframe.llm.common import Scratch, documents, lowered_words, remainder
 
 FOLDS, HELD_OUT = 7, 2
-#: Shares of all training tokens from which a word is clustered (so at most 20,000), or has its count broadcast.
-CLUSTER_SHARE, LOOKUP_SHARE = 5e-5, 1e-6
-CLASSES, ROUNDS, SMOOTHING = 64, 8, 20.0
-SUFFIXES, FLUSH = 16, 400_000
+#: Shares of all training tokens from which a word is in the core (so at most 20,000), or looked up in a broadcast.
+CORE_SHARE, LOOKUP_SHARE = 5e-5, 1e-6
+#: Occurrences from which a word is clustered, whatever the size of the corpus.
+LEAST = 2
+MOST_CLASSES, ROUNDS, SMOOTHING = 512, 8, 20.0
+SUFFIXES, FLUSH, SLICE = 16, 400_000, 2_000
 PUNCTUATION = b".,;:!?"
+#: Stands for the end of a text among its words; no word holds white space.
+END = b" "
 _LETTERS = bytes(x for x in range(256) if x >= 0x80 or chr(x).isalpha())
 FORMS = 3 * 2 * 3 * SUFFIXES
 
@@ -44,6 +57,28 @@ def form(word: bytes) -> int:
     return ((kind * 2 + (len(core) < len(word))) * 3 + band) * SUFFIXES + crc32(core[-3:]) % SUFFIXES
 
 
+def number_of_classes(types: int) -> int:
+    return int(min(MOST_CLASSES, max(1, 2 * types ** 0.3)))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], texts: int = 1000) -> Iterator[list[bytes]]:
+    """The words of some texts in a row, with END before, between and after them."""
+    for batch in batches:
+        column = batch.column("text")
+        for start in range(0, batch.num_rows, texts):
+            flat = [END]
+            for text in column.slice(start, texts).to_pylist():
+                flat += lowered_words(text)
+                flat.append(END)
+            yield flat
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, each once, and their counts added up."""
+    code, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word (bytes), n over all texts; tasks add up before anything moves."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,55 +98,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary(NamedTuple):
-    """Token ids: clustered words, then the end of a text, then forms. looked_up maps more words to their counts."""
-
-    ids: dict[bytes, int]
-    looked_up: dict[bytes, int]
-
-    @property
-    def size(self) -> int:
-        return len(self.ids) + 1 + FORMS
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """End, the words, end."""
-        end, get = len(self.ids), self.ids.get
-        out = [end]
-        out += [i if (i := get(w)) is not None else end + 1 + form(w) for w in words]
-        out.append(end)
-        return np.array(out, dtype=np.int64)
-
-
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """a, b, n: how often token id b follows a, ends of texts included."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def count_pairs(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """a, b, n: how often id b follows a. END is in ids; words that are not share the id after the last."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(ids), len(ids) + 1
 
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        code, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return code, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-    def out(code: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    def out(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        get, other = shared.value.get, size - 1
         parts, held = [], 0
-        for batch in batches:
-            for texts in np.array_split(np.array(batch.column("text").to_pylist(), dtype=object), max(1, batch.num_rows // 1000)):
-                ids = [v.encode(lowered_words(t)) for t in texts]
-                if ids:
-                    code, n = np.unique(np.concatenate([x[:-1] * v.size + x[1:] for x in ids]), return_counts=True)
-                    parts.append((code, n))
-                    held += len(code)
-                if held > 8 * FLUSH:
-                    parts = [merge(parts)]
-                    held = len(parts[0][0])
-                    if held > 4 * FLUSH:
-                        yield out(*parts.pop(), v.size)
-                        held = 0
+        for flat in chunks(batches):
+            x = np.fromiter((get(w, other) for w in flat), np.int64, len(flat))
+            parts.append(np.unique(x[:-1] * size + x[1:], return_counts=True))
+            held += len(parts[-1][0])
+            if held > 8 * FLUSH:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > 4 * FLUSH:
+                    yield out(*parts.pop())
+                    held = 0
         if parts:
-            yield out(*merge(parts), v.size)
+            yield out(*merged(parts))
 
     pairs = docs.select("text").mapInArrow(count, "a int, b int, n bigint")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -182,7 +191,7 @@ def best_class(m: np.ndarray, left: np.ndarray, right: np.ndarray, own: float, n
 
 
 def exchange(rows: DataFrame, class_of: np.ndarray, m: np.ndarray, n_words: int, n_free: int, turn: int) -> dict[int, int]:
-    """New classes for half of the words; a task sees its own moves, others' only in the next round."""
+    """New classes for half of the core; a task sees its own moves, others' only in the next round."""
     shared = rows.sparkSession.sparkContext.broadcast((class_of, m))
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,117 +214,284 @@ def exchange(rows: DataFrame, class_of: np.ndarray, m: np.ndarray, n_words: int,
     return dict(rows.where(F.col("w") < n_words).mapInArrow(move, "w int, c int").collect())
 
 
-class Model(NamedTuple):
-    vocabulary: Vocabulary
-    class_of: np.ndarray
-    transition: np.ndarray  # log10
-    emission: np.ndarray  # log10 by token id; of a form, for a count of 0
+def count_contexts(docs: DataFrame, core: dict[bytes, int], k: int) -> DataFrame:
+    """word, codes, ns: which classes stand before (c) and after (k + 1 + c) words outside the core, and how often.
+
+    core maps words and END to classes up to k. A task sends a word once, or once each time its memory is full.
+    """
+    shared, width = docs.sparkSession.sparkContext.broadcast(core), 2 * (k + 1)
+
+    def out(ids: dict[bytes, int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        code, n = merged(parts)
+        found, starts = np.unique(code // width, return_index=True)
+        offsets = pa.array(np.append(starts, len(code)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(ids), pa.binary()).take(pa.array(found)),
+             pa.ListArray.from_arrays(offsets, pa.array(code % width, pa.int32())),
+             pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))], ["word", "codes", "ns"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        ids: dict[bytes, int] = {}
+        parts, held = [], 0
+        for flat in chunks(batches):
+            classes = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+            at = np.flatnonzero(classes < 0)
+            own = np.fromiter((ids.setdefault(flat[i], len(ids)) for i in at.tolist()), np.int64, len(at)) * width
+            before, after = classes[at - 1], classes[at + 1]
+            code = np.concatenate([(own + before)[before >= 0], (own + k + 1 + after)[after >= 0]])
+            parts.append(np.unique(code, return_counts=True))
+            held += len(parts[-1][0])
+            if held > 4 * FLUSH:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+            if len(ids) > FLUSH or held > 3 * FLUSH:
+                yield out(ids, parts)
+                ids, parts, held = {}, [], 0
+        if held:
+            yield out(ids, parts)
+
+    return docs.select("text").mapInArrow(count, "word binary, codes array<int>, ns array<bigint>")
+
+
+def context_gains(m: np.ndarray) -> np.ndarray:
+    """What one neighbour adds to the likelihood if its word is in a class: rows are codes of contexts, columns classes.
+
+    m counts transitions of the core's classes and the end, the last. The gain of moving x counts into a cell of n is
+    x * (log n + 1) to first order, less the same for the sums of its row and column; cells are smoothed.
+    """
+    k = len(m) - 1
+    share = lambda n: (n + 1) / (n + 1).sum()
+    before = (m + SMOOTHING * share(m.sum(axis=1))[:, None]) / (m.sum(axis=0) + SMOOTHING)
+    after = (m.T + SMOOTHING * share(m.sum(axis=0))[:, None]) / (m.sum(axis=1) + SMOOTHING)
+    return np.log(np.vstack([before, after])[:, :k])
+
+
+def assign(contexts: DataFrame, gains: np.ndarray) -> DataFrame:
+    """word, c: the class of the largest gain, ties to the lower. Words stream through sorted partitions.
+
+    Only one word's sums cross from one slice of rows to the next, so memory does not depend on how many rows it has.
+    """
+    shared, width = contexts.sparkSession.sparkContext.broadcast(gains), len(gains)
+
+    def out(words: list[bytes], sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.binary()), pa.array(np.argmax(sums @ shared.value, axis=1), pa.int32())], ["word", "c"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_word, open_sums = None, np.zeros(width)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                coded = batch.column("word").dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                codes, ns = batch.column("codes"), batch.column("ns")
+                lengths = np.diff(codes.offsets.to_numpy())
+                own = np.repeat(coded.indices.to_numpy(), lengths).astype(np.int64)
+                at = own * width + codes.flatten().to_numpy()
+                sums = np.bincount(at, ns.flatten().to_numpy(), len(words) * width).reshape(len(words), width)
+                if words[0] == open_word:
+                    sums[0] += open_sums
+                elif open_word is not None:
+                    yield out([open_word], open_sums[None])
+                open_word, open_sums = words[-1], sums[-1].copy()
+                if len(words) > 1:
+                    yield out(words[:-1], sums[:-1])
+        if open_word is not None:
+            yield out([open_word], open_sums[None])
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c int")
+
+
+class Learnt(NamedTuple):
+    """k classes of words, one of the end (k), then those of forms. words: word, n, c of all training words."""
+
+    words: DataFrame
+    k: int
+    mass: np.ndarray  # of each class: what a word's count (clustered) or count + 1 (by form) is divided by
     n_train: int
     n_types: int
     n_texts: int
 
+    @property
+    def size(self) -> int:
+        return self.k + 1 + FORMS
+
 
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model of all texts of docs, and their counted words (word, n)."""
-    counts = scratch.put(count_words(docs), "words")
+def learn(docs: DataFrame, scratch: Scratch) -> Learnt:
+    """Counts and classes of the words of all texts of docs."""
+    counts = scratch.put(count_words(docs), "counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = docs.count()
     total, types = total + texts, types + (texts > 0)
-    often = sorted((-n, bytes(w)) for w, n in counts.where(F.col("n") >= max(1.0, LOOKUP_SHARE * total)).collect())
-    clustered = [w for n, w in often if -n >= max(2.0, CLUSTER_SHARE * total)]
-    v = Vocabulary({w: i for i, w in enumerate(clustered)}, {w: -n for n, w in often})
-    k, n_words = min(CLASSES, max(1, len(clustered))), len(clustered)
-    n_classes = k + 1 + FORMS
-    class_of = np.concatenate([np.arange(n_words) % k, k + np.arange(1 + FORMS)]).astype(np.int64)
-    pairs = scratch.put(count_pairs(docs, v), "pairs")
-    rows = scratch.put(contexts(pairs), "contexts")
-    m = class_matrix(rows, class_of, n_classes)
-    for turn in range(ROUNDS if n_words > k else 0):
-        moved = exchange(rows, class_of, m, n_words, k, turn)
+    often = counts.where(F.col("n") >= max(float(LEAST), CORE_SHARE * total)).collect()
+    core = [w for _, w in sorted((-n, bytes(w)) for w, n in often)]
+    n_core, k = len(core), min(number_of_classes(types), max(1, len(core)))
+    ids = {w: i for i, w in enumerate([*core, END])}
+    class_of = np.concatenate([np.arange(n_core) % k, [k, k + 1]]).astype(np.int64)
+    rows = scratch.put(contexts(scratch.put(count_pairs(docs, ids), "pairs")), "contexts")
+    m = class_matrix(rows, class_of, k + 2)
+    for turn in range(ROUNDS if n_core > k else 0):
+        moved = exchange(rows, class_of, m, n_core, k, turn)
         class_of[list(moved)] = list(moved.values())
-        m = class_matrix(rows, class_of, n_classes)
+        m = class_matrix(rows, class_of, k + 2)
+    classes = {w: int(class_of[i]) for w, i in ids.items()}
+    found = assign(count_contexts(docs, classes, k), context_gains(m[: k + 1, : k + 1].astype(np.float64)))
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of the core are known, those of rare words are their forms."""
+        get = shared.value.get
+        for batch in batches:
+            given = zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), batch.column("c").to_pylist(), strict=True)
+            c = [own if (own := get(w)) is not None else k + 1 + form(w) if n < LEAST or near is None else near for w, n, near in given]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(c, pa.int32())], ["word", "n", "c"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    words = scratch.put(counts.join(found, "word", "left").mapInArrow(finish, "word binary, n bigint, c int"), "words")
+    mass = np.zeros(k + 1 + FORMS)
+    mass[k:] = 1.0  # the end, and one place in each form for words never seen
+    for c, n, v in words.groupBy("c").agg(F.sum("n"), F.count("*")).collect():  # one row a class
+        mass[c] += n if c < k else n + v
+    return Learnt(words, k, mass, int(total), int(types), texts)
 
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((FORMS, 2), dtype=np.int64)
-        for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if w not in shared.value.ids:
-                    seen[form(w)] += (n, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FORMS)), pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["f", "n", "v"])
-
-    by_form = np.zeros((FORMS, 2))
-    for f, n, t in counts.mapInArrow(forms, "f bigint, n bigint, v bigint").groupBy("f").agg(F.sum("n"), F.sum("v")).collect():
-        by_form[f] = n, t
-    of_class = np.bincount(class_of[:n_words], [v.looked_up[w] for w in clustered], k) if n_words else np.zeros(k)
-    emission = np.concatenate([
-        [np.log10(v.looked_up[w] / of_class[class_of[i]]) for i, w in enumerate(clustered)], [0.0],
-        -np.log10(by_form.sum(axis=1) + 1)])
-    usable = np.ones(n_classes)
-    usable[:k] = of_class > 0  # a class that lost all its words is never reached
-    any_class = (m.sum(axis=0) + 1.0) * usable
-    any_class /= any_class.sum()
-    with np.errstate(divide="ignore"):
-        transition = np.log10((m + SMOOTHING * any_class) / (m.sum(axis=1, keepdims=True) + SMOOTHING))
-    return Model(v, class_of, transition, emission, int(total), int(types), texts), counts
 
+class Lookup(NamedTuple):
+    ids: dict[bytes, int]
+    n: np.ndarray
+    c: np.ndarray
 
-def local_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base and score of all but the joined words, and those words (rare)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        v, floor = s.vocabulary, np.log10(s.n_train + s.n_types + 1)
-        end, get, clustered = len(v.ids), v.looked_up.get, len(v.ids)
+def encode(docs: DataFrame, learnt: Learnt, scratch: Scratch) -> DataFrame:
+    """A row for each of docs: doc_id, held_out, known, plain, weight, seq, known2, plain2, weight2, changes.
+
+    seq has the classes of a text's words; changes (position * 4096 + class) mends those of joined words. plain adds
+    log10(n + 1), weight the logarithm of what is divided by the class's mass; those ending in 2 are of joined words.
+    """
+    limit, k = max(1.0, LOOKUP_SHARE * learnt.n_train), learnt.k
+    often = learnt.words.where(F.col("n") >= limit).collect()  # at most 1 / LOOKUP_SHARE words
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(
+        {bytes(r.word): i for i, r in enumerate(often)}, np.array([r.n for r in often], dtype=np.float64),
+        np.array([r.c for r in often], dtype=np.int32)))
+    id_type, end_plain = docs.schema["doc_id"].dataType.simpleString(), float(np.log10(learnt.n_texts + 1))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.ids.get
+        plain_of = np.append(np.log10(shared.value.n + 1), 0.0)  # the last is for words that are not looked up
+        weight_of = np.append(np.where(shared.value.c < k, np.log10(np.maximum(shared.value.n, 1)), plain_of[:-1]), 0.0)
+        class_of = np.append(shared.value.c, 0)
         for batch in batches:
-            tokens, known, base, full, rare = [], [], [], [], []
+            known, plain, weight, seq, rare, places = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = lowered_words(text)
-                ids = v.encode(words)
-                counts = np.array([get(w, 0) for w in words] + [s.n_texts], dtype=np.float64)
-                plain = np.log10(counts + 1)
-                classes = s.class_of[ids]
-                total = s.transition[classes[:-1], classes[1:]].sum() + s.emission[ids[1:]].sum()
-                total += plain[:-1][ids[1:-1] > end].sum()  # words of a form: their count over the form's
-                tokens.append(len(ids) - 1)
-                known.append(int((counts > 0).sum()))
-                base.append(float(plain.sum() - floor * len(counts)))
-                full.append(float(total))
-                rare.append([words[i] for i in np.flatnonzero(counts[:-1] == 0)])
+                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                classes, at = class_of[ids], np.flatnonzero(ids < 0)
+                missed = [words[i] for i in at.tolist()]
+                classes[at] = [k + 1 + form(w) for w in missed]
+                known.append(len(words) - len(at) + (learnt_texts > 0))
+                plain.append(float(plain_of[ids].sum()) + end_plain)
+                weight.append(float(weight_of[ids].sum()))
+                seq.append(classes)
+                rare.append(missed)
+                places.append(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "full", "rare"])
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(known, pa.int64()), pa.array(plain, pa.float64()),
+                 pa.array(weight, pa.float64()), pa.array(seq, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.binary())),
+                 pa.array(places, pa.list_(pa.int32()))],
+                ["doc_id", "held_out", "known", "plain", "weight", "seq", "rare", "at"])
 
+    learnt_texts = learnt.n_texts
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return rows.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, "
-                                  "full double, rare array<binary>")
+    schema = (f"doc_id {id_type}, held_out boolean, known bigint, plain double, weight double, seq array<int>, "
+              "rare array<binary>, at array<int>")
+    kept = scratch.put(rows.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    missed = kept.select("row", F.explode(F.arrays_zip("at", "rare")).alias("x")).select("row", "x.at", F.col("x.rare").alias("word"))
+    rare = learnt.words.where(F.col("n") < limit)
+    plain = F.log10(F.col("n") + 1.0)
+    mended = missed.join(rare, "word").groupBy("row").agg(
+        F.count("*").alias("known2"), F.sum(plain).alias("plain2"),
+        F.sum(F.when(F.col("c") < k, F.log10(F.col("n").cast("double"))).otherwise(plain)).alias("weight2"),
+        F.collect_list(F.col("at").cast("long") * 4096 + F.col("c")).alias("changes"))
+    return scratch.put(kept.drop("rare", "at").join(mended, "row", "left").drop("row"), "classes")
+
+
+def transitions(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens of a batch's texts, of those before them, and where each text starts among them."""
+    seq, changes = batch.column("seq"), batch.column("changes")
+    offsets = seq.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    values = seq.flatten().to_numpy().astype(np.int64)
+    code = changes.flatten().to_numpy()
+    of = np.repeat(offsets[:-1], changes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    values[of + code // 4096] = code % 4096
+    flat = np.append(np.insert(values, offsets[:-1], end), end)
+    return flat[1:], flat[:-1], offsets[:-1] + np.arange(batch.num_rows)
+
+
+def transition_counts(rows: DataFrame, k: int) -> np.ndarray:
+    """How often each class follows each; every task sends its sums once."""
+    size = k + 1 + FORMS
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                after, before, _ = transitions(batch, k)
+                m += np.bincount(before * size + after, minlength=size * size)
+        cells = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(m[cells], pa.int64())], ["cell", "n"])
+
+    m = np.zeros(size * size)
+    sums = rows.select("seq", "changes").mapInArrow(add, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    for cell, n in sums.collect():  # classes squared at most
+        m[cell] = n
+    return m.reshape(size, size)
+
+
+def smoothed(m: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Probabilities of classes after classes; one without words is never reached."""
+    any_class = (m.sum(axis=0) + 1.0) * (mass > 0)
+    any_class /= any_class.sum()
+    return (m + SMOOTHING * any_class) / (m.sum(axis=1, keepdims=True) + SMOOTHING)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    Learns from the documents outside the held-out fold, scores all. Reads doc_id and text; null and empty texts have
-    the end as their only token; a null id counts as the empty text when folds are dealt. Repeated rows are learnt
-    from and scored each time. Without training documents all probabilities come from the smoothing alone.
+    Learns from the documents outside the held-out fold, scores all. Reads doc_id and text, whatever other columns there
+    are; null and empty texts have the end as their only token; a null id counts as the empty text when folds are dealt.
+    Repeated rows are learnt from and scored each time. Texts of any length are taken whole, each in one task. Without
+    training documents all probabilities come from the smoothing alone.
     """
     scratch = Scratch(docs.sparkSession, "class-lm")
-    train = docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
-    model, counts = learn(train, scratch)
-    local = scratch.put(local_scores(docs, model).withColumn("row", F.monotonically_increasing_id()), "local")
-    words = local.select("row", F.explode("rare").alias("word"))
-    rare = counts.where(F.col("n") < max(1.0, LOOKUP_SHARE * model.n_train))
-    joined = words.join(rare, "word").groupBy("row").agg(
-        F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    score = F.col("full") + more
-    return local.drop("rare").join(joined, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(model.n_train).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-        score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    learnt = learn(docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("text"), scratch)
+    rows = encode(docs, learnt, scratch)
+    k, id_type = learnt.k, docs.schema["doc_id"].dataType.simpleString()
+    m = transition_counts(rows.where(~F.col("held_out")), k)
+    with np.errstate(divide="ignore"):
+        shared = docs.sparkSession.sparkContext.broadcast(
+            (np.log10(smoothed(m, learnt.mass)), np.log10(np.maximum(learnt.mass, 1e-300))))
+    floor = float(np.log10(learnt.n_train + learnt.n_types + 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, mass = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            after, before, starts = transitions(batch, k)
+            tokens = np.diff(np.append(starts, len(after)))
+            column = lambda name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+            full = np.add.reduceat(transition[before, after] - mass[after], starts) + column("weight") + column("weight2")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()),
+                 pa.array(column("known") + column("known2"), pa.int64()),
+                 pa.array(column("plain") + column("plain2") - floor * tokens, pa.float64()), pa.array(full, pa.float64())],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = rows.mapInArrow(
+        score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(learnt.n_train).cast("long").alias("train_tokens"), "base_score",
+        "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_counts_and_base_score(spark, small, docs, lookup, monkeypatch):
 
 
 def test_scores_do_not_depend_on_what_is_looked_up(spark, small, docs, monkeypatch):
-    monkeypatch.setattr(class_lm, "CLUSTER_SHARE", 2e-3)
+    monkeypatch.setattr(class_lm, "CORE_SHARE", 2e-3)
     a = sorted(round(r.score, 6) for r in rows_of(class_lm.score_texts(small(docs))))
     monkeypatch.setattr(class_lm, "LOOKUP_SHARE", 1e-3)
     b = sorted(round(r.score, 6) for r in rows_of(class_lm.score_texts(small(docs).repartition(3))))
@@ -58,19 +58,80 @@ def test_classes_beat_the_base_on_held_out_text(spark, small, docs):
 
 
 def test_probabilities_add_up(spark, small, docs):
-    scratch = Scratch(spark, "t")
-    model, counts = class_lm.learn(small(docs).select("text"), scratch)
-    assert np.allclose((10.0 ** model.transition).sum(axis=1), 1)
-    n, k = len(model.vocabulary.ids), model.class_of[: len(model.vocabulary.ids)].max() + 1
-    clustered = np.bincount(model.class_of[:n], 10.0 ** model.emission[:n], k)
-    assert np.allclose(clustered[clustered > 0], 1)
-    by_form = Counter()
-    for r in rows_of(counts):
-        if bytes(r.word) not in model.vocabulary.ids:
-            f = class_lm.form(bytes(r.word))
-            by_form[f] += (r.n + 1) * 10.0 ** model.emission[n + 1 + f]
-    for f, p in by_form.items():
-        assert p + 10.0 ** model.emission[n + 1 + f] == pytest.approx(1)  # and one place for words never seen
+    learnt = class_lm.learn(small(docs).select("text"), Scratch(spark, "t"))
+    rng = np.random.default_rng(1)
+    m = class_lm.smoothed(rng.integers(0, 3, (learnt.size, learnt.size)).astype(float), learnt.mass)
+    assert np.allclose(m.sum(axis=1), 1)
+    share = np.zeros(learnt.size)
+    share[learnt.k] = 1.0
+    share[learnt.k + 1:] = 1 / learnt.mass[learnt.k + 1:]  # one place in each form for words never seen
+    for r in rows_of(learnt.words):
+        share[r.c] += (r.n if r.c < learnt.k else r.n + 1) / learnt.mass[r.c]
+    assert np.allclose(share[m[0] > 0], 1)
+
+
+@pytest.mark.parametrize("core", [5e-5, 3e-2])
+def test_words_found_twice_are_clustered_whatever_their_share(spark, small, docs, core, monkeypatch):
+    monkeypatch.setattr(class_lm, "CORE_SHARE", core)
+    texts = [(i, " ".join(f"w{i % 7} the{j} w{j} rare{i // 2}" for j in range(5))) for i in range(200)]
+    learnt = class_lm.learn(small(texts).select("text"), Scratch(spark, "t"))
+    assert learnt.k > 1
+    assert all(r.c < learnt.k for r in rows_of(learnt.words) if r.n >= 2)
+
+
+def test_rare_words_join_the_class_of_largest_gain(spark, small, monkeypatch):
+    """Against contexts and gains counted text by text, in slices so small that words go over their ends."""
+    monkeypatch.setattr(class_lm, "SLICE", 3)
+    rng = np.random.default_rng(5)
+    k, core = 3, {b"a": 0, b"b": 1, b"c": 2, class_lm.END: 3}
+    texts = [(i, " ".join(rng.choice(["a", "b", "c", "x", "y", "z", "q"], rng.integers(0, 12)))) for i in range(60)]
+    m = rng.integers(1, 50, (k + 1, k + 1)).astype(float)
+    gains = class_lm.context_gains(m)
+    sums = {}
+    for _, t in texts:
+        seq = [class_lm.END, *words(t), class_lm.END]
+        for before, w, after in zip(seq, seq[1:], seq[2:], strict=False):
+            if w not in core:
+                x = sums.setdefault(w, np.zeros(2 * (k + 1)))
+                if before in core:
+                    x[core[before]] += 1
+                if after in core:
+                    x[k + 1 + core[after]] += 1
+    found = class_lm.assign(class_lm.count_contexts(small(texts).repartition(7), core, k), gains)
+    assert {bytes(r.word): r.c for r in rows_of(found)} == {w: int(np.argmax(x @ gains)) for w, x in sums.items() if x.any()}
+
+
+def test_scores_equal_a_model_worked_out_text_by_text(spark, small, docs, monkeypatch):
+    """From the classes learnt: transitions, masses and scores by brute force, most words joined."""
+    monkeypatch.setattr(class_lm, "LOOKUP_SHARE", 1e-2)
+    monkeypatch.setattr(class_lm, "CORE_SHARE", 1e-2)
+    kept = {}
+    learn = class_lm.learn
+    monkeypatch.setattr(class_lm, "learn", lambda d, s: kept.setdefault("learnt", learn(d, s)))
+    got = rows_of(class_lm.score_texts(small(docs)))
+    learnt = kept["learnt"]
+    table = {bytes(r.word): (r.n, r.c) for r in rows_of(learnt.words)}
+    k = learnt.k
+
+    def classes(t):
+        return [k, *[table[w][1] if w in table else k + 1 + class_lm.form(w) for w in words(t)], k]
+
+    m = np.zeros((learnt.size, learnt.size))
+    for d, t in docs:
+        if not held_out(d):
+            c = classes(t)
+            np.add.at(m, (c[:-1], c[1:]), 1)
+    p = class_lm.smoothed(m, learnt.mass)
+    expected = []
+    for d, t in docs:
+        c, total = classes(t), 0.0
+        for x, y in zip(c, c[1:], strict=False):
+            total += log10(p[x, y] / learnt.mass[y])
+        for w in words(t):
+            n, own = table.get(w, (0, k + 1))
+            total += log10(n if own < k else n + 1)
+        expected.append((str(d), round(total, 6)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(expected)
 
 
 def test_moving_a_word_raises_the_likelihood():
