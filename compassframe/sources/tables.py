@@ -51,6 +51,40 @@ def append(df: DataFrame, path: str, table: str) -> None:
     conform(df, table).withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, table: str, batch_id: int) -> None:
+    """Adds the rows of a micro-batch, for ``foreachBatch``: a batch that is replayed replaces what it wrote before.
+
+    A batch owns the folder of its id, so a retried job adds no row and removes none of another batch. A table is filled
+    either by this or by ``append``.
+    """
+    at = "recorded_at" if table == "feedback" else "created_at"
+    rows = conform(df, table).withColumn("day", F.to_date(at))
+    rows.write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/batch={int(batch_id)}")
+
+
+def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """One row for each key, its newest; ties in time go to the row whose JSON is largest. Rows without a key stay out.
+
+    Tasks keep one row a key before anything is shuffled, so a key with many states is not one task's work.
+    """
+    state = F.struct(*[rows[f"`{c}`"] for c in rows.columns])
+    newest = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max_by(state, F.struct(F.col(at), F.to_json(state))).alias("_state"))
+    return newest.select("_state.*")
+
+
+def compact(spark: SparkSession, path: str, target: str, table: str, key: str) -> DataFrame:
+    """Writes the latest state of every key of a table to a new folder, one batch of few files, and returns it.
+
+    The table itself is left as it is: readers move to the new folder once it is complete.
+    """
+    at = "recorded_at" if table == "feedback" else "created_at"
+    state = latest(read(spark, path, table), key, at).withColumn("day", F.to_date(at))
+    folder = f"{target.rstrip('/')}/batch=-1"
+    state.repartitionByRange("day", key).write.mode("errorifexists").partitionBy("day").parquet(folder)
+    return read(spark, target, table)
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of a table; columns added after a file was written read as NULL."""
     return conform(spark.read.schema(f"{SCHEMAS[table]}, day date").parquet(path), table)

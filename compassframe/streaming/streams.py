@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from compassframe.functions.profile import profile
 from compassframe.operators import feedback as fb
 from compassframe.operators.rank import recommend
-from compassframe.operators.ratelimit import bucket_step
+from compassframe.operators.ratelimit import FULL_REFILL_SECONDS, bucket_step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+DROPPED = "numRowsDroppedByWatermark"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which operators with several kinds of state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def recommend_stream(requests: DataFrame, catalog: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """Profiles and ranks every micro-batch with the batch functions.
@@ -43,6 +58,20 @@ def distinct_feedback(feedback: DataFrame, receipts: DataFrame | None = None, la
     return at.withWatermark("recorded_at", lateness).dropDuplicatesWithinWatermark(["recommendation_id"])
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows the watermark has kept out of a query's state, over the batches it still reports.
+
+    The progress of the last ``spark.sql.streaming.numRecentProgressUpdates`` batches is kept; a listener may add
+    up ``late_rows_of`` for a query that runs longer.
+    """
+    return sum(late_rows_of(progress) for progress in query.recentProgress)
+
+
+def late_rows_of(progress) -> int:
+    """The same of one batch's progress."""
+    return sum(operator[DROPPED] for operator in progress["stateOperators"])
+
+
 def running_cells(events: DataFrame) -> DataFrame:
     """Outcome counts per (profile, task, configuration), for update or complete mode."""
     return events.groupBy("feedback_profile_id", "task_family", "configuration_id").agg(
@@ -93,3 +122,130 @@ def token_bucket_stream(writes: DataFrame, per_minute: int) -> DataFrame:
     return keyed.groupBy("client").transformWithStateInPandas(
         statefulProcessor=BucketProcessor(per_minute), outputStructType=schema, outputMode="Append", timeMode="None"
     )
+
+
+class CellProcessor(StatefulProcessor):
+    """Outcome counts of a profile's cells; a batch's changed cells and the profile's totals go out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        counts = "support bigint, successes bigint"
+        self.cells = handle.getMapState("cells", "task_family string, configuration_id string", counts)
+        self.total = handle.getValueState("total", counts)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        added: dict[tuple, list[int]] = {}
+        for pdf in rows:
+            for task, configuration, success in zip(pdf["task_family"], pdf["configuration_id"], pdf["success"], strict=True):
+                cell = added.setdefault((task, configuration), [0, 0])
+                cell[0] += 1
+                cell[1] += 0 if success is None or pd.isna(success) else int(success)
+        out = []
+        for cell, (support, successes) in added.items():
+            if self.cells.containsKey(cell):
+                before = self.cells.getValue(cell)
+                support, successes = support + before[0], successes + before[1]
+            self.cells.updateValue(cell, (support, successes))
+            out.append((key[0], *cell, support, successes))
+        before = self.total.get() if self.total.exists() else (0, 0)
+        support, successes = (before[k] + sum(c[k] for c in added.values()) for k in (0, 1))
+        self.total.update((support, successes))
+        out.append((key[0], None, None, support, successes))
+        yield pd.DataFrame(out, columns=["feedback_profile_id", "task_family", "configuration_id", "support", "successes"])
+
+    def close(self) -> None:
+        pass
+
+
+def changed_cells(events: DataFrame) -> DataFrame:
+    """Counts that a batch changed, in update mode: rows out are bounded by the batch, whatever the state holds.
+
+    (feedback_profile_id, task_family, configuration_id, support, successes); a profile's totals have neither task nor
+    configuration. Events without a task or configuration are left out, as they are nobody's signal. Counts only grow,
+    so the row of largest support is a cell's newest: a sink may keep repeats of a replayed batch.
+    """
+    known = events.select("feedback_profile_id", "task_family", "configuration_id", "success").where(
+        F.col("task_family").isNotNull() & F.col("configuration_id").isNotNull())
+    schema = "feedback_profile_id string, task_family string, configuration_id string, support bigint, successes bigint"
+    return known.groupBy("feedback_profile_id").transformWithStateInPandas(
+        statefulProcessor=CellProcessor(), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+def signals_from_changes(changes: DataFrame, minimum_support: int = fb.MINIMUM_SUPPORT) -> DataFrame:
+    """Signals of the newest counts among all changes written so far."""
+    key = ["feedback_profile_id", "task_family", "configuration_id"]
+    newest = changes.groupBy(*key).agg(F.max(F.struct("support", "successes")).alias("n")).select(*key, "n.*")
+    profiles = newest.where(F.col("task_family").isNull()).select(
+        "feedback_profile_id", fb._rate(F.col("successes"), F.col("support")).alias("global_rate"))
+    return fb.score_cells(newest.where(F.col("task_family").isNotNull()), profiles, minimum_support)
+
+
+class OrderedBucketProcessor(StatefulProcessor):
+    """Token bucket per key in the order of event time, whatever the order of arrival.
+
+    Writes wait in a list until the watermark has passed them. A timer stands at the oldest one that waits; when none
+    does, at the moment the bucket is full again, which is the state of a key never seen: then all is forgotten.
+    """
+
+    def __init__(self, per_minute: int):
+        self.capacity = float(per_minute)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, write_id bigint")
+        self.bucket = handle.getValueState("bucket", "tokens double, updated_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        oldest = None
+        for pdf in rows:
+            new = [(int(us), int(write_id)) for us, write_id in zip(pdf["us"], pdf["write_id"], strict=True)]
+            self.waiting.appendList(new)
+            first = min(new)[0]
+            oldest = first if oldest is None else min(first, oldest)
+        self.wake(oldest)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in rows if r[0] <= passed]
+        rest = rows[len(due):]
+        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
+        out = []
+        for us, write_id in due:
+            tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else (us - last) / 1e6, self.capacity)
+            last = us
+            out.append((key[0], write_id, us, bool(ok), int(retry)))
+        if rest and due:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
+        full_at = None if last is None else last + FULL_REFILL_SECONDS * 1_000_000
+        if full_at is not None and full_at <= passed:
+            self.bucket.clear()
+            full_at = None
+        elif last is not None:
+            self.bucket.update((float(tokens), int(last)))
+        wake = rest[0][0] if rest else full_at
+        if wake is not None:
+            self.wake(wake)
+        if out:
+            yield pd.DataFrame(out, columns=["client", "write_id", "us", "allowed", "retry_after"])
+
+    def wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_token_bucket_stream(writes: DataFrame, per_minute: int, lateness: str = "10 minutes") -> DataFrame:
+    """Decisions for a stream of (client, write_id, ts) as the batch operator makes them, once the watermark passed.
+
+    Writes may come in any order within the lateness; later ones are dropped and counted (``late_rows``). State holds
+    the undecided writes and the buckets that are not full: a key without writes for a minute leaves it. Needs RocksDB.
+    """
+    timed = writes.select("client", "write_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts").isNotNull())
+    keyed = timed.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
+    schema = "client bigint, write_id bigint, us bigint, allowed boolean, retry_after int"
+    return keyed.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=OrderedBucketProcessor(per_minute), outputStructType=schema, outputMode="Append", timeMode="EventTime")
