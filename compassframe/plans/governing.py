@@ -85,8 +85,11 @@ def feedback_rejects(spark, sf):
 
 
 def feedback_signals(spark, sf):
-    s = FB.signals(_usable(spark, sf))
-    return s.select(
+    return signal_columns(FB.signals(_usable(spark, sf)))
+
+
+def signal_columns(signals):
+    return signals.select(
         "feedback_profile_id", "task_family", "configuration_id", "support", "successes", "applied",
         round8(F.col("posterior_success")).alias("posterior_success"),
         round8(F.col("score_adjustment")).alias("score_adjustment"),
