@@ -330,11 +330,13 @@ def learn(docs: DataFrame, scratch: Scratch) -> Learnt:
     ids = {w: i for i, w in enumerate([*core, END])}
     class_of = np.concatenate([np.arange(n_core) % k, [k, k + 1]]).astype(np.int64)
     rows = scratch.put(contexts(scratch.put(count_pairs(docs, ids), "pairs")), "contexts")
+    scratch.drop("pairs")
     m = class_matrix(rows, class_of, k + 2)
     for turn in range(ROUNDS if n_core > k else 0):
         moved = exchange(rows, class_of, m, n_core, k, turn)
         class_of[list(moved)] = list(moved.values())
         m = class_matrix(rows, class_of, k + 2)
+    scratch.drop("contexts")
     classes = {w: int(class_of[i]) for w, i in ids.items()}
     found = assign(count_contexts(docs, classes, k), context_gains(m[: k + 1, : k + 1].astype(np.float64)))
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -348,6 +350,7 @@ def learn(docs: DataFrame, scratch: Scratch) -> Learnt:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(c, pa.int32())], ["word", "n", "c"])
 
     words = scratch.put(counts.join(found, "word", "left").mapInArrow(finish, "word binary, n bigint, c int"), "words")
+    scratch.drop("counts")
     mass = np.zeros(k + 1 + FORMS)
     mass[k:] = 1.0  # the end, and one place in each form for words never seen
     for c, n, v in words.groupBy("c").agg(F.sum("n"), F.count("*")).collect():  # one row a class
@@ -411,7 +414,9 @@ def encode(docs: DataFrame, learnt: Learnt, scratch: Scratch) -> DataFrame:
         F.count("*").alias("known2"), F.sum(plain).alias("plain2"),
         F.sum(F.when(F.col("c") < k, F.log10(F.col("n").cast("double"))).otherwise(plain)).alias("weight2"),
         F.collect_list(F.col("at").cast("long") * 4096 + F.col("c")).alias("changes"))
-    return scratch.put(kept.drop("rare", "at").join(mended, "row", "left").drop("row"), "classes")
+    classes = scratch.put(kept.drop("rare", "at").join(mended, "row", "left").drop("row"), "classes")
+    scratch.drop("encoded")
+    return classes
 
 
 def transitions(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
