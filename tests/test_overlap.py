@@ -102,3 +102,41 @@ def test_screen_equals_brute_force_whatever_counts_as_a_long_list(spark, rarest)
     assert {x.reason for x in results[0].values()} == {
         "evaluation_exact_duplicate", "development_exact_overlap", "development_fuzzy_overlap", "eligible"
     }
+
+
+def test_sets_are_fetched_for_the_lowest_references_first(spark, monkeypatch):
+    """Near copies: every prompt has all references as candidates; the first four settle nearly all of them."""
+    rng = random.Random(5)
+    template = [rng.choice(WORDS) for _ in range(200)]
+
+    def near():
+        k = rng.randrange(200)
+        return " ".join([*template[:k], rng.choice(WORDS), *template[k + 1:]])
+
+    refs, cands = [near() for _ in range(60)], [near() for _ in range(40)]
+    cands.append(" ".join(template[:150] + [rng.choice(WORDS) for _ in range(70)]))  # a candidate of all, a match of none
+    fetched, compare = [], O._compare
+
+    def counted(pairs, *sides):
+        fetched.append(pairs.count())
+        return compare(pairs, *sides)
+
+    monkeypatch.setattr(O, "_compare", counted)
+    got, want = run(spark, cands, refs, 10_000), brute(cands, refs)
+    assert {i: x.reference_source for i, x in got.items() if x.reason == "development_fuzzy_overlap"} == {
+        i: f"s{extra % 5}" for i, (reason, extra) in want.items() if reason == "fuzzy"
+    }
+    assert sum(fetched) <= O.FIRST_ROUND * len(cands) + len(refs), fetched  # of 2,400 pairs and more
+
+
+@pytest.mark.parametrize("lost", [5, 9, 13])
+def test_a_row_finds_its_match_by_one_shared_list_of_its_prefix(spark, lost):
+    """A smaller side of 100 trigrams that lacks up to a tenth, between rows that make its other lists longer."""
+    words = [f"u{i}" for i in range(102)]
+    other = words[: 102 - lost] + [f"v{i}" for i in range(lost + 4)]
+    decoys = [" ".join(words[k:k + 14] + [f"d{k}_{i}" for i in range(20)]) for k in range(0, 102 - lost - 14, 7)]
+    refs, cands = [*decoys, " ".join(other)], [" ".join(words)]
+    want = brute(cands, refs)[0]
+    got = run(spark, cands, refs, 10_000)[0]
+    assert (got.reason, got.reference_source) == (
+        ("development_fuzzy_overlap", f"s{want[1] % 5}") if want[0] == "fuzzy" else ("eligible", None))
