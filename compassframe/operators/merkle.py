@@ -4,7 +4,8 @@ A row's leaf is the SHA-256 of its key and payload; equal rows are one leaf with
 leaf are cut into runs wherever a leaf begins with DIGITS zeros; runs are nodes, and nodes whose first leaf begins with
 twice as many zeros start runs of runs, until each group has one node. Cuts depend on the rows beside them alone: neither
 partitions nor rows far away move them, so two tables that differ in one row share all other ranges. A hot key is cut
-like any range, since its leaves differ. Every level is a shuffle of a 256th of the level below.
+like any range, since its leaves differ. Every level is a shuffle of a 256th of the level below. Leaves are shuffled and
+written as 32 bytes, and the digests that follow from them are not: they are computed where they are read.
 """
 
 from __future__ import annotations
@@ -31,14 +32,42 @@ def node_digest(digests: Column, rows: Column) -> Column:
     return F.sha2(F.concat(F.array_join(digests, ""), F.lit("|"), rows.cast("string")), 256)
 
 
+def leaf_count_digest(leaf: Column, rows: Column) -> Column:
+    """The lowest level's digest of a leaf and how often it occurs."""
+    return F.sha2(F.concat_ws("|", leaf, rows.cast("string")), 256)
+
+
+def _packed(at: Column) -> Column:
+    """The same order in half the bytes."""
+    return F.when(at.isNotNull(), F.struct(at.key.alias("key"), F.unhex(at.leaf).alias("leaf")))
+
+
+def _text(leaf: Column) -> Column:
+    return F.lower(F.hex(leaf))
+
+
+def _member_digest(member: Column) -> Column:
+    """The same of a packed leaf in a list."""
+    return leaf_count_digest(_text(member["at"]["leaf"]), member["rows"])
+
+
+def _opened(packed: DataFrame, groups: list[str], level: int) -> DataFrame:
+    """Nodes of a written level with leaves as text and every digest."""
+    whole = lambda c: F.when(c.isNotNull(), F.struct(c.key.alias("key"), _text(c.leaf).alias("leaf")))
+    digest = leaf_count_digest(_text(F.col("at.leaf")), F.col("rows")) if level == 1 else F.col("digest")
+    return packed.select(*groups, whole(F.col("at")).alias("at"), digest.alias("digest"), "rows", whole(F.col("run")).alias("run"))
+
+
 def _runs(nodes: DataFrame, groups: list[str], level: int) -> DataFrame:
-    """nodes with `run`: the first node of the run each is in; NULL for a group's first run.
+    """nodes, packed, with `run`: the first node of the run each is in; NULL for a group's first run.
 
     Nodes are range-partitioned and sorted; a run that began in an earlier partition is carried over by a row a
     partition and group.
     """
-    begins = F.substring("at.leaf", 1, DIGITS * level) == "0" * (DIGITS * level)
-    placed = written(nodes.repartitionByRange(*groups, "at").withColumn("_part", F.spark_partition_id()), f"merkle{level}")
+    begins = F.substring(_text(F.col("at.leaf")), 1, DIGITS * level) == "0" * (DIGITS * level)
+    kept = ["rows"] if level == 1 else ["digest", "rows"]
+    slim = nodes.select(*groups, _packed(F.col("at")).alias("at"), *kept)
+    placed = written(slim.repartitionByRange(*groups, "at").withColumn("_part", F.spark_partition_id()), f"merkle{level}")
     begin = F.when(begins, F.col("at"))
     local = F.last(begin, True).over(Window.partitionBy(*groups, "_part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     ends = placed.groupBy(*groups, "_part").agg(F.max(begin).alias("_last"))
@@ -47,16 +76,17 @@ def _runs(nodes: DataFrame, groups: list[str], level: int) -> DataFrame:
     filled = placed.withColumn("run", local)
     on = [filled[g].eqNullSafe(carried[g]) for g in groups] + [filled["_part"] == carried["_part"]]
     joined = filled.join(carried, on)
-    return joined.select(*[filled[g] for g in groups], "at", "digest", "rows", F.coalesce("run", "_carried").alias("run"))
+    return joined.select(*[filled[g] for g in groups], "at", *kept, F.coalesce("run", "_carried").alias("run"))
 
 
 def leaves(df: DataFrame, key: str, payload: list[str], groups: list[str] | None = None) -> DataFrame:
     """groups, at (key, leaf), digest and rows: level 0 of the tree. The key may be NULL, repeated or of any sortable type."""
     groups = groups or []
     leaf = leaf_digest(F.col(key), [F.col(c) for c in payload])
-    counted = df.select(*groups, F.struct(F.col(key).alias("key"), leaf.alias("leaf")).alias("at")).groupBy(*groups, "at").agg(
+    counted = df.select(*groups, F.struct(F.col(key).alias("key"), F.unhex(leaf).alias("leaf")).alias("at")).groupBy(*groups, "at").agg(
         F.count("*").alias("rows"))
-    return counted.select(*groups, "at", F.sha2(F.concat_ws("|", "at.leaf", F.col("rows").cast("string")), 256).alias("digest"), "rows")
+    at = F.struct(F.col("at.key").alias("key"), _text(F.col("at.leaf")).alias("leaf"))
+    return counted.select(*groups, at.alias("at"), leaf_count_digest(_text(F.col("at.leaf")), F.col("rows")).alias("digest"), "rows")
 
 
 @dataclass(frozen=True)
@@ -73,7 +103,8 @@ def tree(df: DataFrame, key: str, payload: list[str], groups: list[str] | None =
     groups, levels, roots = groups or [], [], None
     nodes = leaves(df, key, payload, groups)
     while True:
-        placed = written(_runs(nodes, groups, len(levels) + 1), "merkle-level")
+        level = len(levels) + 1
+        placed = _opened(written(_runs(nodes, groups, level), "merkle-level"), groups, level)
         levels.append(placed)
         counts = written(placed.groupBy(*groups).agg(F.count("*").alias("_n")), "merkle-groups")
         same = F.lit(True)
@@ -83,11 +114,14 @@ def tree(df: DataFrame, key: str, payload: list[str], groups: list[str] | None =
         roots = done if roots is None else roots.unionByName(done)
         if counts.where("_n > 1").isEmpty():
             return Tree(levels, roots)
-        members = F.array_sort(F.collect_list(F.struct("at", "digest", "rows")))
+        members = F.array_sort(F.collect_list(F.struct(_packed(F.col("at")).alias("at"), *(["rows"] if level == 1 else ["digest", "rows"]))))
+        first = F.get("m", F.lit(0)).at
+        digests = F.transform("m", _member_digest if level == 1 else lambda x: x["digest"])
         left = placed.join(counts.where("_n > 1"), same, "left_semi")
         rows = F.aggregate("m", F.lit(0).cast("bigint"), lambda s, x: s + x.rows)
         nodes = left.groupBy(*groups, "run").agg(members.alias("m")).select(
-            *groups, F.get("m", F.lit(0)).at.alias("at"), node_digest(F.transform("m", lambda x: x.digest), rows).alias("digest"), rows.alias("rows"))
+            *groups, F.struct(first.key.alias("key"), _text(first.leaf).alias("leaf")).alias("at"),
+            node_digest(digests, rows).alias("digest"), rows.alias("rows"))
 
 
 def ordered_digest(df: DataFrame, key: str, payload: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -104,7 +138,8 @@ def differing_ranges(left: Tree, right: Tree, groups: list[str] | None = None) -
     groups = groups or []
 
     def side(tree: Tree, name: str) -> DataFrame:
-        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x.digest), ""), 256)
+        members = F.array_sort(F.collect_list(F.struct(_packed(F.col("at")).alias("at"), "rows")))
+        whole = F.sha2(F.array_join(F.transform(members, _member_digest), ""), 256)
         return tree.levels[0].groupBy(*groups, "run").agg(
             whole.alias("digest"), F.min("at.key").alias("low"), F.max("at.key").alias("high"), F.sum("rows").alias("rows")
         ).select(*[F.col(c).alias(f"{name}_{c}") for c in (*groups, "run", "digest", "low", "high", "rows")])

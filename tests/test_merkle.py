@@ -74,3 +74,18 @@ def test_proofs(spark, rows):
     assert path and M.proves(path, leaf[900], 1, root)
     assert not M.proves(path, leaf[900], 2, root) and not M.proves(path, leaf[5], 1, root) and not M.proves(path[1:], leaf[900], 1, root)
     assert M.prove(t, (900, "0" * 64)) == []
+
+
+def test_leaves_are_written_in_half_the_bytes(spark, rows, monkeypatch):
+    """Of the lowest level only the key, the leaf's 32 bytes and the count are shuffled and written."""
+    kept, written = {}, M.written
+
+    def noted(df, label):
+        kept.setdefault(label, dict(df.dtypes))
+        return written(df, label)
+
+    monkeypatch.setattr(M, "written", noted)
+    got = M.tree(spark.createDataFrame(rows, SCHEMA), "k", ["v"])
+    for label in ("merkle1", "merkle-level"):
+        assert "digest" not in kept[label] and kept[label]["at"] == "struct<key:bigint,leaf:binary>", kept[label]
+    assert dict(got.levels[0].dtypes)["at"] == "struct<key:bigint,leaf:string>" and "digest" in got.levels[0].columns
