@@ -138,16 +138,19 @@ def identity_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def battle_labels(rows: DataFrame, pair: tuple[str, str], prompt: str = "prompt") -> DataFrame:
+def battle_labels(
+    rows: DataFrame, pair: tuple[str, str], prompt: str = "prompt", ids: DataFrame | None = None
+) -> DataFrame:
     """Validates preference rows and labels them; ``problem`` is NULL for usable rows.
 
-    Rows: id, model_a, model_b, prompt (normalised), winner_model_a, winner_model_b, winner_tie.
+    Rows: id, model_a, model_b, prompt (normalised), winner_model_a, winner_model_b, winner_tie. Pass ``ids``
+    (the same rows' ids) when ``rows`` is costly and its ids come from a plainer table.
     """
     wins = [F.col(c) for c in ("winner_model_a", "winner_model_b", "winner_tie")]
     binary = F.lit(True)
     for w in wins:
         binary = binary & w.isin(0, 1)
-    repeated = rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = (rows if ids is None else ids).groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
     spread = rows.withColumn("_row", F.xxhash64(*rows.columns))
     marked = lookup(spread, repeated, "id", "_n", "_n", weight="_n", row_id="_row").drop("_row")
     problem = (

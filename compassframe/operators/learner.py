@@ -24,7 +24,15 @@ LOSSES = ("logistic", "squared")
 
 def hashed_features(text: Column, buckets: int = BUCKETS) -> Column:
     """The buckets of a text's tokens and pairs of neighbouring tokens, with repeats; empty for NULL or no tokens."""
-    tokens = F.coalesce(word_tokens(canonical(text)), F.array().cast("array<string>"))
+    return token_features(tokens_of(text), buckets)
+
+
+def tokens_of(text: Column) -> Column:
+    return F.coalesce(word_tokens(canonical(text)), F.array().cast("array<string>"))
+
+
+def token_features(tokens: Column, buckets: int = BUCKETS) -> Column:
+    """The same of tokens, which are used five times: best a settled column, or a text is normalised as often."""
     later = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     first = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
     ones = F.transform(tokens, lambda t: hash60(F.concat(F.lit("1|"), t)) % buckets)

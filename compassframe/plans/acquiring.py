@@ -178,8 +178,8 @@ def shingle_features(spark, sf):
     return f.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("n_shingles").cast("bigint").alias("n_shingles"))
 
 
-def _battles(spark, sf):
-    """Preference rows from orders; prompts come as JSON lists, objects or plain text."""
+def _landed_battles(spark, sf):
+    """Preference rows from orders as they land; prompts come as JSON lists, objects or plain text."""
     o, n = F.col("o_orderkey"), F.col("n")
     orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
     rows = settle(orders.withColumn("n", hash60(F.concat(F.lit("b|"), o.cast("string")))), ["n"])
@@ -191,7 +191,7 @@ def _battles(spark, sf):
         .otherwise(body)
     )
     win = n % 3
-    landed = rows.select(
+    return rows.select(
         F.when(n % 89 == 5, o - 1).otherwise(o).alias("id"),
         F.when(n % 2 == 0, "model-s").otherwise("model-e").alias("model_a"),
         F.when(n % 83 == 7, "model-x").when(n % 2 == 0, "model-e").otherwise("model-s").alias("model_b"),
@@ -199,11 +199,20 @@ def _battles(spark, sf):
         (win == 0).cast("int").alias("winner_model_a"), (win == 1).cast("int").alias("winner_model_b"),
         F.when(n % 101 == 9, 1).otherwise((win == 2).cast("int")).alias("winner_tie"),
     )
-    return X.with_battle_prompt(landed, "raw", "prompt").drop("raw")
+
+
+def _battles(spark, sf):
+    """The same with the prompts parsed."""
+    return X.with_battle_prompt(_landed_battles(spark, sf), "raw", "prompt").drop("raw")
+
+
+def _labelled_battles(spark, sf):
+    """Battles with problem and label; repeated ids are found in the rows as they land, before prompts are parsed."""
+    return A.battle_labels(_battles(spark, sf), ("model-s", "model-e"), ids=_landed_battles(spark, sf).select("id"))
 
 
 def battle_labels(spark, sf):
-    rows = A.battle_labels(_battles(spark, sf), ("model-s", "model-e"))
+    rows = _labelled_battles(spark, sf)
     return rows.select("id", "problem", "label", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from compassframe.functions.barrier import settle
 from compassframe.functions.text import stable_split
-from compassframe.operators import alignment as A
 from compassframe.operators import evaluation as E
 from compassframe.operators import learner as L
 from compassframe.plans import acquiring, evaluating
@@ -19,10 +19,11 @@ THRESHOLDS = [0.3, 0.4, 0.45, 0.5, 0.55, 0.6]
 
 def _examples(spark, sf):
     """Usable battles: does the prompt need the strong model?"""
-    rows = A.battle_labels(acquiring._battles(spark, sf), ("model-s", "model-e")).where("problem IS NULL")
+    usable = acquiring._labelled_battles(spark, sf).where("problem IS NULL")
+    rows = settle(usable.withColumn("_tokens", L.tokens_of(F.col("prompt"))), ["_tokens"])
     return written(rows.select(
         "id", (F.col("label") == "strong").cast("int").alias("label"),
-        stable_split(F.col("id").cast("string"), SALT, SPLITS).alias("split"), L.hashed_features(F.col("prompt")).alias("features"),
+        stable_split(F.col("id").cast("string"), SALT, SPLITS).alias("split"), L.token_features(F.col("_tokens")).alias("features"),
     ), "strength")
 
 

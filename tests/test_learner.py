@@ -86,3 +86,16 @@ def test_one_class_no_rows_and_unlabelled(spark, battles):
     assert {r.probability for r in L.predict(table(spark, [(1, None, None), (2, "", 0)]), flat, ["id"]).collect()} == {0.5}
     with pytest.raises(ValueError):
         L.fit(table(spark, battles), "hinge")
+
+
+def test_settled_tokens_and_given_ids_change_nothing(spark):
+    from compassframe.operators import alignment as A
+
+    texts = spark.createDataFrame([(0, "One TWO, two’s"), (1, "ℌello one"), (2, ""), (3, None)], "k int, text string")
+    rows = texts.withColumn("t", L.tokens_of(F.col("text"))).select(L.hashed_features(F.col("text")).alias("a"), L.token_features(F.col("t")).alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+    battles = spark.createDataFrame(
+        [(i // 2 if i < 4 else i, "s", "e", "p", i % 2, 1 - i % 2, 0) for i in range(9)],
+        "id bigint, model_a string, model_b string, prompt string, winner_model_a int, winner_model_b int, winner_tie int")
+    got = [sorted(A.battle_labels(battles, ("s", "e"), ids=ids).collect(), key=str) for ids in (None, battles.select("id"))]
+    assert got[0] == got[1] and sum(r.problem == "duplicate_id" for r in got[0]) == 4
