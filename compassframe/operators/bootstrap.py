@@ -1,7 +1,7 @@
 """Paired bootstrap intervals.
 
 All metrics of one resample share its weights, so differences and ratios stay paired. Rows are dealt out once; a task
-draws the weights of some rows for all resamples at once, multiplies them with the rows' values and sends one row of
+gets the weights of some rows for all resamples at once, multiplies them with the rows' values and sends one row of
 sums per group and resample: resamples x tasks rows however large the table.
 
 ``method="poisson"`` gives every row an independent Poisson(1) weight per resample, computed from the row's key: eight
@@ -35,29 +35,63 @@ POISSON_CUTS = [
 ]
 #: Weights (rows x resamples) and sums (groups x resamples x values) a task holds at once.
 HELD_WEIGHTS, HELD_SUMS = 1_000_000, 4_000_000
+#: Groups whose sums are multiplied at once.
+HELD_GROUPS = 32
 
-#: Called once a task; then with each batch, to give slices of it with their weights, rows x resamples.
-Weigher = Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[slice, np.ndarray]]]]
+#: Called once a task with its batches: gives rows with their weights, rows x resamples.
+Weigher = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]]
 
+#: Digests in a row: those of the blocks that differ in their last digit.
+TENS = 10
 
-def poisson_weights(reps: int, salt: str, key: str) -> Weigher:
-    """How many thresholds each four bytes of the digests of salt, block and key reach."""
-    cuts = np.array([int(c, 16) for c in POISSON_CUTS], dtype=np.uint32)
-    heads = [f"{salt}|{block}|".encode() for block in range((reps - 1) // LANES + 1)]
-    step = max(1, HELD_WEIGHTS // reps)
 
-    def start():
-        def weigh(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
-            keys = batch.column(key).to_pylist()
-            for lo in range(0, len(keys), step):
-                some = [None if k is None else k.encode() for k in keys[lo:lo + step]]
-                digests = b"".join(sha256(h[:-1] if k is None else h + k).digest() for k in some for h in heads)
-                drawn = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(some), -1)[:, :reps]
-                yield slice(lo, lo + len(some)), np.searchsorted(cuts, drawn, side="right").astype(np.float64)
+def with_digests(rows: DataFrame, reps: int, salt: str, key: str) -> DataFrame:
+    """Each row once per ten blocks, in their order; ``_digests`` are the digits of the SHA-256 of salt, block and key.
+
+    Spark's own function digests several times as fast as a call per message in Python does.
+    """
+    blocks = (reps - 1) // LANES + 1
+    heads = [f"{salt}|{tens or ''}" for tens in range((blocks - 1) // TENS + 1)]
+    tailed = rows.withColumn("_tail", F.coalesce(F.concat(F.lit("|"), F.col(key)), F.lit(""))).drop(key)
+    opened = tailed.select("*", F.explode(F.array(*map(F.lit, heads))).alias("_head"))
+    digests = [F.sha2(F.concat("_head", F.lit(str(last)), "_tail"), 256) for last in range(TENS)]
+    return opened.select(*[c for c in rows.columns if c != key], F.concat(*digests).alias("_digests"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], times: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut so that what was one row before it was repeated is in one batch."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        end = batch.num_rows // times * times
+        if end:
+            yield batch.slice(0, end)
+        rest = batch.slice(end) if end < batch.num_rows else None
+
+
+def poisson_weights(reps: int) -> Weigher:
+    """How many thresholds each eight digits of the digests reach. Digits compare as their characters do."""
+    cuts = np.array([int.from_bytes(c.encode(), "big") for c in POISSON_CUTS], dtype=np.int64)
+    times = (reps - 1) // LANES // TENS + 1
+    step = max(1, HELD_WEIGHTS // reps)
 
-        return weigh
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in _whole(batches, times):
+            digits = batch.column("_digests")
+            width = 8 * TENS * LANES
+            drawn = np.frombuffer(digits.buffers()[2], ">i8", len(digits) * width // 8, digits.offset * width)
+            drawn = drawn.reshape(-1, times * TENS * LANES)[:, :reps]
+            once = batch.drop_columns(["_digests"]).take(pa.array(np.arange(0, batch.num_rows, times)))
+            for lo in range(0, once.num_rows, step):
+                w = np.zeros((min(step, once.num_rows - lo), reps), dtype=np.uint8)
+                for k, row in enumerate(drawn[lo:lo + len(w)]):  # a row's draws stay in the cache
+                    native = row.astype(np.int64)
+                    for cut in cuts:
+                        np.add(w[k], (native >= cut).view(np.uint8), out=w[k])
+                yield once.slice(lo, len(w)), w.astype(np.float64)
 
-    return start
+    return weigh
 
 
 def _generator(salt: str, *place: object) -> np.random.Generator:
@@ -82,11 +116,9 @@ def multinomial_weights(sizes: np.ndarray, reps: int, salt: str) -> Weigher:
     """Exact draws of rows sorted by bucket; sizes are the rows of each bucket."""
     step = max(1, HELD_WEIGHTS // reps)
 
-    def start():
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         at, row, left, generator = -1, 0, None, None
-
-        def weigh(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
-            nonlocal at, row, left, generator
+        for batch in batches:
             buckets = batch.column("_bucket").to_pylist()
             for lo in range(0, len(buckets), step):
                 some = buckets[lo:lo + step]
@@ -98,11 +130,9 @@ def multinomial_weights(sizes: np.ndarray, reps: int, salt: str) -> Weigher:
                     w[k] = drawn = generator.binomial(left, 1.0 / (sizes[bucket] - row))
                     left = left - drawn.astype(np.int64)
                     row += 1
-                yield slice(lo, lo + len(some)), w
+                yield batch.slice(lo, len(some)), w
 
-        return weigh
-
-    return start
+    return weigh
 
 
 class _Held:
@@ -111,13 +141,10 @@ class _Held:
     def __init__(self, reps: int, width: int) -> None:
         self.n, self.sums, self.found = np.zeros(reps), np.zeros((reps, width)), np.zeros((reps, width), dtype=bool)
 
-    def add(self, w: np.ndarray, v: np.ndarray, valid: np.ndarray) -> None:
-        finite = np.isfinite(v)
-        self.n += w.sum(axis=0)
-        self.sums += w.T @ np.where(finite, v, 0.0)
-        self.found |= (w.T @ valid.astype(np.float64)) > 0 if not valid.all() else w.any(axis=0)[:, None]
-        for i, j in zip(*np.nonzero(valid & ~finite), strict=True):  # a weight of 0 must not make them NaN
-            self.sums[w[i] > 0, j] += v[i, j]
+    def add(self, n: np.ndarray, sums: np.ndarray, found: np.ndarray) -> None:
+        self.n += n
+        self.sums += sums
+        self.found |= found
 
 
 def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[str], opened: str | None, weights: Weigher) -> DataFrame:
@@ -150,25 +177,37 @@ def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[st
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, _Held] = {}
         kinds: list[pa.DataType] = []
-        weigh = weights()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        wide = len(values)
+        for batch, w in weights(b for b in batches if b.num_rows):
             kinds = [batch.schema.field(g).type.value_type if g == opened else batch.schema.field(g).type for g in groups]
             v = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in values], axis=1)
             valid = np.stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in values], axis=1)
+            finite = np.isfinite(v)
+            # what a draw of the row adds: one, its values and, where some are missing, that they are there
+            cells = [np.ones((len(v), 1)), np.where(finite, v, 0.0)] + ([] if valid.all() else [valid.astype(np.float64)])
+            adds = np.concatenate(cells, axis=1)
             columns = [batch.column(g).to_pylist() for g in groups]
-            for part, w in weigh(batch):
-                members: dict[tuple, list[int]] = {}
-                for k in range(part.start, part.stop):
-                    for name in names(columns, k) if groups else [()]:
-                        members.setdefault(name, []).append(k)
-                for name, at in members.items():
+            members: dict[tuple, list[int]] = {}
+            for k in range(len(v)):
+                for name in names(columns, k) if groups else [()]:
+                    members.setdefault(name, []).append(k)
+            some = list(members)
+            for lo in range(0, len(some), HELD_GROUPS):
+                part = some[lo:lo + HELD_GROUPS]
+                matrix = np.zeros((len(v), len(part), adds.shape[1]))
+                for j, name in enumerate(part):
+                    np.add.at(matrix[:, j], members[name], adds[members[name]])
+                summed = (w.T @ matrix.reshape(len(v), -1)).reshape(w.shape[1], len(part), -1)
+                for j, name in enumerate(part):
                     if name not in held:
-                        if (len(held) + 1) * reps * (1 + len(values)) > HELD_SUMS:
+                        if (len(held) + 1) * reps * (1 + wide) > HELD_SUMS:
                             yield from out(held, kinds)
-                        held[name] = _Held(reps, len(values))
-                    held[name].add(w[np.array(at) - part.start] if groups else w, v[at], valid[at])
+                        held[name] = _Held(reps, wide)
+                    n, sums, there = summed[:, j, 0], summed[:, j, 1:wide + 1], summed[:, j, wide + 1:]
+                    held[name].add(n, sums, there > 0 if there.size else (n > 0)[:, None])
+                    for i, c in zip(*np.nonzero((valid & ~finite)[members[name]]), strict=True):  # a weight of 0 must not make them NaN
+                        row = members[name][i]
+                        held[name].sums[w[row] > 0, c] += v[row, c]
         yield from out(held, kinds)
 
     partial = rows.mapInArrow(add, schema)
@@ -191,7 +230,8 @@ def resample_means(
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = rows.select(*dict.fromkeys(groups), F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
     if method == "poisson":
-        sums = weighted_sums(slim.repartition(parts, "_key"), values, reps, groups, drawn_by, poisson_weights(reps, salt, "_key"))
+        digested = with_digests(slim.repartition(parts, "_key"), reps, salt, "_key")
+        sums = weighted_sums(digested, values, reps, groups, drawn_by, poisson_weights(reps))
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")

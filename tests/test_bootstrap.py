@@ -85,3 +85,22 @@ def test_multinomial_sends_no_draws_through_exchanges(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("key"), F.lit(1.0).alias("v"))
     plan = B.resample_means(df, ["v"], 50, "s", method="multinomial")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_digests_come_from_spark_and_follow_the_order_of_the_blocks(spark):
+    reps = 8 * 23 + 3  # three rows of ten blocks each, the last one not full
+    rows = [(f"k{i}", [], float(i)) for i in range(30)]
+    df = spark.createDataFrame([(k, v) for k, _, v in rows], "key string, v double")
+    out = B.resample_means(df, ["v"], reps, "s")
+    assert "sha2(" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = means([(k, ["all"], v) for k, _, v in rows], reps, "s")
+    assert {("all", r.rep): pytest.approx(r.v) for r in out.collect()} == want
+
+
+def test_rows_without_a_key_draw_from_salt_and_block_alone(spark):
+    df = spark.createDataFrame([(None, 1.0), ("a", 2.0)], "key string, v double")
+    got = {r.rep: r.v for r in B.resample_means(df, ["v"], 24, "s").collect()}
+    for rep in range(24):
+        digits = sha256(f"s|{rep // B.LANES}".encode()).hexdigest()[8 * (rep % B.LANES):][:8]
+        w = [sum(digits >= cut for cut in B.POISSON_CUTS), weight("s", rep, "a")]
+        assert got.get(rep) == (pytest.approx((w[0] + 2 * w[1]) / sum(w)) if sum(w) else None)
