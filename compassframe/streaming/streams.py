@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -124,33 +124,35 @@ def token_bucket_stream(writes: DataFrame, per_minute: int) -> DataFrame:
     )
 
 
+_cell = Row("feedback_profile_id", "task_family", "configuration_id", "support", "successes")
+_decision = Row("client", "write_id", "us", "allowed", "retry_after")
+
+
 class CellProcessor(StatefulProcessor):
-    """Outcome counts of a profile's cells; a batch's changed cells and the profile's totals go out."""
+    """Outcome counts of a profile's cells; a batch's changed cells and the profile's totals go out.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        counts = "support bigint, successes bigint"
-        self.cells = handle.getMapState("cells", "task_family string, configuration_id string", counts)
-        self.total = handle.getValueState("total", counts)
+    A profile's cells, task families times configurations at most, are one state value: each call for state is an
+    exchange of messages with the JVM, so a batch makes two for a profile, not some for each of its cells.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        added: dict[tuple, list[int]] = {}
-        for pdf in rows:
-            for task, configuration, success in zip(pdf["task_family"], pdf["configuration_id"], pdf["success"], strict=True):
-                cell = added.setdefault((task, configuration), [0, 0])
-                cell[0] += 1
-                cell[1] += 0 if success is None or pd.isna(success) else int(success)
-        out = []
-        for cell, (support, successes) in added.items():
-            if self.cells.containsKey(cell):
-                before = self.cells.getValue(cell)
-                support, successes = support + before[0], successes + before[1]
-            self.cells.updateValue(cell, (support, successes))
-            out.append((key[0], *cell, support, successes))
-        before = self.total.get() if self.total.exists() else (0, 0)
-        support, successes = (before[k] + sum(c[k] for c in added.values()) for k in (0, 1))
-        self.total.update((support, successes))
-        out.append((key[0], None, None, support, successes))
-        yield pd.DataFrame(out, columns=["feedback_profile_id", "task_family", "configuration_id", "support", "successes"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        names = "task_family array<string>, configuration_id array<string>"
+        self.cells = handle.getValueState("cells", f"{names}, support array<bigint>, successes array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        before = self.cells.get()
+        cells = {(t, c): (n, k) for t, c, n, k in zip(*before, strict=True)} if before else {}
+        changed = set()
+        for row in rows:
+            cell = row.task_family, row.configuration_id
+            support, successes = cells.get(cell, (0, 0))
+            cells[cell] = support + 1, successes + int(row.success or 0)
+            changed.add(cell)
+        columns = [list(c) for c in zip(*((*cell, *n) for cell, n in cells.items()), strict=True)]
+        self.cells.update(tuple(columns))
+        for cell in changed:
+            yield _cell(key[0], *cell, *cells[cell])
+        yield _cell(key[0], None, None, sum(columns[2]), sum(columns[3]))
 
     def close(self) -> None:
         pass
@@ -166,7 +168,7 @@ def changed_cells(events: DataFrame) -> DataFrame:
     known = events.select("feedback_profile_id", "task_family", "configuration_id", "success").where(
         F.col("task_family").isNotNull() & F.col("configuration_id").isNotNull())
     schema = "feedback_profile_id string, task_family string, configuration_id string, support bigint, successes bigint"
-    return known.groupBy("feedback_profile_id").transformWithStateInPandas(
+    return known.groupBy("feedback_profile_id").transformWithState(
         statefulProcessor=CellProcessor(), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
@@ -191,32 +193,28 @@ class OrderedBucketProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, write_id bigint")
+        # one element a batch: each element costs its own serialisation on both sides
+        self.waiting = handle.getListState("waiting", "us array<bigint>, write_id array<bigint>")
         self.bucket = handle.getValueState("bucket", "tokens double, updated_us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        oldest = None
-        for pdf in rows:
-            new = [(int(us), int(write_id)) for us, write_id in zip(pdf["us"], pdf["write_id"], strict=True)]
-            self.waiting.appendList(new)
-            first = min(new)[0]
-            oldest = first if oldest is None else min(first, oldest)
-        self.wake(oldest)
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        us, ids = zip(*((row.us, row.write_id) for row in rows), strict=True)
+        self.waiting.appendValue((list(us), list(ids)))
+        self.wake(min(us))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
+        rows = sorted(r for us, ids in self.waiting.get() for r in zip(us, ids, strict=True))
         due = [r for r in rows if r[0] <= passed]
         rest = rows[len(due):]
-        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
-        out = []
+        tokens, last = self.bucket.get() or (self.capacity, None)
         for us, write_id in due:
             tokens, ok, retry = bucket_step(tokens, 0.0 if last is None else (us - last) / 1e6, self.capacity)
             last = us
-            out.append((key[0], write_id, us, bool(ok), int(retry)))
+            yield _decision(key[0], write_id, us, bool(ok), int(retry))
         if rest and due:
-            self.waiting.put(rest)
+            self.waiting.put([tuple(list(c) for c in zip(*rest, strict=True))])
         elif due:
             self.waiting.clear()
         full_at = None if last is None else last + FULL_REFILL_SECONDS * 1_000_000
@@ -228,8 +226,6 @@ class OrderedBucketProcessor(StatefulProcessor):
         wake = rest[0][0] if rest else full_at
         if wake is not None:
             self.wake(wake)
-        if out:
-            yield pd.DataFrame(out, columns=["client", "write_id", "us", "allowed", "retry_after"])
 
     def wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000) + 1)
@@ -247,5 +243,5 @@ def ordered_token_bucket_stream(writes: DataFrame, per_minute: int, lateness: st
     timed = writes.select("client", "write_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts").isNotNull())
     keyed = timed.withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
     schema = "client bigint, write_id bigint, us bigint, allowed boolean, retry_after int"
-    return keyed.groupBy("client").transformWithStateInPandas(
+    return keyed.groupBy("client").transformWithState(
         statefulProcessor=OrderedBucketProcessor(per_minute), outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from compassframe.functions.profile import profile
@@ -151,3 +152,55 @@ def test_a_replayed_batch_adds_no_row(spark, tmp_path):
     assert ids(TB.read(spark, path, "feedback")) == ["a", "b", "c", "d", "n"]
     assert ids(TB.compact(spark, path, target, "feedback", "recommendation_id")) == ["b", "d"]
     assert ids(TB.compact(spark, target, target + "2", "feedback", "recommendation_id")) == ["b", "d"]
+
+
+class _Counted:
+    """A state that counts the messages it would exchange."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def appendValue(self, value):
+        self.calls, self.value = self.calls + 1, [*(self.value or []), value]
+
+
+class _Handle:
+    def __init__(self):
+        self.made, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.made.setdefault(name, _Counted())
+
+    getListState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_a_batch_asks_for_state_twice_however_many_cells_it_changes():
+    handle, processor = _Handle(), S.CellProcessor()
+    processor.init(handle)
+    event = Row("task_family", "configuration_id", "success")
+    for batch in range(2):
+        rows = [event(f"t{i % 7}", f"c{i % 5}", None if i == 3 else i % 2 == 0) for i in range(70)]
+        out = list(processor.handleInputRows(("p",), iter(rows), None))
+    assert sum(s.calls for s in handle.made.values()) == 4
+    cells = {(r.task_family, r.configuration_id): (r.support, r.successes) for r in out}
+    assert cells[None, None] == (140, 70) and len(cells) == 36
+    assert cells["t0", "c0"] == (4, 2) and cells["t3", "c3"] == (4, 2)
+
+
+def test_waiting_writes_of_a_batch_are_one_element():
+    handle, processor = _Handle(), S.OrderedBucketProcessor(2)
+    processor.init(handle)
+    write = Row("us", "write_id")
+    assert list(processor.handleInputRows((1,), iter([write(5_000_000 - i, i) for i in range(50)]), None)) == []
+    assert handle.made["waiting"].calls == 1 and len(handle.made["waiting"].value) == 1
+    assert handle.timers == [5_001]
