@@ -3,8 +3,8 @@
 Documents come in batches, in order of id. A batch's suffix array holds suffixes at anchors only: the anchor of a
 LENGTH-byte window is its rarest-hashed GRAM-byte substring, so equal windows have equal anchors at equal places, and
 neighbouring windows share one. An entry stands for the run of windows of one anchor: the anchor's hash, a hash of
-the run's bytes with its reach to both sides, document and position, in the order of the hashes, cut into parts by
-the anchor's hash. A new batch is merge-scanned with the entries of all levels, part by part; levels that have grown
+the run's bytes with its reach to both sides, document and position, in the order of the hashes, cut into parts of
+like size by a hash of the anchor's hash (which is the least of many, so most of them are small numbers). A new batch is merge-scanned with the entries of all levels, part by part; levels that have grown
 as large as what comes in are merged in the same pass, so there are about log2(batches) levels.
 
 A run that occurred earlier goes as a whole. Runs that share an anchor but not all their bytes (where a repeat begins
@@ -129,6 +129,11 @@ def row(part: int, kind: int, columns: list[np.ndarray]) -> dict:
     return {"part": part, "kind": kind, "batch": 0, **dict(zip(BLOBS, blobs, strict=True))}
 
 
+def part_of(k: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of each anchor hash. Hashed once more: anchors are the least hashes of their windows, so not uniform."""
+    return (mixed(k * np.uint64(_MUL)) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
+
+
 SCHEMA = "part int, kind int, batch int, a binary, b binary, c binary, d binary"
 ARROW = pa.schema([*[(c, pa.int32()) for c in ("part", "kind", "batch")], *[(c, pa.binary()) for c in BLOBS]])
 
@@ -141,7 +146,9 @@ def batch_entries(docs: DataFrame, n_parts: int) -> DataFrame:
         if again.any():
             yield row(int(k[0] % np.uint64(n_parts)), SPANS, spans_of(y[again], doc[again], pos[again]))
         k, y, doc, pos = k[~again], y[~again], doc[~again], pos[~again]
-        part = (k >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)  # rises with k
+        part = part_of(k, n_parts)
+        by_part = np.argsort(part, kind="stable")
+        part, k, y, doc, pos = (x[by_part] for x in (part, k, y, doc, pos))
         heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(heads, np.r_[heads[1:], len(part)], strict=True):
             yield row(int(part[a]), LEVEL, [x[a:b] for x in (k, y, doc, pos)])

@@ -93,3 +93,13 @@ def test_levels_merge_geometrically(spark, small):
         family.add(docs.where(f"id >= {4 * b} AND id < {4 * b + 4}"))
         sizes.append([n for n, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2]]
+
+
+def test_anchors_are_dealt_evenly_over_parts(spark):
+    """Anchors are least hashes: cut by their size, nearly all would be in the first part."""
+    rows = [(i, 0, prose(i, 400, 3000)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, dup int, text string")
+    sizes = dict.fromkeys(range(16), 0)
+    for r in suffix_dedup.batch_entries(docs, 16).where(f"kind = {suffix_dedup.LEVEL}").collect():
+        sizes[r.part] += len(r.a) // 8
+    assert sum(sizes.values()) > 1000 and max(sizes.values()) < 3 * sum(sizes.values()) / 16
