@@ -219,26 +219,12 @@ def with_lexicon(df: DataFrame, norm: str) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
-    """Adds every profile column to ``df``; the text column itself is left as it was.
-
-    Works on batch and streaming frames alike.
-    """
-    # Both Unicode forms first: a Python UDF further up would make the optimizer merge the steps
-    # between them and repeat their expressions.
-    norm = df.withColumns(
-        {"_norm": X.nfkc(F.col(text)), "_folded": X.nfkc_casefold(F.col(text))}
-    )
+def _with_choice(norm: DataFrame) -> DataFrame:
+    """Adds task family and required capabilities of ``_norm``, and what they come from."""
     scored = with_token_range(with_lexicon(norm, "_norm"), "_norm", "token_range")
-    n = F.col("_norm")
-    folded = F.col("_folded")
-    hard = sum((F.when(F.contains(folded, F.lit(m)), 1).otherwise(0) for m in L.HARD_MARKERS), F.lit(0))
-    structure = (
-        F.regexp_count(n, F.lit(rf"(?md)^[{L.SPACE}]*(?:[-*]|\p{{Nd}}+[.)])[{L.SPACE}]+"))
-        + _occurrences(n, "```")
-        + F.least(F.lit(3), _occurrences(n, "\n\n"))
-    )
-    base = (
+    best = F.get("_ranked", F.lit(0))
+    second = F.get("_ranked", F.lit(1))
+    ranked = (
         scored.withColumn(
             "_ranked",
             F.transform(
@@ -258,18 +244,46 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
                 F.array_sort(F.array_union("capabilities", F.array(F.lit("long_context")))),
             ).otherwise(F.col("capabilities")),
         )
+    )
+    counted = ranked.withColumn("best_score", best.score).withColumn("second_score", second.score)
+    return counted.withColumn(
+        "task_family", F.when(F.col("best_score") == 0, "general").otherwise(best.label)
+    ).withColumn("active_tasks", F.size(F.filter("task_scores", lambda s: s.score >= 1.5)))
+
+
+def choice(df: DataFrame, text: str = "prompt") -> DataFrame:
+    """Adds the profile's task_family and required_capabilities alone; NULL texts are not profiled."""
+    chosen = _with_choice(df.withColumn("_norm", X.nfkc(F.col(text))))
+    added = ["task_family", "required_capabilities"]
+    return settle(chosen.select(*df.columns, *added), added)
+
+
+def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
+    """Adds every profile column to ``df``; the text column itself is left as it was.
+
+    Works on batch and streaming frames alike.
+    """
+    # Both Unicode forms first: a Python UDF further up would make the optimizer merge the steps
+    # between them and repeat their expressions.
+    norm = df.withColumns(
+        {"_norm": X.nfkc(F.col(text)), "_folded": X.nfkc_casefold(F.col(text))}
+    )
+    n = F.col("_norm")
+    folded = F.col("_folded")
+    hard = sum((F.when(F.contains(folded, F.lit(m)), 1).otherwise(0) for m in L.HARD_MARKERS), F.lit(0))
+    structure = (
+        F.regexp_count(n, F.lit(rf"(?md)^[{L.SPACE}]*(?:[-*]|\p{{Nd}}+[.)])[{L.SPACE}]+"))
+        + _occurrences(n, "```")
+        + F.least(F.lit(3), _occurrences(n, "\n\n"))
+    )
+    base = (
+        _with_choice(norm)
         .withColumn("privacy_flags", privacy_flags(n))
         .withColumn("hard_markers", hard)
         .withColumn("structure_markers", structure)
         .withColumn("stripped_length", F.length(X.strip(n)))
     )
-    best = F.get("_ranked", F.lit(0))
-    second = F.get("_ranked", F.lit(1))
     high = F.col("token_range.high")
-    counted = base.withColumn("best_score", best.score).withColumn("second_score", second.score)
-    counted = counted.withColumn(
-        "task_family", F.when(F.col("best_score") == 0, "general").otherwise(best.label)
-    ).withColumn("active_tasks", F.size(F.filter("task_scores", lambda s: s.score >= 1.5)))
     complexity = (
         F.col("hard_markers") * 2
         + F.least(F.col("operation_count"), F.lit(4))
@@ -320,7 +334,7 @@ def profile(df: DataFrame, text: str = "prompt") -> DataFrame:
         ),
     )
     done = (
-        counted.withColumn("complexity", complexity)
+        base.withColumn("complexity", complexity)
         .withColumn(
             "difficulty",
             F.when((high > 3000) | (F.col("complexity") >= 8), "high")

@@ -44,22 +44,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(stamps) if stamps else df
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+def spread(df: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
     """Work per row here is heavy and an unsplittable small file is one task: deal its rows out first.
 
-    Inputs that already have at least one partition per core are left alone.
+    Inputs that already have at least one partition per core are left alone, unless the work on a row is so heavy
+    that each partition, and each core's share, should be cut into several tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    parts = df.rdd.getNumPartitions()
+    return df if parts >= cores and times == 1 else df.repartition(max(cores, parts) * times, *keys)
 
 
 def _pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), F.pmod(index, F.lit(len(values))).cast("int") + 1)
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prompts(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     """(request_id, conv_id, turn, expected_family, prompt) for every conversation turn."""
-    turns = spread(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    turns = spread(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], times)
     n = F.col("conv_id") * 7 + F.col("turn")
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn",

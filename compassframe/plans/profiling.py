@@ -210,6 +210,8 @@ def classifier_report(spark, sf):
     )
 
 
+#: Tasks for each core, or each partition of the input: a prompt is profiled in several forms.
+VARIANT_TASKS = 16
 VARIANTS = {
     "case": lambda t: F.upper(t),
     "outer_whitespace": lambda t: F.concat(F.lit("  \n"), t, F.lit(" \t ")),
@@ -220,13 +222,18 @@ VARIANTS = {
 
 
 def variant_stability(spark, sf):
-    """Share of prompts whose task and capabilities survive each rewriting; one profiling pass, no join."""
+    """Share of prompts whose task and capabilities survive each rewriting; one pass, no join.
+
+    A rewriting that leaves the text as it is has the profile of the prompt, so it is not profiled again.
+    """
     variants = F.array(*[F.struct(F.lit(k).alias("variant"), f(F.col("prompt")).alias("v")) for k, f in VARIANTS.items()])
-    base = _profiled(spark, sf).select("request_id", "prompt", F.col("task_family").alias("f0"),
-                                       F.col("required_capabilities").alias("c0"))
-    rows = base.withColumn("_v", F.explode(variants)).select("request_id", "f0", "c0", "_v.variant", F.col("_v.v").alias("prompt"))
-    stable = (F.col("task_family") == F.col("f0")) & (F.col("required_capabilities") == F.col("c0"))
-    return P.profile(rows).groupBy("variant").agg(
+    base = P.choice(prompts(spark, sf, VARIANT_TASKS).select("prompt")).select(
+        "prompt", F.col("task_family").alias("f0"), F.col("required_capabilities").alias("c0"))
+    rows = base.withColumn("_v", F.explode(variants)).select(
+        "f0", "c0", "_v.variant", F.when(F.col("_v.v") != F.col("prompt"), F.col("_v.v")).alias("rewritten"))
+    same = (F.col("task_family") == F.col("f0")) & (F.col("required_capabilities") == F.col("c0"))
+    stable = F.col("rewritten").isNull() | same
+    return P.choice(rows, "rewritten").groupBy("variant").agg(
         F.count("*").alias("prompts"), X.round8(F.avg(stable.cast("double"))).alias("stability")
     )
 

@@ -66,3 +66,14 @@ def test_flags_traps_and_uncertainty(spark):
 def test_profile_plan_has_no_shuffle(spark):
     df = spark.range(10).select(F.lit("draft an email").alias("prompt"))
     assert "Exchange" not in P.profile(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_choice_is_the_profile_s_choice_and_heavy_prompts_are_dealt_over_many_tasks(spark, sf):
+    from compassframe.plans.inputs import prompts
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = prompts(spark, sf, 16).select("request_id", "prompt")
+    assert rows.rdd.getNumPartitions() >= 16 * cores
+    named = ["request_id", "task_family", "required_capabilities"]
+    some = rows.limit(60).localCheckpoint()
+    assert sorted(P.choice(some).select(*named).collect()) == sorted(P.profile(some).select(*named).collect())
