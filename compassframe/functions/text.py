@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,22 +18,33 @@ from compassframe.functions.barrier import settle
 from compassframe.functions.lexicon import SPACE
 
 NON_ASCII = r"[^\x00-\x7f]"
+#: Texts a Python worker holds as strings at a time.
+UDF_ROWS = 200
 WORD_TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)?"  # fixed value
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+def _by_slices(texts: pa.Array, form) -> pa.Array:
+    """form of each text. Only UDF_ROWS texts and results at a time are Python strings, however long the batch."""
+    done = [
+        pa.array([None if v is None else form(v) for v in texts.slice(i, UDF_ROWS).to_pylist()], pa.string())
+        for i in range(0, len(texts), UDF_ROWS)
+    ]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return _by_slices(s, lambda v: unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc(s: pa.Array) -> pa.Array:
+    return _by_slices(s, lambda v: unicodedata.normalize("NFKC", v))
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc_casefold(s: pa.Array) -> pa.Array:
+    return _by_slices(s, lambda v: unicodedata.normalize("NFKC", v).casefold())
 
 
 def _only_non_ascii(udf, text: Column, ascii_form: Column) -> Column:

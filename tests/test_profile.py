@@ -77,3 +77,18 @@ def test_choice_is_the_profile_s_choice_and_heavy_prompts_are_dealt_over_many_ta
     named = ["request_id", "task_family", "required_capabilities"]
     some = rows.limit(60).localCheckpoint()
     assert sorted(P.choice(some).select(*named).collect()) == sorted(P.profile(some).select(*named).collect())
+
+
+def test_unicode_forms_hold_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from compassframe.functions import text as X
+
+    texts = [None if i % 7 == 0 else f"Ａ{i}é ß" for i in range(3 * X.UDF_ROWS + 1)]
+    held = []
+    got = X._by_slices(pa.array(texts), lambda v: held.append(v) or v.casefold())
+    assert got.to_pylist() == [None if v is None else v.casefold() for v in texts] and len(held) == sum(v is not None for v in texts)
+    assert X._by_slices(pa.array([], pa.string()), str).to_pylist() == []
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    rows = df.select("v", X.nfkc_casefold(df.v).alias("f")).collect()
+    assert all(r.f == (None if r.v is None else "a" + r.v[1:].casefold()) for r in rows)
