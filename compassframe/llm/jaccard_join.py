@@ -29,6 +29,8 @@ from compassframe.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 3, 4  # words of a shingle; a similarity of 3/4
 BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 256
+#: Rows of a tile whose pairs are looked at together with those of other tiles.
+SMALL_TILE = 16
 #: Bytes of sets in a block of a verification tile; a tile has two blocks.
 BLOCK_BYTES = 8 << 20
 #: Bytes of signatures that may be broadcast to pairs.
@@ -47,7 +49,8 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
         x = x * _STEP + h[i : len(h) - n + 1 + i]
     x ^= x >> np.uint64(31)
     x *= _MIX
-    return np.unique(x ^ (x >> np.uint64(29)))
+    x = np.sort(x ^ (x >> np.uint64(29)))
+    return x[np.r_[True, x[1:] != x[:-1]]]  # as np.unique, which takes twice the time on sets this small
 
 
 def needed(n: np.ndarray | int):
@@ -111,9 +114,17 @@ def scan_sets(docs: DataFrame) -> DataFrame:
         scan, f"doc_id {id_type}, text_hash bigint, cid bigint, n int, bucket int, count bigint")
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Ranks of the buckets by count in 16 bits, which sort fast; buckets of near counts may share one."""
+    order = np.argsort(counts, kind="stable")
+    found = np.empty(len(counts), np.uint16)
+    found[order] = np.arange(len(counts)) * (1 << 16) // len(counts)
+    return found
+
+
 def prefix_tokens(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """token, n, cid for the shingles of each set's prefix, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 ** BUCKET_BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(counts))  # 2 ** BUCKET_BITS numbers
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +209,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
                     x = shingle_set(words)
                     cids.append(cid)
                     ns.append(len(x))
-                    bits.append(None if full else signature(x).tobytes())
-                    wide.append(None if full else wide_signature(x).tobytes())
+                    bits_wide = None if full else wide_signature(x)
+                    bits.append(None if full else folded(bits_wide, SIGNATURE_BITS // 64).tobytes())
+                    wide.append(None if full else bits_wide.tobytes())
                     sets.append(x.tobytes() if full else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), *[pa.array(c, pa.binary()) for c in (bits, wide, sets)]],
@@ -332,6 +344,36 @@ def spanning_pairs(side: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.n
     return i, j
 
 
+def chosen_pairs(heads: np.ndarray, ends: np.ndarray, side: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray,
+                 choose) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs that choose takes from each tile of rows heads to ends: place of the tile in heads, and of both rows.
+
+    Most tiles are small and have no possible pair or one, which leaves no choice: the pairs of all tiles of one size
+    are looked at together, and choose decides for the rest.
+    """
+    sizes = ends - heads
+    two = np.repeat(np.maximum.reduceat(side, heads), sizes) if len(heads) else side
+    rest = [np.flatnonzero(sizes > SMALL_TILE)]
+    for size in range(2, SMALL_TILE + 1):
+        tiles_ = np.flatnonzero(sizes == size)
+        if not len(tiles_):
+            continue
+        i, j = ((heads[tiles_][:, None] + x).ravel() for x in all_pairs(size))
+        of = np.repeat(tiles_, size * (size - 1) // 2)
+        open_ = (root[i] != root[j]) & ((two[i - heads[0]] == 0) | (side[i] != side[j]))
+        i, j, of = i[open_], j[open_], of[open_]
+        ok, _ = possible(i, j, np.zeros(1, np.int32), n, bits)
+        i, j, of = i[ok], j[ok], of[ok]
+        times = np.bincount(of, minlength=len(heads))
+        rest.append(np.flatnonzero(times > 1))
+        alone = times[of] == 1
+        yield of[alone], i[alone], j[alone]
+    for t in np.concatenate(rest):
+        part = slice(heads[t], ends[t])
+        i, j = choose(side[part], n[part], root[part], bits[part])
+        yield np.full(len(i), t), heads[t] + i, heads[t] + j
+
+
 def open_pairs(open_tiles: DataFrame, choose) -> DataFrame:
     """tile, a, b: the pairs that choose takes from each tile; rows of tile, side, n, cid, root, bits."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,13 +390,10 @@ def open_pairs(open_tiles: DataFrame, choose) -> DataFrame:
             ends = np.r_[heads[1:], len(rest["tile"])]
             if batch is not None:
                 heads, ends = heads[:-1], ends[:-1]
-            pairs = []
-            for head, end in zip(heads, ends, strict=True):
-                side, n, cid, root, bits = (rest[c][head:end] for c in ("side", "n", "cid", "root", "bits"))
-                i, j = choose(side, n, root, bits)
+            pairs, cid = [], rest["cid"]
+            for of, i, j in chosen_pairs(heads, ends, *(rest[c] for c in ("side", "n", "root", "bits")), choose):
                 if len(i):
-                    tile = np.full(len(i), rest["tile"][head])
-                    pairs.append(np.stack([tile, np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
+                    pairs.append(np.stack([rest["tile"][heads[of]], np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])]))
             if batch is not None and len(ends):
                 rest = {c: x[ends[-1] :] for c, x in rest.items()}
             if pairs:

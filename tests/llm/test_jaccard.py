@@ -175,3 +175,34 @@ def test_spanning_pairs_join_all_that_every_pair_joins():
         some, every = (f(side, n, root, bits) for f in (jaccard_join.spanning_pairs, jaccard_join.every_pair))
         assert sorted(map(sorted, groups(some))) == sorted(map(sorted, groups(every)))
         assert len(some[0]) < len(set(root.tolist()))
+
+
+def test_small_tiles_are_looked_at_together():
+    """The pairs are those of each tile by itself, and tiles without a choice take no call of their own."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = np.r_[rng.integers(1, 7, 300), [jaccard_join.SMALL_TILE + 3, jaccard_join.SMALL_TILE]]
+    ends = np.cumsum(sizes)
+    heads, total = ends - sizes, int(ends[-1])
+    sets = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(40)]
+    sets += [np.r_[s[:55], s[55:] + np.uint64(k)] for s in sets for k in (1, 2)]
+    which = np.where(rng.random(total) < 0.6, rng.integers(0, 40, total) % 3, rng.integers(0, len(sets), total))
+    n = np.array([len(sets[w]) for w in which])
+    bits = np.array([jaccard_join.signature(sets[w]) for w in which])
+    root, side = which % 40, np.zeros(total, np.int32)
+    for h, e in list(zip(heads, ends, strict=True))[::3]:
+        side[(h + e) // 2 : e] = 1
+    for choose in (jaccard_join.spanning_pairs, jaccard_join.every_pair):
+        calls, expected, got = [], set(), set()
+        for h, e in zip(heads, ends, strict=True):
+            i, j = choose(side[h:e], n[h:e], root[h:e], bits[h:e])
+            expected |= {frozenset((int(h + a), int(h + b))) for a, b in zip(i, j, strict=True)}
+
+        def counted(*x, choose=choose, calls=calls):
+            calls.append(1)
+            return choose(*x)
+
+        for _, i, j in jaccard_join.chosen_pairs(heads, ends, side, n, root, bits, counted):
+            got |= {frozenset((int(a), int(b))) for a, b in zip(i, j, strict=True)}
+        assert got == expected and expected and len(calls) < len(heads) / 2
