@@ -31,8 +31,6 @@ PART_BYTES = 16 << 20
 HOLD, CHUNK = 1 << 16, 1 << 18
 #: Documents whose bytes are cut out at a time.
 CUT_ROWS = 500
-#: Rows (anchors to compare, or spans) that may be broadcast to the documents.
-BROADCAST_SPOTS = 1_000_000
 LEVEL, SPANS, OPEN = 0, 1, 2
 BLOBS = ["a", "b", "c", "d"]
 _MUL = 0x9E3779B97F4A7C15
@@ -258,12 +256,11 @@ class IndexFamily:
         return rows.select(*BLOBS).mapInArrow(spread, schema)
 
 
-def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame:
+def open_spans(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """Spans (id, start, end) of the windows of the entries in spots (k, y, id, pos) that occur at earlier ones."""
-    spots = scratch.put(spots.select("k", F.col("y").bitwiseAND(0xFFFF).alias("reach"), "id", "pos").distinct(), "spots")
-    by_doc = spots.groupBy("id", F.shiftright("pos", _DUP).cast("int").alias("dup")).agg(
-        F.collect_list(F.struct("k", "reach", "pos")).alias("spots"))
-    joined = beside(docs, by_doc, spots)
+    spot = F.struct("k", F.col("y").bitwiseAND(0xFFFF).alias("reach"), "pos")
+    by_doc = spots.groupBy("id", F.shiftright("pos", _DUP).cast("int").alias("dup")).agg(F.collect_set(spot).alias("spots"))
+    joined = beside(docs, by_doc, "inner").select("doc_id", "id", "text", "spots")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, CUT_ROWS) for b in batches for i in range(0, b.num_rows, CUT_ROWS)):
@@ -302,17 +299,18 @@ def open_spans(docs: DataFrame, spots: DataFrame, scratch: Scratch) -> DataFrame
                         ends.append(pos - left + i + LENGTH)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, ends)], ["id", "start", "end"])
 
-    cuts = joined.where("spots IS NOT NULL").select("id", "text", "spots").mapInArrow(
-        cut, "k bigint, reach bigint, id bigint, pos bigint, bytes binary")
+    cuts = joined.mapInArrow(cut, "k bigint, reach bigint, id bigint, pos bigint, bytes binary")
     dealt = cuts.repartition("k").sortWithinPartitions("k", "id", "pos", "reach")
     return dealt.mapInArrow(compare, "id bigint, start bigint, end bigint")
 
 
-def beside(docs: DataFrame, by_doc: DataFrame, counted: DataFrame) -> DataFrame:
-    """docs with what by_doc has for their id and dup; broadcast if the rows it was made of are few."""
-    if counted.limit(BROADCAST_SPOTS + 1).count() <= BROADCAST_SPOTS:
-        by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, ["id", "dup"], "left")
+def beside(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
+    """docs (doc_id, text, id, dup) with what by_doc has for their id and dup.
+
+    Always by a merge of shuffled tables: texts are shuffled in one way and with the same columns wherever this is
+    used in a query, so Spark shuffles them once for all.
+    """
+    return docs.join(by_doc.hint("merge"), ["id", "dup"], how)
 
 
 def identified(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -322,7 +320,8 @@ def identified(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = rows.groupBy("id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high")
     texts = scratch.put(texts.select("id"), "shared-ids")
     if texts.isEmpty():
-        return rows.select("doc_id", "text", "id", F.lit(0).alias("dup"))
+        # not a literal: that would leave the keys of joins, and each join would shuffle the texts in its own way
+        return rows.select("doc_id", "text", "id", (F.col("id") * 0).cast("int").alias("dup"))
     several = rows.select("id", "text_hash").join(texts, "id").distinct().withColumn(
         "dup", F.row_number().over(Window.partitionBy("id").orderBy("text_hash")) - 1)
     return attach(rows, scratch.put(several, "dups"), ["id", "text_hash"]).select(
@@ -350,9 +349,12 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES, with_bytes: bool =
         family.add(batch if high is None else batch.where(F.col("id") <= high), last=i == len(edges))
     spots = family.found(OPEN, "k bigint, y bigint, id bigint, pos bigint", ["k", "y", "id", "pos"])
     whole = family.found(SPANS, "id bigint, start bigint, end bigint", ["id", "start", "end"])
-    spans = whole.unionByName(open_spans(rows, spots, scratch))
     with small_batches(docs.sparkSession):
-        spans = scratch.put(spans, "spans")
+        return scratch.put(without(rows, whole.unionByName(open_spans(rows, spots)), with_bytes), "rest")
+
+
+def without(docs: DataFrame, spans: DataFrame, with_bytes: bool) -> DataFrame:
+    """What remove_repeats returns, for docs (doc_id, text, id, dup) and the spans (id, start, end) that go."""
     by_doc = spans.groupBy("id", F.shiftright("start", _DUP).cast("int").alias("dup")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -379,7 +381,7 @@ def remove_repeats(docs: DataFrame, n_batches: int = BATCHES, with_bytes: bool =
                  pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return beside(rows, by_doc, spans).select("doc_id", "text", "spans").mapInArrow(
+    return beside(docs, by_doc, "left").select("doc_id", "text", "spans").mapInArrow(
         apply, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 

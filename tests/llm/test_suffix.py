@@ -103,3 +103,18 @@ def test_anchors_are_dealt_evenly_over_parts(spark):
     for r in suffix_dedup.batch_entries(docs, 16).where(f"kind = {suffix_dedup.LEVEL}").collect():
         sizes[r.part] += len(r.a) // 8
     assert sum(sizes.values()) > 1000 and max(sizes.values()) < 3 * sum(sizes.values()) / 16
+
+
+def test_texts_are_shuffled_once_and_never_meet_a_broadcast(spark, small, corpus):
+    """Beyond a million rows to broadcast, each of both joins with the texts used to shuffle all of them again."""
+    from compassframe.llm.common import Scratch
+    docs = suffix_dedup.identified(small(corpus).repartition(3), Scratch(spark, "t"))
+    spots = spark.createDataFrame([(7, 0, d, 0) for d, _ in corpus[:9]], "k bigint, y bigint, id bigint, pos bigint")
+    whole = spark.createDataFrame([(d, 0, 100) for d, _ in corpus[:9]], "id bigint, start bigint, end bigint")
+    found = suffix_dedup.without(docs, whole.unionByName(suffix_dedup.open_spans(docs, spots)), False)
+    assert len(rows_of(found)) == len(corpus)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Broadcast" not in plan
+    texts = [x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x and "dup#" in x]
+    moved = [x for x in texts if "ReusedExchange" not in x]
+    assert plan.count("SortMergeJoin") == 2 and "ReusedExchange [doc_id#" in plan and len(moved) <= 3  # texts, spots, spans
