@@ -33,8 +33,6 @@ BUCKET_BITS, SIGNATURE_BITS, TILE = 18, 1024, 256
 SMALL_TILE = 16
 #: Bytes of sets in a block of a verification tile; a tile has two blocks.
 BLOCK_BYTES = 8 << 20
-#: Bytes of signatures that may be broadcast to pairs.
-WIDE_BYTES = 64 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -222,12 +220,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, full: bool) -> DataFrame:
 
 
 def passing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose wide signatures leave room for a link."""
-    size = signatures.agg(F.coalesce(F.sum(F.octet_length("wide")), F.lit(0))).first()[0]
+    """Those of the pairs a, b whose wide signatures leave room for a link.
+
+    Signatures are shuffled to the pairs: as broadcasts, wide as they are, they would fill the driver.
+    """
     end = lambda c: signatures.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
     both = pairs
     for c in ("a", "b"):
-        both = attach(both, end(c), [c], "inner", few=size <= WIDE_BYTES)
+        both = attach(both, end(c), [c], "inner", few=False)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labelled = scratch.put(labelled.withColumn("root", F.coalesce("root", "cid")), f"labelled{k}")
         several = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         still = labelled.join(several.select("tile"), "tile", "left_semi")
-        still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner")
+        still = attach(still, signatures.select("cid", "bits"), ["cid"], "inner", few=False)  # as in passing()
         found = scratch.put(open_pairs(still, choose), f"found{k}")
         scratch.drop(f"labelled{k}")
         tiles_now = found.select("tile").distinct()

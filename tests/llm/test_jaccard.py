@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tests.llm.conftest import prose
 from tests.llm.llm_helpers import rows_of, words
@@ -206,3 +207,19 @@ def test_small_tiles_are_looked_at_together():
         for _, i, j in jaccard_join.chosen_pairs(heads, ends, side, n, root, bits, counted):
             got |= {frozenset((int(a), int(b))) for a, b in zip(i, j, strict=True)}
         assert got == expected and expected and len(calls) < len(heads) / 2
+
+
+def test_signatures_are_not_broadcast(spark):
+    """Up to 64 MB of them were collected and hashed in the driver, twice for each round of pairs."""
+    sets = {c: np.unique(np.random.default_rng(c // 2).integers(0, 1 << 63, 300, dtype=np.uint64)) for c in range(6)}
+    rows = [(c, 300, None, bytearray(jaccard_join.wide_signature(x).tobytes())) for c, x in sets.items()]
+    signatures = spark.createDataFrame(rows, "cid bigint, n int, bits binary, wide binary")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a bigint, b bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = jaccard_join.passing(pairs, signatures)
+        assert sorted(map(tuple, found.collect())) == [(0, 1), (2, 3), (4, 5)]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
