@@ -55,13 +55,21 @@ def file_trees(spark, sf):
     return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "size", "ranges", "root")
 
 
+#: What stands for NULL in a quoted file; values that begin with its first character get another one in front.
+CSV_NULL, CSV_MARK = "\\N", "\\"
+
+
 def quoted_csv(spark, sf):
     """Documents written as quoted CSV and read back record by record from many blocks."""
     path = _folder(spark, "documents-csv")
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"), ["doc_id"])
-    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    back = Q.read_csv(spark, path, ["doc_id", "text", "source"])
-    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "source")
+    marked = lambda c: F.when(F.startswith(c, F.lit(CSV_MARK)), F.concat(F.lit(CSV_MARK), c)).otherwise(F.col(c))
+    bare = lambda c: F.when(F.startswith(c, F.lit(CSV_MARK)), F.substr(c, F.lit(2))).otherwise(F.col(c))
+    docs.withColumns({c: marked(c) for c in ("text", "source")}).write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue=CSV_NULL).csv(path)
+    back = Q.read_csv(spark, path, ["doc_id", "text", "source"], null=CSV_NULL)
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(bare("text"), 256).alias("text_sha256"), bare("source").alias("source"))
 
 
 def _pages(spark, sf):

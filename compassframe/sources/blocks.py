@@ -7,6 +7,9 @@ file's blocks, combined from the front, give every block the state it begins wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,25 @@ def lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
 
 
+@contextmanager
+def held(spark: SparkSession) -> Iterator[None]:
+    """Every scan in here cuts its files into the same blocks; else their size changes with the cores Spark has just then."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def begun(read: DataFrame, part: Column, name: str) -> DataFrame:
-    """The lines with `begin`: the sum of part over all lines in earlier blocks of their file."""
+    """The lines with `begin`: the sum of part over all lines in earlier blocks of their file.
+
+    Call it, and run what it returns, inside `held`: the lines are read once for the sums and once for the result.
+    """
     sums = read.groupBy("file", "block").agg(F.sum(part).alias("_sum"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(sums.select("file", "block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("begin")), name)
@@ -33,7 +53,9 @@ def begun(read: DataFrame, part: Column, name: str) -> DataFrame:
     if blocks > MOST_BLOCKS:
         raise ValueError(f"{blocks} blocks at once; give fewer files")
     starts = F.broadcast(starts.withColumnsRenamed({"file": "_file", "block": "_block"}))  # keeps the lines' order
-    return read.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).drop("_file", "_block")
+    placed = read.join(starts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")), "left")
+    known = F.coalesce("begin", F.raise_error(F.concat(F.lit("block without a state: "), "file", F.lit(" "), "block")).cast("bigint"))
+    return placed.drop("_file", "_block").withColumn("begin", known)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -26,8 +26,6 @@ RANGE, FAN = 1 << 20, 1024
 
 def range_digests(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """file, size, range and digest for every byte range in which a line begins."""
-    read = blocks.lines(spark, path)
-    placed = blocks.begun(read, F.octet_length("line") + 1, "file-offsets")
     names = ["file", "size", "range", "at", "digest", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +64,9 @@ def range_digests(spark: SparkSession, path: str, range_bytes: int = RANGE) -> D
             piece()
             yield batch_of()
 
-    pieces = written(placed.mapInArrow(cut, "file string, size bigint, range bigint, at bigint, digest string, bytes binary"), "file-pieces")
+    with blocks.held(spark):
+        placed = blocks.begun(blocks.lines(spark, path), F.octet_length("line") + 1, "file-offsets")
+        pieces = written(placed.mapInArrow(cut, "file string, size bigint, range bigint, at bigint, digest string, bytes binary"), "file-pieces")
     ordered = F.array_sort(F.collect_list(F.struct("at", "bytes")))  # a block's end and its neighbours' starts
     joined = F.aggregate(ordered, F.lit(b""), lambda s, x: F.concat(s, x.bytes))
     met = pieces.where("digest IS NULL").groupBy("file", "size", "range").agg(F.sha2(joined, 256).alias("digest"))

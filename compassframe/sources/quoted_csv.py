@@ -3,7 +3,8 @@
 Whether a line begins inside a quoted field follows from the parity of all quotes before it in its file. Blocks count
 their quotes, the counts are summed up from the front of each file, and each task then cuts its block into records;
 a doubled quote changes the parity twice, so it needs no care. What belongs to a record that began in an earlier block
-leaves the task as a fragment; the fragments of a record meet by shuffle. Records are parsed by Spark's own CSV parser.
+leaves the task as a fragment; the fragments of a record meet by shuffle. Records are parsed by Spark's own CSV parser,
+which takes a NUL for the end of its input in some places: records that hold one are parsed with the NUL spelt differently.
 
 Files have to follow RFC 4180: quotes only around whole fields, doubled inside. A record has to fit into a task.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from compassframe.session import written
@@ -24,9 +25,7 @@ WHOLE, TAIL, HEAD = 0, 1, 2  # a record; the start of one that goes on; the rest
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """file, first (whether it is its file's first record) and record (with its inner line ends, without its last)."""
-    read = blocks.lines(spark, path)
     quotes = F.octet_length("line") - F.octet_length(F.replace(F.col("line").cast("string"), F.lit('"'), F.lit("")).cast("binary"))
-    placed = blocks.begun(read, quotes, "csv-quotes").select("file", "block", (F.col("begin") % 2 == 1).alias("inside"), "line")
     names = ["file", "block", "kind", "first", "record"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +63,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         if out:
             yield batch_of()
 
-    found = written(placed.mapInArrow(cut, "file string, block bigint, kind int, first boolean, record binary"), "csv-records")
+    with blocks.held(spark):
+        placed = blocks.begun(blocks.lines(spark, path), quotes, "csv-quotes")
+        placed = placed.select("file", "block", (F.col("begin") % 2 == 1).alias("inside"), "line")
+        found = written(placed.mapInArrow(cut, "file string, block bigint, kind int, first boolean, record binary"), "csv-records")
     nth = F.sum((F.col("kind") == TAIL).cast("bigint")).over(Window.partitionBy("file").orderBy("block", F.desc("kind")))
     pieces = found.where(F.col("kind") != WHOLE).withColumn("nth", nth)  # two rows a block at most
     ordered = F.array_sort(F.collect_list(F.struct("block", (-F.col("kind")).alias("k"), "record")))
@@ -75,10 +77,17 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", "first", text.alias("record")).where("first OR record <> ''")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _respelt(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], null: str = "") -> DataFrame:
     """The named columns, as strings, of CSV files with a header; blank lines are skipped.
 
-    All files must have the same header. Columns that are not asked for are parsed over but not kept.
+    All files must have the same header. Columns that are not asked for are parsed over but not kept. A value of ``null``
+    is NULL, as one that is missing is; unless that is the empty string, quoted empty strings are empty strings.
     """
     found = written(records(spark, path), "csv")
     headers = [r.record for r in found.where("first").select("record").distinct().limit(2).collect()]
@@ -91,5 +100,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"source is missing required columns: {missing}")
     schema = ", ".join(f"`{c}` string" for c in have)
-    parsed = F.from_csv("record", schema, {"escape": '"', "mode": "FAILFAST", "multiLine": "true", "maxCharsPerColumn": "-1"})
-    return found.where(~F.col("first")).select(parsed.alias("r")).select(*[F.col("r").getField(c).alias(c) for c in columns])
+    parsed = F.from_csv("record", schema, {"escape": '"', "mode": "FAILFAST", "multiLine": "true", "maxCharsPerColumn": "-1", "nullValue": null})
+    nul = F.contains("record", F.lit("\0"))
+    spelt = F.when(nul, _respelt(F.col("record"), (("\x01", "\x011"), ("\0", "\x010")))).otherwise(F.col("record"))
+    rows = found.where(~F.col("first")).select(nul.alias("nul"), spelt.alias("record")).select("nul", parsed.alias("r"))
+    back = lambda c: F.when(F.col("nul"), _respelt(c, (("\x010", "\0"), ("\x011", "\x01")))).otherwise(c)
+    return rows.select(*[back(F.col("r").getField(c)).alias(c) for c in columns])

@@ -1,9 +1,12 @@
+import hashlib
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from compassframe.plans import verifying as V
+from compassframe.session import written
 from compassframe.sources import filetree as T
 from compassframe.sources import quoted_csv as Q
 
@@ -94,3 +97,35 @@ def test_headers_are_checked(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.csv").write_text("id,note\r\n1,x\r\n\r\n2,\"y\r\nz\"\r\n")
     assert [(r.id, r.note.replace("\r", "")) for r in Q.read_csv(spark, str(tmp_path / "c"), ["id", "note"]).orderBy("id").collect()] == [("1", "x"), ("2", "y\nz")]
+
+
+def test_any_value_survives_a_quoted_file(spark, tmp_path, small_blocks):
+    odd = [None, "", "\\N", "\\\\N", "\\", '"', '""', ",", "\r", "a\r\nb\n", "\0", "a\0", 'q"\0"', "\x01" + "0", "\x01\0", " x "]
+    rows = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda x: None if x is None else hashlib.sha256(x.encode()).hexdigest()
+    got = {(r.doc_id, r.text_sha256, r.source) for r in V.quoted_csv(spark, str(tmp_path)).collect()}
+    assert got == {(k, sha(a), b) for k, a, b in rows}
+
+
+def test_no_line_is_lost_when_cores_come_or_go(spark, tmp_path, monkeypatch):
+    """Spark cuts files by the cores it has; here their number changes between the two scans."""
+    (tmp_path / "a.csv").write_text(quoted([("id", "note"), *[(str(k), "two\nlines") for k in range(2000)]]))
+    cores = iter(range(3, 30, 4))
+
+    def then_other_cores(df, label):
+        out = written(df, label)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(next(cores)))
+        return out
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    monkeypatch.setattr(Q.blocks, "written", then_other_cores)
+    try:
+        got = Q.read_csv(spark, str(tmp_path), ["id", "note"]).collect()
+        ranges = T.range_digests(spark, str(tmp_path), 1000).collect()
+    finally:
+        for name in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+    assert sorted(int(r.id) for r in got) == list(range(2000)) and {r.note for r in got} == {"two\nlines"}
+    assert len(ranges) == -(-(tmp_path / "a.csv").stat().st_size // 1000)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
