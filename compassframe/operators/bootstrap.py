@@ -45,13 +45,13 @@ Weigher = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np
 TENS = 10
 
 
-def with_digests(rows: DataFrame, reps: int, salt: str, key: str) -> DataFrame:
+def with_digests(rows: DataFrame, reps: int, salt: str, key: str, first: int = 0) -> DataFrame:
     """Each row once per ten blocks, in their order; ``_digests`` are the digits of the SHA-256 of salt, block and key.
 
     Spark's own function digests several times as fast as a call per message in Python does.
     """
     blocks = (reps - 1) // LANES + 1
-    heads = [f"{salt}|{tens or ''}" for tens in range((blocks - 1) // TENS + 1)]
+    heads = [f"{salt}|{tens or ''}" for tens in range(first // LANES // TENS, (blocks - 1) // TENS + 1)]
     tailed = rows.withColumn("_tail", F.coalesce(F.concat(F.lit("|"), F.col(key)), F.lit(""))).drop(key)
     opened = tailed.select("*", F.explode(F.array(*map(F.lit, heads))).alias("_head"))
     digests = [F.sha2(F.concat("_head", F.lit(str(last)), "_tail"), 256) for last in range(TENS)]
@@ -71,7 +71,10 @@ def _whole(batches: Iterator[pa.RecordBatch], times: int) -> Iterator[pa.RecordB
 
 
 def poisson_weights(reps: int) -> Weigher:
-    """How many thresholds each eight digits of the digests reach. Digits compare as their characters do."""
+    """How many thresholds each eight digits of the digests reach. Digits compare as their characters do.
+
+    Few draws reach the third threshold; only those are looked up among all.
+    """
     cuts = np.array([int.from_bytes(c.encode(), "big") for c in POISSON_CUTS], dtype=np.int64)
     times = (reps - 1) // LANES // TENS + 1
     step = max(1, HELD_WEIGHTS // reps)
@@ -84,11 +87,12 @@ def poisson_weights(reps: int) -> Weigher:
             drawn = drawn.reshape(-1, times * TENS * LANES)[:, :reps]
             once = batch.drop_columns(["_digests"]).take(pa.array(np.arange(0, batch.num_rows, times)))
             for lo in range(0, once.num_rows, step):
-                w = np.zeros((min(step, once.num_rows - lo), reps), dtype=np.uint8)
+                w = np.empty((min(step, once.num_rows - lo), reps), dtype=np.uint8)
                 for k, row in enumerate(drawn[lo:lo + len(w)]):  # a row's draws stay in the cache
                     native = row.astype(np.int64)
-                    for cut in cuts:
-                        np.add(w[k], (native >= cut).view(np.uint8), out=w[k])
+                    np.add((native >= cuts[0]).view(np.uint8), (native >= cuts[1]).view(np.uint8), out=w[k])
+                    more = np.flatnonzero(native >= cuts[2])
+                    w[k, more] = np.searchsorted(cuts, native[more], side="right")
                 yield once.slice(lo, len(w)), w.astype(np.float64)
 
     return weigh
@@ -147,8 +151,10 @@ class _Held:
         self.found |= found
 
 
-def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[str], opened: str | None, weights: Weigher) -> DataFrame:
-    """groups, rep, _n and the values' weighted sums. ``opened`` names the group that is an array of a row's groups."""
+def weighted_sums(
+    rows: DataFrame, values: list[str], reps: int, groups: list[str], opened: str | None, weights: Weigher, first: int = 0,
+) -> DataFrame:
+    """groups, rep (from first), _n and the values' weighted sums. ``opened`` names the group that is an array of a row's groups."""
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([T.StructField(g, types[g].elementType if g == opened else types[g]) for g in groups])
     schema.add("rep", T.IntegerType()).add("_n", T.LongType())
@@ -170,7 +176,7 @@ def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[st
             drawn = np.flatnonzero(h.n > 0)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array([x] * len(drawn), t) for x, t in zip(name, kinds, strict=True)],
-                 pa.array(drawn, pa.int32()), pa.array(h.n[drawn].astype(np.int64)),
+                 pa.array(drawn + first, pa.int32()), pa.array(h.n[drawn].astype(np.int64)),
                  *[pa.array(h.sums[drawn, j], mask=~h.found[drawn, j]) for j in range(len(values))]], schema.names)
         held.clear()
 
@@ -216,22 +222,25 @@ def weighted_sums(rows: DataFrame, values: list[str], reps: int, groups: list[st
 
 def resample_means(
     rows: DataFrame, values: list[str], reps: int, salt: str, groups: list[str] | None = None,
-    method: str = "poisson", key: str = "key", drawn_by: str | None = None,
+    method: str = "poisson", key: str = "key", drawn_by: str | None = None, first: int = 0,
 ) -> DataFrame:
     """Mean of every value column per group and resample: (groups..., rep, values...).
 
     Poisson weights are drawn per key, so a row in several groups weighs the same in all; ``drawn_by`` may
     name an array column among the groups, which is opened after the draw. A resample that draws no row of a group is
     missing, as can happen in very small groups. NULL values add nothing, and a mean of NULL only is NULL. Group
-    columns are plain values, not arrays or maps. Multinomial draws count the rows of the buckets when called.
+    columns are plain values, not arrays or maps. Multinomial draws count the rows of the buckets when called. Poisson
+    resamples may be made in rounds: those before ``first``, a multiple of LANES * TENS, are left to another call.
     """
     groups = groups or []
+    if first % (LANES * TENS) or first and method != "poisson":
+        raise ValueError("rounds are for Poisson resamples and begin at whole rows of digests")
     # fix the partition number so that a small input is not merged into one task: every row is work for `reps` draws
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = rows.select(*dict.fromkeys(groups), F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
     if method == "poisson":
-        digested = with_digests(slim.repartition(parts, "_key"), reps, salt, "_key")
-        sums = weighted_sums(digested, values, reps, groups, drawn_by, poisson_weights(reps))
+        digested = with_digests(slim.repartition(parts, "_key"), reps, salt, "_key", first)
+        sums = weighted_sums(digested, values, reps - first, groups, drawn_by, poisson_weights(reps - first), first)
     elif method == "multinomial":
         if groups:
             raise ValueError("multinomial draws are for one group of rows")
@@ -247,17 +256,17 @@ def resample_means(
     return sums.select(*groups, "rep", *[F.try_divide(F.col(v), F.col("_n")).alias(v) for v in values])
 
 
-def percentile(values: Column, q: float, rule: str) -> Column:
-    """Nearest-rank element of an array; ``rule`` says how q*(n-1) becomes an index."""
-    ordered = F.array_sort(values)
-    place = F.lit(q) * (F.size(values) - 1)
+def percentile(values: Column, q: float, rule: str, size: Column | None = None) -> Column:
+    """Nearest-rank element of an array; ``rule`` says how q*(n-1) becomes an index. ``size`` stands for another n."""
+    size = F.size(values) if size is None else size
+    place = F.lit(q) * (size - 1)
     index = {
         "floor": F.floor(place),
         "ceil": F.ceil(place),
         "round": F.bround(place, 0),
-        "share": F.greatest(F.lit(0), F.least(F.size(values) - 1, F.bround(F.lit(q) * F.size(values), 0) - 1)),
+        "share": F.greatest(F.lit(0), F.least(size - 1, F.bround(F.lit(q) * size, 0) - 1)),
     }[rule].cast("int")
-    return F.get(ordered, index)
+    return F.get(F.array_sort(values), index)
 
 
 def intervals(reps: DataFrame, metrics: list[str], groups: list[str] | None = None,
@@ -280,3 +289,14 @@ def intervals(reps: DataFrame, metrics: list[str], groups: list[str] | None = No
             )
         ),
     )
+
+
+def lows_at_most(reps: DataFrame, metrics: list[str], groups: list[str], total: int, rule: str = "floor") -> DataFrame:
+    """groups, metric and low: at least the lower bound of the interval over ``total`` resamples, of which reps are some.
+
+    More values only move the element at a place down, and fewer than ``total`` only move the place down. NULL while
+    there are not enough resamples to tell.
+    """
+    lists = reps.groupBy(*groups).agg(*[F.collect_list(m).alias(m) for m in metrics])
+    low = {m: percentile(F.col(m), 0.025, rule, F.lit(total)) for m in metrics}
+    return lists.select(*groups, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("low")) for m, c in low.items()])))

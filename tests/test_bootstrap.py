@@ -5,6 +5,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,37 @@ def test_rows_without_a_key_draw_from_salt_and_block_alone(spark):
         digits = sha256(f"s|{rep // B.LANES}".encode()).hexdigest()[8 * (rep % B.LANES):][:8]
         w = [sum(digits >= cut for cut in B.POISSON_CUTS), weight("s", rep, "a")]
         assert got.get(rep) == (pytest.approx((w[0] + 2 * w[1]) / sum(w)) if sum(w) else None)
+
+
+def test_weights_next_to_every_threshold():
+    cuts = [int(c, 16) for c in B.POISSON_CUTS]
+    near = [0, 1, 2**32 - 1, *[min(c + d, 2**32 - 1) for c in cuts for d in range(-3, 4)]]
+    near += [0] * (-len(near) % (B.LANES * B.TENS))
+    digits = [f"{x:08x}" for x in near]
+    rows = ["".join(digits[k:k + B.LANES * B.TENS]) for k in range(0, len(near), B.LANES * B.TENS)]
+    batch = pa.record_batch({"v": pa.array([0.0] * 2 * len(rows)), "_digests": pa.array(2 * rows)})
+    (_, got), = B.poisson_weights(len(near))(iter([batch]))
+    assert got.tolist() == 2 * [[float(sum(d >= cut for cut in B.POISSON_CUTS)) for d in digits]]
+
+
+def test_resamples_in_rounds_are_the_same_resamples(spark):
+    df = spark.createDataFrame([(f"k{i}", float(i), ["a", "b"][i % 2:]) for i in range(20)], "key string, v double, g array<string>")
+    draw = lambda reps, first: {(r.g, r.rep): r.v for r in B.resample_means(
+        df, ["v"], reps, "s", ["g"], drawn_by="g", first=first).collect()}
+    whole, parts = draw(250, 0), [draw(80, 0), draw(160, 80), draw(250, 160)]
+    assert {k for _, k in parts[1]} == set(range(80, 160)) and {k for _, k in parts[2]} == set(range(160, 250))
+    assert {at: pytest.approx(v) for p in parts for at, v in p.items()} == whole
+    with pytest.raises(ValueError, match="rounds"):
+        B.resample_means(df, ["v"], 250, "s", first=100)
+
+
+def test_lows_of_some_resamples_are_never_below_those_of_all(spark):
+    rng = np.random.default_rng(5)
+    for rule in ("floor", "round", "ceil", "share"):
+        values = rng.integers(0, 40, 400) / 40.0
+        df = spark.createDataFrame([("g", k, float(v)) for k, v in enumerate(values)], "g string, rep int, v double")
+        low = B.intervals(df, ["v"], ["g"], (rule, rule)).first().low
+        tops = {n: B.lows_at_most(df.where(F.col("rep") < n), ["v"], ["g"], 400, rule).first().low for n in (5, 50, 200, 400)}
+        assert tops[5] is None and tops[50] >= tops[200] >= tops[400] == low
+        less = df.where(F.col("rep") % 3 != 0)  # some resamples drew no row of the group
+        assert B.lows_at_most(less.where(F.col("rep") < 200), ["v"], ["g"], 400, rule).first().low >= B.intervals(less, ["v"], ["g"], (rule, rule)).first().low

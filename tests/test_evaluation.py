@@ -107,3 +107,29 @@ def test_a_group_of_one_row_can_be_resampled(spark):
     reps = B.resample_means(df, ["v"], 200, "t", ["g"]).groupBy("g").count().collect()
     counts = {r.g: r["count"] for r in reps}
     assert counts["many"] == 200 and 90 < counts["one"] < 160  # no row of a resample: no mean
+
+
+@pytest.mark.parametrize("weak", [0.5, 0.95, 0.99])
+def test_the_gate_draws_resamples_until_its_slices_are_decided(spark, monkeypatch, tmp_path, weak):
+    """Far below its floor a slice has failed after one round; on it or above, all resamples count."""
+    side = spark.range(480).select(
+        F.col("id").cast("string").alias("key"), F.when(F.col("id") % 2 == 0, "lt_128").otherwise("gte_2048").alias("length_band"),
+        F.when(F.col("id") % 3 == 0, "code").when(F.col("id") < 2, "rare").otherwise("writing").alias("task_family"),
+        *[F.lit(x).alias(c) for c, x in {"cc": 0.1, "cu": 0.9, "fc": 0.5, "fu": 0.5, "bu": 0.4, "ou": 0.95, "fq": 0.5}.items()])
+    cq = F.when(F.col("task_family") == "code", 0.5 * weak).when(F.col("task_family") == "rare", 0.0).otherwise(0.5)
+    side = side.withColumn("cq", cq + F.when(F.col("key") % 12 == 0, 0.01).otherwise(0.0)).localCheckpoint()
+    drawn, plain = [], B.resample_means
+
+    def spied(rows, values, reps, salt, *args, first=0, **kwargs):
+        drawn.append((salt, first, reps))
+        return plain(rows, values, reps, salt, *args, first=first, **kwargs)
+
+    monkeypatch.setattr(B, "resample_means", spied)
+    monkeypatch.setattr(V, "_comparison", lambda *_: side)
+    got = V.confirmatory_gate(spark, str(tmp_path)).first()
+    rounds = [(first, reps) for salt, first, reps in drawn if salt == "slice"]
+    lows = {r.slice: r.low for r in V._slice_intervals(side).collect()}
+    assert "task:code" in lows and "task:rare" not in lows
+    assert got.major_slices_ok == all(low >= E.MAJOR_SLICE_FLOOR for low in lows.values()) == (weak > 0.9)
+    assert rounds == ([(0, V.ROUNDS[0])] if weak < 0.9 else list(zip((0, *V.ROUNDS), V.ROUNDS)))
+    assert [(first, reps) for salt, first, reps in drawn if salt == "ratio"] == [(0, V.GATE_REPS)]
